@@ -44,7 +44,7 @@ def _front_docs(spark, sf):
         F.col("doc_id").cast("string"), F.lit("\n---\n\n"), "text").alias("text"))
 
 
-@add("parse_front_matter", f"""SELECT doc_path, regexp_replace({sql_strip("head")}, '^"|"$', '') AS title, lang AS edition,
+@add("parse_front_matter", f"""SELECT doc_path, head AS title, lang AS edition,
  doc_id::VARCHAR AS section_number, regexp_replace(raw, '^\\s+', '') AS body FROM ({FRONT_SQL})""")
 def _(spark, sf):
     parsed = MD.parse_front_matter(_front_docs(spark, sf))

@@ -1,6 +1,341 @@
-"""Registered queries."""
+"""Nearest neighbours, links, re-ranking and context assembly.
 
+Every embedding is a query and a chunk; labels stand for sections.
+"""
+
+from pyspark.sql import functions as F
+
+from corpusq.checks.chunking import LINKS_SQL
+from corpusq.checks.fixtures import CHUNKS_SQL, conversation_chunks, documents, sql_count
+from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, QUESTIONS_SQL, SYN, analysed, questions)
 from corpusq.checks.registry import Checks
+from corpusq.functions.text import count_tokens
+from corpusq.operators import chunks as C, context as X, labelling as L, retrieval as R
+from corpusq.session import load
 
 checks = Checks()
 add = checks.add
+
+
+def _vectors(spark, sf):
+    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("section"))
+
+
+def _queries(spark, sf):
+    return load(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("want"))
+
+
+def knn_sql(k, extra="", on="true"):
+    return f"""SELECT question_id, chunk_id, round(distance, 6) AS distance, rank::INT AS rank {extra} FROM (SELECT q.vec_id AS question_id, c.vec_id AS chunk_id,
+ 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance, c.label AS section, row_number() OVER (PARTITION BY q.vec_id
+ ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12), c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON {on}) WHERE rank <= {k}"""
+
+
+def _rounded(df):
+    # adding zero turns a rounded -0.0 into 0.0
+    return df.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+@add("knn", knn_sql(5))
+def _(spark, sf):
+    return _rounded(R.knn(_queries(spark, sf), _vectors(spark, sf), 5))
+
+
+@add("knn_where", knn_sql(5, on="c.label = 3"))
+def _(spark, sf):
+    return _rounded(R.knn(_queries(spark, sf), _vectors(spark, sf), 5, where={"section": 3}))
+
+
+@add("knn_per_query_filter", knn_sql(3, on="(q.label % 3 = 0 OR c.label = q.label)"))
+def _(spark, sf):
+    queries = _queries(spark, sf).withColumn("want", F.when(F.col("want") % 3 != 0, F.col("want")))
+    return _rounded(R.knn(queries, _vectors(spark, sf), 3, per_query={"section": "want"}))
+
+
+@add("knn_blocked", knn_sql(4))
+def _(spark, sf):
+    return _rounded(R.knn(_queries(spark, sf), _vectors(spark, sf), 4, query_limit=200))
+
+
+@add("unfiltered_counts", "SELECT vec_id AS question_id, 5::BIGINT AS fallback_count FROM embeddings WHERE label % 2 = 0")
+def _(spark, sf):
+    queries = _queries(spark, sf).withColumn("want", F.when(F.col("want") % 2 == 0, 99).otherwise(F.col("want")))
+    found = R.knn(queries, _vectors(spark, sf), 5, per_query={"section": "want"})
+    return R.unfiltered_counts(queries.drop("want"), found, _vectors(spark, sf), 5)
+
+
+REQUESTS_SQL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'rulebook' WHEN 1 THEN '  ' END AS filter_document_type,
+ CASE event_id % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'SR4' WHEN 2 THEN '' END AS filter_edition, CASE WHEN event_id % 2 = 0 THEN 'SR5' END AS edition,
+ CASE WHEN event_id % 3 = 0 THEN event_type END AS filter_source, CASE event_id % 6 WHEN 0 THEN 'Decker' WHEN 1 THEN 'None' WHEN 2 THEN 'baker' END AS character_role,
+ CASE event_id % 7 WHEN 0 THEN 'All' WHEN 1 THEN '' ELSE 'Gear' END AS filter_section, CASE WHEN event_id % 2 = 1 THEN 'sub' END AS filter_subsection FROM events"""
+
+
+@add("build_filter", f"""SELECT event_id, nullif(trim(filter_document_type), '') AS want_document_type,
+ nullif(coalesce(nullif(filter_edition, ''), edition), 'None') AS want_edition, filter_source AS want_source,
+ CASE WHEN nullif(character_role, 'None') IS NOT NULL THEN CASE lower(character_role) WHEN 'decker' THEN 'Matrix' END
+ ELSE nullif(nullif(filter_section, 'All'), '') END AS want_primary_section, filter_subsection AS want_subsection FROM ({REQUESTS_SQL})""")
+def _(spark, sf):
+    e = F.col("event_id")
+    none = F.lit(None).cast("string")
+    requests = load(spark, sf, "events").select(
+        "event_id", F.when(e % 4 == 0, "rulebook").when(e % 4 == 1, "  ").otherwise(none).alias("filter_document_type"),
+        F.when(e % 5 == 0, "None").when(e % 5 == 1, "SR4").when(e % 5 == 2, "").otherwise(none).alias("filter_edition"),
+        F.when(e % 2 == 0, "SR5").otherwise(none).alias("edition"), F.when(e % 3 == 0, F.col("event_type")).alias("filter_source"),
+        F.when(e % 6 == 0, "Decker").when(e % 6 == 1, "None").when(e % 6 == 2, "baker").otherwise(none).alias("character_role"),
+        F.when(e % 7 == 0, "All").when(e % 7 == 1, "").otherwise("Gear").alias("filter_section"),
+        F.when(e % 2 == 1, "sub").otherwise(none).alias("filter_subsection"))
+    wants = [c for c in R.build_filter(requests).columns if c.startswith("want_")]
+    return R.build_filter(requests).select("event_id", *wants)
+
+
+# ---- results over conversation chunks ----------------------------------------------------
+# a system or even turn is a hit of its conversation; distance falls with the length of the text
+CHUNK_ROWS_SQL = f"""SELECT c.*, l.* EXCLUDE (chunk_id), turn::INT AS chunk_index FROM ({CHUNKS_SQL}) c JOIN ({LINKS_SQL}) l USING (chunk_id)"""
+HITS_SQL = """SELECT *, conv_id AS question_id, CASE WHEN turn = 0 THEN 0.0 ELSE 1.0 / (1 + length(text)) END AS distance,
+ row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn = 0 THEN 0.0 ELSE 1.0 / (1 + length(text)) END, chunk_id) AS rank
+ FROM rows WHERE turn % 3 = 0"""
+
+
+def _chunk_rows(spark, sf):
+    return C.link_sequential(conversation_chunks(spark, sf)).withColumn("chunk_index", F.col("turn").cast("int"))
+
+
+def _hits(spark, sf):
+    from pyspark.sql import Window
+    distance = F.when(F.col("turn") == 0, 0.0).otherwise(F.lit(1.0) / (1 + F.length("text")))
+    rows = (_chunk_rows(spark, sf).filter("turn % 3 = 0").withColumn("question_id", F.col("conv_id"))
+            .withColumn("distance", distance))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id")))
+
+
+LINKED_SQL = """SELECT DISTINCT question_id, id AS chunk_id FROM (SELECT question_id, unnest([next_chunk_global, prev_chunk_global,
+ next_chunk_section, prev_chunk_section]) AS id FROM hits) WHERE id IS NOT NULL"""
+WITH_HITS = f"WITH rows AS ({CHUNK_ROWS_SQL}), hits AS ({HITS_SQL}), linked AS ({LINKED_SQL})"
+
+
+@add("expand_linked", f"{WITH_HITS} SELECT question_id, chunk_id, text, 0.0::DOUBLE AS distance, true AS is_linked FROM linked JOIN rows USING (chunk_id)")
+def _(spark, sf):
+    return R.expand_linked(_hits(spark, sf), _chunk_rows(spark, sf)).select("question_id", "chunk_id", "text", "distance", "is_linked")
+
+
+def _merged_sql(late):
+    return f"""{WITH_HITS}, fresh AS (SELECT question_id, min(chunk_id) AS chunk_id FROM linked JOIN rows USING (chunk_id)
+ WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.question_id = linked.question_id AND h.text = rows.text) GROUP BY question_id, text),
+ both_ AS (SELECT question_id, chunk_id, text, distance::DOUBLE AS distance, false AS is_linked, section_id, chunk_index FROM hits UNION ALL
+ SELECT question_id, chunk_id, text, 0.0, true, section_id, chunk_index FROM fresh JOIN rows USING (chunk_id))
+ SELECT question_id, chunk_id, text, distance, is_linked, (row_number() OVER (PARTITION BY question_id ORDER BY {late}, CASE WHEN NOT {late} THEN distance END,
+ CASE WHEN {late} THEN section_id ELSE '' END, CASE WHEN {late} THEN chunk_index ELSE 0 END, chunk_id))::INT AS rank FROM both_"""
+
+
+def _merged(spark, sf, sentinel=False):
+    hits = _hits(spark, sf)
+    return R.merge_linked(hits, R.expand_linked(hits, _chunk_rows(spark, sf)), sentinel=sentinel)
+
+
+MERGED = ["question_id", "chunk_id", "text", "distance", "is_linked", "rank"]
+
+
+@add("merge_linked", _merged_sql("is_linked"))
+def _(spark, sf):
+    return _merged(spark, sf).select(*MERGED)
+
+
+@add("merge_linked_sentinel", _merged_sql("(distance = 0.0)"))
+def _(spark, sf):
+    return _merged(spark, sf, True).select(*MERGED)
+
+
+BOOSTS = {"north": ["The ", "tion", "and"], "south": ["der", "und"], "east": ["la ", "le ", "que", "les"]}
+ROLE_CATEGORY = {"user": "north", "assistant": "south", "system": "east"}
+BOOST_CASE = "CASE role " + " ".join(f"WHEN '{r}' THEN {sql_count('lower(text)', [t.lower() for t in BOOSTS[c]])}" for r, c in ROLE_CATEGORY.items()) + " ELSE 0 END"
+
+
+@add("boost", f"""{WITH_HITS} SELECT question_id, chunk_id, round(d, 9) AS distance, (row_number() OVER (PARTITION BY question_id ORDER BY round(d, 12), chunk_id))::INT AS rank
+ FROM (SELECT *, distance * (1 - {BOOST_CASE} * 0.1::DOUBLE) AS d FROM hits)""")
+def _(spark, sf):
+    category = F.col("role")
+    for role, name in ROLE_CATEGORY.items():
+        category = F.when(F.col("role") == role, name).otherwise(category)
+    hits = _hits(spark, sf).withColumn("category", category)
+    return R.boost(hits, BOOSTS).select("question_id", "chunk_id", F.round("distance", 9).alias("distance"), "rank")
+
+
+RELATED_SQL = "SELECT conv_id AS question_id, chunk_id, turn AS entity_ord FROM rows WHERE turn % 2 = 0"
+
+
+@add("entity_rerank", f"""{WITH_HITS}, related AS ({RELATED_SQL}), s AS (SELECT coalesce(h.question_id, r.question_id) AS question_id, coalesce(h.chunk_id, r.chunk_id) AS chunk_id,
+ CASE WHEN h.chunk_id IS NULL THEN 0.7 ELSE (1.0 / h.rank) * CASE WHEN r.chunk_id IS NULL THEN 1.0 ELSE 1.5 END END::DOUBLE AS score, h.chunk_id IS NULL AS late,
+ coalesce(h.rank, r.entity_ord) AS o, r.chunk_id IS NOT NULL AS entity_related FROM hits h FULL OUTER JOIN related r ON h.question_id = r.question_id AND h.chunk_id = r.chunk_id)
+ SELECT question_id, chunk_id, round(score, 9) AS score, rank::INT AS rank, entity_related, text FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, late, o, chunk_id) AS rank FROM s)
+ JOIN (SELECT chunk_id, text FROM rows) USING (chunk_id) WHERE rank <= 3""")
+def _(spark, sf):
+    rows = _chunk_rows(spark, sf)
+    base = _hits(spark, sf).select("question_id", "chunk_id", (F.lit(1.0) / F.col("rank")).alias("score"), "rank")
+    related = rows.filter("turn % 2 = 0").select(F.col("conv_id").alias("question_id"), "chunk_id", F.col("turn").alias("entity_ord"))
+    return R.entity_rerank(base, related, rows, 3).withColumn("score", F.round("score", 9))
+
+
+@add("overfetch", f"""SELECT question_id, chunk_id, round(d, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(d, 12), chunk_id) AS rank
+ FROM (SELECT question_id, chunk_id, distance * CASE WHEN section % 2 = 0 THEN 0.5 ELSE 1 END AS d FROM (SELECT q.vec_id AS question_id, c.vec_id AS chunk_id, c.label AS section,
+ 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS distance, row_number() OVER (PARTITION BY q.vec_id
+ ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12), c.vec_id) AS r FROM embeddings q JOIN embeddings c ON true) WHERE r <= 6)) WHERE rank <= 3""")
+def _(spark, sf):
+    from pyspark.sql import Window
+    vectors = _vectors(spark, sf)
+
+    def rerank(found):
+        halved = found.join(vectors.select("chunk_id", "section"), "chunk_id").withColumn(
+            "distance", F.col("distance") * F.when(F.col("section") % 2 == 0, 0.5).otherwise(1.0))
+        order = Window.partitionBy("question_id").orderBy(F.round("distance", 12), "chunk_id")
+        return halved.withColumn("rank", F.row_number().over(order))
+    return _rounded(R.overfetch(_queries(spark, sf), vectors, 3, rerank)).select("question_id", "chunk_id", "distance", "rank")
+
+
+# ---- context -------------------------------------------------------------------------------
+RESULTS_SQL = """SELECT *, CASE WHEN turn % 2 = 0 THEN 'rule book' END AS document_type, 'SR5' AS edition, CASE WHEN role = 'user' THEN 'Gear' END AS primary_section,
+ CASE WHEN turn = 0 THEN 'Intro' END AS subsection, CASE WHEN turn % 5 <> 4 THEN doc_path END AS source, 'Part ' || role AS section_title, turn <> 3 AS has_metadata FROM hits"""
+
+
+def _results(spark, sf):
+    t = F.col("turn")
+    return (_hits(spark, sf).withColumn("document_type", F.when(t % 2 == 0, "rule book")).withColumn("edition", F.lit("SR5"))
+            .withColumn("primary_section", F.when(F.col("role") == "user", "Gear")).withColumn("subsection", F.when(t == 0, "Intro"))
+            .withColumn("source", F.when(t % 5 != 4, F.col("doc_path"))).withColumn("section_title", F.concat(F.lit("Part "), "role"))
+            .withColumn("has_metadata", t != 3))
+
+
+SRC = "coalesce(regexp_extract(source, '([^/]*)$', 1), 'Unknown')"
+TITLE = "CASE WHEN document_type IS NULL THEN 'Unknown' ELSE 'Rule Book' END"
+NL2 = "chr(10) || chr(10)"
+
+
+@add("assemble_context", f"""{WITH_HITS}, res AS ({RESULTS_SQL}) SELECT question_id, string_agg(CASE WHEN has_metadata THEN '[' || {TITLE} || ' | ' || edition || ' | ' || coalesce(primary_section, 'General')
+ || ' → ' || coalesce(subsection, 'General') || ' | Source: ' || {SRC} || ']' ELSE '[Source: Unknown]' END || chr(10) || text, {NL2} || '---' || {NL2} ORDER BY rank) AS context FROM res GROUP BY 1""")
+def _(spark, sf):
+    return X.assemble_context(_results(spark, sf))
+
+
+@add("assemble_simple_context", f"{WITH_HITS}, res AS ({RESULTS_SQL}) SELECT question_id, string_agg(coalesce('[' || primary_section || '] ', '') || text, {NL2} ORDER BY rank) AS context FROM res GROUP BY 1")
+def _(spark, sf):
+    return X.assemble_simple_context(_results(spark, sf))
+
+
+@add("assemble_context_by_section", f"""{WITH_HITS}, res AS ({RESULTS_SQL}), p AS (SELECT *, CASE WHEN has_metadata THEN '[' || {TITLE} || ' | ' || edition || ' | ' || section_title ||
+ CASE WHEN total_chunks_in_section > 1 THEN ' | Part ' || (chunk_index + 1) || '/' || total_chunks_in_section || CASE WHEN NOT section_complete THEN ' (continued)' ELSE '' END ELSE '' END
+ || ' | Source: ' || {SRC} || ']' ELSE '[Source: Unknown]' END || chr(10) || text AS part FROM res),
+ b AS (SELECT question_id, 0 AS g, min(rank) AS o, '## Section: ' || arg_min(section_title, (chunk_index, rank)) || {NL2} || string_agg(part, {NL2} ORDER BY chunk_index, rank) || {NL2} || '---' AS t
+ FROM p WHERE has_metadata GROUP BY question_id, section_id UNION ALL SELECT question_id, 1, rank, part FROM p WHERE NOT has_metadata)
+ SELECT question_id, string_agg(t, {NL2} ORDER BY g, o) AS context FROM b GROUP BY 1""")
+def _(spark, sf):
+    return X.assemble_context_by_section(_results(spark, sf))
+
+
+@add("answer_sources", f"""{WITH_HITS}, res AS (SELECT * REPLACE (doc_path || '#' || role AS source) FROM ({RESULTS_SQL})) SELECT question_id, string_agg(source, ',' ORDER BY o) AS sources, sum(n)::BIGINT AS linked_chunks
+ FROM (SELECT question_id, source, min(rank) AS o, count(next_chunk_global) AS n FROM res GROUP BY 1, 2) GROUP BY 1""")
+def _(spark, sf):
+    rows = _results(spark, sf).withColumn("source", F.concat_ws("#", "doc_path", "role"))
+    return X.answer_sources(rows).withColumn("sources", F.array_join("sources", ","))
+
+
+TEMPLATES = [("general", "G {character_context}|{edition_context}|{context}|{question}"), ("rules", "Rules: {context}\nQ: {question} {edition_context}")]
+
+
+@add("render_prompts", """SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'Rules: ' || full_ || chr(10) || 'Q: ' || question || ' ' || ed
+ ELSE 'G ' || CASE question_id % 2 WHEN 0 THEN '**Character Context:** Current character role: Decker; Character stats: Logic 5' ELSE '' END || '|' || ed || '|' || full_ || '|' || question END AS prompt
+ FROM (SELECT item_id AS question_id, text AS question, CASE WHEN item_id % 5 = 0 THEN 'CONVERSATION HISTORY:' || chr(10) || 'earlier' || chr(10) || chr(10) || 'CURRENT CONTEXT:' || chr(10) ELSE '' END || lower(left(text, 40)) AS full_,
+ CASE WHEN item_id % 4 <> 1 THEN '**Preferred Edition:** SR5. Default to this unless context suggests otherwise.' ELSE '' END AS ed FROM benchmark)""")
+def _(spark, sf):
+    q = F.col("question_id")
+    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")).select(
+        "*", F.when(q % 3 == 0, "rules").otherwise("nothing known").alias("query_type"),
+        F.when(q % 2 == 0, "decker").alias("character_role"), F.when(q % 2 == 0, "Logic 5").alias("character_stats"),
+        F.when(q % 4 != 1, "SR5").alias("edition"), F.when(q % 5 == 0, "earlier").alias("conversation_context"))
+    contexts = asked.select("question_id", F.lower(F.left("question", F.lit(40))).alias("context"))
+    templates = spark.createDataFrame(TEMPLATES, "query_type string, template string")
+    return X.render_prompts(asked, contexts, templates)
+
+
+@add("conversation_context", """SELECT conv_id, CASE WHEN length(c) > 400 THEN array_to_string(list_slice(string_split(c, chr(10)), greatest(len(string_split(c, chr(10))) - 5, 1), len(string_split(c, chr(10)))), chr(10)) ELSE c END AS context
+ FROM (SELECT conv_id, string_agg('Previous Q' || i || ': ' || text || chr(10) || 'Previous A' || i || ': ' || answer, chr(10) ORDER BY i) AS c
+ FROM (SELECT conv_id, text, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
+ FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant') WHERE r <= 3) GROUP BY 1)""")
+def _(spark, sf):
+    return X.conversation_context(load(spark, sf, "conversations"), 3, 100, 6)
+
+
+SEARCH_SQL = """SELECT 'lib/' || source || '/doc-' || doc_id || '.md' AS doc_path, 'doc-' || doc_id || '.md' AS filename, source AS group_name,
+ '---' || chr(10) || 'edition: "' || lang || '"' || chr(10) || '---' || chr(10) || text AS text, doc_id % 4 AS fm, text AS plain FROM documents"""
+
+
+@add("search_documents", f"""WITH d AS (SELECT doc_path, filename, group_name, CASE WHEN fm > 0 THEN text ELSE plain END AS text, fm, lang FROM ({SEARCH_SQL}) JOIN (SELECT 'doc-' || doc_id || '.md' AS filename, lang FROM documents) USING (filename)),
+ h AS (SELECT *, CASE WHEN contains(lower(filename), '7') THEN 'filename' WHEN contains(lower(text), '7') THEN 'content' END AS match_type FROM d WHERE fm = 0 OR lang = 'en')
+ SELECT doc_path, filename, group_name, match_type, (SELECT count(*) FROM h WHERE match_type IS NOT NULL) AS total,
+ ceil((SELECT count(*) FROM h WHERE match_type IS NOT NULL) / 15.0)::BIGINT AS total_pages FROM h WHERE match_type IS NOT NULL ORDER BY doc_path LIMIT 15 OFFSET 30""")
+def _(spark, sf):
+    doc = F.col("doc_id").cast("string")
+    docs = documents(spark, sf).select(
+        F.concat(F.lit("lib/"), "source", F.lit("/doc-"), doc, F.lit(".md")).alias("doc_path"),
+        F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit('---\nedition: "'), "lang", F.lit('"\n---\n'), "text")).otherwise(F.col("text")).alias("text"))
+    return R.search_documents(docs, "7", edition="en", page=3, page_size=15)
+
+
+@add("group_documents", """SELECT page_id, CASE WHEN url LIKE 'https://%' AND len(string_split(url, '/')) > 1 THEN string_split(url, '/')[-2] ELSE 'other' END AS group_name,
+ CASE WHEN url LIKE 'https://%' THEN string_split(url, '/')[-1] ELSE url END AS filename, CASE WHEN url LIKE 'https://%' THEN substr(url, 9) ELSE url END AS relative_path FROM pages""")
+def _(spark, sf):
+    pages = load(spark, sf, "pages")
+    grouped = R.group_documents(pages, "url", root="https:/")
+    return pages.select("page_id", "url").join(grouped.withColumn("url", F.when(F.col("group_name") == "other", F.col("filename")).otherwise(
+        F.concat(F.lit("https://"), "relative_path"))).distinct(), "url").drop("url")
+
+
+@add("debug_retrieval", f"""{WITH_HITS}, res AS ({RESULTS_SQL}) SELECT question_id, (rank - 1)::INT AS chunk_index_in_results, coalesce(primary_section, 'Unknown') AS classification, role AS content_type,
+ role = 'user' AS contains_rules, len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''))::INT AS word_count, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
+ count(*) OVER (PARTITION BY question_id) AS chunks_count FROM res""")
+def _(spark, sf):
+    rows = _results(spark, sf).withColumn("content_type", F.col("role")).withColumn("contains_rules", F.col("role") == "user")
+    return X.debug_retrieval(rows)
+
+
+@add("search_debug", f"""SELECT question_id, intent, query_type, confidence, c.category, len(entities)::INT AS n_entities,
+ array_to_string(list_concat([question], list_filter(boosts, lambda t: NOT contains(lower(question), t)),
+ list_filter(list_transform(entities, lambda e: CASE e WHEN 'erad' THEN 'radial' WHEN 'ouou' THEN 'owl' WHEN 'der' THEN 'of it' END), lambda s: s IS NOT NULL)), ' ') AS enhanced_query
+ FROM ({ANALYSIS_SQL}) a JOIN (SELECT question_id, category FROM ({CATEGORY_SQL})) c USING (question_id)""")
+def _(spark, sf):
+    looked = L.build_enhanced_query(analysed(spark, sf), synonyms=SYN)
+    sorted_out = L.classify_query(looked, categories=CATS)
+    return sorted_out.select("question_id", "intent", "query_type", "confidence", "category", F.size("entities").alias("n_entities"), "enhanced_query")
+
+
+# every turn: some text, thinking, some text; nested tags in odd turns
+TAGGED_SQL = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 20) || '<think>' || lower(left(text, 30)) || '</think>' || text
+ ELSE '<think>a<think>' || left(text, 9) || '</think>b</think>' || text END AS text FROM conversations"""
+
+
+def tagged(spark, sf):
+    t = F.col("text")
+    even = F.concat(F.left(t, F.lit(20)), F.lit("<think>"), F.lower(F.left(t, F.lit(30))), F.lit("</think>"), t)
+    odd = F.concat(F.lit("<think>a<think>"), F.left(t, F.lit(9)), F.lit("</think>b</think>"), t)
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, even).otherwise(odd).alias("text"))
+
+
+SPLIT_SQL = """SELECT conv_id, 0::BIGINT AS part, string_agg(CASE WHEN turn % 2 = 0 THEN lower(left(text, 30)) ELSE 'a' || left(text, 9) || 'b' END, '' ORDER BY turn) AS thinking,
+ string_agg(CASE WHEN turn % 2 = 0 THEN left(text, 20) || text ELSE text END, '' ORDER BY turn) AS answer FROM conversations GROUP BY 1"""
+
+
+def tag_stream(spark, sf):
+    return X.tag_tokens(tagged(spark, sf), ["conv_id", "turn"]).select(
+        "conv_id", (F.col("turn") * 100 + F.col("seq")).alias("seq"), "token")
+
+
+@add("split_reasoning", SPLIT_SQL)
+def _(spark, sf):
+    return X.split_reasoning(tag_stream(spark, sf))
+
+
+@add("embed_texts")
+def _(spark, sf):
+    vec = R.embed_texts(documents(spark, sf).select("doc_id", "text"), dim=64)
+    return vec.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate(
+        "embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("squared_length"),
+        count_tokens("text").alias("words"))

@@ -149,12 +149,12 @@ def content_blocks(content: Column, first_table_type: Column, stat_words=None) -
     """
     words = stat_words or fv.BLOCK_STAT_WORDS
 
-    def classify(line, i):
+    def classify(line, i, stats):
         return F.struct(
             i.alias("i"),
             ((occurrences(line, "|") >= 2) | any_term(F.lower(line), words)).alias("opens"),
             (F.contains(line, F.lit("|")) | (strip(line) == "")
-             | ((first_table_type == "weapon_stats") & F.rlike(line, F.lit(r"[\d\-]")))).alias("continues"))
+             | (stats & F.rlike(line, F.lit(r"[\d\-]")))).alias("continues"))
 
     def close(acc, end):
         return F.when(acc["kind"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
@@ -171,12 +171,17 @@ def content_blocks(content: Column, first_table_type: Column, stat_words=None) -
     zero = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("start"),
                     F.array().cast(BLOCK_TYPE).alias("out"))
 
-    def cut(rows):
-        found = F.aggregate(F.transform(rows, classify), zero, step, lambda acc: close(acc, F.size(rows)))
+    def cut(rows, stats):
+        classified = F.transform(rows, lambda line, i: classify(line, i, stats))
+        found = F.aggregate(classified, zero, step, lambda acc: close(acc, F.size(rows)))
         return F.transform(found, lambda b: F.struct(
             b["type"].alias("type"),
             strip(F.array_join(F.slice(rows, b["start"] + 1, b["n"]), "\n")).alias("content")))
 
     plain = F.array(F.struct(F.lit("text").alias("type"), strip(content).alias("content")))
-    blocks = F.when(first_table_type.isNull(), plain).otherwise(let(lines(content), cut))
+    def blocks_of(kind):
+        tabled = let(lines(content), lambda rows: let(kind == "weapon_stats", lambda stats: cut(rows, stats)))
+        return F.when(kind.isNull(), plain).otherwise(tabled)
+
+    blocks = let(first_table_type, blocks_of)
     return F.filter(blocks, lambda b: b["content"] != "")
