@@ -1,6 +1,269 @@
-"""Registered queries."""
+"""Structured records: customers are parents, orders their skills, line items their gear, events the change log."""
+
+from pyspark.sql import functions as F
 
 from corpusq.checks.registry import Checks
+from corpusq.operators import records as D
+from corpusq.session import load
+from corpusq.sources import exports as X
 
 checks = Checks()
 add = checks.add
+
+ATTRS = D.ATTRIBUTES
+PARENTS_SQL = "SELECT c_custkey AS parent_id, c_name AS name, lower(c_mktsegment) AS metatype, CASE WHEN c_custkey % 3 > 0 THEN 'arch ' || c_nationkey END AS archetype FROM customer"
+STATS_SQL = "SELECT c_custkey AS parent_id, " + ", ".join(
+    f"((c_custkey * {i + 3}) % 7)::INT AS {a}" for i, a in enumerate(ATTRS)) + ", round(c_acctbal, 2) AS essence FROM customer WHERE c_custkey % 10 <> 9"
+SKILLS_SQL = """SELECT o_custkey AS parent_id, o_orderkey AS skill_id, CASE o_orderkey % 6 WHEN 0 THEN 'Hacking' WHEN 1 THEN 'Pistols' WHEN 2 THEN 'Perception' WHEN 3 THEN 'Con' ELSE 'Craft ' || (o_orderkey % 50) END AS name,
+ (floor(o_totalprice / 60000))::INT AS rating, CASE WHEN o_orderstatus = 'F' THEN 'spec' END AS specialization, CASE o_orderkey % 5 WHEN 0 THEN 'knowledge' ELSE 'active' END AS skill_type,
+ CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Logic' WHEN '2' THEN 'agility' WHEN '3' THEN 'unknown' WHEN '4' THEN '' END AS attribute FROM orders"""
+GEAR_SQL = """SELECT o_custkey AS parent_id, l_orderkey * 10 + l_linenumber AS gear_id, 'Item ' || l_partkey AS name, lower(l_returnflag) AS category, l_quantity::INT AS quantity,
+ (l_partkey % 4)::INT AS armor_value, l_suppkey AS cost FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+
+
+def parents(spark, sf):
+    return load(spark, sf, "customer").select(
+        F.col("c_custkey").alias("parent_id"), F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("metatype"),
+        F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("arch "), F.col("c_nationkey").cast("string"))).alias("archetype"))
+
+
+def stats(spark, sf):
+    c = F.col("c_custkey")
+    return load(spark, sf, "customer").filter(c % 10 != 9).select(
+        c.alias("parent_id"), *[((c * (i + 3)) % 7).cast("int").alias(a) for i, a in enumerate(ATTRS)], F.round("c_acctbal", 2).alias("essence"))
+
+
+def skills(spark, sf):
+    o, p = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    name = (F.when(o % 6 == 0, "Hacking").when(o % 6 == 1, "Pistols").when(o % 6 == 2, "Perception").when(o % 6 == 3, "Con")
+            .otherwise(F.concat(F.lit("Craft "), (o % 50).cast("string"))))
+    return load(spark, sf, "orders").select(
+        F.col("o_custkey").alias("parent_id"), o.alias("skill_id"), name.alias("name"), F.floor(F.col("o_totalprice") / 60000).cast("int").alias("rating"),
+        F.when(F.col("o_orderstatus") == "F", "spec").alias("specialization"), F.when(o % 5 == 0, "knowledge").otherwise("active").alias("skill_type"),
+        F.when(p == "1", "Logic").when(p == "2", "agility").when(p == "3", "unknown").when(p == "4", "").alias("attribute"))
+
+
+def gear(spark, sf):
+    lines = load(spark, sf, "lineitem").join(load(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return lines.select(
+        F.col("o_custkey").alias("parent_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("gear_id"),
+        F.concat(F.lit("Item "), F.col("l_partkey").cast("string")).alias("name"), F.lower("l_returnflag").alias("category"),
+        F.col("l_quantity").cast("int").alias("quantity"), (F.col("l_partkey") % 4).cast("int").alias("armor_value"), F.col("l_suppkey").alias("cost"))
+
+
+STAR = f"WITH p AS ({PARENTS_SQL}), st AS ({STATS_SQL}), sk AS ({SKILLS_SQL}), g AS ({GEAR_SQL})"
+VALUE = "CASE lower(attribute) " + " ".join(f"WHEN '{a}' THEN {a}" for a in ATTRS) + " ELSE 0 END"
+POOLED = f"pooled AS (SELECT sk.*, CASE WHEN attribute <> '' THEN coalesce({VALUE}, 0) + rating END AS dice_pool FROM sk LEFT JOIN st USING (parent_id))"
+ARMOR = "armor AS (SELECT p.parent_id, coalesce(sum(armor_value * quantity), 0)::BIGINT AS total_armor FROM p LEFT JOIN (SELECT * FROM g WHERE armor_value > 0) USING (parent_id) GROUP BY 1)"
+
+
+@add("total_armor", f"{STAR}, {ARMOR} SELECT * FROM armor")
+def _(spark, sf):
+    return D.total_armor(parents(spark, sf), gear(spark, sf))
+
+
+def _skill_text(skills_column):
+    return F.array_join(F.transform(skills_column, lambda s: F.concat_ws(":", s["name"], s["rating"].cast("string"), F.coalesce(s["specialization"], F.lit("-")),
+                        F.coalesce(s["attribute"], F.lit("-")), F.coalesce(s["dice_pool"].cast("string"), F.lit("-")))), ";")
+
+
+@add("entity_summary", f"""{STAR}, {POOLED}, {ARMOR}, n AS (SELECT parent_id, string_agg(name || ':' || rating || ':' || coalesce(specialization, '-') || ':' || coalesce(nullif(attribute, ''), '-') || ':' || coalesce(dice_pool::VARCHAR, '-'), ';' ORDER BY rating DESC, name, skill_id) AS skills
+ FROM pooled WHERE skill_type = 'active' AND rating > 0 GROUP BY 1) SELECT p.parent_id, name, metatype, archetype, body, edge, skills, total_armor FROM p JOIN st USING (parent_id) LEFT JOIN n USING (parent_id) JOIN armor USING (parent_id)""")
+def _(spark, sf):
+    out = D.entity_summary(parents(spark, sf), stats(spark, sf), skills(spark, sf), gear(spark, sf))
+    return out.select("parent_id", "name", "metatype", "archetype", "attributes.body", "attributes.edge", _skill_text("skills").alias("skills"), "total_armor")
+
+
+@add("full_record", f"""{STAR}, a AS (SELECT parent_id, string_agg(name || ':' || rating, ';' ORDER BY name, skill_id) FILTER (skill_type = 'active') AS active, string_agg(name || ':' || rating, ';' ORDER BY name, skill_id) FILTER (skill_type = 'knowledge') AS knowledge FROM sk GROUP BY 1),
+ b AS (SELECT parent_id, string_agg(category || '/' || name || 'x' || quantity, ';' ORDER BY category, name, gear_id, quantity) AS gear, count(*) AS n_gear FROM g GROUP BY 1)
+ SELECT p.parent_id, name, logic, coalesce(active, '') AS active, coalesce(knowledge, '') AS knowledge, 0 AS languages, coalesce(gear, '') AS gear, coalesce(n_gear, 0)::INT AS n_gear FROM p LEFT JOIN st USING (parent_id) LEFT JOIN a USING (parent_id) LEFT JOIN b USING (parent_id)""")
+def _(spark, sf):
+    record = D.full_record(parents(spark, sf), {"stats": stats(spark, sf)}, {
+        "skills": (skills(spark, sf), "skill_id", ["skill_type", "name"]), "gear": (gear(spark, sf), "gear_id", ["category", "name"])})
+    by_type = F.col("skills_by_type")
+
+    def listed(kind):
+        return F.array_join(F.transform(by_type[kind], lambda s: F.concat_ws(":", s["name"], s["rating"].cast("string"))), ";")
+    return record.select("parent_id", "name", "stats.logic", listed("active").alias("active"), listed("knowledge").alias("knowledge"), F.size(by_type["language"]).alias("languages"),
+                         F.array_join(F.transform("gear", lambda g: F.concat(g["category"], F.lit("/"), g["name"], F.lit("x"), g["quantity"].cast("string"))), ";").alias("gear"), F.size("gear").alias("n_gear"))
+
+
+@add("full_record_parts", f"""{STAR}, big AS (SELECT parent_id FROM g GROUP BY 1 HAVING count(*) > 60) SELECT parent_id, CASE WHEN parent_id IN (SELECT parent_id FROM big) THEN gear_id // 60 ELSE 0 END AS part,
+ count(*)::INT AS n, min(gear_id) AS first_id, sum(quantity)::BIGINT AS quantity FROM g GROUP BY 1, 2""")
+def _(spark, sf):
+    from corpusq.plans.nesting import nest
+    parts = nest(gear(spark, sf), ["parent_id"], "gear_id", F.struct("gear_id", "quantity"), "items", limit=60)
+    return parts.select("parent_id", "part", F.size("items").alias("n"), F.array_min(F.transform("items", lambda i: i["gear_id"])).alias("first_id"),
+                        F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["quantity"]).alias("quantity"))
+
+
+REQUESTS_SQL = "SELECT event_id, user_id AS parent_id, CASE event_id % 4 WHEN 0 THEN 'hacking' WHEN 1 THEN 'CON' WHEN 2 THEN 'Pistols' ELSE 'Flying' END AS skill_name FROM events"
+
+
+@add("skill_dice_pool", f"""{STAR}, r AS ({REQUESTS_SQL}), f AS (SELECT parent_id, lower(name) AS low, arg_min((rating, attribute, specialization), (name, skill_id)) AS s FROM sk WHERE skill_type = 'active' GROUP BY 1, 2),
+ j AS (SELECT r.*, p.parent_id AS known, f.s[1] AS rating, f.s IS NOT NULL AS found, lower(coalesce(f.s[2], '')) AS attribute, f.s[3] AS spec, st.* EXCLUDE (parent_id) FROM r LEFT JOIN p ON p.parent_id = r.parent_id
+ LEFT JOIN f ON f.parent_id = r.parent_id AND f.low = lower(r.skill_name) LEFT JOIN st ON st.parent_id = r.parent_id), v AS (SELECT *, coalesce({VALUE}, 0) AS val FROM j)
+ SELECT event_id, (CASE WHEN known IS NULL OR NOT found THEN 0 ELSE val + rating END)::INT AS dice_pool, CASE WHEN known IS NULL THEN 'Character not found' WHEN NOT found THEN 'Skill ''' || skill_name || ''' not found'
+ ELSE upper(left(attribute, 1)) || substr(attribute, 2) || ' ' || val || ' + ' || skill_name || ' ' || rating || CASE WHEN spec <> '' THEN ' (+2 for ' || spec || ')' ELSE '' END END AS explanation FROM v""")
+def _(spark, sf):
+    e = F.col("event_id")
+    requests = load(spark, sf, "events").select("event_id", F.col("user_id").alias("parent_id"), F.when(e % 4 == 0, "hacking").when(e % 4 == 1, "CON").when(e % 4 == 2, "Pistols").otherwise("Flying").alias("skill_name"))
+    return D.skill_dice_pool(requests, parents(spark, sf), stats(spark, sf), skills(spark, sf)).select("event_id", "dice_pool", "explanation")
+
+
+POOL_SQL = """SELECT event_id, user_id AS parent_id, CASE event_type WHEN 'click' THEN 'What do I roll for hacking?' WHEN 'view' THEN 'Perception CHECK please' WHEN 'error' THEN 'shooting and hacking' WHEN 'signup' THEN 'social test' ELSE 'roll for nothing' END AS text FROM events"""
+
+
+@add("resolve_pool_query", f"""{STAR}, q AS ({POOL_SQL}), t AS (SELECT *, CASE WHEN text LIKE '%hacking?' THEN 'hacking' WHEN text LIKE 'Perc%' THEN 'perception' WHEN text LIKE 'social%' THEN 'social' END AS test FROM q),
+ r AS (SELECT parent_id, CASE WHEN contains(lower(name), 'hacking') THEN 'hacking' WHEN contains(lower(name), 'perception') THEN 'perception' WHEN contains(lower(name), 'con') THEN 'social' END AS test, arg_min(rating, (name, skill_id)) AS rating
+ FROM sk WHERE skill_type = 'active' GROUP BY 1, 2) SELECT event_id, CASE WHEN t.test IS NOT NULL THEN p.name || '''s ' || t.test || ' test: ' || CASE t.test WHEN 'hacking' THEN 'Logic ' || coalesce(logic, 0) || ' + Hacking ' WHEN 'perception' THEN 'Intuition ' || coalesce(intuition, 0) || ' + Perception '
+ ELSE 'Charisma ' || coalesce(charisma, 0) || ' + Con ' END || coalesce(rating, 0) || ' = ' || (coalesce(CASE t.test WHEN 'hacking' THEN logic WHEN 'perception' THEN intuition ELSE charisma END, 0) + coalesce(rating, 0)) || ' dice' END AS answer
+ FROM t LEFT JOIN p ON p.parent_id = t.parent_id LEFT JOIN st ON st.parent_id = t.parent_id LEFT JOIN r ON r.parent_id = t.parent_id AND r.test = t.test""")
+def _(spark, sf):
+    k = F.col("event_type")
+    text = (F.when(k == "click", "What do I roll for hacking?").when(k == "view", "Perception CHECK please").when(k == "error", "shooting and hacking")
+            .when(k == "signup", "social test").otherwise("roll for nothing"))
+    asked = load(spark, sf, "events").select("event_id", F.col("user_id").alias("parent_id"), text.alias("text"))
+    return D.resolve_pool_query(asked, parents(spark, sf), stats(spark, sf), skills(spark, sf)).select("event_id", "answer")
+
+
+@add("dice_pool", """SELECT l_orderkey, l_linenumber, l_partkey, greatest(0, b)::INT AS pool, 'Attribute ' || l_linenumber || ' + Skill ' || q || CASE WHEN s THEN ' + Specialization +2' ELSE '' END || CASE WHEN m > 0 THEN ' + Modifiers +' || m WHEN m < 0 THEN ' + Modifiers ' || m ELSE '' END
+ || ' = ' || greatest(0, b) || ' dice' AS explanation FROM (SELECT *, l_linenumber + q + CASE WHEN s THEN 2 ELSE 0 END + m AS b FROM (SELECT *, (l_quantity % 7)::INT AS q, l_returnflag = 'R' AS s, ((l_suppkey % 5) - 9 + l_partkey % 8)::INT AS m FROM lineitem))""")
+def _(spark, sf):
+    mods = F.array((F.col("l_suppkey") % 5).cast("int"), F.lit(-9), (F.col("l_partkey") % 8).cast("int"))
+    pool = D.dice_pool("l_linenumber", (F.col("l_quantity") % 7).cast("int"), F.col("l_returnflag") == "R", mods)
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pool.alias("d")).select("l_orderkey", "l_linenumber", "l_partkey", "d.*")
+
+
+@add("context_line", f"""{STAR}, {POOLED}, {ARMOR}, t AS (SELECT parent_id, string_agg(name || ' ' || rating || ' (' || coalesce(dice_pool, rating) || ' dice)', ', ' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY coalesce(dice_pool, 0) DESC, rating DESC, name, skill_id) AS r
+ FROM pooled WHERE skill_type = 'active' AND rating > 0) WHERE r <= 5 GROUP BY 1) SELECT p.parent_id, concat_ws(' | ', 'Active Character: ' || name || ' (' || metatype || ')', 'Archetype: ' || archetype, 'Attributes: Body ' || body || ', Agility ' || agility || ', Logic ' || logic || ', Willpower ' || willpower || ', Charisma ' || charisma || ', Edge ' || edge,
+ 'Top Skills: ' || top, CASE WHEN total_armor > 0 THEN 'Total Armor: ' || total_armor END) AS context_line FROM p JOIN st USING (parent_id) LEFT JOIN t USING (parent_id) JOIN armor USING (parent_id)""")
+def _(spark, sf):
+    return D.context_line(parents(spark, sf), stats(spark, sf), skills(spark, sf), gear(spark, sf))
+
+
+# ---- change log -------------------------------------------------------------------------------
+OPS = {"signup": "insert", "click": "update", "view": "insert_or_replace", "error": "delete", "purchase": "insert_or_ignore"}
+LOG_SQL = "SELECT user_id AS key, event_id AS seq, CASE event_type " + " ".join(f"WHEN '{e}' THEN '{o}'" for e, o in OPS.items()) + " END AS op, value AS amount, CASE WHEN event_id % 3 > 0 THEN props END AS note FROM events"
+BASE_SQL = "SELECT c_custkey AS key, c_acctbal AS amount, c_mktsegment AS note FROM customer WHERE c_custkey % 2 = 0"
+
+
+def change_log(spark, sf):
+    op = F
+    for event, name in OPS.items():
+        op = op.when(F.col("event_type") == event, name)
+    return load(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.otherwise(None).alias("op"), F.col("value").alias("amount"),
+                                            F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("note"))
+
+
+def change_base(spark, sf):
+    return load(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("note"))
+
+
+# the oracle replays the log event by event
+REPLAY_SQL = f"""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM ({LOG_SQL})), base AS ({BASE_SQL}), keys AS (SELECT key FROM log UNION SELECT key FROM base),
+ st AS (SELECT k.key, 0::BIGINT AS i, b.key IS NOT NULL AS alive, b.amount, b.note, NULL::BIGINT AS touched FROM keys k LEFT JOIN base b ON b.key = k.key
+ UNION ALL SELECT st.key, l.i, CASE WHEN op = 'delete' THEN false WHEN op = 'update' THEN alive ELSE true END,
+ CASE WHEN op = 'delete' THEN NULL WHEN op = 'insert_or_replace' OR (op LIKE 'insert%' AND NOT alive) THEN l.amount WHEN op = 'update' AND alive THEN coalesce(l.amount, st.amount) ELSE st.amount END,
+ CASE WHEN op = 'delete' THEN NULL WHEN op = 'insert_or_replace' OR (op LIKE 'insert%' AND NOT alive) THEN l.note WHEN op = 'update' AND alive THEN coalesce(l.note, st.note) ELSE st.note END,
+ CASE WHEN op = 'delete' THEN NULL WHEN op = 'insert_or_replace' OR (op LIKE 'insert%' AND NOT alive) OR (op = 'update' AND alive) THEN l.seq ELSE touched END
+ FROM st JOIN log l ON l.key = st.key AND l.i = st.i + 1), fin AS (SELECT arg_max(st, i) AS s FROM st GROUP BY key)
+ SELECT s.key AS key, s.amount AS amount, s.note AS note, s.touched AS touched_seq FROM fin WHERE s.alive"""
+
+
+@add("apply_changes", REPLAY_SQL)
+def _(spark, sf):
+    return D.apply_changes(change_base(spark, sf), change_log(spark, sf), "key", ["amount", "note"])
+
+
+@add("change_counts", f"""WITH a AS ({REPLAY_SQL}), b AS ({BASE_SQL}) SELECT count(*) FILTER (b.key IS NULL) AS inserted, count(*) FILTER (a.key IS NULL) AS deleted,
+ count(*) FILTER (a.key IS NOT NULL AND b.key IS NOT NULL AND (a.amount <> b.amount OR a.note IS DISTINCT FROM b.note)) AS updated FROM b FULL OUTER JOIN a ON a.key = b.key""")
+def _(spark, sf):
+    base = change_base(spark, sf)
+    return D.change_counts(base, D.apply_changes(base, change_log(spark, sf), "key", ["amount", "note"]), "key", ["amount", "note"])
+
+
+@add("cascade_delete", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY')")
+def _(spark, sf):
+    left = load(spark, sf, "customer").filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
+    return D.cascade_delete(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), left, "o_custkey", "o_orderkey")
+
+
+@add("touch_parents", "SELECT c_custkey, greatest(DATE '1996-01-01'::TIMESTAMP, coalesce(max(o_orderdate), DATE '1996-01-01'::TIMESTAMP)) AS updated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(spark, sf):
+    rows = load(spark, sf, "customer").select("c_custkey", F.to_timestamp(F.lit("1996-01-01")).alias("updated_at"))
+    changed = load(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("ts"))
+    return D.touch_parents(rows, changed, "c_custkey").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+# ---- defaults, views, checks ---------------------------------------------------------------------
+@add("defaults_fill", "SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN user_id END, 1)::INT AS body, coalesce(CASE WHEN event_id % 4 > 0 THEN value END, 6.0) AS essence FROM events")
+def _(spark, sf):
+    rows = load(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("user_id").cast("int")).alias("body"), F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("essence"))
+    return D.defaults_fill(rows)
+
+
+@add("table_view_skills", f"{STAR}, {POOLED} SELECT parent_id, name, rating, specialization, skill_type, coalesce(dice_pool, rating)::INT AS dice_pool FROM pooled")
+def _(spark, sf):
+    return D.table_view(skills(spark, sf), "skills", stats(spark, sf))
+
+
+@add("table_view_gear", f"SELECT parent_id, name, quantity, category, armor_value FROM ({GEAR_SQL})")
+def _(spark, sf):
+    return D.table_view(gear(spark, sf), "gear")
+
+
+@add("validate_rows", """SELECT c_custkey, concat_ws('; ', CASE WHEN trim(n) = '' THEN 'Character name is required' WHEN length(trim(n)) < 2 THEN 'Character name must be at least 2 characters' WHEN length(trim(n)) > 50 THEN 'Character name must be less than 50 characters' END,
+ CASE WHEN c_custkey % 11 = 0 THEN 'Balance must be a valid number' WHEN c_acctbal < 0 THEN 'Balance must be at least 0' WHEN c_acctbal > 5000 THEN 'Balance must be no more than 5000' END) AS errors
+ FROM (SELECT *, CASE c_custkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' x ' WHEN 2 THEN repeat(c_name, 3) ELSE c_name END AS n FROM customer)""")
+def _(spark, sf):
+    c = F.col("c_custkey")
+    rows = load(spark, sf, "customer").select("c_custkey", F.when(c % 5 == 0, "  ").when(c % 5 == 1, " x ").when(c % 5 == 2, F.repeat("c_name", F.lit(3))).otherwise(F.col("c_name")).alias("n"),
+                                              F.when(c % 11 == 0, "a lot").otherwise(F.col("c_acctbal").cast("string")).alias("balance"))
+    return D.validate_rows(rows, "n", {"balance": ("Balance", 0, 5000)}).select("c_custkey", F.array_join("errors", "; ").alias("errors"))
+
+
+@add("active_selection", "SELECT event_type AS key, s.value AS value, c_custkey AS parent_id, c_name AS name FROM (SELECT event_type, arg_max(user_id::VARCHAR, event_id) AS value FROM events GROUP BY 1) s JOIN customer ON c_custkey::VARCHAR = s.value")
+def _(spark, sf):
+    settings = load(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("event_id").alias("seq"))
+    return D.active_selection(settings, parents(spark, sf).select("parent_id", "name"))
+
+
+# ---- exports ------------------------------------------------------------------------------------
+@add("export_json", f"""{STAR} SELECT p.parent_id, '1.0' AS version, 'corpusq' AS exported_from, '2024-01-01T00:00:00' AS exported_at, name, metatype, coalesce(n, 0)::INT AS n_skills FROM p LEFT JOIN (SELECT parent_id, count(*) AS n FROM sk GROUP BY 1) USING (parent_id)""")
+def _(spark, sf):
+    record = D.full_record(parents(spark, sf), {}, {"skills": (skills(spark, sf), "skill_id", ["skill_type", "name"])})
+    out = X.export_json(record, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+
+    def field(path):
+        return F.get_json_object("json", path)
+    return out.select("parent_id", field("$.export_info.format_version").alias("version"), field("$.export_info.exported_from").alias("exported_from"), field("$.export_info.exported_at").alias("exported_at"),
+                      field("$.character.name").alias("name"), field("$.character.metatype").alias("metatype"), F.json_array_length(field("$.character.skills")).alias("n_skills"))
+
+
+def _unroll(section, lines, source):
+    return " UNION ALL ".join(f"SELECT parent_id, {section} AS section_ord, {i - len(lines)}::BIGINT AS row_ord, {line} AS line FROM {source}" for i, line in enumerate(lines))
+
+
+@add("export_csv_sections", f"""{STAR}, {POOLED} {_unroll(0, ["'Character,' || name", "'Metatype,' || metatype", "'Archetype,' || coalesce(archetype, '')", "''"], "p")}
+ UNION ALL {_unroll(1, ["'ATTRIBUTES'"] + [f"'{a.capitalize()},' || {a}" for a in ATTRS] + ["''"], "st")}
+ UNION ALL {_unroll(2, ["'ACTIVE SKILLS'", "'Skill,Rating,Specialization,Dice Pool'"], "p")}
+ UNION ALL SELECT parent_id, 2, skill_id, name || ',' || rating || ',' || coalesce(specialization, '') || ',' || coalesce(dice_pool, rating) FROM pooled WHERE skill_type = 'active'
+ UNION ALL {_unroll(3, ["''", "'QUALITIES'", "'Quality,Rating,Type,Cost'"], "p")}
+ UNION ALL SELECT parent_id, 3, skill_id, '"' || name || ', ""known""' || chr(34) || ',' || rating || ',positive,' || rating * 2 FROM sk WHERE skill_type = 'knowledge'
+ UNION ALL {_unroll(4, ["''", "'GEAR'", "'Item,Quantity,Category,Armor,Cost'"], "p")}
+ UNION ALL SELECT parent_id, 4, gear_id, name || ',' || quantity || ',' || category || ',' || armor_value || ',' || cost FROM g""")
+def _(spark, sf):
+    qualities = skills(spark, sf).filter("skill_type = 'knowledge'").select(
+        "parent_id", F.col("skill_id").alias("quality_id"), F.concat("name", F.lit(', "known"')).alias("name"), "rating", F.lit("positive").alias("quality_type"), (F.col("rating") * 2).alias("karma_cost"))
+    return X.export_csv_sections(parents(spark, sf), stats(spark, sf), skills(spark, sf), qualities, gear(spark, sf), ATTRS)
+
+
+SHOWN = ["body", "agility", "reaction", "strength", "willpower", "logic", "intuition", "charisma"]
+
+
+@add("export_text_summary", f"""{STAR}, t AS (SELECT parent_id, string_agg('  ' || name || ': ' || rating, chr(10) ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY rating DESC, name, skill_id) AS r FROM sk WHERE skill_type = 'active') WHERE r <= 10 GROUP BY 1)
+ SELECT p.parent_id, concat_ws(chr(10), 'Character: ' || name, 'Metatype: ' || metatype, 'Archetype: ' || coalesce(archetype, '') || chr(10), 'ATTRIBUTES:', {", ".join(f"'  {a.capitalize()}: ' || coalesce({a}, 0)" for a in SHOWN)},
+ '  Edge: ' || coalesce(edge, 1), '  Essence: ' || coalesce(essence, 6.0) || chr(10), 'TOP SKILLS:' || chr(10) || top || chr(10)) AS summary FROM p LEFT JOIN st USING (parent_id) LEFT JOIN t USING (parent_id)""")
+def _(spark, sf):
+    return X.export_text_summary(parents(spark, sf), stats(spark, sf), skills(spark, sf))

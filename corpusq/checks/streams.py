@@ -1,6 +1,133 @@
-"""Registered queries."""
+"""Streams, run to the end of the available data, beside the SQL of their batch meaning; table functions."""
 
+from pyspark.sql import functions as F
+
+from corpusq.checks.chunking import PACK_SQL
+from corpusq.checks.fixtures import documents
+from corpusq.checks.recording import REPLAY_SQL, change_base, change_log
 from corpusq.checks.registry import Checks
+from corpusq.checks.retrieving import tagged
+from corpusq.functions import extensions as U, text as T
+from corpusq.operators import labelling as L
+from corpusq.plans.scratch import shared_folder
+from corpusq.session import load
+from corpusq.streaming import jobs as J
 
 checks = Checks()
 add = checks.add
+
+
+def _as_stream(spark, df, name, key, steps=2):
+    """A stream of the table: written in ``steps`` ranges of seq, each spread by key, read one file per micro-batch."""
+    folder = shared_folder(spark, name)
+    low, *inner, high = df.approxQuantile("seq", [i / steps for i in range(steps + 1)], 0.01)
+    for i, upper in enumerate([*inner, high + 1]):
+        part = df.filter(F.col("seq") < upper) if i == 0 else df.filter((F.col("seq") >= inner[i - 1]) & (F.col("seq") < upper))
+        part.repartition(2, key).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+# each document arrives, a third arrives again changed, some are removed
+@add("stream_ingest", """SELECT 'lib/doc-' || doc_id || '.md' AS doc_path, 1::BIGINT AS chunks, CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 6 END + length(doc_id::VARCHAR) AS chars FROM documents WHERE doc_id % 7 <> 0""")
+def _(spark, sf):
+    doc, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    path = F.concat(F.lit("lib/doc-"), n, F.lit(".md"))
+    docs = load(spark, sf, "documents")
+    events = (docs.select(path.alias("doc_path"), F.concat(F.lit("Text "), n, F.lit(".")).alias("text"), F.lit("upsert").alias("op"), doc.alias("seq"))
+              .unionByName(docs.filter("doc_id % 3 = 0").select(path.alias("doc_path"), F.concat(F.lit("Changed "), n, F.lit(".")).alias("text"), F.lit("upsert").alias("op"), (doc + 1000000000).alias("seq")))
+              .unionByName(docs.filter("doc_id % 7 = 0").select(path.alias("doc_path"), F.lit("").alias("text"), F.lit("remove").alias("op"), (doc + 2000000000).alias("seq"))))
+    store = shared_folder(spark, "ingest")
+    J.stream_ingest(_as_stream(spark, events, "events", "doc_path"), store, store + "/checkpoint").awaitTermination()
+    return J.current_chunks(spark, store).groupBy("doc_path").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@add("stream_change_log", REPLAY_SQL)
+def _(spark, sf):
+    store = shared_folder(spark, "changes")
+    J.stream_change_log(_as_stream(spark, change_log(spark, sf), "log", "key"), store, store + "/checkpoint").awaitTermination()
+    return J.current_records(spark, change_base(spark, sf), store, "key", ["amount", "note"])
+
+
+STAGES = "CASE event_type WHEN 'purchase' THEN 'complete' ELSE event_type END"
+STATUS_SQL = f"""SELECT user_id::VARCHAR AS job_id, arg_max({STAGES}, event_id) AS stage, arg_max(greatest(0.0::DOUBLE, least(100.0::DOUBLE, value - 5)), event_id) AS progress, arg_max(props, event_id) AS details FROM events GROUP BY 1"""
+
+
+def _progress(spark, sf):
+    return load(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type")).alias("stage"),
+        (F.col("value") - 5).alias("progress"), F.col("props").alias("details"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+@add("job_status", STATUS_SQL)
+def _(spark, sf):
+    return J.job_status(_progress(spark, sf)).drop("ts")
+
+
+@add("job_status_retained", f"""SELECT * FROM (SELECT user_id::VARCHAR AS job_id, arg_max({STAGES}, event_id) AS stage, arg_max(ts, event_id) AS ts FROM events GROUP BY 1)
+ WHERE stage <> 'complete' OR ts >= TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 300 SECOND""")
+def _(spark, sf):
+    kept = J.job_status(_progress(spark, sf), F.to_timestamp(F.lit("2024-01-29 12:00:00")))
+    return kept.select("job_id", "stage", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@add("stream_job_status", STATUS_SQL)
+def _(spark, sf):
+    store = shared_folder(spark, "status")
+    J.run_once(J.stream_job_status(_as_stream(spark, _progress(spark, sf), "progress", "job_id")), store + "/out", store + "/checkpoint", "update")
+    rows = spark.read.parquet(store + "/out")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("stage", "progress", "details"), "seq").alias("s")).select("job_id", "s.*")
+
+
+# turns of a conversation one after the other, cut into pieces of seven characters, so tags are cut too
+@add("stream_split_reasoning", """SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN lower(left(text, 30)) ELSE 'a' || left(text, 9) || 'b' END, '' ORDER BY turn) AS thinking,
+ string_agg(CASE WHEN turn % 2 = 0 THEN left(text, 20) || text ELSE text END, '' ORDER BY turn) AS answer FROM conversations GROUP BY 1""")
+def _(spark, sf):
+    pieces = tagged(spark, sf).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).alias("i", "token"))
+    ends = load(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    tokens = pieces.join(ends, "conv_id").withColumn("seq", F.col("turn") * 100000 + F.col("i"))
+    last = tokens.groupBy("conv_id").agg(F.max("seq").alias("last_seq"))
+    tokens = tokens.join(last, "conv_id").select("conv_id", "seq", "token", (F.col("seq") == F.col("last_seq")).alias("is_last"))
+    store = shared_folder(spark, "reasoning")
+    J.run_once(J.stream_split_reasoning(_as_stream(spark, tokens, "tokens", "conv_id")), store + "/out", store + "/checkpoint")
+    rows = spark.read.parquet(store + "/out")
+    items = F.array_sort(F.collect_list(F.struct("out_seq", "inside", "text")))
+
+    def text(inside):
+        return F.array_join(F.transform(F.filter("i", lambda x: x["inside"] == inside), lambda x: x["text"]), "")
+    return rows.groupBy("conv_id").agg(items.alias("i")).select("conv_id", text(True).alias("thinking"), text(False).alias("answer"))
+
+
+# ---- pluggable functions -----------------------------------------------------------------
+@add("register_tokenizer", "SELECT doc_id, length(text)::INT AS tokens FROM documents")
+def _(spark, sf):
+    counter = U.register_tokenizer(len)
+    return documents(spark, sf).select("doc_id", F.get(counter(F.array("text")), F.lit(0)).alias("tokens"))
+
+
+def _letter_model():
+    return lambda texts: [[float(len(t)), float(t.count("e")), 1.0] for t in texts]
+
+
+@add("register_embedder", "SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS es FROM documents")
+def _(spark, sf):
+    vec = documents(spark, sf).select("doc_id", U.register_embedder(_letter_model, 3)("text").alias("v"))
+    return vec.select("doc_id", F.get("v", F.lit(0)).cast("double").alias("chars"), F.get("v", F.lit(1)).cast("double").alias("es"))
+
+
+def _label(text):
+    if len(text) % 2:
+        raise ValueError(text)
+    return '{"primary_section": "Even", "content_type": "narrative", "contains_rules": false}'
+
+
+@add("register_labeller", """SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 'llm_semantic' ELSE 'pattern_fallback' END AS classification_method FROM documents""")
+def _(spark, sf):
+    raw = documents(spark, sf).withColumn("raw", U.register_labeller(_label)("text"))
+    return L.parse_label_responses(raw).select("doc_id", "classification_method")
+
+
+@add("chunk_text", PACK_SQL)
+def _(spark, sf):
+    U.register_table_functions(spark)
+    documents(spark, sf).withColumn("text", T.strip("text")).createOrReplaceTempView("chunk_text_input")
+    return spark.sql("SELECT doc_id, c.chunk_index, c.text, c.token_count FROM chunk_text_input, LATERAL chunk_text(text, 120, 20) c")

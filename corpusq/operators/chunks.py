@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusq.functions import fixed_values as fv
 from corpusq.functions.arrays import at
 from corpusq.functions.quality import boundary_quality, ends_mid_sentence, is_table_content, starts_mid_sentence
-from corpusq.functions.text import clean_text, count_tokens, file_stem, strip
-from corpusq.operators.packing import pack_sentences
+from corpusq.functions.text import clean_text, file_stem
+from corpusq.operators.packing import pack_sentences, token_counts
 from corpusq.operators.sections import HEADER_LINE, content_blocks, header_sections, table_ranges
 from corpusq.plans.nesting import salted_join
 from corpusq.plans.ordered import neighbours, top_k
@@ -31,7 +31,7 @@ def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, path: str = "doc_path", text: str = "text", size: int = fv.CHUNK_SIZE,
-                    overlap: int = fv.CHUNK_OVERLAP, header: str = HEADER_LINE, tokens=count_tokens) -> DataFrame:
+                    overlap: int = fv.CHUNK_OVERLAP, header: str = HEADER_LINE, tokens=token_counts) -> DataFrame:
     """Cleaned documents to chunks: sections, blocks, packing and ids in one narrow stage.
 
     Each step explodes rows of one document; nothing is shuffled.
@@ -46,6 +46,10 @@ def chunk_documents(docs: DataFrame, path: str = "doc_path", text: str = "text",
     chunks = (sections.select(*keep, "section_index", "section_title", "section_level",
                               F.posexplode(packed).alias("chunk_index", "_c"))
               .select(*keep, "section_index", "section_title", "section_level", "chunk_index", "_c.*"))
+    if tokens is not token_counts:
+        recount = F.get(tokens(F.array("text")), F.lit(0))
+        chunks = chunks.withColumn("token_count", F.when(F.col("chunk_type") == "table_split", recount)
+                                   .otherwise(F.col("token_count")))
     return (chunks
             .withColumn("chunk_id", chunk_id(path, F.col("section_index"), F.col("chunk_index")))
             .withColumn("chunk_pos", F.col("section_index").cast("long") * SECTION_SPAN + F.col("chunk_index"))

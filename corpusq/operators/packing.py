@@ -2,6 +2,9 @@
 
 Each function folds the units of one section inside its row.  The fold keeps
 unit indexes, never text; text is joined once per finished chunk.
+
+``tokens`` maps ARRAY<STRING> to ARRAY<INT>; the default counts white-space
+tokens in place, a registered tokenizer counts whole arrays in Arrow batches.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,7 +14,9 @@ from corpusq.functions.arrays import at, indexes, ints, let, total
 from corpusq.functions.quality import boundary_quality, chunk_type, contains_tables, is_table_content
 from corpusq.functions.text import any_term, count_tokens, lines, split_paragraphs, split_sentences, strip
 
-CHUNKS = "array<struct<text:string,token_count:int,chunk_type:string>>"
+
+def token_counts(texts: Column) -> Column:
+    return F.transform(texts, count_tokens)
 
 
 # ---- large tables ---------------------------------------------------------------------
@@ -40,14 +45,15 @@ def split_large_table(content: Column, rows: int = fv.TABLE_ROWS_PER_CHUNK, head
 # ---- sentences with overlap --------------------------------------------------------------
 def _units(blocks: Column, tokens) -> Column:
     def of_block(b):
-        table = F.array(F.struct(
-            F.lit(True).alias("table"), b["content"].alias("content"), tokens(b["content"]).alias("t"),
-            F.lit(True).alias("ends")))
+        table = F.array(F.struct(F.lit(True).alias("table"), b["content"].alias("content")))
         text = F.transform(split_sentences(b["content"]), lambda s: F.struct(
-            F.lit(False).alias("table"), s.alias("content"), tokens(s).alias("t"),
-            F.rlike(s, F.lit(r"[.!?]$")).alias("ends")))
+            F.lit(False).alias("table"), s.alias("content")))
         return F.when(b["type"] == "table", table).otherwise(text)
-    return F.flatten(F.transform(blocks, of_block))
+    units = F.flatten(F.transform(blocks, of_block))
+    counts = tokens(F.transform(units, lambda u: u["content"]))
+    return F.zip_with(units, counts, lambda u, t: F.struct(
+        u["table"].alias("table"), u["content"].alias("content"), t.alias("t"),
+        (u["table"] | F.rlike(u["content"], F.lit(r"[.!?]$"))).alias("ends")))
 
 
 def overlap_units(run: Column, units: Column, overlap: int) -> Column:
@@ -67,7 +73,7 @@ def overlap_units(run: Column, units: Column, overlap: int) -> Column:
 
 
 def pack_sentences(blocks: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP,
-                   table_rows: int = fv.TABLE_ROWS_PER_CHUNK, tokens=count_tokens) -> Column:
+                   table_rows: int = fv.TABLE_ROWS_PER_CHUNK, tokens=token_counts) -> Column:
     """ARRAY<STRUCT<text, token_count, chunk_type>> of a section's content blocks."""
 
     def fold(units):
@@ -144,21 +150,21 @@ def _greedy(units: Column, size: int, carry: int, glue: str, kind: str, tokens)
             e["tokens"].alias("token_count"), F.lit(kind).alias("chunk_type"),
             F.lit(None).cast("string").alias("table_header")))
 
-    return let(F.transform(units, lambda u: F.struct(u.alias("content"), tokens(u).alias("t"))), fold)
+    return let(F.zip_with(units, tokens(units), lambda u, t: F.struct(u.alias("content"), t.alias("t"))), fold)
 
 
-def pack_paragraphs(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=count_tokens) -> Column:
+def pack_paragraphs(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=token_counts) -> Column:
     return _greedy(split_paragraphs(content), size, 1, "\n\n", "paragraph", tokens)
 
 
-def pack_sentences_tail(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=count_tokens) -> Column:
+def pack_sentences_tail(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=token_counts) -> Column:
     sentences = F.filter(F.transform(split_sentences(content), strip), lambda s: s != "")
     return _greedy(sentences, size, 2, " ", "sentence", tokens)
 
 
 # ---- lines around tables -----------------------------------------------------------------------
 def pack_table_lines(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, least: int = fv.SEMANTIC_MIN_CHUNK,
-                     tokens=count_tokens) -> Column:
+                     tokens=token_counts) -> Column:
     """Tables become their own chunks; long text breaks at its last blank line with two lines of overlap."""
 
     def fold(rows):
@@ -219,30 +225,32 @@ def pack_table_lines(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, least:
             F.when(e["header"] >= 0, strip(at(rows, e["header"])["line"])).alias("table_header"))),
             lambda c: c["text"] != "")
 
-    rows = F.transform(lines(content), lambda l: F.struct(
-        l.alias("line"), tokens(l).alias("t"), F.contains(l, F.lit("|")).alias("piped"),
+    rows = F.zip_with(lines(content), tokens(lines(content)), lambda l, t: F.struct(
+        l.alias("line"), t.alias("t"), F.contains(l, F.lit("|")).alias("piped"),
         (strip(l) == "").alias("blank")))
     return let(rows, fold)
 
 
-def choose_strategy(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=count_tokens) -> Column:
-    """Whole section when it fits, else table lines, else paragraphs, else sentences."""
+def choose_strategy(content: Column, count: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=token_counts) -> Column:
+    """Whole section when its token count fits, else table lines if it has tables, else paragraphs.
+
+    Both strategies give at least one chunk for any non-blank text, so a later
+    fallback is never reached; pack_sentences_tail is there for direct use.
+    """
     whole = F.array(F.struct(
-        content.alias("text"), tokens(content).alias("token_count"), chunk_type(content).alias("chunk_type"),
+        content.alias("text"), count.alias("token_count"), chunk_type(content).alias("chunk_type"),
         F.lit(None).cast("string").alias("table_header")))
-    by_paragraph = let(pack_paragraphs(content, size, tokens=tokens), lambda p: F.when(F.size(p) > 0, p).otherwise(
-        pack_sentences_tail(content, size, tokens)))
-    by_line = let(pack_table_lines(content, size, tokens=tokens),
-                  lambda p: F.when(F.size(p) > 0, p).otherwise(by_paragraph))
-    return (F.when(tokens(content) <= size, whole).when(contains_tables(content), by_line).otherwise(by_paragraph))
+    return (F.when(count <= size, whole)
+            .when(contains_tables(content), pack_table_lines(content, size, tokens=tokens))
+            .otherwise(pack_paragraphs(content, size, tokens)))
 
 
-def chunk_semantic(sections: DataFrame, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=count_tokens) -> DataFrame:
+def chunk_semantic(sections: DataFrame, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=token_counts) -> DataFrame:
     """Chunks of already split sections, with boundary flags."""
     keep = [c for c in sections.columns if c != "content"]
-    whole = tokens(F.col("content")) <= size
-    chunks = (sections.select(*keep, whole.alias("is_complete_section"),
-                              F.posexplode(choose_strategy(F.col("content"), size, tokens)).alias("chunk_index", "_c"))
+    counted = sections.withColumn("_n", F.get(tokens(F.array("content")), F.lit(0)))
+    chunks = (counted.select(*keep, (F.col("_n") <= size).alias("is_complete_section"), F.posexplode(
+        choose_strategy(F.col("content"), F.col("_n"), size, tokens)).alias("chunk_index", "_c"))
               .select(*keep, "is_complete_section", "chunk_index", "_c.*"))
     return (chunks.withColumn("boundary_quality", F.when(F.col("is_complete_section"), "excellent")
                               .otherwise(boundary_quality("text")))
