@@ -216,7 +216,8 @@ def _(spark, sf):
 
 @add("chunk_documents")
 def _(spark, sf):
-    return C.chunk_documents(table_docs(spark, sf), size=120, overlap=20)
+    return C.chunk_documents(table_docs(spark, sf), size=120, overlap=20).withColumn(
+        "section_chunk_ids", F.array_join("section_chunk_ids", ","))
 
 
 @add("chunk_id", """SELECT doc_id, 'doc-' || doc_id || '_section_' || doc_id % 7 || '_chunk_' || doc_id % 3 AS chunk_id,

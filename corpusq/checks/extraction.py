@@ -7,6 +7,7 @@ from corpusq.checks.labelling import QUESTIONS_SQL, questions, sql_list
 from corpusq.checks.registry import Checks
 from corpusq.functions import fixed_values as fv, scoring as SC, text as T
 from corpusq.operators import entities as E, libraries as L
+from corpusq.plans.once import compute_once
 from corpusq.session import load
 
 checks = Checks()
@@ -38,7 +39,8 @@ def _chunks(part):
         F.when(F.col("p_size") % 3 == 0, "**Damage:** S ; ").otherwise(""), F.lit("**Duration:** S ; **Drain:** F - "), size, F.lit("\n\nIt burns "), size, F.lit(" things.\n\nThe end."))
     program = F.concat(F.upper(name), F.lit(" **Attack:** Host Rating x 2 v. Logic + "), size, F.lit("\n\nEffect of "), kind, F.lit(".\n\nThe end."))
     text = F.when(key % 10 == 9, F.concat(F.lit("A note on "), name, F.lit("."))).when(key % 3 == 0, weapon).when(key % 3 == 1, spell).otherwise(program)
-    return part.select(F.concat(F.lit("part-"), key.cast("string")).alias("chunk_id"), F.col("p_brand").alias("source"), "p_partkey", "p_name", "p_type", "p_size", text.alias("text"))
+    rows = part.select("*", F.concat(F.lit("part-"), key.cast("string")).alias("chunk_id"), F.col("p_brand").alias("source"))
+    return compute_once(rows, "text", text).select("chunk_id", "source", "p_partkey", "p_name", "p_type", "p_size", "text")
 
 
 NAME_TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
@@ -269,7 +271,8 @@ def library_docs(spark, sf):
         F.lit(" Negotiation (Log)\nA long description line of "), size, F.lit(" words.\n* starred line that is long\n## Negative Qualities p. "), size, F.lit("\n| Bad "), t, F.lit(" | "), size,
         F.lit(" | Positive |\n- Worse "), t, F.lit(" ["), size, F.lit("]\nhas rating 1-4 here\n\n# Melee weapons\n| "), t, F.lit(" Knife | 1,2"), size,
         F.lit("¥ | 8R | Armor 3 wireless "), F.lower("p_type"), F.lit(" |\n- "), t, F.lit(" Club (30¥, 2F)\n"))
-    return part.select(F.concat(F.lit("lib/"), "p_brand", F.lit("/"), key.cast("string"), F.lit(".md")).alias("doc_path"), text.alias("text"))
+    rows = part.withColumn("doc_path", F.concat(F.lit("lib/"), "p_brand", F.lit("/"), key.cast("string"), F.lit(".md")))
+    return compute_once(rows, "text", text).select("doc_path", "text")
 
 
 GROUP_CASE = _first_sql("lower(t)", fv.SKILL_GROUPS, "")

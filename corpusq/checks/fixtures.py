@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusq.plans.once import compute_once
 from corpusq.session import load, load_spread
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -35,10 +36,9 @@ MD_SQL = r"""SELECT doc_id, source, lang, 'lib/' || source || '/doc-' || doc_id
 
 def md_docs(spark, sf):
     text = F.regexp_replace(F.regexp_replace("text", r"(^|\n)([A-D])", "$1# $2"), r"(^|\n)([E-G])", "$1## $2")
-    return documents(spark, sf).select(
+    return compute_once(documents(spark, sf), "text", text).select(
         "doc_id", "source", "lang",
-        F.concat(F.lit("lib/"), "source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc_path"),
-        text.alias("text"))
+        F.concat(F.lit("lib/"), "source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc_path"), "text")
 
 
 # numbered, capital and header lines
@@ -50,8 +50,8 @@ OUTLINE_SQL = r"""SELECT doc_id, replace(regexp_replace(regexp_replace(text, '(^
 def outline_docs(spark, sf):
     text = F.regexp_replace(F.regexp_replace("text", r"(^|\n)([A-C])", r"$1\1. $2"),
                             r"(^|\n)([D-F])", "$1## $2")
-    return documents(spark, sf).select("doc_id", F.replace(
-        text, F.lit(".\n"), F.lit(".\nMAJOR SECTION HEAD\n")).alias("text"))
+    return compute_once(documents(spark, sf), "text", F.replace(
+        text, F.lit(".\n"), F.lit(".\nMAJOR SECTION HEAD\n"))).select("doc_id", "text")
 
 
 # piped tables, separator rows and stat lines
@@ -63,9 +63,8 @@ TABLE_SQL = r"""SELECT doc_id, 'lib/doc-' || doc_id || '.md' AS doc_path,
 def table_docs(spark, sf):
     text = F.replace(F.replace(F.replace("text", F.lit(", "), F.lit(" | ")), F.lit(".\n"), F.lit(" |\n|---|\n")),
                      F.lit(". "), F.lit(".\n"))
-    return documents(spark, sf).select(
-        "doc_id", F.concat(F.lit("lib/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc_path"),
-        text.alias("text"))
+    return compute_once(documents(spark, sf), "text", text).select(
+        "doc_id", F.concat(F.lit("lib/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc_path"), "text")
 
 
 # every kind of extraction dirt
@@ -96,7 +95,7 @@ def dirty_docs(spark, sf):
     text = F.col("text")
     for old, new in DIRT_SWAPS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return documents(spark, sf).select("doc_id", F.concat(F.lit(DIRT_HEAD), text, F.lit(DIRT_TAIL)).alias("text"))
+    return compute_once(documents(spark, sf), "text", F.concat(F.lit(DIRT_HEAD), text, F.lit(DIRT_TAIL))).select("doc_id", "text")
 
 
 # conversations as the ordered chunks of a document

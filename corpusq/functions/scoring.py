@@ -2,7 +2,8 @@
 
 A lexicon is a short list of (category, term, weight) known when the plan is
 built, so every test is a literal inside generated code: one pass over the
-text, no join, no shuffle.  Scores are DECIMAL so that sums compare exactly.
+text, no join, no shuffle.  Weights are summed as whole thousandths and become
+DECIMAL once per score, so sums are exact and cheap.
 """
 
 from functools import reduce
@@ -19,21 +20,22 @@ def _weight(value) -> Column:
     return F.lit(str(value)).cast(SCORE)
 
 
-def _total(parts) -> Column:
-    return reduce(lambda a, b: a + b, parts, _weight(0)).cast(SCORE)
+def _total(tests) -> Column:
+    """Sum of the weights of the tests that hold."""
+    points = reduce(lambda a, b: a + b, [F.when(test, F.lit(round(w * 1000))).otherwise(F.lit(0)) for test, w in tests], F.lit(0))
+    return (points.cast("decimal(9,0)") * F.lit("0.001").cast("decimal(4,3)")).cast(SCORE)
 
 
 def term_score(column, weighted_terms) -> Column:
     """Sum of the weights of the terms contained in the (already folded) column."""
     col = _col(column)
-    return _total([F.when(F.contains(col, F.lit(t)), _weight(w)).otherwise(_weight(0)) for t, w in weighted_terms])
+    return _total([(F.contains(col, F.lit(t)), w) for t, w in weighted_terms])
 
 
 def pattern_score(column, weighted_patterns, flags: str = "(?U)") -> Column:
     """Sum of the weights of the patterns that match at least once."""
     col = _col(column)
-    return _total([F.when(F.rlike(col, F.lit(flags + p)), _weight(w)).otherwise(_weight(0))
-                   for p, w in weighted_patterns])
+    return _total([(F.rlike(col, F.lit(flags + p)), w) for p, w in weighted_patterns])
 
 
 def found_terms(column, terms, limit: int | None = None) -> Column:

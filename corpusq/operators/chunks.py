@@ -3,12 +3,13 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusq.functions import fixed_values as fv
-from corpusq.functions.arrays import at
+from corpusq.functions.arrays import at, let
 from corpusq.functions.quality import boundary_quality, ends_mid_sentence, is_table_content, starts_mid_sentence
 from corpusq.functions.text import clean_text, file_stem
 from corpusq.operators.packing import pack_sentences, token_counts
 from corpusq.operators.sections import HEADER_LINE, content_blocks, header_sections, table_ranges
 from corpusq.plans.nesting import salted_join
+from corpusq.plans.once import compute_once
 from corpusq.plans.ordered import neighbours, top_k
 
 # one section spans this many positions in the document-wide chunk order
@@ -25,36 +26,84 @@ def content_chunk_id(path, chunk_index, text) -> Column:
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """Cleaned text with the number of characters removed; documents left empty are dropped."""
-    cleaned = docs.withColumn("_clean", clean_text(text))
-    return (cleaned.withColumn("chars_removed", F.length(text) - F.length("_clean"))
-            .withColumn(text, F.col("_clean")).drop("_clean").filter(F.col(text) != ""))
+    cleaned = compute_once(docs.withColumn("_chars", F.length(text)), text, clean_text(text))
+    return (cleaned.withColumn("chars_removed", F.col("_chars") - F.length(text)).drop("_chars")
+            .filter(F.col(text) != ""))
 
 
 def chunk_documents(docs: DataFrame, path: str = "doc_path", text: str = "text", size: int = fv.CHUNK_SIZE,
-                    overlap: int = fv.CHUNK_OVERLAP, header: str = HEADER_LINE, tokens=token_counts) -> DataFrame:
-    """Cleaned documents to chunks: sections, blocks, packing and ids in one narrow stage.
+                    overlap: int = fv.CHUNK_OVERLAP, header: str = HEADER_LINE, tokens=token_counts,
+                    siblings: int = 5) -> DataFrame:
+    """Cleaned documents to linked chunks: sections, blocks, packing, ids and links in one narrow stage.
 
-    Each step explodes rows of one document; nothing is shuffled.
+    All chunks of a document come out of its own row, so their links are array
+    positions and nothing is shuffled.  A registered tokenizer cannot run inside
+    that row; with one, sections are exploded first and linked by a window.
     """
+    if tokens is not token_counts:
+        return _chunk_sections(docs, path, text, size, overlap, header, tokens, siblings)
+    keep = [c for c in docs.columns if c != text]
+
+    def of_section(section, number, kind):
+        packed = pack_sentences(content_blocks(section["content"], kind), size, overlap)
+        return let(packed, lambda chunks: F.transform(chunks, lambda c, i: F.struct(
+            number.alias("section_index"), section["title"].alias("section_title"), section["level"].alias("section_level"),
+            i.alias("chunk_index"), F.size(chunks).alias("total_chunks_in_section"), c["text"].alias("text"),
+            c["token_count"].alias("token_count"), c["chunk_type"].alias("chunk_type"))))
+
+    def of_document(body):
+        kind = at(table_ranges(body), F.lit(0))["table_type"]
+        return let(kind, lambda k: F.flatten(F.transform(header_sections(body, header), lambda s, i: of_section(s, i, k))))
+
+    stem = file_stem(path)
+
+    def identifier(section, index):
+        return F.concat_ws("_", stem, F.lit("section"), section, F.lit("chunk"), index)
+
+    def linked(all_, c, i):
+        before, after = at(all_, i - 1), at(all_, i + 1)
+        section, index, total = c["section_index"], c["chunk_index"], c["total_chunks_in_section"]
+        others = F.filter(F.sequence(F.lit(0), F.least(total - 1, F.lit(siblings))), lambda x: x != index)
+        return F.struct(
+            c.alias("c"), F.when(before.isNotNull(), identifier(before["section_index"], before["chunk_index"])).alias("prev"),
+            F.when(after.isNotNull(), identifier(after["section_index"], after["chunk_index"])).alias("next"),
+            F.transform(F.slice(others, 1, siblings), lambda x: identifier(section, x)).alias("siblings"))
+
+    rows = compute_once(docs, "_all", of_document(F.col(text))).select(*keep, F.explode(
+        F.transform("_all", lambda c, i: linked(F.col("_all"), c, i))).alias("_l"))
+    section, index = F.col("section_index"), F.col("chunk_index")
+    out = rows.select(*keep, "_l.c.*", F.col("_l.prev").alias("prev_chunk_global"), F.col("_l.next").alias("next_chunk_global"),
+                      F.col("_l.siblings").alias("section_chunk_ids"))
+    last = F.col("total_chunks_in_section") - 1
+    return _identified(out, path).withColumns({
+        "prev_chunk_section": F.when(index > 0, F.col("prev_chunk_global")),
+        "next_chunk_section": F.when(index < last, F.col("next_chunk_global")),
+        "section_complete": index == last,
+        "section_id": F.concat_ws("_", file_stem(path), F.lit("section"), section)})
+
+
+def _identified(chunks: DataFrame, path: str) -> DataFrame:
+    return chunks.withColumns({
+        "chunk_id": chunk_id(path, F.col("section_index"), F.col("chunk_index")),
+        "chunk_pos": F.col("section_index").cast("long") * SECTION_SPAN + F.col("chunk_index"),
+        "char_count": F.length("text"),
+        "is_table_content": F.col("chunk_type").isin("table", "table_split")})
+
+
+def _chunk_sections(docs, path, text, size, overlap, header, tokens, siblings) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
-    sections = (docs.withColumn("_table_type", at(table_ranges(F.col(text)), F.lit(0))["table_type"])
-                .select(*keep, "_table_type",
-                        F.posexplode(header_sections(F.col(text), header)).alias("section_index", "_s"))
+    named = compute_once(docs, "_table_type", at(table_ranges(F.col(text)), F.lit(0))["table_type"])
+    sections = (named.select(*keep, "_table_type",
+                             F.posexplode(header_sections(F.col(text), header)).alias("section_index", "_s"))
                 .select(*keep, "_table_type", "section_index", F.col("_s.title").alias("section_title"),
                         F.col("_s.level").alias("section_level"), F.col("_s.content").alias("_content")))
     packed = pack_sentences(content_blocks(F.col("_content"), F.col("_table_type")), size, overlap, tokens=tokens)
-    chunks = (sections.select(*keep, "section_index", "section_title", "section_level",
-                              F.posexplode(packed).alias("chunk_index", "_c"))
-              .select(*keep, "section_index", "section_title", "section_level", "chunk_index", "_c.*"))
-    if tokens is not token_counts:
-        recount = F.get(tokens(F.array("text")), F.lit(0))
-        chunks = chunks.withColumn("token_count", F.when(F.col("chunk_type") == "table_split", recount)
-                                   .otherwise(F.col("token_count")))
-    return (chunks
-            .withColumn("chunk_id", chunk_id(path, F.col("section_index"), F.col("chunk_index")))
-            .withColumn("chunk_pos", F.col("section_index").cast("long") * SECTION_SPAN + F.col("chunk_index"))
-            .withColumn("char_count", F.length("text"))
-            .withColumn("is_table_content", F.col("chunk_type").isin("table", "table_split")))
+    fields = ["section_index", "section_title", "section_level", "chunk_index"]
+    chunks = (sections.select(*keep, *fields[:3], F.posexplode(packed).alias("chunk_index", "_c"))
+              .select(*keep, *fields, "_c.*"))
+    recount = F.get(tokens(F.array("text")), F.lit(0))
+    chunks = chunks.withColumn("token_count", F.when(F.col("chunk_type") == "table_split", recount).otherwise(F.col("token_count")))
+    return link_siblings(link_sequential(_identified(chunks, path), path), path, k=siblings)
 
 
 def annotate_quality(chunks: DataFrame, text: str = "text") -> DataFrame:

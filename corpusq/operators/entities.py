@@ -13,6 +13,7 @@ from corpusq.functions.scoring import detect_ic, detect_spell, detect_weapon, fi
 from corpusq.functions.text import _col, any_term, first_match, lines, quoted, strip, title_case
 from corpusq.operators.labelling import spell_category
 from corpusq.plans.containment import contains_join
+from corpusq.plans.nesting import salted_join
 
 WEAPON_FIELDS = ["accuracy", "damage", "ap", "mode", "rc", "ammo", "avail", "cost"]
 
@@ -230,7 +231,9 @@ def lookup_entity(names: DataFrame, registry: DataFrame, name: str = "lookup_nam
     ``registry(entity_type, name, source)``; names are distinct.  NULL columns when nothing matches.
     """
     order = F.create_map(*[F.lit(x) for pair in TYPE_ORDER.items() for x in pair])
-    pairs = contains_join(registry.select("entity_type", "name", "source"), "name", names.select(name).distinct(), name)
+    # one row per distinct name is enough to find the first source
+    entries = registry.groupBy("entity_type", "name").agg(F.min("source").alias("source"))
+    pairs = contains_join(entries, "name", names.select(name).distinct(), name)
     inexact = (F.col("entity_type") != "weapon") | (F.col("name") != F.col(name))
     best = pairs.groupBy(name).agg(F.min(F.struct(
         F.try_element_at(order, F.col("entity_type")).alias("o"), inexact.alias("i"), F.col("name"), F.col("source"),
@@ -242,9 +245,15 @@ def related_chunks(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Chunks of every entity of a question, first mention first.
 
     ``entities(question_id, entity_ord, entity_type, wanted)``; edges whose name contains the wanted one.
+    Names are matched once per distinct spelling and reach the edges by an equality join.
     """
-    pairs = contains_join(edges, "entity_name", entities, "wanted", on=["entity_type"])
-    first = pairs.groupBy("question_id", "chunk_id").agg(F.min(F.struct(
+    asked = entities.groupBy("question_id", "entity_type", "wanted").agg(F.min("entity_ord").alias("entity_ord"))
+    spelled = contains_join(edges.select("entity_type", "entity_name").distinct(), "entity_name",
+                            asked.select("entity_type", "wanted").distinct(), "wanted", on=["entity_type"])
+    by_name = (asked.join(spelled, ["entity_type", "wanted"]).groupBy("question_id", "entity_type", "entity_name")
+               .agg(F.min("entity_ord").alias("entity_ord")))
+    found = salted_join(edges, by_name, ["entity_type", "entity_name"], "chunk_id", "inner")
+    first = found.groupBy("question_id", "chunk_id").agg(F.min(F.struct(
         "entity_ord", (-F.col("relevance_score")).alias("r"))).alias("_f"))
     return first.select("question_id", "chunk_id", "_f.entity_ord", (-F.col("_f.r")).alias("relevance_score"))
 

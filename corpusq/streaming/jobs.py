@@ -213,7 +213,16 @@ def stream_split_reasoning(tokens: DataFrame, open_tag: str = "<think>", close_t
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain what is available into Parquet, one folder per micro-batch."""
-    query = (stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: _write_batch(df, path, i))
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+    """Drain what is available into Parquet, one folder per micro-batch.
+
+    Batches without data are off meanwhile: with timers they would never end.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        query = (stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: _write_batch(df, path, i))
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        conf.set(name, before)
