@@ -7,7 +7,7 @@ from corpusq.checks.fixtures import (CHUNKS_SQL, DIRTY_SQL, MD_SQL, conversation
 from corpusq.checks.registry import Checks
 from corpusq.functions import fixed_values as fv, text as T
 from corpusq.operators import chunks as C, headings as H, maintenance as M
-from corpusq.session import load
+from corpusq.session import load, load_spread
 from corpusq.sources import markdown as MD
 
 checks = Checks()
@@ -367,4 +367,4 @@ def _(spark, sf):
 @add("clean_pages", f"""SELECT * FROM (SELECT page_id, (length(html) - length({clean_sql('html')}))::INT AS chars_removed,
  {clean_sql('html')} AS html FROM pages) WHERE html <> ''""")
 def _(spark, sf):
-    return C.clean_documents(load(spark, sf, "pages"), "html").select("page_id", "chars_removed", "html")
+    return C.clean_documents(load_spread(spark, sf, "pages", "page_id"), "html").select("page_id", "chars_removed", "html")

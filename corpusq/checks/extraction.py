@@ -8,7 +8,7 @@ from corpusq.checks.registry import Checks
 from corpusq.functions import fixed_values as fv, scoring as SC, text as T
 from corpusq.operators import entities as E, libraries as L
 from corpusq.plans.once import compute_once
-from corpusq.session import load
+from corpusq.session import load, load_spread
 
 checks = Checks()
 add = checks.add
@@ -24,7 +24,7 @@ CHUNKS_SQL = """SELECT 'part-' || p_partkey AS chunk_id, p_brand AS source, p_pa
 
 
 def chunks(spark, sf):
-    return _chunks(load(spark, sf, "part"))
+    return _chunks(load_spread(spark, sf, "part", "p_partkey"))
 
 
 def _chunks(part):
@@ -135,7 +135,7 @@ EDGES_SQL = "SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'weapon' WHEN 1 THEN
 
 
 def _typed(spark, sf):
-    part = load(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("source"), F.concat(F.lit("c"), (F.col("p_partkey") % 200).cast("string")).alias("chunk_id"), "p_type", "p_size")
+    part = load_spread(spark, sf, "part", "p_partkey").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("source"), F.concat(F.lit("c"), (F.col("p_partkey") % 200).cast("string")).alias("chunk_id"), "p_type", "p_size")
     return {kind: part.filter(F.col("p_partkey") % 3 == i) for i, kind in enumerate(("weapon", "spell", "ic"))}
 
 
@@ -160,7 +160,7 @@ NAMES_SQL = """SELECT DISTINCT n AS lookup_name FROM (SELECT string_split(p_name
 
 
 def _names(spark, sf):
-    part = load(spark, sf, "part")
+    part = load_spread(spark, sf, "part", "p_partkey")
     words = F.split("p_name", " ")
     return part.select(F.explode(F.array(F.get(words, F.lit(0)), F.upper(F.get(words, F.lit(1))), F.col("p_name"), F.lower("p_type"), F.substring("p_name", 3, 2))).alias("lookup_name")).distinct()
 
@@ -190,7 +190,7 @@ def weapons(spark, sf):
     mode = F
     for kind, text in MODES.items():
         mode = mode.when(F.col("p_type") == kind, F.lit(text))
-    return load(spark, sf, "part").groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("source")).agg(F.min_by("p_type", "p_partkey").alias("p_type")).withColumn("mode", mode.otherwise("SEMI / FULL")).drop("p_type")
+    return load_spread(spark, sf, "part", "p_partkey").groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("source")).agg(F.min_by("p_type", "p_partkey").alias("p_type")).withColumn("mode", mode.otherwise("SEMI / FULL")).drop("p_type")
 
 
 WEAPON_REG = f"SELECT name, source, {MODE_SQL} AS mode FROM (SELECT p_name AS name, p_brand AS source, arg_min(p_type, p_partkey) AS p_type FROM part GROUP BY 1, 2)"
@@ -264,7 +264,7 @@ LIB_SQL = f"""SELECT 'lib/' || p_brand || '/' || p_partkey || '.md' AS doc_path,
 
 
 def library_docs(spark, sf):
-    part = load(spark, sf, "part")
+    part = load_spread(spark, sf, "part", "p_partkey")
     key, size, t = F.col("p_partkey"), F.col("p_size").cast("string"), T.title_case("p_name")
     text = F.concat(
         F.lit("# "), F.when(key % 2 == 0, "Active").otherwise("Knowledge"), F.lit(" Skills\n| Name | Attr | Group |\n|---|---|---|\n| "), t, F.lit(" | Agi | Firearms |\n- "), t,
@@ -318,13 +318,13 @@ for _kind, _rows, _fields in (("skills", SKILLS_SQL, ["skill_type", "linked_attr
 
 @add("library_lookup", "SELECT p_partkey, p_name AS name, p_name || ' (' || p_size || '¥)' AS label FROM part WHERE p_type = 'ECONOMY'")
 def _(spark, sf):
-    library = load(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), "p_type", F.col("p_size").alias("base_cost"))
+    library = load_spread(spark, sf, "part", "p_partkey").select("p_partkey", F.col("p_name").alias("name"), "p_type", F.col("p_size").alias("base_cost"))
     return L.library_lookup(library, "p_type", "ECONOMY").select("p_partkey", "name", L.choice_label("gear").alias("label"))
 
 
 @add("skill_names", f"""SELECT p_partkey, {NAME_TITLE} AS name, CASE p_partkey % 3 WHEN 0 THEN 'agility' WHEN 1 THEN 'xyz' ELSE '' END AS attribute, CASE WHEN p_partkey % 4 = 0 THEN 'declared' ELSE {GROUP_CASE.replace('lower(t)', 'lower(p_name)')} END AS skill_group FROM part""")
 def _(spark, sf):
     k = F.col("p_partkey")
-    rows = load(spark, sf, "part").withColumn("name", L.clean_skill_name(F.concat("p_name", F.lit(" (note) [x] *"))))
+    rows = load_spread(spark, sf, "part", "p_partkey").withColumn("name", L.clean_skill_name(F.concat("p_name", F.lit(" (note) [x] *"))))
     return rows.select("p_partkey", "name", SC.map_attribute(F.when(k % 3 == 0, "Agi").when(k % 3 == 1, "XYZ").otherwise("")).alias("attribute"),
                        L.skill_group(F.col("name"), F.when(k % 4 == 0, "Declared").otherwise("None")).alias("skill_group"))

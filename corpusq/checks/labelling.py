@@ -10,7 +10,7 @@ from corpusq.checks.fixtures import documents, sql_any, sql_count, sql_text
 from corpusq.checks.registry import Checks
 from corpusq.functions import fixed_values as fv, scoring as SC, text as T
 from corpusq.operators import labelling as L
-from corpusq.session import load
+from corpusq.session import load, load_spread
 
 checks = Checks()
 add = checks.add
@@ -65,7 +65,7 @@ NAME_TERMS_SQL = """SELECT p_name AS term, p_brand AS category, min(p_partkey) A
 @add("lexicon_score_large", f"""SELECT p_partkey, category, sum(weight)::DECIMAL(9,3) AS score, string_agg(term, ',' ORDER BY ord) AS found
  FROM part JOIN ({NAME_TERMS_SQL}) t ON contains(lower(p_type || ' ' || p_name || ' ' || p_brand), lower(term)) GROUP BY 1, 2""")
 def _(spark, sf):
-    part = load(spark, sf, "part")
+    part = load_spread(spark, sf, "part", "p_partkey")
     lexicon = part.groupBy(F.col("p_name").alias("term"), F.col("p_brand").alias("category")).agg(
         F.min("p_partkey").alias("ord")).withColumn("weight", F.lit("0.5").cast("decimal(9,3)"))
     texts = part.select("p_partkey", F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("text"))
@@ -182,7 +182,7 @@ TITLE_RULES = [("Rings", ["ring", "bolt"]), ("Red", ["red", "promo"]), ("Widgets
 
 @add("classify_title", f"SELECT p_partkey, {_first_sql('lower(t)', TITLE_RULES, chr(39) + 'General' + chr(39))} AS section FROM (SELECT *, p_name || ' ' || p_type AS t FROM part)")
 def _(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", T.classify_title(F.concat_ws(" ", "p_name", "p_type"), TITLE_RULES).alias("section"))
+    return load_spread(spark, sf, "part", "p_partkey").select("p_partkey", T.classify_title(F.concat_ws(" ", "p_name", "p_type"), TITLE_RULES).alias("section"))
 
 
 QUESTIONS_SQL = "SELECT item_id AS question_id, text AS question FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, text FROM conversations WHERE role = 'user'"
@@ -271,9 +271,9 @@ GEAR_SQL = "SELECT p_partkey, lower(CASE p_partkey % 4 WHEN 0 THEN 'Melee Gun '
 def _(spark, sf):
     k = F.col("p_partkey") % 4
     head = F.concat(F.when(k == 0, "Melee Gun ").when(k == 1, "Cyberdeck Programs ").when(k == 2, "Truck drones ").otherwise(""), "p_name")
-    return load(spark, sf, "part").select("p_partkey", L.gear_category(head).alias("category"), L.gear_subcategory(head).alias("subcategory"))
+    return load_spread(spark, sf, "part", "p_partkey").select("p_partkey", L.gear_category(head).alias("category"), L.gear_subcategory(head).alias("subcategory"))
 
 
 @add("spell_category", f"SELECT p_partkey, {_first_sql('lower(p_name)', fv.SPELL_CATEGORIES, chr(39) + 'Unknown' + chr(39))} AS category FROM part")
 def _(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", L.spell_category("p_name").alias("category"))
+    return load_spread(spark, sf, "part", "p_partkey").select("p_partkey", L.spell_category("p_name").alias("category"))

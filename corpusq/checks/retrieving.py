@@ -11,18 +11,18 @@ from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, QUESTION
 from corpusq.checks.registry import Checks
 from corpusq.functions.text import count_tokens
 from corpusq.operators import chunks as C, context as X, labelling as L, retrieval as R
-from corpusq.session import load
+from corpusq.session import load, load_spread
 
 checks = Checks()
 add = checks.add
 
 
 def _vectors(spark, sf):
-    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("section"))
+    return load_spread(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("section"))
 
 
 def _queries(spark, sf):
-    return load(spark, sf, "embeddings").select(
+    return load_spread(spark, sf, "embeddings", "vec_id").select(
         F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("want"))
 
 

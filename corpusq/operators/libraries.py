@@ -5,6 +5,9 @@ neighbours, matched, and exploded once; duplicates collapse by a combining
 aggregate, so one name in every document is still cheap.
 """
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions import fixed_values as fv
@@ -64,20 +67,25 @@ def _matches(line: Column, patterns, groups: int) -> Column:
 
 
 def _group_count(pattern: str) -> int:
-    import re
     return re.compile(pattern).groups
 
 
-def _candidates(docs: DataFrame, path: str, text: str, extra: dict) -> DataFrame:
-    """(path, line_no, line, section, + extra(rows, i)) of the lines that can hold a record."""
+def _candidates(docs: DataFrame, path: str, text: str, patterns, extra: dict) -> DataFrame:
+    """(path, line_no, line, section, + extra(rows, i)) of the lines that match a record pattern.
+
+    Lines are chosen first; pages and descriptions are read only for those.
+    """
+    def holds_record(line):
+        likely = F.contains(line, F.lit("|")) | F.rlike(line, F.lit(r"^[-*#]"))
+        return likely & reduce(lambda a, b: a | b, [F.rlike(line, F.lit("(?d)" + p)) for p in patterns])
+
     def annotate(rows):
-        return F.transform(rows, lambda r, i: F.struct(
-            i.alias("line_no"), strip(r["raw"]).alias("line"), r["section"].alias("section"),
-            *[make(rows, i).alias(name) for name, make in extra.items()]))
-    possible = F.filter(let(_sectioned_lines(F.col(text)), lambda rows: F.filter(
-        annotate(rows), lambda r: F.contains(r["line"], F.lit("|")) | F.rlike(r["line"], F.lit(r"^[-*#]")))),
-        lambda r: r["line"] != "")
-    return docs.select(path, F.explode(possible).alias("_l")).select(path, "_l.*")
+        named = F.transform(rows, lambda r, i: F.struct(i.alias("line_no"), strip(r["raw"]).alias("line"), r["section"].alias("section")))
+        chosen = F.filter(named, lambda r: holds_record(r["line"]))
+        return F.transform(chosen, lambda r: F.struct(
+            r["line_no"].alias("line_no"), r["line"].alias("line"), r["section"].alias("section"),
+            *[make(rows, r["line_no"]).alias(name) for name, make in extra.items()]))
+    return docs.select(path, F.explode(let(_sectioned_lines(F.col(text)), annotate)).alias("_l")).select(path, "_l.*")
 
 
 def _raw(rows, i):
@@ -114,7 +122,7 @@ def skill_group(name: Column, declared: Column, groups=None) -> Column:
 
 
 def extract_skills(docs: DataFrame, path: str = "doc_path", text: str = "text") -> DataFrame:
-    lines_ = _candidates(docs, path, text, {**_PAGE, **_TEXT})
+    lines_ = _candidates(docs, path, text, fv.SKILL_PATTERNS, {**_PAGE, **_TEXT})
     rows = (lines_.select("*", F.posexplode(_matches(F.col("line"), fv.SKILL_PATTERNS, 3)).alias("match_no", "_m"))
             .withColumn("name", clean_skill_name(F.col("_m.g1")))
             .filter((F.length("name") >= 3) & ~F.lower("name").isin(fv.SKILL_STOP_NAMES)))
@@ -129,7 +137,7 @@ def extract_skills(docs: DataFrame, path: str = "doc_path", text: str = "text")
 # ---- qualities -------------------------------------------------------------------------
 def extract_qualities(docs: DataFrame, path: str = "doc_path", text: str = "text") -> DataFrame:
     """A type cell also applies to the later matches of its line."""
-    lines_ = _candidates(docs, path, text, {
+    lines_ = _candidates(docs, path, text, fv.QUALITY_PATTERNS, {
         **_PAGE, **_TEXT, "rating_range": lambda rows, i: _rating(_following(rows, i, 3, 0))})
 
     def named(m):
@@ -166,7 +174,7 @@ def _first_text(text: Column, patterns) -> Column:
 
 
 def extract_gear(docs: DataFrame, path: str = "doc_path", text: str = "text") -> DataFrame:
-    lines_ = _candidates(docs, path, text, _PAGE)
+    lines_ = _candidates(docs, path, text, fv.GEAR_PATTERNS, _PAGE)
     rows = lines_.select("*", F.posexplode(_matches(F.col("line"), fv.GEAR_PATTERNS, 4)).alias("match_no", "_m"))
     rows = (rows.withColumn("name", strip(F.regexp_replace(F.col("_m.g1"), r"\s*\(Rating [0-9\-]+\)\s*", "")))
             .filter((F.length("name") >= 3) & ~F.lower("name").isin(fv.GEAR_STOP_NAMES)))

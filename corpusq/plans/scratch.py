@@ -13,9 +13,8 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="corpusq-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusq-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
