@@ -77,19 +77,20 @@ def fix_headers(docs: DataFrame, toc: DataFrame, key: str = "doc_path", source:
     Known titles get their level and normalised spelling, unknown ones lose the
     markup, known ones without a level stay.  Only header lines are joined.
     """
-    outline = toc_hierarchy(toc, source).withColumn("norm", normalise_title("title"))
-    valid = (outline.select(source, F.col("title").alias("norm"))
-             .unionByName(outline.select(source, "norm")).distinct().withColumn("known", F.lit(True)))
-    anywhere = (outline.groupBy(source, F.col("title").alias("norm"))
-                .agg(F.max_by("level", "seq").alias("any_level")))
-    inside = (outline.groupBy(source, F.col("section").alias("hint"), "norm")
+    # a title is known as written (which gives its level) and as normalised
+    spellings = F.array(F.struct(F.col("title").alias("norm"), F.col("level").alias("exact")),
+                        F.struct(normalise_title("title").alias("norm"), F.lit(None).cast("int").alias("exact")))
+    known = (toc.select(source, "seq", F.explode(spellings).alias("_s")).select(source, "seq", "_s.*")
+             .groupBy(source, "norm").agg(F.max_by("exact", F.when(F.col("exact").isNotNull(), F.col("seq"))).alias("any_level"),
+                                          F.lit(True).alias("known")))
+    inside = (toc_hierarchy(toc, source).withColumn("norm", normalise_title("title"))
+              .groupBy(source, F.col("section").alias("hint"), "norm")
               .agg(F.min_by("level", "seq").alias("section_level")))
     owner = docs.select(key, source, section_hint(F.substring_index(F.col(key), "/", -1), hints).alias("hint"))
     headers = (extract_headers(docs, key).join(owner, key)
                .withColumn("norm", normalise_title("title"))
                .withColumn("_row", F.xxhash64(key, "line_no")))
-    headers = salted_join(headers, valid, [source, "norm"], "_row")
-    headers = salted_join(headers, anywhere, [source, "norm"], "_row")
+    headers = salted_join(headers, known, [source, "norm"], "_row")
     headers = salted_join(headers, inside, [source, "hint", "norm"], "_row")
     level = F.coalesce("section_level", "any_level")
     fixed = F.concat(F.expr("repeat('#', _level)"), F.lit(" "), F.col("norm"))
