@@ -86,7 +86,18 @@ def _(spark, sf):
     return S.detect_tables(table_docs(spark, sf).select("doc_id", "text"))
 
 
-@add("content_blocks")
+BLOCKS_SQL = f"""WITH RECURSIVE found AS (SELECT doc_id, arg_min(table_type, start_line) AS first_type FROM ({TABLES_SQL}) GROUP BY 1),
+ l AS (SELECT r.doc_id, n, line, length(line) - length(replace(line, '|', '')) >= 2 OR {sql_any('lower(line)', fv.BLOCK_STAT_WORDS)} AS opens,
+ contains(line, '|') OR {sql_strip('line')} = '' OR (first_type = 'weapon_stats' AND regexp_matches(line, '[\\d\\-]')) AS goes
+ FROM ({line_rows(TABLE_SQL, 'doc_id')}) r JOIN found USING (doc_id)),
+ st AS (SELECT doc_id, 0::BIGINT AS n, '' AS mode, 0 AS blk FROM found UNION ALL SELECT doc_id, n, CASE WHEN stays THEN mode WHEN opens THEN 'table' ELSE 'text' END, CASE WHEN stays THEN blk ELSE blk + 1 END FROM
+ (SELECT l.doc_id, l.n, l.opens, st.mode, st.blk, (st.mode = 'table' AND l.goes) OR (st.mode = 'text' AND NOT l.opens) AS stays FROM st JOIN l ON l.doc_id = st.doc_id AND l.n = st.n + 1)),
+ b AS (SELECT doc_id, blk, any_value(mode) AS type, {sql_strip("string_agg(line, chr(10) ORDER BY n)")} AS content FROM st JOIN l USING (doc_id, n) GROUP BY 1, 2
+ UNION ALL SELECT doc_id, 1, 'text', {sql_strip('text')} FROM ({TABLE_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM found))
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY blk) - 1)::INT AS block, type, content FROM b WHERE content <> ''"""
+
+
+@add("content_blocks", BLOCKS_SQL)
 def _(spark, sf):
     docs = table_docs(spark, sf)
     kind = F.get(S.table_ranges(F.col("text")), F.lit(0))["table_type"]

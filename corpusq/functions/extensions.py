@@ -60,12 +60,11 @@ def label_and_correct(chunks: DataFrame, labeller: Callable[[Column], Column], t
     from corpusq.operators.labelling import correct_labels, parse_label_responses
     raw = chunks.withColumn("_raw", labeller(F.left(F.col(text), F.lit(cut))))
     parsed = parse_label_responses(raw, "_raw", text)
-    corrected = correct_labels(parsed, text)
+    corrected = correct_labels(parsed.withColumn("_p", F.col("primary_section")).withColumn("_t", F.col("content_type")), text)
     modelled = F.col("classification_method") == "llm_semantic"
-    return corrected.join(parsed.select(*chunks.columns, F.col("primary_section").alias("_p"), F.col("content_type").alias("_t")),
-                          chunks.columns).withColumn(
-        "primary_section", F.when(modelled, F.col("primary_section")).otherwise(F.col("_p"))).withColumn(
-        "content_type", F.when(modelled, F.col("content_type")).otherwise(F.col("_t"))).drop("_p", "_t", "_raw")
+    return (corrected.withColumn("primary_section", F.when(modelled, F.col("primary_section")).otherwise(F.col("_p")))
+            .withColumn("content_type", F.when(modelled, F.col("content_type")).otherwise(F.col("_t")))
+            .drop("_p", "_t", "_raw"))
 
 
 # ---- SQL table functions --------------------------------------------------------------

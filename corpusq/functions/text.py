@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from corpusq.functions import fixed_values as fv
+from corpusq.functions.arrays import let
 
 UNICODE = "(?dU)"
 MULTILINE = "(?dmU)"
@@ -148,7 +149,7 @@ def _capitalise(word) -> Column:
 
 
 def normalise_title(column, variations=None, special_cases=None) -> Column:
-    title = strip(column)
+    """Known spelling as written, known spelling upper-cased, else per-word casing."""
     variations = fv.TITLE_VARIATIONS if variations is None else variations
     special_cases = fv.TITLE_SPECIAL_CASES if special_cases is None else special_cases
 
@@ -158,12 +159,14 @@ def normalise_title(column, variations=None, special_cases=None) -> Column:
                 .when((F.length(word) > 3) | upper.isin(fv.CAPITALISED_SHORT_WORDS), _capitalise(word))
                 .otherwise(F.lower(word)))
 
-    chain = F
-    for source, target in variations.items():
-        chain = chain.when(title == source, F.lit(target))
-    for source, target in special_cases.items():
-        chain = chain.when(F.upper(title) == source, F.lit(target))
-    return chain.otherwise(F.array_join(F.transform(F.split(title, r"(?U)\s+"), cased), " "))
+    def known(spellings, title):
+        if not spellings:
+            return F.lit(None).cast("string")
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in spellings.items() for x in pair]), title)
+
+    return let(strip(column), lambda title: F.coalesce(
+        known(variations, title), known(special_cases, F.upper(title)),
+        F.array_join(F.transform(F.split(title, r"(?U)\s+"), cased), " ")))
 
 
 def title_case(column) -> Column:

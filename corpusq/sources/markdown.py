@@ -7,8 +7,7 @@ from corpusq.functions.text import classify_title, lines, safe_file_name, strip
 
 def scan_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Every *.md below the path, one row per file with its whole text."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.md").text(path)
+    return (spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
             .select(F.col("_metadata.file_path").alias("doc_path"), F.col("value").alias("text"),
                     F.md5("value").alias("hash"), F.col("_metadata.file_size").alias("file_size")))
 
