@@ -246,8 +246,8 @@ def _(spark, sf):
     return H.assemble_section_text(pages, H.toc_page_ranges(toc, counts))
 
 
-HEADER_ROWS_SQL = f"""SELECT doc_path, source, n - 1 AS line_no, line, length(regexp_extract(s, '^(#+)', 1))::INT AS level,
- {sql_strip("regexp_replace(s, '^#+', '')")} AS title FROM (SELECT *, {sql_strip('line')} AS s FROM (SELECT doc_path, source,
+HEADER_ROWS_SQL = f"""SELECT doc_id, doc_path, source, n - 1 AS line_no, line, length(regexp_extract(s, '^(#+)', 1))::INT AS level,
+ {sql_strip("regexp_replace(s, '^#+', '')")} AS title FROM (SELECT *, {sql_strip('line')} AS s FROM (SELECT doc_id, doc_path, source,
  unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM ({MD_SQL})))
  WHERE regexp_matches(s, '^#{{1,6}}\\s*[^#\\s]')"""
 
@@ -274,16 +274,14 @@ def _(spark, sf):
 
 
 # every second header title of a document is in the table of contents
-FIX_TOC_SQL = f"""SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_path, line_no) AS seq, (line_no % 3 + 1)::INT AS level,
+FIX_TOC_SQL = f"""SELECT source, doc_id * 100000 + line_no AS seq, (line_no % 3 + 1)::INT AS level,
  title FROM ({HEADER_ROWS_SQL}) WHERE line_no % 2 = 0"""
 
 
 def _fix_toc(spark, sf):
-    from pyspark.sql import Window
     docs = md_docs(spark, sf)
-    heads = H.extract_headers(docs).join(docs.select("doc_path", "source"), "doc_path").filter("line_no % 2 = 0")
-    w = Window.partitionBy("source").orderBy("doc_path", "line_no")
-    return heads.select("source", F.row_number().over(w).alias("seq"),
+    heads = H.extract_headers(docs).join(docs.select("doc_path", "doc_id", "source"), "doc_path").filter("line_no % 2 = 0")
+    return heads.select("source", (F.col("doc_id") * 100000 + F.col("line_no")).alias("seq"),
                         (F.col("line_no") % 3 + 1).cast("int").alias("level"), "title")
 
 

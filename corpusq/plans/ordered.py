@@ -6,6 +6,8 @@ spread over many tasks: the window runs inside (group, range) and one small row
 per range carries the state across the borders.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 RANGE = 65536
@@ -15,6 +17,14 @@ def _ranged(df: DataFrame, pos: str, width: int) -> DataFrame:
     return df.withColumn("_range", F.floor(F.col(pos) / F.lit(width)))
 
 
+def _with_borders(rows: DataFrame, borders: DataFrame, group: list[str]) -> DataFrame:
+    """Equality join on (group, range) in which a missing key equals a missing key, so no row is lost."""
+    keys = [*group, "_range"]
+    renamed = borders.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in borders.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)])
+    return rows.join(renamed, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def neighbours(df: DataFrame, group: list[str], pos: str, values: list[str], width: int = RANGE) -> DataFrame:
     """Add prev_<v> and next_<v> for each value, in position order within the group."""
     ranged = _ranged(df, pos, width)
@@ -28,7 +38,7 @@ def neighbours(df: DataFrame, group: list[str], pos: str, values: list[str], wid
                .select(*group, "_range",
                        F.lag("_last").over(outer).alias("_before"),
                        F.lead("_first").over(outer).alias("_after")))
-    joined = rows.join(borders, [*group, "_range"])
+    joined = _with_borders(rows, borders, group)
     joined = (joined.withColumn("_prev", F.coalesce("_prev", "_before"))
                     .withColumn("_next", F.coalesce("_next", "_after")))
     out = joined.select(*df.columns,
@@ -45,8 +55,7 @@ def running_sum(df: DataFrame, group: list[str], pos: str, value: str, out: str,
     outer = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = (ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_total"))
               .select(*group, "_range", F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_offset")))
-    return (ranged.withColumn("_inner", F.sum(value).over(inner))
-            .join(totals, [*group, "_range"])
+    return (_with_borders(ranged.withColumn("_inner", F.sum(value).over(inner)), totals, group)
             .select(*df.columns, (F.col("_inner") + F.col("_offset")).alias(out)))
 
 
@@ -64,7 +73,7 @@ def last_value(df: DataFrame, group: list[str], pos: str, values: dict, width: i
         F.last(f"_b_{out}", ignorenulls=True).over(outer).alias(f"_b_{out}") for out in values])
     rows = named.select(*df.columns, "_range", *[
         F.last(out, ignorenulls=True).over(inner).alias(out) for out in values])
-    return rows.join(borders, [*group, "_range"]).select(
+    return _with_borders(rows, borders, group).select(
         *df.columns, *[F.coalesce(out, f"_b_{out}").alias(out) for out in values])
 
 

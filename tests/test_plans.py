@@ -31,6 +31,13 @@ def test_neighbours(hot):
     assert got.exceptAll(want).count() == 0 and got.count() == 900
 
 
+def test_missing_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 200, 6), ("a", 3, 7)], "g string, pos int, v int")
+    got = {(r["g"], r["pos"]): (r["prev_v"], r["next_v"]) for r in ordered.neighbours(df, ["g"], "pos", ["v"], width=50).collect()}
+    assert got == {(None, 1): (None, 6), (None, 200): (5, None), ("a", 3): (None, None)}
+    assert ordered.running_sum(df, ["g"], "pos", "v", "s", width=50).filter("g IS NULL AND s = 11").count() == 1
+
+
 def test_running_sum_and_last_value(hot):
     w = Window.partitionBy("g").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     filled = hot.fillna(0, ["v"])
