@@ -159,3 +159,46 @@ def test_chunks_keep_budget_and_every_word(spark, sf):
     assert words.join(packed, "doc_path").filter("n <> m").count() == 0
     long = chunks.filter("token_count > 50").select(F.size(F.split("text", r"(?<=[.!?])\s+")).alias("s"))
     assert long.filter("s > 1").count() == 0
+
+
+def plain_table_lines(content, size, least):
+    """Brute force over one text, written from the packing rules."""
+    out, buf, used, inside, header = [], [], 0, False, None
+
+    def emit(lines, count, kind, head=None):
+        text = "\n".join(lines).strip()
+        if text:
+            out.append((text, count, kind, head))
+    for line in content.split("\n"):
+        if "|" in line and not inside:
+            if buf and used > least:
+                emit(buf, used, "paragraph")
+                buf, used = [], 0
+            inside, header = True, line.strip()
+            buf, used = buf + [line], used + n(line)
+        elif inside and "|" not in line and line.strip():
+            emit(buf, used, "table")
+            inside, header, buf, used = False, None, [line], n(line)
+        else:
+            buf, used = buf + [line], used + n(line)
+            if used > size and not inside:
+                blank = [i for i in range(1, len(buf)) if not buf[i].strip() or not buf[i - 1].strip()]
+                cut = max(blank) if blank else len(buf) // 2
+                if cut:
+                    emit(buf[:cut], n("\n".join(buf[:cut])), "paragraph")
+                    buf = buf[max(0, cut - 2):]
+                    used = n("\n".join(buf))
+    if buf:
+        emit(buf, used, "table" if inside else "paragraph", header)
+    return out
+
+
+def test_pack_table_lines_equals_brute_force(spark):
+    rng = random.Random(11)
+    kinds = ["| a | b |", "| 1 | 2 | x y |", "", "  ", "one two three.", "w", "four five six seven eight nine"]
+    texts = [(i, "\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 30)))) for i in range(300)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    for size, least in ((8, 3), (20, 10)):
+        got = {r["id"]: [tuple(c) for c in r["c"]] for r in df.select("id", P.pack_table_lines(F.col("t"), size, least).alias("c")).collect()}
+        for i, text in texts:
+            assert got[i] == plain_table_lines(text, size, least), text
