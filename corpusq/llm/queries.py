@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from corpusq.llm import chat, decontam, mixing, secrets, sharding, urls
+from corpusq.llm import chat, decontam, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from corpusq.llm.labelled import crc_mod
+from corpusq.plans.scratch import shared_folder
 from corpusq.session import load
 
 QUERIES, ORACLES = {}, {}
@@ -211,3 +213,65 @@ from parts p left join fits f on p.page_id = f.page_id and f.place = 1
 @register("op8_urls", _URLS_SQL)
 def op8_urls(spark, sf_dir):
     return urls.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+# ---- 3 near-duplicates
+
+_NEARDUP_SQL = r"""
+with recursive doc_words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') as words from documents
+), shingles as (
+    select distinct doc_id, array_to_string(list_slice(words, place, place + 4), ' ') as shingle
+    from (select doc_id, words, unnest(range(1, greatest(len(words) - 5, 0) + 2)) as place from doc_words where len(words) > 0)
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as n
+    from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+), links as (
+    select a, b from shared s join sizes x on s.a = x.doc_id join sizes y on s.b = y.doc_id where 100 * s.n >= 75 * (x.n + y.n - s.n)
+), reached as (
+    select doc_id as a, doc_id as b from documents
+    union
+    select r.a, l.b from reached r join links l on r.b = l.a
+)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, r.component_id, d.doc_id = r.component_id as kept
+from documents d left join sizes s on d.doc_id = s.doc_id
+join (select a, min(b) as component_id from reached group by a) r on d.doc_id = r.a
+"""
+
+
+@register("op3_neardup", _NEARDUP_SQL)
+def op3_neardup(spark, sf_dir):
+    return neardup.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---- 9 quality
+
+@register("op9_quality")
+def op9_quality(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_folder(spark, "statistics")
+    quality.text_statistics(docs).write.parquet(path)
+    stats = spark.read.parquet(path)
+    held_out = F.coalesce(crc_mod(4) == 2, F.lit(False))
+    model = quality.fit_quality(stats, load(spark, sf_dir, "labels"), ~held_out)
+    return quality.score_quality(stats, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# ---- 10 toxicity
+
+def toxicity_scores(docs, labels):
+    """Documents with held_out, score, toxic_spans and predicted; learned from the rows that are not held out."""
+    held_out = F.coalesce(crc_mod(3) == 1, F.lit(False))
+    field = toxicity.fit_toxicity(docs, labels, ~held_out)
+    return (toxicity.score_toxicity(docs, field)
+            .withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
