@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The documents, whole, of which each component keeps the one with the smallest id."""
-    lost = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_lost"))
+    lost = _kept(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_lost")), "lost")
     if lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
     return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusq.llm import chat, decontam, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from corpusq.llm import chat, decontam, hnsw, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from corpusq.llm.labelled import crc_mod
 from corpusq.plans.scratch import shared_folder
 from corpusq.session import load
@@ -275,3 +275,29 @@ def toxicity_scores(docs, labels):
 def op10_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity_scores(docs, load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+# ---- 5 vectors
+
+_VECTORS_SQL = """
+with recursive sound as (
+    select vec_id, label, embedding::double[] as v from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93
+), reached as (
+    select vec_id as a, vec_id as b from embeddings
+    union
+    select r.a, l.b from reached r join links l on r.b = l.a
+)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e left join (select a, count(*) as n from links group by a) c on e.vec_id = c.a
+join (select a, min(b) as component_id from reached group by a) r on e.vec_id = r.a
+"""
+
+
+@register("op5_vectors", _VECTORS_SQL)
+def op5_vectors(spark, sf_dir):
+    return hnsw.near_vectors(load(spark, sf_dir, "embeddings"))
