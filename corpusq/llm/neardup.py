@@ -8,12 +8,12 @@ many rounds, and long before that for all but the shortest texts.  Bands of ROWS
 coordinates collide with probability J ** ROWS; at similarity 0.75 a pair meets
 in one of BANDS bands with probability 1 - 5e-6.
 
-Equal sets are one node.  A band value links its nodes to the smallest of them;
-a node first tries the centre it meets most often, which joins most of a group
-of copies with one comparison per node.  Then every other pair that meets in a
-band is verified unless its ends are already joined, so no pair of a group is
-compared for its own sake.  Links are verified on the full sets: 100 *
-intersection >= 75 * union.
+Equal sets are one node.  The nodes of a band value (a bucket) are compared with
+its centre, the node that meets most others over all bands, which joins most of
+a group of copies with one comparison per node and centre.  Buckets whose nodes
+are all in one component are done.  In the rest, every pair of different
+components is verified, in cells of bounded size.  Links are verified on the
+full sets: 100 * intersection >= 75 * union.
 
 Nulls: a null text, and one without words, has an empty set and is linked with
 nothing.  Fewer than five words are one shingle.  A null id is linked with
@@ -37,6 +37,8 @@ BANDS = 32
 ROWS = COORDINATES // BANDS
 #: Documents whose ids may be broadcast to pick their texts; with more, texts and ids are shuffled.
 BROADCAST_IDS = 500_000
+#: Members and shingles of a block of a bucket; two blocks are held by a task at once.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 1_000_000
 
@@ -193,36 +195,104 @@ def _size_bound(percent: int):
     return F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
 
 
+class _Cell:
+    """Members of one bucket, or of two of its blocks, with their full sets."""
+
+    def __init__(self, group: tuple):
+        self.group, self.band = group, 0
+        self.ids, self.roots, self.blocks, self.keys, self.sets = [], [], [], [], []
+
+    def links(self, percent: int) -> list:
+        """Pairs of different components that are similar; a pair is looked at in its first common band only."""
+        if len(self.ids) < 2:
+            return []
+        numbers = {}
+        roots = np.array([numbers.setdefault(r, len(numbers)) for r in self.roots])
+        blocks, keys, sizes = np.array(self.blocks), np.stack(self.keys), np.array([len(s) for s in self.sets])
+        found, crossing = [], self.group[1] != self.group[2]
+        for i in range(len(self.ids) - 1):
+            later = slice(i + 1, None)
+            look = roots[later] != roots[i]
+            look &= np.minimum(sizes[later], sizes[i]) * 100 >= np.maximum(sizes[later], sizes[i]) * percent
+            if crossing:
+                look &= blocks[later] != blocks[i]
+            if self.band:
+                look &= ~(keys[later, :self.band] == keys[i, :self.band]).any(axis=1)
+            for j in (np.flatnonzero(look) + i + 1).tolist():
+                shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                if shared * 100 >= (sizes[i] + sizes[j] - shared) * percent:
+                    found.append((self.ids[i], self.ids[j]))
+        return found
+
+
+CELL = ["key", "left", "right", "band", "set_id", "root", "block", "bands", "shingles"]
+
+
+def _search_cells(percent: int):
+    def run(batches):
+        def out(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        cell = None
+        for batch in batches:
+            plain = [c.to_pylist() for c in batch.columns[:7]]
+            for at, (key, left, right, band, set_id, root, block) in enumerate(zip(*plain)):
+                if cell is None or cell.group != (key, left, right):
+                    if cell is not None:
+                        yield out(cell.links(percent))
+                    cell = _Cell((key, left, right))
+                    cell.band = band
+                cell.ids.append(set_id)
+                cell.roots.append(root)
+                cell.blocks.append(block)
+                cell.keys.append(batch.column(7)[at].values.to_numpy(zero_copy_only=False))
+                cell.sets.append(batch.column(8)[at].values.to_numpy(zero_copy_only=False).copy())
+        if cell is not None:
+            yield out(cell.links(percent))
+    return run
+
+
+def _loose_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links in the buckets whose members are not all of one component.
+
+    A bucket with more than BLOCK_ROWS members or BLOCK_SHINGLES shingles is cut
+    into blocks, and every two of its blocks meet in a cell of bounded size.
+    """
+    placed = (met.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
+              .select("key", "band", "set_id", "size", F.coalesce("root", "set_id").alias("root")))
+    mixed = (placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
+             .filter("_low <> _high")
+             .select("key", F.ceil(F.greatest(F.col("_n") / BLOCK_ROWS, F.col("_size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    members = (_kept(placed.join(mixed, "key"), "mixed").withColumn("block", block)
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+               .withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")))
+    carried = sets.join(nodes.select("set_id", "bands"), "set_id")
+    return (members.join(carried, "set_id").select(*CELL)
+            .repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "set_id")
+            .mapInArrow(_search_cells(percent), "a binary, b binary"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
     sketches = _kept(sketch_documents(docs), "sketches")
     rows = sketches.filter("set_id is not null and doc_id is not null")
     nodes = _kept(rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"),
                                              F.first("bands").alias("bands")), "sets")
-    keyed = nodes.select("set_id", "size", F.explode("bands").alias("key"))
-    centres = (keyed.groupBy("key").agg(F.min(F.struct("set_id", "size")).alias("_centre"), F.count(F.lit(1)).alias("_n"))
-               .filter("_n > 1").select("key", F.col("_centre.set_id").alias("a"), F.col("_centre.size").alias("a_size")))
-    met = _kept(keyed.join(centres, "key").select("key", "a", "a_size", F.col("set_id").alias("b"), F.col("size").alias("b_size")), "bands")
-    stars = (met.filter("a <> b").filter(_size_bound(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-    names = met.select(F.col("b").alias("set_id")).distinct()
-    sets = _kept(_full_sets(docs, nodes.join(names, "set_id", "left_semi").select("set_id", "doc_id")), "full-sets")
-
-    # first the centre that a node meets most often
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    links = _kept(_verified(first, sets, percent), "links")
+    keyed = nodes.select("set_id", "size", F.posexplode("bands").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = _kept(keyed.join(shared, "key"), "bands")
+    # the centre of a bucket is the member that meets most others over all bands: in a group of copies, the original
+    fame = met.groupBy("set_id").agg(F.sum("n").alias("fame"))
+    centres = (met.join(fame, "set_id").groupBy("key").agg(F.max(F.struct("fame", "set_id", "size")).alias("_c"))
+               .select("key", F.col("_c.set_id").alias("a"), F.col("_c.size").alias("a_size")))
+    stars = (met.select("key", F.col("set_id").alias("b"), F.col("size").alias("b_size")).join(centres, "key")
+             .filter("a <> b").filter(_size_bound(percent)).select("a", "b").distinct())
+    sets = _kept(_full_sets(docs, nodes.join(fame, "set_id", "left_semi").select("set_id", "doc_id")), "full-sets")
+    links = _kept(_verified(stars, sets, percent), "links")
     roots = components(links, "a", "b")
-    # then every pair that meets and is not joined by that; buckets whose nodes are all joined need no look
-    root = lambda name: F.coalesce(F.col(f"_{name}_root"), F.col(name))
-    placed = (met.join(roots.select(F.col("id").alias("b"), F.col("root").alias("_b_root")), "b", "left")
-              .select("key", "b", "b_size", root("b").alias("b_root")))
-    placed = _kept(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("b_root").alias("_low"), F.max("b_root").alias("_high")).filter("_low <> _high").select("key")
-    loose = placed.join(mixed, "key")
-    other = loose.select("key", F.col("b").alias("a"), F.col("b_size").alias("a_size"), F.col("b_root").alias("a_root"))
-    rest = (loose.join(other, "key").filter("a < b and a_root <> b_root").filter(_size_bound(percent))
-            .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = _kept(_verified(rest, sets, percent), "more-links")
-    roots = components(links.union(more), "a", "b") if not more.isEmpty() else roots
+    more = _kept(_loose_links(met, nodes, sets, roots, percent), "more-links")
+    if not more.isEmpty():
+        roots = components(links.union(more), "a", "b")
 
     classes = (nodes.select("set_id", "doc_id").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
                .withColumn("root", F.coalesce("root", "set_id")))
