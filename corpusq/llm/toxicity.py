@@ -33,7 +33,7 @@ from corpusq.llm.labelled import clean_labels, thin
 from corpusq.plans.shipping import Held
 
 #: Bounds of the sample that the field is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 3000, 16 << 20
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 700, 1000, 3 << 20
 CONTEXTS, LEAST_ODDS, LEAST_GAIN, MOST_PER_TEXT = 4, 2.0, 24.0, 5
 STEMS = (4, 5, 6, 7, 8)
 STEPS, STEP = 40, 0.9
@@ -191,7 +191,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return c
 
 
-def _marked(spelled: dict, spelling, doc, first, last, labels, weight) -> dict:
+def _marked(spelled: dict, spelling, doc, first, last, labels) -> dict:
     """Log odds of the words and stems (with a star) that mark toxic documents."""
     listed = list(spelled)
     forms, of_form = {}, []
@@ -212,8 +212,8 @@ def _marked(spelled: dict, spelling, doc, first, last, labels, weight) -> dict:
     form, text = key % len(forms), key // len(forms)
     toxic = labels[text] > 0
     a = np.bincount(form[toxic], seen[toxic], len(forms))
-    b = np.bincount(form[~toxic], (seen * weight[text])[~toxic], len(forms))
-    n_toxic, n_clean = float((labels > 0).sum()), float(weight[labels == 0].sum())
+    b = np.bincount(form[~toxic], seen[~toxic], len(forms))
+    n_toxic, n_clean = float((labels > 0).sum()), float((labels == 0).sum())
     odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
     share = n_toxic / (n_toxic + n_clean)
     rate = np.clip(a / np.maximum(a + b, 1e-9), 1e-9, 1 - 1e-9)
@@ -253,7 +253,7 @@ def fit_field(texts: list, labels: np.ndarray, weight: np.ndarray) -> Field:
     del lists
     doc = np.repeat(np.arange(len(texts)), counts)
     first, last = _borders(counts)
-    marked = _marked(spelled, spelling, doc, first, last, labels, weight)
+    marked = _marked(spelled, spelling, doc, first, last, labels)
     # a marked word or stem is a word of the field; so is every other word, as far as it repeats
     often = np.bincount(np.unique(doc * len(spelled) + spelling) % max(len(spelled), 1), minlength=len(spelled)) if len(spelling) else np.zeros(0)
     words = {w: n for n, w in enumerate(marked, 1)}
