@@ -313,15 +313,19 @@ def fit_field(texts: list, labels: np.ndarray, weight: np.ndarray) -> Field:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> Field:
     """Field from a bounded sample of the labelled documents where ``learn`` holds."""
-    rows = docs.filter(learn).select("doc_id", "text").join(clean_labels(labels, "toxic"), "doc_id")
-    totals = {r["label"]: r for r in rows.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).collect()}
+    sizes = docs.filter(learn).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    rows = sizes.join(clean_labels(labels, "toxic"), "doc_id")
+    totals = {r["label"]: r for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()}
     parts, share = [], {}
     for label, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC)):
         if label in totals:
             share[label] = min(1.0, most / totals[label]["n"], SAMPLE_BYTES / max(totals[label]["bytes"], 1))
-            parts.append(thin(rows.filter(F.col("label") == label), share[label], "toxicity"))
-    taken = parts[0].unionByName(parts[1]).collect() if len(parts) == 2 else parts[0].collect() if parts else []
+            parts.append(thin(rows.filter(F.col("label") == label), share[label], "toxicity").select("doc_id", "label").distinct())
+    taken = []
+    if parts:
+        # the ids of the sample are bounded by it, so texts are picked where they lie
+        wanted = F.broadcast(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+        taken = docs.select("doc_id", "text").join(wanted, "doc_id").collect()
     taken.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in taken], dtype=np.int64)
     return fit_field([(r["text"] or "").encode() for r in taken], y, np.array([1 / share[v] for v in y.tolist()], dtype=np.float64))
