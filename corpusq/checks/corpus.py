@@ -73,7 +73,7 @@ def _section_rows(spark, sf):
 
 
 @add("write_front_matter", f"""SELECT regexp_replace(source, '\\.pdf$', '') || '-' ||
- CASE WHEN length(section_number::VARCHAR) < 2 THEN '0' || section_number ELSE left(section_number::VARCHAR, 2) END
+ CASE WHEN length(section_number::VARCHAR) < 2 THEN '0' || section_number ELSE section_number::VARCHAR END
  || '-' || {SAFE_SQL} || '.md' AS file_name,
  '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'source: "' || source || '"' || chr(10)
  || 'section_number: ' || section_number || chr(10) || 'primary_section: "' || {_title_case('title')} || '"' || chr(10)

@@ -192,8 +192,9 @@ def file_name(column) -> Column:
 
 
 def safe_file_name(stem, number, title) -> Column:
-    return F.concat(_col(stem), F.lit("-"), F.lpad(_col(number).cast("string"), 2, "0"),
-                    F.lit("-"), safe_file_title(title), F.lit(".md"))
+    digits = _col(number).cast("string")
+    padded = F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
+    return F.concat(_col(stem), F.lit("-"), padded, F.lit("-"), safe_file_title(title), F.lit(".md"))
 
 
 def classify_title(column, rules=None) -> Column:
