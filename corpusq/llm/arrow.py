@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that are worked on at once; a single longer text is taken alone and whole.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 def text_bytes(column: pa.Array) -> list:

@@ -40,7 +40,7 @@ BROADCAST_IDS = 500_000
 #: Members and shingles of a block of a bucket; two blocks are held by a task at once.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Distinct words whose hashes a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _BIN_BITS = COORDINATES.bit_length() - 1
 _VALUE_BITS = 64 - 8 - 1  # round number above, value below

@@ -40,7 +40,7 @@ STEPS, STEP = 40, 0.9
 CLASSES = 6  # of a word: unknown or beyond the text, unremarkable, then by log odds of its word or stem
 _EDGES = np.array([2.5, 3.5, 4.5])
 #: Words that a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _TOKEN = re.compile(rb"[^ ]+")
 
 
