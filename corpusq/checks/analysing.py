@@ -48,20 +48,17 @@ def _(spark, sf):
         "top_values", lambda t: F.concat(t["value"], F.lit("="), t["n"].cast("string"))), ","))
 
 
-# short pieces: the first two lines of a document, some with headers or table rows
-PIECES_SQL = """SELECT doc_id, lang, CASE doc_id % 6 WHEN 0 THEN '# Head' || chr(10) || left(text, 30) WHEN 1 THEN left(text, 40) WHEN 2 THEN 'x' || chr(10) || 'y' || chr(10) || 'z' || chr(10) || 'a | b | c' || chr(10) || left(text, 60)
- WHEN 3 THEN 'For example: ' || left(text, 80) WHEN 4 THEN 'Roll, see page 4 ' || left(text, 90) ELSE left(text, 400) END AS text FROM documents"""
+# whole documents, some under a header, behind table rows or behind a phrase
+PIECES_SQL = """SELECT doc_id, lang, CASE doc_id % 6 WHEN 0 THEN '# Head' || chr(10) || text WHEN 2 THEN 'x' || chr(10) || 'y' || chr(10) || 'z' || chr(10) || 'a | b | c' || chr(10) || text
+ WHEN 3 THEN 'For example: ' || text WHEN 4 THEN 'Roll, see page 4 ' || text ELSE text END AS text FROM documents"""
 
 
 def pieces(spark, sf):
     k, t = F.col("doc_id") % 6, F.col("text")
-
-    def head(n):
-        return F.left(t, F.lit(n))
-    text = (F.when(k == 0, F.concat(F.lit("# Head\n"), head(30))).when(k == 1, head(40))
-            .when(k == 2, F.concat(F.lit("x\ny\nz\na | b | c\n"), head(60)))
-            .when(k == 3, F.concat(F.lit("For example: "), head(80)))
-            .when(k == 4, F.concat(F.lit("Roll, see page 4 "), head(90))).otherwise(head(400)))
+    text = (F.when(k == 0, F.concat(F.lit("# Head\n"), t))
+            .when(k == 2, F.concat(F.lit("x\ny\nz\na | b | c\n"), t))
+            .when(k == 3, F.concat(F.lit("For example: "), t))
+            .when(k == 4, F.concat(F.lit("Roll, see page 4 "), t)).otherwise(t))
     return documents(spark, sf).select("doc_id", "lang", text.alias("text"))
 
 
@@ -174,7 +171,7 @@ def _collection_sql(scope):
  (SELECT count(*) FROM s WHERE tab) AS table_chunks, (SELECT count(*) FROM s) AS sample_size"""
 
 
-@add("collection_stats", _collection_sql("LIMIT 100"))
+@add("collection_stats", _collection_sql(""))
 def _(spark, sf):
     stats = A.collection_stats(_collection(spark, sf), "doc_id")
     return stats.withColumns({c: _map_text(c) for c in stats.columns if c.endswith("distribution")})
@@ -234,8 +231,9 @@ def _(spark, sf):
     return A.label_diversity(rows, words=["der"])
 
 
-@add("profile_metadata", """WITH h AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 10) SELECT field, string_agg(DISTINCT value, ',' ORDER BY value) AS examples FROM (
- SELECT 'c_name' AS field, c_name AS value FROM h UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR FROM h UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM h) GROUP BY 1""")
+@add("profile_metadata", """WITH v AS (SELECT DISTINCT 'c_name' AS field, c_name AS value FROM customer UNION ALL SELECT DISTINCT 'c_nationkey', c_nationkey::VARCHAR FROM customer
+ UNION ALL SELECT DISTINCT 'c_mktsegment', c_mktsegment FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS place FROM v WHERE value IS NOT NULL)
+ SELECT field, string_agg(value, ',' ORDER BY value) AS examples FROM r WHERE place <= 10 GROUP BY 1""")
 def _(spark, sf):
     present, _ = A.profile_metadata(load(spark, sf, "customer").drop("c_acctbal"), "c_custkey")
     return present.withColumn("examples", F.array_join("examples", ","))

@@ -243,7 +243,7 @@ TEMPLATES = [("general", "G {character_context}|{edition_context}|{context}|{que
 
 @add("render_prompts", """SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'Rules: ' || full_ || chr(10) || 'Q: ' || question || ' ' || ed
  ELSE 'G ' || CASE question_id % 2 WHEN 0 THEN '**Character Context:** Current character role: Decker; Character stats: Logic 5' ELSE '' END || '|' || ed || '|' || full_ || '|' || question END AS prompt
- FROM (SELECT item_id AS question_id, text AS question, CASE WHEN item_id % 5 = 0 THEN 'CONVERSATION HISTORY:' || chr(10) || 'earlier' || chr(10) || chr(10) || 'CURRENT CONTEXT:' || chr(10) ELSE '' END || lower(left(text, 40)) AS full_,
+ FROM (SELECT item_id AS question_id, text AS question, CASE WHEN item_id % 5 = 0 THEN 'CONVERSATION HISTORY:' || chr(10) || 'earlier' || chr(10) || chr(10) || 'CURRENT CONTEXT:' || chr(10) ELSE '' END || CASE WHEN item_id % 7 = 3 THEN 'No relevant information found in the indexed documents. Try adjusting your filters or search terms.' ELSE lower(text) END AS full_,
  CASE WHEN item_id % 4 <> 1 THEN '**Preferred Edition:** SR5. Default to this unless context suggests otherwise.' ELSE '' END AS ed FROM benchmark)""")
 def _(spark, sf):
     q = F.col("question_id")
@@ -251,7 +251,8 @@ def _(spark, sf):
         "*", F.when(q % 3 == 0, "rules").otherwise("nothing known").alias("query_type"),
         F.when(q % 2 == 0, "decker").alias("character_role"), F.when(q % 2 == 0, "Logic 5").alias("character_stats"),
         F.when(q % 4 != 1, "SR5").alias("edition"), F.when(q % 5 == 0, "earlier").alias("conversation_context"))
-    contexts = asked.select("question_id", F.lower(F.left("question", F.lit(40))).alias("context"))
+    # a seventh of the questions found nothing
+    contexts = asked.filter(q % 7 != 3).select("question_id", F.lower("question").alias("context"))
     templates = spark.createDataFrame(TEMPLATES, "query_type string, template string")
     return X.render_prompts(asked, contexts, templates)
 

@@ -444,3 +444,4 @@ STAT_DEFAULTS = {
 }
 JOB_RETENTION_SECONDS = 300
 HISTORY_EXCHANGES, HISTORY_TOKENS, HISTORY_LINES = 3, 1500, 12
+NOTHING_FOUND = "No relevant information found in the indexed documents. Try adjusting your filters or search terms."

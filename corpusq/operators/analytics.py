@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusq.functions import fixed_values as fv, quality as Q
 from corpusq.functions.text import _col, any_term, count_tokens
+from corpusq.plans.ordered import top_k
 
 
 def size_stats(chunks: DataFrame, text: str = "text", group: list[str] = ()) -> DataFrame:
@@ -150,8 +151,8 @@ def chunk_statistics(chunks: DataFrame, group: list[str] = ()) -> DataFrame:
         F.count_if(F.col("starts_mid_sentence") | F.col("ends_mid_sentence")).alias("poor_boundary_chunks"))
 
 
-def collection_stats(chunks: DataFrame, key: str, sample: int | None = 100, path: str = "doc_path") -> DataFrame:
-    """Totals over everything; distributions over the first ``sample`` rows by key (None: over all)."""
+def collection_stats(chunks: DataFrame, key: str, sample: int | None = None, path: str = "doc_path") -> DataFrame:
+    """Totals and distributions over everything; on request, distributions over the first ``sample`` rows by key."""
     totals = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.count_distinct(path).alias("indexed_files"))
     scope = chunks.orderBy(key).limit(sample) if sample else chunks
     fields = ["primary_section", "content_type", "chunk_type"]
@@ -167,7 +168,8 @@ def collection_stats(chunks: DataFrame, key: str, sample: int | None = 100, path
     return out
 
 
-def quality_report(chunks: DataFrame, key: str, sample: int | None = 50) -> DataFrame:
+def quality_report(chunks: DataFrame, key: str, sample: int | None = None) -> DataFrame:
+    """Shares and token figures over all chunks; on request, over the first ``sample`` rows by key."""
     scope = chunks.orderBy(key).limit(sample) if sample else chunks
     table, mixed, entity = F.col("is_table_content"), F.col("chunk_type") == "mixed", F.col("has_entities")
     n = F.count(F.lit(1))
@@ -243,13 +245,13 @@ def label_diversity(chunks: DataFrame, label: str = "primary_section", sections:
 
 
 def profile_metadata(df: DataFrame, key: str, examples: int = 10, expected=None) -> tuple[DataFrame, DataFrame]:
-    """((field, examples): distinct values of the first rows by key, (field): expected ones that are absent)."""
+    """((field, examples): the smallest values of every field filled anywhere, (field): expected ones that are filled nowhere)."""
     fields = [c for c in df.columns if c != key]
-    head = df.orderBy(key).limit(examples)
-    long = head.select(F.explode(F.array(*[
+    long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields])).alias("_f")).select("_f.*")
-    present = (long.filter(F.col("value").isNotNull()).groupBy("field")
-               .agg(F.array_sort(F.collect_set("value")).alias("examples")))
+    values = long.filter(F.col("value").isNotNull()).distinct()
+    present = (top_k(values, ["field"], [F.col("value")], examples).groupBy("field")
+               .agg(F.array_sort(F.collect_list("value")).alias("examples")))
     wanted = df.sparkSession.createDataFrame([(f,) for f in (expected or fv.EXPECTED_FIELDS)], "field string")
     return present, wanted.join(present.select("field"), "field", "left_anti")
 

@@ -70,6 +70,7 @@ def render_prompts(questions: DataFrame, contexts: DataFrame, templates: DataFra
     """Fill the template of the query type (or the default one) with context, question and optional clauses.
 
     Templates hold the places {character_context}, {edition_context}, {context} and {question}.
+    A question without a context keeps its row; its context says that nothing was found.
     """
     role, stats = F.col("character_role"), F.col("character_stats")
     clauses = F.filter(F.array(
@@ -86,7 +87,8 @@ def render_prompts(questions: DataFrame, contexts: DataFrame, templates: DataFra
     for place, value in (("{character_context}", character), ("{edition_context}", edition), ("{context}", F.col("_full")),
                          ("{question}", F.col("question"))):
         filled = F.replace(filled, F.lit(place), value)
-    return (questions.join(contexts, key).join(templates, "query_type", "left")
+    return (questions.join(contexts, key, "left").withColumn("context", F.coalesce("context", F.lit(fv.NOTHING_FOUND)))
+            .join(templates, "query_type", "left")
             .withColumn("_default", fallback).withColumn("_full", history)
             .select(key, filled.alias("prompt")))
 

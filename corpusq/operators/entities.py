@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions import fixed_values as fv
 from corpusq.functions.arrays import at, let
-from corpusq.functions.scoring import detect_ic, detect_spell, detect_weapon, firing_modes
+from corpusq.functions.scoring import detect_ic, detect_spell, detect_weapon, firing_modes, found_terms
 from corpusq.functions.text import _col, any_term, first_match, lines, quoted, strip, title_case
 from corpusq.operators.labelling import spell_category
 from corpusq.plans.containment import contains_join
@@ -163,9 +163,9 @@ def extract_ic_formal(chunks, key="chunk_id", source="source", text="text") -> D
 
 
 def extract_spells(chunks: DataFrame, key="chunk_id", source="source", text="text", found: str | None = None) -> DataFrame:
-    """Formal records, then contextual ones for the detected names."""
+    """Formal records, then contextual ones for all names that occur (``found`` or the fixed list)."""
     col = F.col(text)
-    names = F.col(found) if found else detect_spell(col)["found"]
+    names = F.col(found) if found else found_terms(F.lower(col), fv.SPELL_NAMES)
     rows = chunks.withColumn("_names", names).withColumn("_formal", spells_formal(col))
     return _exploded(rows, key, source, F.concat(
         "_formal", spells_contextual(col, F.col("_names"), F.col("_formal"))))

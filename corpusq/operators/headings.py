@@ -7,17 +7,19 @@ from corpusq.functions.text import lines, normalise_title, strip
 from corpusq.plans.nesting import salted_join
 from corpusq.plans.ordered import last_value, neighbours
 
-MAX_LEVEL = 6
 PAGES_PER_PART = 20000
 
 
-def toc_hierarchy(toc: DataFrame, doc: str = "doc", max_level: int = MAX_LEVEL) -> DataFrame:
-    """Add parent (nearest earlier entry of a smaller level) and the level-1 section."""
-    carried = {f"_l{l}": F.when(F.col("level") == l, F.struct(F.col("seq"), F.col("title")))
-               for l in range(1, max_level + 1)}
+def toc_hierarchy(toc: DataFrame, doc: str = "doc") -> DataFrame:
+    """Add parent (nearest earlier entry of a smaller level) and the level-1 section.
+
+    One column carries the last entry of each level that occurs, however deep.
+    """
+    levels = sorted({1, *[r["level"] for r in toc.select("level").filter("level is not null").distinct().collect()]})
+    carried = {f"_l{i}": F.when(F.col("level") == l, F.struct(F.col("seq"), F.col("title"))) for i, l in enumerate(levels)}
     rows = last_value(toc, [doc], "seq", carried)
-    above = F.array_max(F.array(*[F.when(F.col("level") > l, F.col(f"_l{l}")) for l in range(1, max_level + 1)]))
-    return rows.select(*toc.columns, above["title"].alias("parent"), F.col("_l1.title").alias("section"))
+    above = F.array_max(F.array(*[F.when(F.col("level") > l, F.col(f"_l{i}")) for i, l in enumerate(levels)]))
+    return rows.select(*toc.columns, above["title"].alias("parent"), F.col(f"_l{levels.index(1)}.title").alias("section"))
 
 
 def toc_page_ranges(toc: DataFrame, page_count: DataFrame, doc: str = "doc") -> DataFrame:

@@ -93,6 +93,15 @@ def test_knn_zero_vectors_ties_and_grid(spark):
     assert {r["chunk_id"] for r in kept.collect()} == {1, 3, 5}
 
 
+def test_knn_leaves_out_null_and_empty_vectors(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, None, 1), (3, [], 1), (4, [0.0, 1.0], 1)], "chunk_id int, embedding array<float>, odd int")
+    asked = spark.createDataFrame([(10, None), (11, [0.0, 3.0]), (12, []), (13, [2.0, 0.0])], "question_id int, query_embedding array<float>")
+    want = [(11, 1, 2), (11, 4, 1), (13, 1, 1), (13, 4, 2)]
+    for limit in (100, 1):
+        got = R.knn(asked, chunks, 5, query_limit=limit).select("question_id", "chunk_id", "rank").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_knn_keeps_only_k_rows_per_task(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_embedding"))

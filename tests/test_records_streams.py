@@ -5,8 +5,10 @@ import time
 from pyspark.sql import functions as F
 import pytest
 
-from corpusq.functions import extensions as U
+from corpusq.functions import extensions as U, fixed_values as fv
 from corpusq.operators import entities as E, labelling as L, libraries as Lib, records as D
+from corpusq.operators.context import render_prompts
+from corpusq.operators.headings import toc_hierarchy
 from corpusq.plans.scratch import shared_folder
 from corpusq.sources import exports as X, markdown as MD
 from corpusq.streaming import jobs as J
@@ -31,6 +33,26 @@ def test_spell_records_with_and_without_damage(spark):
                    ("Manabolt", "M", "LOS", "", "I", "F – 3", "Combat", "It hurts.")]
 
 
+def test_records_follow_every_name_that_occurs(spark):
+    names = fv.SPELL_NAMES[:8]
+    text = "\n\n".join(f"{n}\n**Type:** P ; **Range:** LOS ; **Duration:** I ; **Drain:** F - 2" for n in names)
+    found = E.extract_spells(spark.createDataFrame([("c", "s", text)], "chunk_id string, source string, text string"))
+    assert {r["name"].lower() for r in found.collect()} >= {n.lower() for n in names}
+
+
+def test_table_of_contents_of_any_depth(spark):
+    toc = spark.createDataFrame([("d", i, i + 1, f"t{i}") for i in range(9)], "doc string, seq int, level int, title string")
+    got = {r["seq"]: (r["parent"], r["section"]) for r in toc_hierarchy(toc).collect()}
+    assert got == {i: (f"t{i - 1}" if i else None, "t0") for i in range(9)}
+
+
+def test_prompt_of_a_question_without_context(spark):
+    asked = spark.createDataFrame([(1, "q", "x", None, None, None, None)], "question_id int, question string, query_type string, character_role string, character_stats string, edition string, conversation_context string")
+    templates = spark.createDataFrame([("general", "{context}|{question}")], "query_type string, template string")
+    none = spark.createDataFrame([], "question_id int, context string")
+    assert [r["prompt"] for r in render_prompts(asked, none, templates).collect()] == [fv.NOTHING_FOUND + "|q"]
+
+
 def test_registry_last_write_wins(spark):
     old = spark.createDataFrame([("a", "s", 1, "x"), ("b", "s", 2, "y")], "name string, source string, seq int, v string")
     new = spark.createDataFrame([("a", "s", 5, "z"), ("a", "t", 4, "w")], old.schema)
