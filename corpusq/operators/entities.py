@@ -14,6 +14,7 @@ from corpusq.functions.text import _col, any_term, first_match, lines, quoted, s
 from corpusq.operators.labelling import spell_category
 from corpusq.plans.containment import contains_join
 from corpusq.plans.nesting import salted_join
+from corpusq.plans.once import compute_once
 
 WEAPON_FIELDS = ["accuracy", "damage", "ap", "mode", "rc", "ammo", "avail", "cost"]
 
@@ -63,13 +64,12 @@ def labelled_texts(text: Column) -> Column:
         l.alias("label"), strip(at(b, i)).alias("body"))))
 
 
-def attach_descriptions(entities: DataFrame, chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """First labelled passage of the entity's chunk whose label contains its name."""
-    passages = chunks.select(key, labelled_texts(F.col(text)).alias("_p"))
-    name = F.lower(F.col("name"))
-    hits = F.filter("_p", lambda p: F.contains(F.lower(p["label"]), name))
-    return (entities.join(passages, key, "left")
-            .withColumn("description", F.coalesce(F.get(hits, F.lit(0))["body"], F.lit(""))).drop("_p"))
+def attach_descriptions(records: Column, text: Column) -> Column:
+    """Records of a text with description: the first labelled passage whose label contains the name."""
+    def described(passages, record):
+        hits = F.filter(passages, lambda p: F.contains(F.lower(p["label"]), F.lower(record["name"])))
+        return record.withField("description", F.coalesce(F.get(hits, F.lit(0))["body"], F.lit("")))
+    return let(labelled_texts(text), lambda passages: F.transform(records, lambda r: described(passages, r)))
 
 
 # ---- spells and attack programs -------------------------------------------------------
@@ -162,47 +162,49 @@ def extract_ic_formal(chunks, key="chunk_id", source="source", text="text") -> D
     return _exploded(chunks, key, source, ic_formal(F.col(text)))
 
 
-def extract_spells(chunks: DataFrame, key="chunk_id", source="source", text="text", found: str | None = None) -> DataFrame:
+def spell_records(text: Column, found: Column | None = None) -> Column:
     """Formal records, then contextual ones for all names that occur (``found`` or the fixed list)."""
-    col = F.col(text)
-    names = F.col(found) if found else found_terms(F.lower(col), fv.SPELL_NAMES)
-    rows = chunks.withColumn("_names", names).withColumn("_formal", spells_formal(col))
-    return _exploded(rows, key, source, F.concat(
-        "_formal", spells_contextual(col, F.col("_names"), F.col("_formal"))))
+    names = found_terms(F.lower(text), fv.SPELL_NAMES) if found is None else found
+    return let(spells_formal(text), lambda formal: F.concat(formal, spells_contextual(text, names, formal)))
+
+
+def ic_records(text: Column, found: Column | None = None) -> Column:
+    names = detect_ic(text)["found"] if found is None else found
+    return let(ic_formal(text), lambda formal: F.concat(formal, ic_contextual(text, names, formal)))
+
+
+def extract_spells(chunks: DataFrame, key="chunk_id", source="source", text="text", found: str | None = None) -> DataFrame:
+    return _exploded(chunks, key, source, spell_records(F.col(text), F.col(found) if found else None))
 
 
 def extract_ic(chunks: DataFrame, key="chunk_id", source="source", text="text", found: str | None = None) -> DataFrame:
-    col = F.col(text)
-    names = F.col(found) if found else detect_ic(col)["found"]
-    rows = chunks.withColumn("_names", names).withColumn("_formal", ic_formal(col))
-    return _exploded(rows, key, source, F.concat(
-        "_formal", ic_contextual(col, F.col("_names"), F.col("_formal"))))
+    return _exploded(chunks, key, source, ic_records(F.col(text), F.col(found) if found else None))
+
+
+TYPES = ("weapon", "spell", "ic")
+
+
+def entity_records(text: Column, types=TYPES) -> dict[str, Column]:
+    """{type: array of records, NULL where the type's detector does not accept the text}; all inside the row."""
+    made = {"weapon": (detect_weapon, lambda: attach_descriptions(weapon_rows(text), text)),
+            "spell": (detect_spell, lambda: spell_records(text)), "ic": (detect_ic, lambda: ic_records(text))}
+    return {kind: F.when(detect(text)["is_content"], records()) for kind, (detect, records) in made.items() if kind in types}
 
 
 def extract_entities(chunks: DataFrame, key: str = "chunk_id", source: str = "source", text: str = "text",
-                     types=("weapon", "spell", "ic")) -> dict[str, DataFrame]:
+                     types=TYPES) -> dict[str, DataFrame]:
     """{type: records}; each type only from chunks its detector accepts."""
-    col = F.col(text)
-    out = {}
-    if "weapon" in types:
-        some = chunks.filter(detect_weapon(col)["is_content"])
-        out["weapon"] = attach_descriptions(extract_weapon_rows(some, key, source, text), some, key, text)
-    if "spell" in types:
-        out["spell"] = extract_spells(chunks.filter(detect_spell(col)["is_content"]), key, source, text)
-    if "ic" in types:
-        out["ic"] = extract_ic(chunks.filter(detect_ic(col)["is_content"]), key, source, text)
-    return out
-
-
-def entity_counts(chunks: DataFrame, entities: dict[str, DataFrame], key: str = "chunk_id") -> DataFrame:
-    """Chunks with the number of records per type and has_entities."""
+    return {kind: _exploded(chunks, key, source, records) for kind, records in entity_records(F.col(text), types).items()}
+
+
+def entity_counts(chunks: DataFrame, text: str = "text", types=TYPES) -> DataFrame:
+    """Chunks with the number of records per type and has_entities: one projection, no shuffle."""
     names = {"weapon": "weapons", "spell": "spells", "ic": "ic_programs"}
-    tagged = None
-    for kind, df in entities.items():
-        rows = df.select(key, F.lit(kind).alias("_kind"))
-        tagged = rows if tagged is None else tagged.unionByName(rows)
-    counts = tagged.groupBy(key).agg(*[F.count_if(F.col("_kind") == k).alias(n) for k, n in names.items()])
-    return (chunks.join(counts, key, "left").fillna(0, list(names.values()))
+    records = entity_records(F.col(text), types)
+    sizes = F.struct(*[(F.greatest(F.size(records[k]), F.lit(0)) if k in records else F.lit(0)).cast("bigint").alias(n)
+                       for k, n in names.items()])
+    counted = compute_once(chunks.drop(*names.values(), "has_entities"), "_sizes", sizes)
+    return (counted.select("*", *[F.col(f"_sizes.{n}").alias(n) for n in names.values()]).drop("_sizes")
             .withColumn("has_entities", sum((F.col(n) for n in names.values()), F.lit(0)) > 0))
 
 
@@ -304,7 +306,7 @@ def reextract(chunks: DataFrame, types=("weapon", "spell", "ic"), limit: int | N
     scope = chunks.orderBy(key).limit(limit) if limit else chunks
     scope = scope if force else scope.filter(~F.coalesce("has_entities", F.lit(False)))
     records = extract_entities(scope, key=key, types=types, **columns)
-    counted = entity_counts(scope.drop("has_entities"), records, key)
+    counted = entity_counts(scope, columns.get("text", "text"), types)
     return records, counted.withColumn("entity_extraction_version", F.when(F.col("has_entities"), "2.0"))
 
 

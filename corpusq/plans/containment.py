@@ -1,55 +1,60 @@
 """Exact "text contains term" joins between two tables that may both be large.
 
 Instead of comparing every text with every term, each term is filed under one
-of its character n-grams (the one fewest terms share) and each text under all
+of its character n-grams, the one fewest texts hold, and each text under all
 of its n-grams.  Only pairs that meet on a gram are compared.  The result is
 exact: a text that contains a term contains the term's gram.
+
+Exploded rows hold the digest of a text and a gram, never the text; a text
+travels once, to the candidates that are to be verified in it.  Joins are left
+to the adaptive execution, which splits a gram or a text that very many rows share.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusq.functions.arrays import let
+
 GRAM = 3
 
 
-def _grams(column: Column, size: int) -> Column:
-    last = F.length(column) - F.lit(size - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(column, i, F.lit(size))))
+def _grams(column: Column, sizes) -> Column:
+    """Distinct n-grams of the given sizes; linear in the length of the text."""
+    def of(chars, size):
+        last = F.size(chars) - size
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
+    return let(F.split(column, ""), lambda chars: F.array_distinct(F.concat(*[of(chars, n) for n in sizes])))
 
 
-def _all_grams(column: Column) -> Column:
-    return F.concat(*[_grams(column, n) for n in range(1, GRAM + 1)])
+def _anchor_grams(term: Column) -> Column:
+    """The n-grams a term may be filed under: those of GRAM letters, or the whole of a shorter term."""
+    return F.when(F.length(term) < GRAM, F.array(term)).otherwise(_grams(term, [GRAM]))
 
 
 def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, on: list[str] | None = None,
-                  how: str = "inner", salts: int = 8) -> DataFrame:
+                  how: str = "inner") -> DataFrame:
     """Pairs where ``text`` contains ``term`` (case folded), equal on ``on``.
 
     ``how`` may be "inner" or "left_terms" (keep terms without a match).
     Rows of both inputs are kept whole; ``texts`` and ``terms`` must not share
-    column names other than ``on``.
+    column names other than ``on``.  Nulls and empty terms match nothing.
     """
     on = on or []
     terms = terms.withColumn("_term", F.lower(F.col(term)))
-    size = F.least(F.length("_term"), F.lit(GRAM))
+    texts = texts.withColumn("_text", F.lower(F.col(text))).withColumn("_tid", F.unhex(F.md5(F.col("_text").cast("binary"))))
     per_term = (terms.select("_term").filter("_term <> ''").distinct()
-                .withColumn("_gram", F.explode(F.expr(
-                    f"transform(sequence(1, length(_term) - least(length(_term), {GRAM}) + 1), "
-                    f"i -> substring(_term, i, least(length(_term), {GRAM})))")))
-                .distinct())
-    shared = per_term.groupBy("_gram").agg(F.count(F.lit(1)).alias("_shared"))
-    anchors = (per_term.join(shared, "_gram").groupBy("_term")
-               .agg(F.min(F.struct("_shared", "_gram")).alias("_best"))
-               .select("_term", F.col("_best._gram").alias("_gram")))
-    filed = terms.join(anchors, "_term", "left")
-    low = F.lower(F.col(text))
-    spread = (texts.withColumn("_text", low)
-              .withColumn("_salt", F.pmod(F.xxhash64(*texts.columns), F.lit(salts)).cast("int"))
-              .withColumn("_gram", F.explode(_all_grams(F.col("_text")))))
-    repeated = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = (repeated.join(spread, ["_gram", "_salt", *on])
-             .filter(F.contains(F.col("_text"), F.col("_term")))
-             .drop("_gram", "_salt", "_text"))
+                .select("_term", F.explode(_anchor_grams(F.col("_term"))).alias("_gram")))
+    wanted = per_term.select("_gram").distinct()
+    held = (texts.filter("_text <> ''").select("_tid", F.explode(_grams(F.col("_text"), range(1, GRAM + 1))).alias("_gram"))
+            .join(wanted, "_gram", "left_semi"))
+    frequency = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    # a gram that no text holds is the best anchor: its term occurs nowhere
+    anchors = (per_term.join(frequency, "_gram", "left").groupBy("_term")
+               .agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("h"), "_gram")).alias("_best"))
+               .filter("_best.h > 0").select("_term", F.col("_best._gram").alias("_gram")))
+    candidates = held.join(anchors, "_gram").select("_tid", "_term").distinct()
+    verified = texts.join(candidates, "_tid").filter(F.contains(F.col("_text"), F.col("_term"))).drop("_tid", "_text")
+    pairs = terms.join(verified, ["_term", *on])
     if how == "inner":
         return pairs.drop("_term")
     keys = terms.columns
