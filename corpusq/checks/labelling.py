@@ -73,6 +73,17 @@ def _(spark, sf):
     return scored.withColumn("found", F.array_join("found", ","))
 
 
+# every word of the benchmark as a term, over whole documents
+@add("lexicon_score_texts", """WITH t AS (SELECT word AS term, left(word, 1) AS category, min(item_id) AS ord FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) > 2 GROUP BY 1, 2)
+ SELECT doc_id, category, (count(*) * 0.5)::DECIMAL(9,3) AS score, sha256(string_agg(term, ',' ORDER BY term)) AS terms FROM documents JOIN t ON contains(lower(text), term) GROUP BY 1, 2""")
+def _(spark, sf):
+    words = load(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter("length(term) > 2")
+    lexicon = words.groupBy("term", F.left("term", F.lit(1)).alias("category")).agg(F.min("item_id").alias("ord")).withColumn(
+        "weight", F.lit("0.5").cast("decimal(9,3)"))
+    scored = L._joined_score(load_spread(spark, sf, "documents", "doc_id").select("doc_id", "text"), lexicon, "doc_id", "text", {}, None)
+    return scored.select("doc_id", "category", "score", F.sha2(F.array_join(F.array_sort("found"), ","), 256).alias("terms"))
+
+
 PATTERNS = [("number", r"\d+", 0.2), ("number", r"\d{3}", 0.5), ("upper", r"[A-Z]{4}", 0.3)]
 
 

@@ -5,7 +5,7 @@ Every embedding is a query and a chunk; labels stand for sections.
 
 from pyspark.sql import functions as F
 
-from corpusq.checks.chunking import LINKS_SQL
+from corpusq.checks.chunking import LINKS_SQL, TOKENS
 from corpusq.checks.fixtures import CHUNKS_SQL, conversation_chunks, documents, sql_count
 from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, QUESTIONS_SQL, SYN, analysed, questions)
 from corpusq.checks.registry import Checks
@@ -334,7 +334,7 @@ def _(spark, sf):
     return X.split_reasoning(tag_stream(spark, sf))
 
 
-@add("embed_texts")
+@add("embed_texts", f"""SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length, {TOKENS.format("text")} AS words FROM documents""")
 def _(spark, sf):
     vec = R.embed_texts(documents(spark, sf).select("doc_id", "text"), dim=64)
     return vec.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate(

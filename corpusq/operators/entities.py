@@ -197,15 +197,21 @@ def extract_entities(chunks: DataFrame, key: str = "chunk_id", source: str = "so
     return {kind: _exploded(chunks, key, source, records) for kind, records in entity_records(F.col(text), types).items()}
 
 
+COUNT_NAMES = {"weapon": "weapons", "spell": "spells", "ic": "ic_programs"}
+
+
 def entity_counts(chunks: DataFrame, text: str = "text", types=TYPES) -> DataFrame:
     """Chunks with the number of records per type and has_entities: one projection, no shuffle."""
-    names = {"weapon": "weapons", "spell": "spells", "ic": "ic_programs"}
-    records = entity_records(F.col(text), types)
+    return _counted(chunks, entity_records(F.col(text), types))
+
+
+def _counted(chunks: DataFrame, records: dict[str, Column]) -> DataFrame:
+    names = list(COUNT_NAMES.values())
     sizes = F.struct(*[(F.greatest(F.size(records[k]), F.lit(0)) if k in records else F.lit(0)).cast("bigint").alias(n)
-                       for k, n in names.items()])
-    counted = compute_once(chunks.drop(*names.values(), "has_entities"), "_sizes", sizes)
-    return (counted.select("*", *[F.col(f"_sizes.{n}").alias(n) for n in names.values()]).drop("_sizes")
-            .withColumn("has_entities", sum((F.col(n) for n in names.values()), F.lit(0)) > 0))
+                       for k, n in COUNT_NAMES.items()])
+    kept = [c for c in chunks.columns if c not in (*names, "has_entities")]
+    total = sum((F.col(f"_sizes.{n}") for n in names), F.lit(0))
+    return compute_once(chunks.select(*kept), "_sizes", sizes).select(*kept, "_sizes.*", (total > 0).alias("has_entities"))
 
 
 # ---- registry -------------------------------------------------------------------------
@@ -300,14 +306,14 @@ def registry_stats(registry: DataFrame, edges: DataFrame) -> DataFrame:
                              edges.agg(F.count_distinct("chunk_id")).scalar())
 
 
-def reextract(chunks: DataFrame, types=("weapon", "spell", "ic"), limit: int | None = None, force: bool = False,
-              key: str = "chunk_id", **columns) -> tuple[dict[str, DataFrame], DataFrame]:
+def reextract(chunks: DataFrame, types=TYPES, limit: int | None = None, force: bool = False,
+              key: str = "chunk_id", source: str = "source", text: str = "text") -> tuple[dict[str, DataFrame], DataFrame]:
     """Extract again from chunks without entities (all when forced): (records, chunks with new counts)."""
     scope = chunks.orderBy(key).limit(limit) if limit else chunks
     scope = scope if force else scope.filter(~F.coalesce("has_entities", F.lit(False)))
-    records = extract_entities(scope, key=key, types=types, **columns)
-    counted = entity_counts(scope, columns.get("text", "text"), types)
-    return records, counted.withColumn("entity_extraction_version", F.when(F.col("has_entities"), "2.0"))
+    made = entity_records(F.col(text), types)
+    records = {kind: _exploded(scope, key, source, column) for kind, column in made.items()}
+    return records, _counted(scope, made).withColumn("entity_extraction_version", F.when(F.col("has_entities"), "2.0"))
 
 
 def reextract_stats(counted: DataFrame) -> DataFrame:

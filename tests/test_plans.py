@@ -74,6 +74,23 @@ def test_contains_join(spark):
     assert {r["kid"] for r in left.filter("tid IS NULL").collect()} >= {98, 99}
 
 
+def test_contains_join_nulls_copies_and_long_texts(spark):
+    long = "é😀 " * 40000 + "Needle"
+    texts = [(1, "x", long), (2, "y", long), (3, "x", None), (4, "x", ""), (5, "x", "a😀b")]
+    terms = [(1, "x", "NEEDLE"), (2, "x", "😀b"), (3, "x", None), (4, "x", ""), (5, "y", "needle"), (6, "x", "é"), (7, "x", "needles")]
+    t = spark.createDataFrame(texts, "tid int, g string, body string")
+    k = spark.createDataFrame(terms, "kid int, g string, word string")
+    got = sorted((r["tid"], r["kid"]) for r in containment.contains_join(t, "body", k, "word", on=["g"]).collect())
+    assert got == [(1, 1), (1, 6), (2, 5), (5, 2)]
+
+
+def test_contains_join_explodes_no_text(spark):
+    t, k = spark.createDataFrame([(1, "abc")], "tid int, body string"), spark.createDataFrame([(1, "b")], "kid int, word string")
+    plan = containment.contains_join(t, "body", k, "word")._jdf.queryExecution().optimizedPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert generates and all("_text" not in line.split("false, [")[-1] for line in generates)
+
+
 def test_small_rows(spark):
     assert len(bounded.small_rows(spark.range(5), 5)) == 5
     with pytest.raises(bounded.TooLarge):

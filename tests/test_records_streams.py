@@ -139,3 +139,12 @@ def test_job_status_clamps_and_expires(spark):
         "ts", F.timestamp_seconds("t"))
     assert {r["job_id"]: r["progress"] for r in J.job_status(df).collect()} == {"j1": 0.0, "j2": 100.0, "j3": 100.0}
     assert {r["job_id"] for r in J.job_status(df, F.timestamp_seconds(F.lit(500))).collect()} == {"j1", "j3"}
+
+
+def test_entity_counts_stay_in_the_row(spark):
+    df = spark.createDataFrame([(1, "s", None, True), (2, "s", "", None)], "chunk_id int, source string, text string, has_entities boolean")
+    counted = E.entity_counts(df)
+    assert [tuple(r)[3:] for r in counted.orderBy("chunk_id").collect()] == [(0, 0, 0, False)] * 2
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert all(rows.count() == 0 for rows in E.extract_entities(df).values())
+    assert E.reextract(df)[1].count() == 1
