@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions import fixed_values as fv
 from corpusq.functions.text import _col, any_term, title_case
-from corpusq.plans.nesting import LIMIT, nest, salted_join
+from corpusq.plans.nesting import long_form, nest, salted_join
 from corpusq.plans.ordered import top_k
 
 ATTRIBUTES = ["body", "agility", "reaction", "strength", "charisma", "logic", "intuition", "willpower", "edge"]
@@ -45,41 +45,58 @@ def total_armor(parents: DataFrame, gear: DataFrame) -> DataFrame:
     return parents.select("parent_id").join(sums, "parent_id", "left").fillna(0, ["total_armor"])
 
 
-def entity_summary(parents: DataFrame, stats: DataFrame, skills: DataFrame, gear: DataFrame, attributes=None,
-                   limit: int = LIMIT) -> DataFrame:
+def _summary_skills(stats: DataFrame, skills: DataFrame, attributes: list[str]):
+    """Active skills with their pool, the item of each and the order (rating desc, name)."""
+    active = with_dice_pool(skills.filter("skill_type = 'active' AND rating > 0"), stats, attributes)
+    item = F.struct("name", "rating", F.nullif(F.col("specialization"), F.lit("")).alias("specialization"),
+                    F.nullif(F.col("attribute"), F.lit("")).alias("attribute"), "dice_pool")
+    return active, item, [(-F.col("rating")).alias("r"), F.col("name")]
+
+
+def summary_skills(stats: DataFrame, skills: DataFrame, attributes=None) -> DataFrame:
+    """The skills of ``entity_summary`` in long form: (parent_id, position, item), for parents of any size."""
+    active, item, order = _summary_skills(stats, skills, attributes or ATTRIBUTES)
+    return long_form(active, ["parent_id"], "skill_id", item, order)
+
+
+def entity_summary(parents: DataFrame, stats: DataFrame, skills: DataFrame, gear: DataFrame, attributes=None) -> DataFrame:
     """Parents that have stats, with active skills (rating desc, name), dice pools and total armour.
 
-    A parent with more than ``limit`` skills comes in several parts.
+    One row per parent, however many skills it has; ``summary_skills`` is the long form.
     """
     attributes = attributes or ATTRIBUTES
-    active = with_dice_pool(skills.filter("skill_type = 'active' AND rating > 0"), stats, attributes)
-    item = F.struct("name", "rating", F.nullif(F.col("specialization"), F.lit("")).alias("specialization"),
-                    F.nullif(F.col("attribute"), F.lit("")).alias("attribute"), "dice_pool")
-    nested = nest(active, ["parent_id"], "skill_id", item, "skills", [(-F.col("rating")).alias("r"), F.col("name")], limit)
+    active, item, order = _summary_skills(stats, skills, attributes)
+    nested = nest(active, ["parent_id"], "skill_id", item, "skills", order)
     return (parents.join(stats.select("parent_id", F.struct(*attributes).alias("attributes")), "parent_id")
-            .join(nested, "parent_id", "left").join(total_armor(parents, gear), "parent_id")
-            .withColumn("part", F.coalesce("part", F.lit(0))))
+            .join(nested, "parent_id", "left").join(total_armor(parents, gear), "parent_id"))
+
+
+def _record_item(rows: DataFrame, pos: str) -> Column:
+    return F.struct(*[c for c in rows.columns if c not in ("parent_id", pos)])
+
+
+def record_children(children: dict[str, tuple[DataFrame, str, list[str]]]) -> dict[str, DataFrame]:
+    """The children of ``full_record`` in long form: {name: (parent_id, position, item)}, for parents of any size."""
+    return {name: long_form(rows, ["parent_id"], pos, _record_item(rows, pos), [F.col(c) for c in order])
+            for name, (rows, pos, order) in children.items()}
 
 
 def full_record(parents: DataFrame, singles: dict[str, DataFrame], children: dict[str, tuple[DataFrame, str, list[str]]],
-                skills: str = "skills", limit: int = LIMIT) -> DataFrame:
-    """One nested record per parent (several parts for a parent with very many children).
+                skills: str = "skills") -> DataFrame:
+    """One nested record per parent, however many children it has; ``record_children`` is the long form.
 
     ``singles`` {name: one row per parent}; ``children`` {name: (rows, id column, sort columns)}.
     The skills array also becomes a map by type with all three types present.
     """
-    nested, parts = {}, parents.select("parent_id", F.lit(0).cast("long").alias("part"))
-    for name, (rows, pos, order) in children.items():
-        fields = [c for c in rows.columns if c not in ("parent_id", pos)]
-        nested[name] = nest(rows, ["parent_id"], pos, F.struct(*fields), name, [F.col(c) for c in order], limit)
-        parts = parts.unionByName(nested[name].select("parent_id", "part"))
-    record = parts.distinct().join(parents, "parent_id")
+    nested = {name: nest(rows, ["parent_id"], pos, _record_item(rows, pos), name, [F.col(c) for c in order])
+              for name, (rows, pos, order) in children.items()}
+    record = parents
     for name, rows in singles.items():
         record = record.join(rows.select("parent_id", F.struct(*[c for c in rows.columns if c != "parent_id"]).alias(name)),
                              "parent_id", "left")
     for name, rows in nested.items():
         empty = F.array().cast(rows.schema[name].dataType)
-        record = record.join(rows, ["parent_id", "part"], "left").withColumn(name, F.coalesce(name, empty))
+        record = record.join(rows, "parent_id", "left").withColumn(name, F.coalesce(name, empty))
     if skills in nested:
         def of_type(kind):
             return F.filter(skills, lambda s: s["skill_type"] == kind)

@@ -1,16 +1,15 @@
-"""Nest child rows under a key without ever gathering an unbounded group.
+"""Child rows under a key: in long form, nested, or nested in parts where the caller sets a limit.
 
-A key with at most ``limit`` children gives one row with part 0.  A larger key
-gives several rows, one per range of the child position, each with at most
-``limit`` children; together, in part order, they hold every child.
+The shape never depends on the number of children.  The long form has one row
+per child and gathers nothing, so no key is too large for it.  ``nest`` gives
+one row per key with all its children, which one task must hold.  Only a call
+with a ``limit`` gets parts.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-LIMIT = 10000
 
-
-def with_part(children: DataFrame, keys: list[str], pos: str, limit: int = LIMIT) -> DataFrame:
+def with_part(children: DataFrame, keys: list[str], pos: str, limit: int) -> DataFrame:
     """Add ``part``: 0, or the position range for keys with more than ``limit`` rows.
 
     The list of large keys has at most rows / limit entries.
@@ -23,14 +22,26 @@ def with_part(children: DataFrame, keys: list[str], pos: str, limit: int = LIMIT
             .drop("_large"))
 
 
+def _position(pos: str, order: list | None) -> Column:
+    return F.struct(*(order or [F.col(pos)]), F.col(pos).alias("_pos"))
+
+
+def long_form(children: DataFrame, keys: list[str], pos: str, item: Column, order: list | None = None) -> DataFrame:
+    """(keys, position, item), one row per child; items sort by ``position`` within a key."""
+    return children.select(*keys, _position(pos, order).alias("position"), item.alias("item"))
+
+
 def nest(children: DataFrame, keys: list[str], pos: str, item: Column, name: str, order: list | None = None,
-         limit: int = LIMIT) -> DataFrame:
-    """(keys, part, name ARRAY) with items sorted by ``order`` (default: position)."""
-    sort_key = F.struct(*(order or [F.col(pos)]), F.col(pos).alias("_pos"))
-    return (with_part(children, keys, pos, limit)
-            .groupBy(*keys, "part")
-            .agg(F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), item.alias("v")))).alias("_items"))
-            .select(*keys, "part", F.transform("_items", lambda x: x["v"]).alias(name)))
+         limit: int | None = None) -> DataFrame:
+    """(keys, name ARRAY), one row per key, with items sorted by ``order`` (default: position).
+
+    With a ``limit`` the result is (keys, part, name): larger keys come as
+    several rows that together, in part order, hold every child.
+    """
+    rows, group = (children, keys) if limit is None else (with_part(children, keys, pos, limit), [*keys, "part"])
+    return (rows.groupBy(*group)
+            .agg(F.array_sort(F.collect_list(F.struct(_position(pos, order).alias("k"), item.alias("v")))).alias("_items"))
+            .select(*group, F.transform("_items", lambda x: x["v"]).alias(name)))
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, how: str = "left",

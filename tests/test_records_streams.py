@@ -5,6 +5,8 @@ import time
 from pyspark.sql import functions as F
 import pytest
 
+from corpusq.checks import registry
+from corpusq.checks.compare import TABLES, compare, oracle_connection
 from corpusq.functions import extensions as U, fixed_values as fv
 from corpusq.operators import entities as E, labelling as L, libraries as Lib, records as D
 from corpusq.operators.context import render_prompts
@@ -148,3 +150,37 @@ def test_entity_counts_stay_in_the_row(spark):
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
     assert all(rows.count() == 0 for rows in E.extract_entities(df).values())
     assert E.reextract(df)[1].count() == 1
+
+
+@pytest.fixture(scope="module")
+def hot_parent(sf, tmp_path_factory):
+    """The smallest tables, in which one customer has 24,000 more orders with sparse keys."""
+    import duckdb
+    folder, con = tmp_path_factory.mktemp("hot"), duckdb.connect()
+    for table in TABLES:
+        if table not in ("orders", "lineitem"):
+            (folder / f"{table}.parquet").symlink_to(f"{sf}/{table}.parquet")
+    n = con.execute(f"SELECT count(*) FROM '{sf}/orders.parquet'").fetchone()[0]
+    many = f"(SELECT unnest(range(1, {24000 // n + 2})) AS i)"
+    con.execute(f"""COPY (SELECT * FROM '{sf}/orders.parquet' UNION ALL SELECT * EXCLUDE (i) REPLACE (o_orderkey + i * 1000000 AS o_orderkey, (SELECT min(c_custkey) FROM '{sf}/customer.parquet') AS o_custkey)
+     FROM '{sf}/orders.parquet', {many}) TO '{folder}/orders.parquet'""")
+    con.execute(f"""COPY (SELECT * FROM '{sf}/lineitem.parquet' UNION ALL SELECT * EXCLUDE (i) REPLACE (l_orderkey + i * 1000000 AS l_orderkey)
+     FROM '{sf}/lineitem.parquet', {many} WHERE l_linenumber = 1) TO '{folder}/lineitem.parquet'""")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["entity_summary", "full_record", "export_json"])
+def test_a_parent_of_many_children_is_one_row(spark, hot_parent, name):
+    status, detail, _, _ = compare(spark, oracle_connection(hot_parent), hot_parent, registry.queries()[name], registry.oracle_sql()[name])
+    assert status == "ok", detail[:500]
+
+
+def test_long_form_holds_the_items_of_the_nested_form(spark, sf):
+    from corpusq.checks import recording as Q
+    stats, skills = Q.stats(spark, sf), Q.skills(spark, sf)
+    rows = D.summary_skills(stats, skills).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("i"))
+    flat = rows.select("parent_id", F.transform("i", lambda x: x["item"]).alias("skills"))
+    nested = D.entity_summary(Q.parents(spark, sf), stats, skills, Q.gear(spark, sf)).select("parent_id", "skills").filter("skills is not null")
+    assert nested.count() and nested.exceptAll(flat).count() == 0
+    children = {"gear": (Q.gear(spark, sf), "gear_id", ["category", "name"])}
+    assert D.record_children(children)["gear"].count() == Q.gear(spark, sf).count()
