@@ -123,25 +123,38 @@ def debug_retrieval(results: DataFrame, preview: int = 200, key: str = "question
 
 # ---- reasoning tags -----------------------------------------------------------------------
 OPEN_TAG, CLOSE_TAG = "<think>", "</think>"
+#: Tokens that are joined at once; the joined runs of a message are joined again, so this does not show in the result.
 TOKENS_PER_PART = 100000
 
 
-def split_reasoning(tokens: DataFrame, key: str = "conv_id", pos: str = "seq", token: str = "token",
-                    open_tag: str = OPEN_TAG, close_tag: str = CLOSE_TAG, part: int = TOKENS_PER_PART) -> DataFrame:
-    """(key, part, thinking, answer) of tokenised messages; a tag is a token of its own.
+def reasoning_tokens(tokens: DataFrame, key: str = "conv_id", pos: str = "seq", token: str = "token",
+                     open_tag: str = OPEN_TAG, close_tag: str = CLOSE_TAG) -> DataFrame:
+    """(key, pos, inside, token) of tokenised messages without the tags; a tag is a token of its own.
 
-    Depth is a running sum that is cut into position ranges, and a message of
-    more than ``part`` tokens comes in parts, so one endless stream is no hot task.
+    Depth is a running sum that is cut into position ranges and nothing is
+    gathered, so one endless stream is no hot task.
     """
     step = F.when(F.col(token) == open_tag, 1).when(F.col(token) == close_tag, -1).otherwise(0)
     deep = running_sum(tokens.withColumn("_step", step), [key], pos, "_step", "_depth")
-    kept = deep.filter(F.col("_step") == 0).withColumn("part", F.floor(F.col(pos) / F.lit(part)))
-    items = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), (F.col("_depth") > 0).alias("inside"), F.col(token).alias("t"))))
+    return deep.filter(F.col("_step") == 0).select(key, pos, (F.col("_depth") > 0).alias("inside"), token)
+
+
+def split_reasoning(tokens: DataFrame, key: str = "conv_id", pos: str = "seq", token: str = "token",
+                    open_tag: str = OPEN_TAG, close_tag: str = CLOSE_TAG, part: int = TOKENS_PER_PART) -> DataFrame:
+    """(key, part, thinking, answer), one row per message of any length; part is always 0.
+
+    Ranges of ``part`` positions are joined first and then their texts, in order.
+    """
+    rows = reasoning_tokens(tokens, key, pos, token, open_tag, close_tag).withColumn("_run", F.floor(F.col(pos) / F.lit(part)))
+    items = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("inside"), F.col(token).alias("t"))))
 
     def text(inside):
         return F.array_join(F.transform(F.filter("_i", lambda i: i["inside"] == inside), lambda i: i["t"]), "")
-    return (kept.groupBy(key, "part").agg(items.alias("_i"))
-            .select(key, "part", text(True).alias("thinking"), text(False).alias("answer")))
+    runs = (rows.groupBy(key, "_run").agg(items.alias("_i"))
+            .select(key, "_run", text(True).alias("thinking"), text(False).alias("answer")))
+    joined = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_run", "thinking", "answer"))).alias("_r"))
+    return joined.select(key, F.lit(0).cast("long").alias("part"), *[
+        F.array_join(F.col("_r")[c], "").alias(c) for c in ("thinking", "answer")])
 
 
 def tag_tokens(messages: DataFrame, keys: list[str], text: str = "text", open_tag: str = OPEN_TAG,

@@ -7,6 +7,7 @@ from corpusq.functions.text import lines, normalise_title, strip
 from corpusq.plans.nesting import salted_join
 from corpusq.plans.ordered import last_value, neighbours
 
+#: Pages that are joined at once; the joined runs of a section are joined again, so this does not show in the result.
 PAGES_PER_PART = 20000
 
 
@@ -40,18 +41,21 @@ def assemble_section_text(pages: DataFrame, ranges: DataFrame, doc: str = "doc",
     """Join the non-blank pages of each range with a blank line, in page order.
 
     The range join is an equality join: each range lists its page numbers.
-    Sections of more than ``pages_per_part`` pages come as several parts.
+    One row per section of any length; part is always 0.  Runs of
+    ``pages_per_part`` pages are joined first and then their texts, in order.
     """
     wanted = (ranges.filter("end_page >= start_page")
               .withColumn("page_no", F.explode(F.sequence(F.col("start_page"), F.col("end_page"))))
-              .withColumn("part", F.floor((F.col("page_no") - F.col("start_page")) / F.lit(pages_per_part)))
-              .select(doc, "seq", "title", "part", "page_no"))
+              .withColumn("_run", F.floor((F.col("page_no") - F.col("start_page")) / F.lit(pages_per_part)))
+              .select(doc, "seq", "title", "_run", "page_no"))
     texts = pages.filter(strip("text") != "").select(doc, F.col("page").alias("page_no"), "text")
-    return (texts.join(wanted, [doc, "page_no"])
-            .groupBy(doc, "seq", "title", "part")
-            .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_p"))
-            .select(doc, "seq", "title", "part",
-                    F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n").alias("text")))
+
+    def joined(rows, group, order):
+        return (rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("_t"))
+                .select(*group, F.array_join(F.col("_t")["text"], "\n\n").alias("text")))
+    section = [doc, "seq", "title"]
+    runs = joined(texts.join(wanted, [doc, "page_no"]), [*section, "_run"], "page_no")
+    return joined(runs, section, "_run").select(*section, F.lit(0).cast("long").alias("part"), "text")
 
 
 def extract_headers(docs: DataFrame, key: str = "doc_path", text: str = "text") -> DataFrame:

@@ -9,8 +9,8 @@ from corpusq.checks import registry
 from corpusq.checks.compare import TABLES, compare, oracle_connection
 from corpusq.functions import extensions as U, fixed_values as fv
 from corpusq.operators import entities as E, labelling as L, libraries as Lib, records as D
-from corpusq.operators.context import render_prompts
-from corpusq.operators.headings import toc_hierarchy
+from corpusq.operators.context import reasoning_tokens, render_prompts, split_reasoning
+from corpusq.operators.headings import assemble_section_text, toc_hierarchy
 from corpusq.plans.scratch import shared_folder
 from corpusq.sources import exports as X, markdown as MD
 from corpusq.streaming import jobs as J
@@ -184,3 +184,24 @@ def test_long_form_holds_the_items_of_the_nested_form(spark, sf):
     assert nested.count() and nested.exceptAll(flat).count() == 0
     children = {"gear": (Q.gear(spark, sf), "gear_id", ["category", "name"])}
     assert D.record_children(children)["gear"].count() == Q.gear(spark, sf).count()
+
+
+def test_a_long_message_is_one_row(spark):
+    words = ["<think>" if i % 50 == 7 else "</think>" if i % 50 == 31 else f"w{i} " for i in range(1000)]
+    rows = [(c, i * 3, w) for c in (1, 2) for i, w in enumerate(words) if c == 1 or i < 5] + [(3, 250 * 100000, "far"), (3, 5, "near ")]
+    tokens = spark.createDataFrame(rows, "conv_id bigint, seq bigint, token string")
+    want = {False: "".join(w for i, w in enumerate(words) if w[0] == "w" and not 7 < i % 50 < 31),
+            True: "".join(w for i, w in enumerate(words) if w[0] == "w" and 7 < i % 50 < 31)}
+    for part in (100, 100000):
+        got = {r["conv_id"]: (r["part"], r["thinking"], r["answer"]) for r in split_reasoning(tokens, part=part).collect()}
+        assert got == {1: (0, want[True], want[False]), 2: (0, "", "".join(words[:5])), 3: (0, "", "near far")}
+        assert split_reasoning(tokens, part=part).count() == 3
+    assert reasoning_tokens(tokens).count() == len([r for r in rows if "think>" not in r[2]])
+
+
+def test_a_long_section_is_one_row(spark):
+    pages = spark.createDataFrame([("d", i, " " if i % 10 == 0 else f"p{i}") for i in range(100)], "doc string, page int, text string")
+    ranges = spark.createDataFrame([("d", 0, "all", 0, 99), ("d", 1, "two", 5, 6)], "doc string, seq int, title string, start_page int, end_page int")
+    got = {r["title"]: (r["part"], r["text"]) for r in assemble_section_text(pages, ranges, pages_per_part=7).collect()}
+    assert got == {"all": (0, "\n\n".join(f"p{i}" for i in range(100) if i % 10)), "two": (0, "p5\n\np6")}
+    assert assemble_section_text(pages, ranges, pages_per_part=7).count() == 2
