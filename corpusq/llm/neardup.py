@@ -272,8 +272,8 @@ def _loose_links(met: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataF
             .mapInArrow(_search_cells(percent), "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, set_id), one row per row of ``docs``."""
     sketches = _kept(sketch_documents(docs), "sketches")
     rows = sketches.filter("set_id is not null and doc_id is not null")
     nodes = _kept(rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"),
@@ -301,12 +301,57 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     out = (sketches.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id",
-                      (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+                      (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "set_id")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    return _judged(docs, percent).drop("set_id")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
+
+
+def _losing_texts(docs: DataFrame, lost: DataFrame, torn: DataFrame) -> DataFrame:
+    """(_lost, _digest) of the rows of torn ids whose set is lost; only the texts of these ids are hashed again."""
+    def factory():
+        hashes = _Hashes()
+
+        def compute(batch):
+            texts, ids = text_bytes(batch.column(1)), []
+            for low, high in pieces(texts):
+                ids += _fingerprints(*shingle_sets(texts[low:high], hashes))
+            return [pa.array(ids, pa.binary())]
+        return compute
+    texts = docs.select("doc_id", "text").join(_few(torn), F.col("doc_id") == F.col("_torn"), "left_semi")
+    sets = extend(texts, "set_id binary", factory)
+    return (sets.join(lost, (sets["doc_id"] == lost["_lost"]) & (sets["set_id"] == lost["set_id"]), "left_semi")
+            .select(F.col("doc_id").alias("_lost"), _digest("text").alias("_digest")).distinct())
+
+
+def _digest(text):
+    return F.sha2(F.col(text).cast("binary"), 256)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents, whole, of which each component keeps the one with the smallest id."""
-    lost = _kept(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_lost")), "lost")
-    if lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        lost = F.broadcast(lost)
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    """The documents, whole, of which each component keeps the one with the smallest id.
+
+    Rows are dropped by id.  Where an id repeats with other texts and only some
+    of its rows are lost, those are dropped by id and text.
+    """
+    judged = _kept(_judged(docs, percent).select("doc_id", "set_id", "kept"), "judged")
+    lost = judged.filter("not kept").select(F.col("doc_id").alias("_lost"), "set_id")
+    ids = _kept(lost.select("_lost"), "lost")
+    torn = _kept(judged.filter("kept").select(F.col("doc_id").alias("_torn"))
+                 .join(_few(ids), F.col("_torn") == F.col("_lost"), "left_semi").distinct(), "torn")
+    texts = None
+    if not torn.isEmpty():
+        ids = ids.join(_few(torn), F.col("_lost") == F.col("_torn"), "left_anti")
+        texts = _kept(_losing_texts(docs, lost, torn), "losing-texts")
+    ids = _few(ids)
+    left = docs.join(ids, docs["doc_id"] == ids["_lost"], "left_anti")
+    if texts is None:
+        return left
+    texts = _few(texts)
+    return left.join(texts, (docs["doc_id"] == texts["_lost"]) & (_digest("text") == texts["_digest"]), "left_anti")

@@ -70,6 +70,14 @@ def test_neardup(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, "x"), (5, b, "y"), (3, b, "z"), (9, a, "v"), (5, "", "e"), (5, None, "n"), (7, c, "c1"), (8, c, "c2"), (None, b, "no id")]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, note string"))
+    assert got.columns == ["doc_id", "text", "note"]
+    assert sorted(r["note"] for r in got.collect()) == ["c1", "e", "n", "no id", "x", "z"]
+
+
 def test_sketch_is_a_similarity_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 700).astype(np.uint64)
