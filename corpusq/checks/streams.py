@@ -8,7 +8,7 @@ from corpusq.checks.recording import REPLAY_SQL, change_base, change_log
 from corpusq.checks.registry import Checks
 from corpusq.checks.retrieving import tagged
 from corpusq.functions import extensions as U, text as T
-from corpusq.operators import labelling as L
+from corpusq.operators import chunks as C, labelling as L
 from corpusq.plans.scratch import shared_folder
 from corpusq.session import load
 from corpusq.streaming import jobs as J
@@ -41,6 +41,31 @@ def _(spark, sf):
     return J.current_chunks(spark, store).groupBy("doc_path").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
+# whole texts: each document arrives, a third arrives again with more text, some are removed; beside the chunks
+# that the batch path makes of the last version of each path
+@add("stream_ingest_texts", """SELECT 'lib/doc-' || doc_id || '.md' AS doc_path, true AS has_chunks, 0::BIGINT AS differing FROM documents WHERE doc_id % 7 <> 0 AND regexp_matches(text, '[A-Za-z]')""")
+def _(spark, sf):
+    doc = F.col("doc_id")
+    path = F.concat(F.lit("lib/doc-"), doc.cast("string"), F.lit(".md")).alias("doc_path")
+    changed = F.concat("text", F.lit("\n\n# Changed\n\n"), F.left("text", F.lit(500)), F.lit("\n\nA last line."))
+    docs = load(spark, sf, "documents")
+
+    def event(rows, text, op, later):
+        return rows.select(path, text.alias("text"), F.lit(op).alias("op"), (doc + later).alias("seq"))
+    events = (event(docs, F.col("text"), "upsert", 0).unionByName(event(docs.filter("doc_id % 3 = 0"), changed, "upsert", 1000000000))
+              .unionByName(event(docs.filter("doc_id % 7 = 0"), F.lit(""), "remove", 2000000000)))
+    store = shared_folder(spark, "ingest-texts")
+    J.stream_ingest(_as_stream(spark, events, "text-events", "doc_path"), store, store + "/checkpoint").awaitTermination()
+    last = docs.filter("doc_id % 7 <> 0").select(path, F.when(doc % 3 == 0, changed).otherwise(F.col("text")).alias("text"))
+    batch = C.chunk_documents(C.clean_documents(last))
+
+    def hashed(rows, name):
+        return rows.select("doc_path", "chunk_id", F.xxhash64(*J.CHUNK_COLUMNS).alias(name))
+    both = hashed(J.current_chunks(spark, store), "streamed").join(hashed(batch, "batched"), ["doc_path", "chunk_id"], "full_outer")
+    return both.groupBy("doc_path").agg((F.count("streamed") > 0).alias("has_chunks"),
+                                        F.count_if(~F.col("streamed").eqNullSafe(F.col("batched"))).alias("differing"))
+
+
 @add("stream_change_log", REPLAY_SQL)
 def _(spark, sf):
     store = shared_folder(spark, "changes")
