@@ -184,21 +184,25 @@ class Graph:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
-    def audited_beam(self, threshold: float, beam: int = BEAM) -> int:
-        """The first beam whose searches find RECALL of the audited nodes' links and nearest neighbours."""
-        n = len(self.vectors)
-        audit = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(np.int64))
-        exact = self.vectors[audit] @ self.vectors.T
+    def audited_beam(self, threshold: float, beam: int = BEAM, queries: np.ndarray | None = None) -> int:
+        """The first beam whose searches find RECALL of the links and nearest neighbours, as the mean over the audited vectors.
+
+        Nodes are audited, or some of ``queries``.  Each counts once, however many links it has.
+        """
+        n, vectors = len(self.vectors), self.vectors if queries is None else queries
+        audit = np.unique(np.linspace(0, len(vectors) - 1, min(AUDIT, len(vectors))).astype(np.int64))
+        asked = vectors[audit]
+        exact = asked @ self.vectors.T
         nearest = min(NEAREST, n)
         wanted = exact >= threshold
         np.put_along_axis(wanted, np.argpartition(-exact, nearest - 1, axis=1)[:, :nearest], True, 1)
         while beam < n:
-            row, node = self.links(self.vectors[audit], threshold, beam)
-            ids, _ = self._descend(self.vectors[audit], beam)
+            row, node = self.links(asked, threshold, beam)
+            ids, _ = self._descend(asked, beam)
             got = np.zeros((len(audit), n + 1), dtype=bool)
             got[row, node] = True
             got[np.arange(len(audit))[:, None], ids] = True
-            if (wanted & got[:, :n]).sum() >= RECALL * wanted.sum():
+            if ((wanted & got[:, :n]).sum(axis=1) / wanted.sum(axis=1)).mean() >= RECALL:
                 return beam
             beam *= 2
         return n
@@ -234,7 +238,8 @@ class _Shard:
                 return
 
     def query(self, ids: list, vectors: np.ndarray, copies: np.ndarray):
-        """Rows (node, other, links) of queries of earlier shards."""
+        """Rows (node, other, links) of queries of earlier shards, some of which are audited first."""
+        self.beam = self.graph.audited_beam(self.threshold, self.beam, vectors)
         row, node = self.graph.links(vectors, self.threshold, self.beam)
         if not len(row):
             return []

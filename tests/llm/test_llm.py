@@ -132,6 +132,33 @@ def test_vectors(spark):
     assert hnsw.near_vectors(table.filter("false")).count() == 0
 
 
+def test_audit_counts_every_vector_once():
+    """A hot third found whole does not hide that the other nodes and the queries miss their links."""
+    rng = np.random.default_rng(5)
+    near = np.concatenate([np.ones((200, 1)) + rng.normal(0, 0.01, (200, 24)), rng.normal(size=(400, 24))])
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    graph = hnsw.Graph(near)
+    whole = graph._descend
+
+    def blind_below(least, cold):
+        def descend(queries, beam, inserted=None):
+            ids, cosine = whole(queries, beam, inserted)
+            missed = cold(queries)[:, None] & (beam < least)
+            return np.where(missed, -1, ids), np.where(missed, -np.inf, cosine)
+        return descend
+    graph._descend = blind_below(200, lambda q: q @ near[0] < 0.9)
+    assert graph.audited_beam(0.93) >= 200
+    graph._descend = whole
+    shard = hnsw._Shard([bytes([i // 256, i % 256]) for i in range(600)], near, np.ones(600), 0.93)
+    before = shard.beam
+    asked = rng.normal(size=(30, 24))
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    whole = shard.graph._descend
+    shard.graph._descend = blind_below(2 * before + 1, lambda q: np.isin(q[:, 0], asked[:, 0]))
+    shard.query([b"q%d" % i for i in range(30)], asked, np.ones(30))
+    assert shard.beam > 2 * before
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs, shards=3).collect()
     assert len(rows) == docs.count()
