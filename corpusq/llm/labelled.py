@@ -16,8 +16,8 @@ def clean_labels(labels: DataFrame, name: str) -> DataFrame:
 
 
 def thin(rows: DataFrame, share: float, seed: str) -> DataFrame:
-    """A share of the rows, chosen by the hash of the id."""
+    """A share of the rows in expectation, however small, chosen by the 63 low bits of the hash of the id."""
     if share >= 1:
         return rows
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000))
-    return rows.filter(place < int(share * 1_000_000))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit(2 ** 63 - 1))
+    return rows.filter(place < F.lit(int(share * 2 ** 63)))

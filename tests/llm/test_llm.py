@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.llm import chat, decontam, hnsw, mixing, neardup, quality, queries, secrets, sharding, toxicity, urls
+from corpusq.llm import chat, decontam, hnsw, labelled, mixing, neardup, quality, queries, secrets, sharding, toxicity, urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, shard int, score string"
 
@@ -260,6 +260,12 @@ def test_held_out_accuracy(spark, name, label, modulus, left):
     assert sum(r["predicted"] == r[label] for r in held) >= 0.93 * len(held)
 
 
+def test_a_small_share_still_has_its_sample(spark):
+    rows = spark.range(40_000_000).withColumnRenamed("id", "doc_id")
+    assert 8 <= labelled.thin(rows, 5e-7, "toxicity").count() <= 35
+    assert abs(labelled.thin(rows.limit(100_000), 0.3, "quality").count() - 30_000) < 1_000
+
+
 def test_classifiers_edge_cases(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (6, None, 1), (6, 0, None), (99, 0, 0)], "doc_id bigint, quality int, toxic int")
     stats = quality.text_statistics(docs)
