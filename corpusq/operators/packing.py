@@ -20,8 +20,8 @@ def token_counts(texts: Column) -> Column:
 
 
 # ---- large tables ---------------------------------------------------------------------
-def split_large_table(content: Column, rows: int = fv.TABLE_ROWS_PER_CHUNK, header_words=None) -> Column:
-    """ARRAY<STRUCT<text, token_count, chunk_type>>: ``rows`` data rows each, header rows repeated."""
+def _line_tests(header_words=None):
+    """(is_header, is_data) of a table line; they exclude each other."""
     words = header_words or fv.TABLE_HEADER_WORDS
 
     def is_header(line):
@@ -29,6 +29,31 @@ def split_large_table(content: Column, rows: int = fv.TABLE_ROWS_PER_CHUNK, head
 
     def is_data(line):
         return ~is_header(line) & (F.contains(line, F.lit("|")) | F.rlike(line, F.lit(r"\d+[PS]|\d+¥")))
+    return is_header, is_data
+
+
+def split_table_drops(content: Column, header_words=None) -> Column:
+    """STRUCT<lines, blocks>: what ``split_large_table`` leaves out of the chunks of the same content.
+
+    Lines that are neither header nor data are dropped, and a block without a
+    data line whole.  Blank lines are no loss.
+    """
+    is_header, is_data = _line_tests(header_words)
+
+    def drops(parts):
+        filled = F.filter(parts, lambda l: strip(l) != "")
+        other = F.size(F.filter(filled, lambda l: ~is_header(l) & ~is_data(l)))
+        whole = (F.size(filled) > 0) & ~F.exists(filled, is_data)
+        return F.struct(F.when(whole, F.size(filled)).otherwise(other).alias("lines"), whole.cast("int").alias("blocks"))
+    return let(lines(content), drops)
+
+
+def split_large_table(content: Column, rows: int = fv.TABLE_ROWS_PER_CHUNK, header_words=None) -> Column:
+    """ARRAY<STRUCT<text, token_count, chunk_type>>: ``rows`` data rows each, header rows repeated.
+
+    ``split_table_drops`` counts the lines and blocks that are in no chunk.
+    """
+    is_header, is_data = _line_tests(header_words)
 
     def groups(parts):
         header, data = F.filter(parts, is_header), F.filter(parts, is_data)

@@ -202,3 +202,16 @@ def test_pack_table_lines_equals_brute_force(spark):
         got = {r["id"]: [tuple(c) for c in r["c"]] for r in df.select("id", P.pack_table_lines(F.col("t"), size, least).alias("c")).collect()}
         for i, text in texts:
             assert got[i] == plain_table_lines(text, size, least), text
+
+
+def test_dropped_table_lines_are_counted(spark):
+    rows = [("a", "| Weapon | Damage |\n| Colt | 5P |\nsee page three\n\n| Uzi | 6P |"), ("b", "no data here\nat all\n"),
+            ("c", "| Weapon | Damage |\nnothing"), ("d", ""), ("e", "| Colt | 5P |"), ("f", None)]
+    df = spark.createDataFrame(rows, "k string, text string")
+    got = {r["k"]: (r["d"]["lines"], r["d"]["blocks"]) if r["d"]["lines"] is not None else None
+           for r in df.select("k", P.split_table_drops(F.col("text"), ["weapon"]).alias("d")).collect()}
+    assert {k: got[k] for k in "abcde"} == {"a": (1, 0), "b": (2, 1), "c": (2, 1), "d": (0, 0), "e": (0, 0)}
+    chunks = {r["k"]: "\n".join(c["text"] for c in r["c"] or []) for r in df.select("k", P.split_large_table(F.col("text"), header_words=["weapon"]).alias("c")).collect()}
+    for key, text in rows[:5]:
+        lost = [l for l in text.split("\n") if l.strip() and l not in chunks[key].split("\n")]
+        assert len(lost) == got[key][0]
