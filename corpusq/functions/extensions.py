@@ -55,10 +55,14 @@ def _quiet(fn, text):
         return None
 
 
-def label_and_correct(chunks: DataFrame, labeller: Callable[[Column], Column], text: str = "text", cut: int = 4000) -> DataFrame:
-    """Labels of a model where valid (then pattern-corrected), pattern labels elsewhere."""
+def label_and_correct(chunks: DataFrame, labeller: Callable[[Column], Column], text: str = "text",
+                      cut: int | None = None) -> DataFrame:
+    """Labels of a model where valid (then pattern-corrected), pattern labels elsewhere.
+
+    The model gets the whole text; ``cut`` limits it to so many characters.
+    """
     from corpusq.operators.labelling import correct_labels, parse_label_responses
-    raw = chunks.withColumn("_raw", labeller(F.left(F.col(text), F.lit(cut))))
+    raw = chunks.withColumn("_raw", labeller(F.col(text) if cut is None else F.left(F.col(text), F.lit(cut))))
     parsed = parse_label_responses(raw, "_raw", text)
     corrected = correct_labels(parsed.withColumn("_p", F.col("primary_section")).withColumn("_t", F.col("content_type")), text)
     modelled = F.col("classification_method") == "llm_semantic"

@@ -215,3 +215,12 @@ def test_streamed_texts_get_the_chunks_of_the_batch_path(spark, sf, monkeypatch)
     whole = J.ingest_batch
     monkeypatch.setattr(J, "ingest_batch", lambda docs, *a, **k: whole(docs.withColumn("text", F.left("text", F.lit(100))), *a, **k))
     assert compare(spark, oracle_connection(sf), sf, query, sql)[0] in ("VALUE", "COUNT")
+
+
+def test_the_labeller_gets_the_whole_text(spark):
+    def model(text):
+        return '{"primary_section": "Social", "content_type": "narrative", "contains_rules": true}' if "ok" in text else "no json"
+    df = spark.createDataFrame([(1, "talk " * 2000 + "ok")], "id int, text string")
+    method = "classification_method"
+    assert U.label_and_correct(df, U.register_labeller(model)).first()[method] == "llm_semantic"
+    assert U.label_and_correct(df, U.register_labeller(model), cut=4000).first()[method] == "pattern_fallback"
