@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusq.llm import chat, decontam, hnsw, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from corpusq.llm import chat, decontam, fim, hnsw, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from corpusq.llm.labelled import crc_mod
 from corpusq.plans.scratch import shared_folder
 from corpusq.session import load
@@ -301,3 +301,33 @@ join (select a, min(b) as component_id from reached group by a) r on e.vec_id =
 @register("op5_vectors", _VECTORS_SQL)
 def op5_vectors(spark, sf_dir):
     return hnsw.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
+# ---- 11 fill in the middle
+
+_FIM_SQL = r"""
+with drawn as (
+    select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as tokens from documents
+), numbers as (
+    select doc_id, text, tokens, len(tokens)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+           ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from drawn
+), formed as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+           case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+                when h4 % 100 < 20 then 'spm' else 'psm' end as form from numbers
+), cut as (
+    select doc_id, n, form, text, array_to_string(tokens[1:a], '') as p, array_to_string(tokens[a + 1:b], '') as m,
+           array_to_string(tokens[b + 1:], '') as s from formed
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
+from cut
+"""
+
+
+@register("op11_fill_in_middle", _FIM_SQL)
+def op11_fill_in_middle(spark, sf_dir):
+    made = fim.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex(F.col("output")).alias("output_sha256"),
+                       sha256_hex(fim.restore()).alias("restored_sha256"))
