@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusq.llm import chat, decontam, fim, hnsw, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from corpusq.llm import chat, decontam, fim, hnsw, lookup, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from corpusq.llm.labelled import crc_mod
 from corpusq.plans.scratch import shared_folder
 from corpusq.session import load
@@ -331,3 +331,37 @@ def op11_fill_in_middle(spark, sf_dir):
     made = fim.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex(F.col("output")).alias("output_sha256"),
                        sha256_hex(fim.restore()).alias("restored_sha256"))
+
+
+# ---- 13 centroid clustering
+
+def _clusters_sql():
+    """Five unrolled rounds over (vector, dimension, integer) rows."""
+    steps = ["""kept as materialized (
+    select vec_id, sha256('2:' || vec_id) as h, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cells as materialized (select vec_id, unnest(range(1, 65)) as d, unnest(v) as x from kept),
+firsts as (select row_number() over (order by h) - 1 as c, v from kept order by h limit 40),
+m0 as materialized (select c, unnest(range(1, 65)) as d, unnest(v) as x from firsts)"""]
+    for i in range(6):
+        steps.append(f"""far{i} as materialized (
+    select vec_id, c, sum((p.x - m.x) * (p.x - m.x))::bigint as distance from cells p join m{i} m on p.d = m.d group by all
+), at{i} as materialized (select vec_id, arg_min(c, (distance, c)) as c, min(distance) as distance from far{i} group by vec_id)""")
+        if i < 5:
+            steps.append(f"""s{i} as (select c, d, sum(x)::bigint as s, count(*)::bigint as n from cells join at{i} using (vec_id) group by all),
+m{i + 1} as materialized (
+    select m.c, m.d, case when n is null then m.x else (s - ((s % n) + n) % n) // n end as x from m{i} m left join s{i} s on m.c = s.c and m.d = s.d
+)""")
+    return "with " + ",\n".join(steps) + """,
+hashed as (select c, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from m5 group by c)
+select vec_id, c::int as cluster, distance, (sum(distance) over (partition by c))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia, centroid_sha256
+from at5 join hashed using (c)
+"""
+
+
+@register("op13_centroids", _clusters_sql())
+def op13_centroids(spark, sf_dir):
+    assigned, centroids = lookup.cluster_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return lookup.with_inertia(assigned, centroids).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
