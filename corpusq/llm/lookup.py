@@ -88,11 +88,11 @@ def _blocks(batches, dim):
             yield batch.column(0).slice(low, BLOCK_ROWS), whole[low:low + BLOCK_ROWS]
 
 
-def first_centroids(vectors: DataFrame, key: str = "vec_id", count: int = CENTROIDS, seed: str = SEED) -> np.ndarray:
+def first_centroids(vectors: DataFrame, key: str = "vec_id", dim: int = DIM, count: int = CENTROIDS, seed: str = SEED) -> np.ndarray:
     """The vectors with the smallest hashes of seed and id, in ascending hash order; at most ``count`` rows leave the plan."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"), 256)
     rows = vectors.select(digest.alias("h"), "v").orderBy("h", "v").limit(count).collect()
-    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), dim)
 
 
 def moved_centroids(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def cluster_vectors(vectors: DataFrame, key: str = "vec_id", value: str = "embed
     path = shared_folder(spark, "integer-vectors")
     integer_vectors(vectors, key, value, dim).write.parquet(path)
     kept = spark.read.parquet(path)
-    centroids = first_centroids(kept, key, count, seed)
+    centroids = first_centroids(kept, key, dim, count, seed)
     for _ in range(rounds if len(centroids) else 0):
         centroids = moved_centroids(kept, centroids)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusq.llm import chat, decontam, fim, hnsw, lookup, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from corpusq.llm import chat, decontam, digest, fim, hnsw, lookup, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from corpusq.llm.labelled import crc_mod
 from corpusq.plans.scratch import shared_folder
 from corpusq.session import load
@@ -365,3 +365,62 @@ def op13_centroids(spark, sf_dir):
     assigned, centroids = lookup.cluster_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return lookup.with_inertia(assigned, centroids).select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+# ---- 12 document fingerprints
+
+# bytes as two hex digits each; a triplet is its three places in the window of five
+_DIGEST_SQL = f"""
+with ordered as (
+    select doc_id, coalesce(text, '') as text, coalesce(lead(coalesce(text, '')) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) as after
+    from documents
+), edits as materialized (
+    select doc_id, text, left(text, (length(text) - length(text) // 4)::bigint) || left(after, (length(text) // 4)::bigint) as edited from ordered
+), texts as (
+    select doc_id, 0 as which, text from edits union all select doc_id, 1, edited from edits
+), bytes as materialized (
+    select doc_id, which, strlen(text) as size, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda d: ('0x' || d)::bigint) as b from texts
+), places as (
+    select doc_id, which, b, unnest(range(1, size - 1)) as p from bytes
+), triplets as (
+    select doc_id, which, unnest(list_filter([{", ".join(f"{shape << 24} + b[p + {i}] * 65536 + b[p + {j}] * 256 + b[p + {k}]" for shape, (i, j, k) in enumerate(digest.TRIPLETS))}],
+           lambda v: v is not null)) as v from places
+), counted as (
+    select doc_id, which, (v * {digest.MULTIPLIER} % 4294967296) // 16777216 as bucket, count(*) as n from triplets group by all
+), filled as (
+    select t.doc_id, t.which, t.bucket, coalesce(n, 0) as n from (select doc_id, which, unnest(range({digest.BUCKETS})) as bucket from bytes) t
+    left join counted c on t.doc_id = c.doc_id and t.which = c.which and t.bucket = c.bucket
+), sorted as (
+    select doc_id, which, list_sort(list(n)) as s, list(n order by bucket) as n from filled group by all
+), coded as (
+    select doc_id, which, list_transform(n, lambda x: (x > s[{digest.BUCKETS // 4}])::int + (x > s[{digest.BUCKETS // 2}])::int + (x > s[{3 * digest.BUCKETS // 4}])::int) as code from sorted
+), sized as (
+    select doc_id, which, code, case when size = 0 then 0 when size < 4 then 4 * length(bin(size)) else 4 * length(bin(size)) + ('0b' || substr(bin(size), 2, 2))::bigint end as lc
+    from coded join bytes using (doc_id, which)
+), prints as materialized (
+    select doc_id, which, code, lc, lower(printf('%02x', lc) || array_to_string(list_transform(range(1, {digest.BUCKETS}, 2), lambda i: printf('%x', code[i] * 4 + code[i + 1])), '')) as print,
+           list_sum(list_transform(code, lambda c: [0, 1, 2, 6][c + 1])) as weight
+    from sized
+), pairs as (
+    select a.doc_id, 0 as what, a as l, b as r from prints a join prints b on a.doc_id = b.doc_id and a.which = 0 and b.which = 1
+    union all
+    select a.doc_id, 1, a, b from (select doc_id, coalesce(lead(doc_id) over (order by doc_id), first_value(doc_id) over (order by doc_id)) as after from edits) n
+    join prints a on n.doc_id = a.doc_id and a.which = 0 join prints b on n.after = b.doc_id and b.which = 0
+), scored as (
+    select doc_id, what, (list_sum(list_transform(range(1, {digest.BUCKETS + 1}), lambda i: [0, 1, 2, 6][abs(l.code[i] - r.code[i]) + 1]))
+           + {digest.STEP_WEIGHT} * greatest(0, least({digest.LENGTH_STEPS}, abs(l.lc - r.lc) - 1)))::bigint as difference,
+           least({digest.BOUND}, l.weight + r.weight)::bigint as bound from pairs
+), likeness as (
+    select doc_id, what, case when difference = 0 then 1.0::double when bound = 0 then 0.0::double
+           else 1.0::double - least(difference, bound)::double / bound::double end as likeness from scored
+)
+select e.doc_id, length(e.text)::bigint as n_chars, sha256(e.edited) as edited_sha256, a.print as fingerprint, b.print as edited_fingerprint,
+       x.likeness as near_edited, y.likeness as near_next
+from edits e join prints a on e.doc_id = a.doc_id and a.which = 0 join prints b on e.doc_id = b.doc_id and b.which = 1
+join likeness x on e.doc_id = x.doc_id and x.what = 0 join likeness y on e.doc_id = y.doc_id and y.what = 1
+"""
+
+
+@register("op12_fingerprints", _DIGEST_SQL)
+def op12_fingerprints(spark, sf_dir):
+    return digest.edit_by_next(load(spark, sf_dir, "documents").select("doc_id", "text"))
