@@ -258,7 +258,7 @@ def _(spark, sf):
 
 
 def _norm_sql(expr):
-    word = (f"CASE WHEN length(w) > 3 OR upper(w) IN ('AND', 'THE', 'FOR', 'WITH') THEN upper(left(w, 1)) || lower(substr(w, 2))"
+    word = (f"CASE WHEN length(w) > 3 OR upper(w) IN ('AND', 'THE', 'FOR', 'WITH') THEN replace(upper(left(w, 1)), 'ẞ', 'Ss') || lower(substr(w, 2))"
             f" WHEN upper(w) IN {tuple(fv.ROMAN_NUMERALS)} THEN upper(w) ELSE lower(w) END")
     return (f"array_to_string(list_transform(string_split_regex({expr}, '\\s+'), lambda w: "
             f"CASE WHEN upper(w) IN {tuple(fv.ROMAN_NUMERALS)} THEN upper(w) ELSE {word} END), ' ')")
@@ -280,25 +280,48 @@ FIX_TOC_SQL = f"""SELECT source, doc_id * 100000 + line_no AS seq, (line_no % 3
 
 def _fix_toc(spark, sf):
     docs = md_docs(spark, sf)
-    heads = H.extract_headers(docs).join(docs.select("doc_path", "doc_id", "source"), "doc_path").filter("line_no % 2 = 0")
+    heads = H.extract_headers(docs, keep=("doc_id", "source")).filter("line_no % 2 = 0")
     return heads.select("source", (F.col("doc_id") * 100000 + F.col("line_no")).alias("seq"),
                         (F.col("line_no") % 3 + 1).cast("int").alias("level"), "title")
 
 
-@add("fix_headers", f"""WITH toc AS ({FIX_TOC_SQL}), anywhere AS (SELECT source, title AS norm, arg_max(level, seq) AS any_level
- FROM toc GROUP BY 1, 2), valid AS (SELECT source, title AS norm FROM toc UNION SELECT source, {_norm_sql('title')} FROM toc),
+def _fix_sql(hints):
+    """Levels are looked up in the hinted section of the file first, then anywhere."""
+    names = ", ".join(f"({i}, '{piece}', '{name.lower()}')" for i, (piece, name) in enumerate(hints))
+    return f"""WITH toc AS ({FIX_TOC_SQL}), placed AS (SELECT *, {_norm_sql('title')} AS norm,
+ last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq) AS section FROM toc),
+ hints(place, piece, wanted) AS (VALUES {names}),
+ owners AS (SELECT source, place, piece, arg_min(title, seq) AS section FROM toc, hints WHERE level = 1 AND contains(lower(title), wanted) GROUP BY ALL),
+ chosen AS (SELECT doc_path, arg_min(o.section, o.place) AS section FROM ({MD_SQL}) d JOIN owners o ON d.source = o.source
+  AND contains(lower(regexp_extract(d.doc_path, '[^/]*$')), o.piece) GROUP BY 1),
+ inner_levels AS (SELECT source, section, norm, arg_min(level, seq) AS level FROM placed WHERE section IS NOT NULL GROUP BY ALL),
+ anywhere AS (SELECT source, title AS norm, arg_max(level, seq) AS any_level FROM toc GROUP BY 1, 2),
+ valid AS (SELECT source, title AS norm FROM toc UNION SELECT source, {_norm_sql('title')} FROM toc),
  h AS (SELECT *, {_norm_sql('title')} AS norm FROM ({HEADER_ROWS_SQL})),
- fixed AS (SELECT h.doc_path, h.line_no, CASE WHEN v.norm IS NULL THEN h.title WHEN a.any_level IS NULL THEN h.line
- WHEN {sql_strip('h.line')} = repeat('#', a.any_level) || ' ' || h.norm THEN h.line
- ELSE repeat('#', a.any_level) || ' ' || h.norm END AS line FROM h LEFT JOIN valid v ON h.source = v.source AND h.norm = v.norm
- LEFT JOIN anywhere a ON h.source = a.source AND h.norm = a.norm),
+ leveled AS (SELECT h.*, v.norm IS NOT NULL AS known, coalesce(i.level, a.any_level) AS new_level FROM h LEFT JOIN valid v ON h.source = v.source AND h.norm = v.norm
+ LEFT JOIN anywhere a ON h.source = a.source AND h.norm = a.norm LEFT JOIN chosen c ON h.doc_path = c.doc_path
+ LEFT JOIN inner_levels i ON h.source = i.source AND c.section = i.section AND h.norm = i.norm),
+ fixed AS (SELECT doc_path, line_no, CASE WHEN NOT known THEN title WHEN new_level IS NULL THEN line
+ WHEN {sql_strip('line')} = repeat('#', new_level) || ' ' || norm THEN line ELSE repeat('#', new_level) || ' ' || norm END AS line FROM leveled),
  l AS (SELECT doc_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
  FROM ({MD_SQL})) SELECT l.doc_path, string_agg(coalesce(f.line, l.line), chr(10) ORDER BY l.line_no) AS text FROM l
- LEFT JOIN fixed f ON l.doc_path = f.doc_path AND l.line_no = f.line_no GROUP BY 1""")
+ LEFT JOIN fixed f ON l.doc_path = f.doc_path AND l.line_no = f.line_no GROUP BY 1"""
+
+
+@add("fix_headers", _fix_sql([("no such file", "x")]))
 def _(spark, sf):
     return H.fix_headers(md_docs(spark, sf), _fix_toc(spark, sf), hints=[("no such file", "x")]).select("doc_path", "text")
 
 
+# the first hint names no section, the others name pieces of real ones
+SECTION_HINTS = [("doc-", "no such section"), ("doc-1", "Ing"), ("2", "er"), ("doc-", "e")]
+
+
+@add("fix_headers_sections", _fix_sql(SECTION_HINTS))
+def _(spark, sf):
+    return H.fix_headers(md_docs(spark, sf), _fix_toc(spark, sf), hints=SECTION_HINTS).select("doc_path", "text")
+
+
 # ---- cleaning -------------------------------------------------------------------------------------
 def _re(expr, pattern, replacement=""):
     return f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', '{replacement}', 'g')"

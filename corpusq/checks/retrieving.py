@@ -334,6 +334,46 @@ def _(spark, sf):
     return X.split_reasoning(tag_stream(spark, sf))
 
 
+# closing tags without an opening one, nested and unclosed tags; an unclosed one runs into the next turn
+STRAY = {0: ["</think>", ("left", 9), "<think>", ("left", 30), "</think></think>", ("all",)],
+         1: [("left", 12), "<think>", ("left", 7), "<think>", ("left", 8), "</think>", ("all",)],
+         2: ["</think></think>", ("left", 5), "<think>", ("all",), "</think>", ("left", 6), "</think>", ("left", 3)]}
+
+
+def _stray_sql():
+    part = {"left": lambda n: f"left(text, {n})", "all": lambda: "text"}
+    texts = {k: " || ".join(f"'{p}'" if isinstance(p, str) else part[p[0]](*p[1:]) for p in parts) for k, parts in STRAY.items()}
+    return f"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN {texts[0]} WHEN 1 THEN {texts[1]} ELSE {texts[2]} END AS text FROM conversations"
+
+
+def stray(spark, sf):
+    part = {"left": lambda n: F.left("text", F.lit(n)), "all": lambda: F.col("text")}
+    texts = {k: F.concat(*[F.lit(p) if isinstance(p, str) else part[p[0]](*p[1:]) for p in parts]) for k, parts in STRAY.items()}
+    kind = F.col("turn") % 3
+    return load(spark, sf, "conversations").select(
+        "conv_id", "turn", F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).otherwise(texts[2]).alias("text"))
+
+
+# the rule, one token after the other: an opening tag goes one deeper, a closing tag one up, but only from inside
+STRAY_SQL = f"""WITH RECURSIVE tokens AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS n, token FROM (
+ SELECT conv_id, turn, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT conv_id, turn,
+ list_filter(string_split(replace(replace(text, '<think>', chr(1) || '<think>' || chr(1)), '</think>', chr(1) || '</think>' || chr(1)), chr(1)),
+ lambda p: p <> '') AS t FROM ({_stray_sql()})))),
+ walk AS (SELECT conv_id, 0::BIGINT AS n, ''::VARCHAR AS token, 0 AS depth FROM (SELECT DISTINCT conv_id FROM tokens) UNION ALL
+ SELECT t.conv_id, t.n, t.token, CASE WHEN t.token = '<think>' THEN depth + 1 WHEN t.token = '</think>' AND depth > 0 THEN depth - 1 ELSE depth END
+ FROM walk w JOIN tokens t ON t.conv_id = w.conv_id AND t.n = w.n + 1)
+ SELECT conv_id, coalesce(string_agg(token, '' ORDER BY n) FILTER (depth > 0), '') AS thinking,
+ coalesce(string_agg(token, '' ORDER BY n) FILTER (depth = 0), '') AS answer FROM walk WHERE token NOT IN ('<think>', '</think>') GROUP BY 1"""
+
+
+@add("split_reasoning_stray", STRAY_SQL)
+def _(spark, sf):
+    # a turn has its own range of positions, so turns of any length stay apart
+    tokens = X.tag_tokens(stray(spark, sf), ["conv_id", "turn"]).select(
+        "conv_id", (F.shiftleft("turn", 32) + F.col("seq")).alias("seq"), "token")
+    return X.split_reasoning(tokens).drop("part")
+
+
 @add("embed_texts", f"""SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length, {TOKENS.format("text")} AS words FROM documents""")
 def _(spark, sf):
     vec = R.embed_texts(documents(spark, sf).select("doc_id", "text"), dim=64)

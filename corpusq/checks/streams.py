@@ -6,7 +6,7 @@ from corpusq.checks.chunking import PACK_SQL
 from corpusq.checks.fixtures import documents
 from corpusq.checks.recording import REPLAY_SQL, change_base, change_log
 from corpusq.checks.registry import Checks
-from corpusq.checks.retrieving import tagged
+from corpusq.checks.retrieving import STRAY_SQL, stray, tagged
 from corpusq.functions import extensions as U, text as T
 from corpusq.operators import chunks as C, labelling as L
 from corpusq.plans.scratch import shared_folder
@@ -104,16 +104,13 @@ def _(spark, sf):
 
 
 # turns of a conversation one after the other, cut into pieces of seven characters, so tags are cut too
-@add("stream_split_reasoning", """SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN lower(left(text, 30)) ELSE 'a' || left(text, 9) || 'b' END, '' ORDER BY turn) AS thinking,
- string_agg(CASE WHEN turn % 2 = 0 THEN left(text, 20) || text ELSE text END, '' ORDER BY turn) AS answer FROM conversations GROUP BY 1""")
-def _(spark, sf):
-    pieces = tagged(spark, sf).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).alias("i", "token"))
-    ends = load(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    tokens = pieces.join(ends, "conv_id").withColumn("seq", F.col("turn") * 100000 + F.col("i"))
+def _split_stream(spark, sf, messages, name):
+    pieces = messages.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).alias("i", "token"))
+    tokens = pieces.withColumn("seq", F.shiftleft("turn", 32) + F.col("i"))
     last = tokens.groupBy("conv_id").agg(F.max("seq").alias("last_seq"))
     tokens = tokens.join(last, "conv_id").select("conv_id", "seq", "token", (F.col("seq") == F.col("last_seq")).alias("is_last"))
-    store = shared_folder(spark, "reasoning")
-    J.run_once(J.stream_split_reasoning(_as_stream(spark, tokens, "tokens", "conv_id")), store + "/out", store + "/checkpoint")
+    store = shared_folder(spark, name)
+    J.run_once(J.stream_split_reasoning(_as_stream(spark, tokens, name + "-tokens", "conv_id")), store + "/out", store + "/checkpoint")
     rows = spark.read.parquet(store + "/out")
     items = F.array_sort(F.collect_list(F.struct("out_seq", "inside", "text")))
 
@@ -122,6 +119,17 @@ def _(spark, sf):
     return rows.groupBy("conv_id").agg(items.alias("i")).select("conv_id", text(True).alias("thinking"), text(False).alias("answer"))
 
 
+@add("stream_split_reasoning", """SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN lower(left(text, 30)) ELSE 'a' || left(text, 9) || 'b' END, '' ORDER BY turn) AS thinking,
+ string_agg(CASE WHEN turn % 2 = 0 THEN left(text, 20) || text ELSE text END, '' ORDER BY turn) AS answer FROM conversations GROUP BY 1""")
+def _(spark, sf):
+    return _split_stream(spark, sf, tagged(spark, sf), "reasoning")
+
+
+@add("stream_split_reasoning_stray", STRAY_SQL)
+def _(spark, sf):
+    return _split_stream(spark, sf, stray(spark, sf), "stray")
+
+
 # ---- pluggable functions -----------------------------------------------------------------
 @add("register_tokenizer", "SELECT doc_id, length(text)::INT AS tokens FROM documents")
 def _(spark, sf):

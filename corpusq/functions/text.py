@@ -145,7 +145,9 @@ def estimate_chunks(column, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_O
 
 # ---- titles and file names ----------------------------------------------------------
 def _capitalise(word) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 20)))
+    """A first letter that is several in upper case keeps only the first of them large (ß gives Ss)."""
+    first = F.upper(F.substring(word, 1, 1))
+    return F.concat(F.substring(first, 1, 1), F.lower(F.concat(F.substring(first, 2, 8), F.substring(word, 2, 1 << 30))))
 
 
 def normalise_title(column, variations=None, special_cases=None) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusq.functions import fixed_values as fv
 from corpusq.functions.text import count_tokens, file_name, title_case
-from corpusq.plans.ordered import neighbours, running_sum, top_k
+from corpusq.plans.ordered import floored_sum, neighbours, top_k
 
 
 def _joined(group, order, text, glue):
@@ -131,11 +131,12 @@ def reasoning_tokens(tokens: DataFrame, key: str = "conv_id", pos: str = "seq",
                      open_tag: str = OPEN_TAG, close_tag: str = CLOSE_TAG) -> DataFrame:
     """(key, pos, inside, token) of tokenised messages without the tags; a tag is a token of its own.
 
-    Depth is a running sum that is cut into position ranges and nothing is
-    gathered, so one endless stream is no hot task.
+    A closing tag outside thinking is ignored: depth never falls below zero.
+    The scan is cut into position ranges and nothing is gathered, so one
+    endless stream is no hot task.
     """
     step = F.when(F.col(token) == open_tag, 1).when(F.col(token) == close_tag, -1).otherwise(0)
-    deep = running_sum(tokens.withColumn("_step", step), [key], pos, "_step", "_depth")
+    deep = floored_sum(tokens.withColumn("_step", step), [key], pos, "_step", "_depth")
     return deep.filter(F.col("_step") == 0).select(key, pos, (F.col("_depth") > 0).alias("inside"), token)
 
 

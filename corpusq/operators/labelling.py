@@ -43,7 +43,7 @@ def lexicon_score(texts: DataFrame, lexicon, key: str, text: str = "text", caps:
 
 
 def _joined_score(texts, lexicon, key, text, caps, limit) -> DataFrame:
-    hits = contains_join(texts.select(key, F.col(text).alias("_body")), "_body", lexicon, "term")
+    hits = contains_join(texts.select(key, F.col(text).alias("_body")), "_body", lexicon, "term").drop("_body")
     scored = hits.groupBy(key, "category").agg(
         F.sum(F.col("weight").cast(SCORE)).cast(SCORE).alias("score"),
         F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("_f"))

@@ -1,6 +1,8 @@
 """Exact "text contains term" joins between two tables that may both be large.
 
-Instead of comparing every text with every term, each term is filed under one
+A list of terms that fits a few automata (``plans/automaton.py``) is held by
+every task, which walks each text once: nothing is exploded but the pairs
+found.  A longer list is joined through n-grams.  Instead of comparing every text with every term, each term is filed under one
 of its character n-grams, the one fewest texts hold, and each text under all
 of its n-grams.  Only pairs that meet on a gram are compared.  The result is
 exact: a text that contains a term contains the term's gram.
@@ -13,8 +15,12 @@ to the adaptive execution, which splits a gram or a text that very many rows sha
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions.arrays import let
+from corpusq.plans.automaton import term_numbers
+from corpusq.plans.bounded import TooLarge, small_rows
 
 GRAM = 3
+#: Terms that may come to the driver to be built into automata.
+HELD_TERMS = 100_000
 
 
 def _grams(column: Column, sizes) -> Column:
@@ -31,16 +37,43 @@ def _anchor_grams(term: Column) -> Column:
     return F.when(F.length(term) < GRAM, F.array(term)).otherwise(_grams(term, [GRAM]))
 
 
+def held_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str, limit: int = HELD_TERMS) -> DataFrame:
+    """``texts`` with ``_term``, one row per distinct lower-case term that ``text`` contains; TooLarge for too many terms.
+
+    A narrow stage: the text stays where it is, and a term that every text
+    contains makes rows, but no key.
+    """
+    spark = texts.sparkSession
+    rows = small_rows(terms.select(F.lower(F.col(term)).alias("t")).filter("t <> ''").distinct(), limit)
+    listed = sorted(r["t"] for r in rows)
+    number = term_numbers(spark, F.lower(F.col(text)), listed)
+    names = F.broadcast(spark.createDataFrame(list(enumerate(listed)), "_number int, _term string"))  # at most ``limit`` rows
+    return texts.withColumn("_number", F.explode(number)).join(names, "_number").drop("_number")
+
+
 def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, on: list[str] | None = None,
-                  how: str = "inner") -> DataFrame:
+                  how: str = "inner", held_terms: int = HELD_TERMS) -> DataFrame:
     """Pairs where ``text`` contains ``term`` (case folded), equal on ``on``.
 
     ``how`` may be "inner" or "left_terms" (keep terms without a match).
     Rows of both inputs are kept whole; ``texts`` and ``terms`` must not share
-    column names other than ``on``.  Nulls and empty terms match nothing.
+    column names other than ``on``.  Nulls and empty terms match nothing.  Up
+    to ``held_terms`` distinct terms are walked by automata.
     """
     on = on or []
     terms = terms.withColumn("_term", F.lower(F.col(term)))
+    try:
+        pairs = terms.join(held_pairs(texts, text, terms, term, held_terms), ["_term", *on])
+    except TooLarge:
+        pairs = _gram_pairs(texts, text, terms, on)
+    if how == "inner":
+        return pairs.drop("_term")
+    keys = terms.columns
+    missed = terms.join(pairs.select(*keys).distinct(), keys, "left_anti")
+    return pairs.unionByName(missed, allowMissingColumns=True).drop("_term")
+
+
+def _gram_pairs(texts: DataFrame, text: str, terms: DataFrame, on: list[str]) -> DataFrame:
     texts = texts.withColumn("_text", F.lower(F.col(text))).withColumn("_tid", F.unhex(F.md5(F.col("_text").cast("binary"))))
     per_term = (terms.select("_term").filter("_term <> ''").distinct()
                 .select("_term", F.explode(_anchor_grams(F.col("_term"))).alias("_gram")))
@@ -54,9 +87,4 @@ def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, on:
                .filter("_best.h > 0").select("_term", F.col("_best._gram").alias("_gram")))
     candidates = held.join(anchors, "_gram").select("_tid", "_term").distinct()
     verified = texts.join(candidates, "_tid").filter(F.contains(F.col("_text"), F.col("_term"))).drop("_tid", "_text")
-    pairs = terms.join(verified, ["_term", *on])
-    if how == "inner":
-        return pairs.drop("_term")
-    keys = terms.columns
-    missed = terms.join(pairs.select(*keys).distinct(), keys, "left_anti")
-    return pairs.unionByName(missed, allowMissingColumns=True).drop("_term")
+    return terms.join(verified, ["_term", *on])

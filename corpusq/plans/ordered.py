@@ -59,6 +59,28 @@ def running_sum(df: DataFrame, group: list[str], pos: str, value: str, out: str,
             .select(*df.columns, (F.col("_inner") + F.col("_offset")).alias(out)))
 
 
+def floored_sum(df: DataFrame, group: list[str], pos: str, value: str, out: str, width: int = RANGE) -> DataFrame:
+    """Inclusive running sum that never falls below zero: each step is max(0, sum before + ``value``).
+
+    The floored sum is the running sum minus its lowest value so far, if that is
+    below zero.  (total, lowest) of two neighbouring runs combine to that of both,
+    so one row per range carries the state and no group is walked by one task.
+    """
+    ranged = _ranged(df, pos, width)
+    inner = (Window.partitionBy(*group, "_range").orderBy(pos)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    outer = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (ranged.withColumn("_inner", F.sum(value).over(inner))
+            .withColumn("_inner_low", F.min("_inner").over(inner)))
+    ends = (rows.groupBy(*group, "_range").agg(F.sum(value).alias("_total"), F.min("_inner").alias("_lowest"))
+            .withColumn("_offset", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
+            .withColumn("_low", F.coalesce(F.min(F.col("_offset") + F.col("_lowest")).over(outer), F.lit(0)))
+            .select(*group, "_range", "_offset", "_low"))
+    total, low = F.col("_inner") + F.col("_offset"), F.col("_inner_low") + F.col("_offset")
+    return (_with_borders(rows, ends, group)
+            .select(*df.columns, (total - F.least(F.lit(0), "_low", low)).alias(out)))
+
+
 def last_value(df: DataFrame, group: list[str], pos: str, values: dict, width: int = RANGE) -> DataFrame:
     """Most recent non-null value up to and including the row, for each ``{out: Column}``."""
     named = _ranged(df, pos, width)

@@ -162,22 +162,34 @@ def stream_job_status(progress: DataFrame, retention: int = fv.JOB_RETENTION_SEC
 
 # ---- reasoning tags ----------------------------------------------------------------------------
 class ReasoningSplitter(StatefulProcessor):
-    """Depth and a possible tag prefix per conversation; tags may be cut anywhere between tokens."""
+    """Depth and a possible tag prefix per conversation; tags may be cut anywhere between tokens.
 
-    def __init__(self, open_tag: str, close_tag: str):
-        self.tags = {open_tag: 1, close_tag: -1}
+    A closing tag outside thinking is ignored.  The state of a conversation ends
+    with its last token.  With ``idle_seconds`` the stream runs on event time (column
+    ts, under a watermark): a conversation without a last token ends that long
+    after its newest token, and what was held as a possible tag is given out as text.
+    """
+
+    def __init__(self, open_tag: str, close_tag: str, idle_seconds: int | None = None):
+        self.tags, self.idle = {open_tag: 1, close_tag: -1}, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "depth int, held string, out_seq bigint")
+        self.handle = handle
+        self.state = handle.getValueState("state", "depth int, held string, out_seq bigint, newest bigint")
 
     def _held_length(self, text: str) -> int:
         """Length of the longest end of the text that could still become a tag."""
         return max((n for tag in self.tags for n in range(1, len(tag)) if text.endswith(tag[:n])), default=0)
 
+    def _forget(self) -> None:
+        self.state.clear()
+        for timer in list(self.handle.listTimers()) if self.idle else ():
+            self.handle.deleteTimer(timer)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        depth, held, number = self.state.get() if self.state.exists() else (0, "", 0)
+        depth, held, number, newest = self.state.get() if self.state.exists() else (0, "", 0, 0)
         tokens = pd.concat(list(rows)).sort_values("seq")
-        out = []
+        out, ended = [], False
 
         def emit(text):
             nonlocal number
@@ -192,24 +204,45 @@ class ReasoningSplitter(StatefulProcessor):
                     break
                 at, tag = min(found)
                 emit(text[:at])
-                depth += self.tags[tag]
+                depth = max(0, depth + self.tags[tag])
                 text = text[at + len(tag):]
             keep = 0 if last else self._held_length(text)
             emit(text[:len(text) - keep])
-            held = text[len(text) - keep:]
-        self.state.update((depth, held, number))
+            held, ended = text[len(text) - keep:], ended or bool(last)
+        if ended:
+            self._forget()
+        else:
+            if self.idle:
+                newest = max(newest, int(tokens["ts"].max().timestamp() * 1000))
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(newest + self.idle * 1000)
+            self.state.update((depth, held, number, newest))
         yield pd.DataFrame(out, columns=["conv_id", "out_seq", "inside", "text"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        depth, held, number, _ = self.state.get() if self.state.exists() else (0, "", 0, 0)
+        self.state.clear()
+        yield pd.DataFrame([(key[0], number, depth > 0, held)] if held else [], columns=["conv_id", "out_seq", "inside", "text"])
+
     def close(self) -> None:
         pass
 
 
-def stream_split_reasoning(tokens: DataFrame, open_tag: str = "<think>", close_tag: str = "</think>") -> DataFrame:
-    """(conv_id, out_seq, inside, text) of a token stream (conv_id, seq, token, is_last)."""
+def stream_split_reasoning(tokens: DataFrame, open_tag: str = "<think>", close_tag: str = "</think>",
+                           idle_seconds: int | None = None, lateness: str = "1 minute") -> DataFrame:
+    """(conv_id, out_seq, inside, text) of a token stream (conv_id, seq, token, is_last).
+
+    With ``idle_seconds`` the tokens also carry their time in ts; rows later than
+    the watermark are dropped, so none can revive a conversation that has ended.
+    """
     use_keyed_state(tokens.sparkSession)
+    if idle_seconds:
+        tokens = tokens.withWatermark("ts", lateness)
     return tokens.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=ReasoningSplitter(open_tag, close_tag), outputStructType="conv_id bigint, out_seq bigint, inside boolean, text string",
-        outputMode="Append", timeMode="None")
+        statefulProcessor=ReasoningSplitter(open_tag, close_tag, idle_seconds),
+        outputStructType="conv_id bigint, out_seq bigint, inside boolean, text string",
+        outputMode="Append", timeMode="EventTime" if idle_seconds else "None")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -7,7 +7,7 @@ import pytest
 
 from corpusq.functions import scoring as SC
 from corpusq.operators import chunks as C, labelling as L, retrieval as R
-from corpusq.plans import bounded, containment, nesting, ordered, vectors
+from corpusq.plans import automaton, bounded, containment, nesting, ordered, vectors
 from corpusq.plans.once import compute_once
 
 
@@ -63,34 +63,75 @@ def test_salted_join(hot, how):
     assert nesting.salted_join(hot, small, ["g"], "pos", how).count() == hot.join(small, "g", how).count()
 
 
-def test_contains_join(spark):
+@pytest.mark.parametrize("held", [containment.HELD_TERMS, 0])
+def test_contains_join(spark, held):
     rng = random.Random(5)
     texts = [(i, "".join(rng.choice("abC ") for _ in range(rng.randint(0, 14)))) for i in range(200)]
     terms = [(i, "".join(rng.choice("aBc") for _ in range(rng.randint(1, 5)))) for i in range(40)] + [(99, "zzzz"), (98, "")]
     t, k = spark.createDataFrame(texts, "tid int, body string"), spark.createDataFrame(terms, "kid int, word string")
-    got = {(r["tid"], r["kid"]) for r in containment.contains_join(t, "body", k, "word").collect()}
+    got = {(r["tid"], r["kid"]) for r in containment.contains_join(t, "body", k, "word", held_terms=held).collect()}
     assert got == {(i, j) for i, body in texts for j, word in terms if word and word.lower() in body.lower()}
-    left = containment.contains_join(t, "body", k, "word", how="left_terms")
+    left = containment.contains_join(t, "body", k, "word", how="left_terms", held_terms=held)
     assert {r["kid"] for r in left.filter("tid IS NULL").collect()} >= {98, 99}
 
 
-def test_contains_join_nulls_copies_and_long_texts(spark):
+@pytest.mark.parametrize("held", [containment.HELD_TERMS, 0])
+def test_contains_join_nulls_copies_and_long_texts(spark, held):
     long = "é😀 " * 40000 + "Needle"
     texts = [(1, "x", long), (2, "y", long), (3, "x", None), (4, "x", ""), (5, "x", "a😀b")]
     terms = [(1, "x", "NEEDLE"), (2, "x", "😀b"), (3, "x", None), (4, "x", ""), (5, "y", "needle"), (6, "x", "é"), (7, "x", "needles")]
     t = spark.createDataFrame(texts, "tid int, g string, body string")
     k = spark.createDataFrame(terms, "kid int, g string, word string")
-    got = sorted((r["tid"], r["kid"]) for r in containment.contains_join(t, "body", k, "word", on=["g"]).collect())
+    got = sorted((r["tid"], r["kid"]) for r in containment.contains_join(t, "body", k, "word", on=["g"], held_terms=held).collect())
     assert got == [(1, 1), (1, 6), (2, 5), (5, 2)]
 
 
 def test_contains_join_explodes_no_text(spark):
     t, k = spark.createDataFrame([(1, "abc")], "tid int, body string"), spark.createDataFrame([(1, "b")], "kid int, word string")
-    plan = containment.contains_join(t, "body", k, "word")._jdf.queryExecution().optimizedPlan().toString()
+    plan = containment.contains_join(t, "body", k, "word", held_terms=0)._jdf.queryExecution().optimizedPlan().toString()
     generates = [line for line in plan.splitlines() if "Generate explode" in line]
     assert generates and all("_text" not in line.split("false, [")[-1] for line in generates)
 
 
+def test_held_terms_shuffle_no_text(spark):
+    t, k = spark.range(100).select("id", F.col("id").cast("string").alias("body")), spark.createDataFrame([("7",)], "word string")
+    found = containment.held_pairs(t, "body", k, "word")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange hashpartitioning" not in plan and found.count() == 19
+    with pytest.raises(bounded.TooLarge):
+        containment.held_pairs(t, "body", t.select(F.col("body").alias("word")), "word", limit=99)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_automaton_finds_what_contains_finds(seed):
+    rng = random.Random(seed)
+    terms = sorted({"".join(rng.choices("abcé", k=rng.randint(1, 6))) for _ in range(60)} | {"b" * 1500})
+    texts = ["".join(rng.choices("abcdé ", k=rng.choice([0, 1, 6, 60, 4000]))) for _ in range(25)] + ["ab" * 900 + "b" * 1500, "x" * 5000, terms[0]]
+    want = {(i, j) for i, t in enumerate(texts) for j, w in enumerate(terms) if w in t}
+    for table_bytes in (1 << 20, 900):
+        automata = automaton.build(terms, table_bytes, 1000)
+        found = [a.found([t.encode() for t in texts]) for a in automata]
+        assert {(i, j) for text, term in found for i, j in zip(text.tolist(), term.tolist())} == want
+    assert len(automata) > 5
+    with pytest.raises(bounded.TooLarge):
+        automaton.build(terms, 900, 2)
+
+
+def test_floored_sum(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for g in (0, 1, None):
+        depth = 0
+        for pos in range(0, 400, 2):
+            step = rng.choice([-1, -1, 0, 1, 1]) if g != 1 else rng.choice([-1, -1, -1, 1])
+            depth = max(0, depth + step)
+            rows.append((g, pos, step))
+            want[g, pos] = depth
+    df = spark.createDataFrame(rows, "g int, pos long, v int")
+    for width in (1, 7, 1000):
+        assert {(r["g"], r["pos"]): r["d"] for r in ordered.floored_sum(df, ["g"], "pos", "v", "d", width).collect()} == want
+
+
 def test_small_rows(spark):
     assert len(bounded.small_rows(spark.range(5), 5)) == 5
     with pytest.raises(bounded.TooLarge):
