@@ -1,5 +1,6 @@
 """Registry, libraries, records and streams on hand-written rows."""
 
+import datetime
 import time
 
 from pyspark.sql import functions as F
@@ -224,3 +225,45 @@ def test_the_labeller_gets_the_whole_text(spark):
     method = "classification_method"
     assert U.label_and_correct(df, U.register_labeller(model)).first()[method] == "llm_semantic"
     assert U.label_and_correct(df, U.register_labeller(model), cut=4000).first()[method] == "pattern_fallback"
+
+
+def _token_batches(spark, tmp_path, batches):
+    """One file per micro-batch of (conv_id, seq, token, is_last, second)."""
+    folder = tmp_path / "tokens"
+    schema = "conv_id long, seq long, token string, is_last boolean, ts timestamp"
+    start = datetime.datetime(2024, 1, 1)
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(c, s, t, e, start + datetime.timedelta(seconds=x)) for c, s, t, e, x in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1)  # files are taken in order of their time of change
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def _split_rows(spark, stream, tmp_path):
+    out, seen = str(tmp_path / "out"), []
+    query = (stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "checkpoint"))
+             .foreachBatch(lambda df, i: seen.extend((r["conv_id"], r["out_seq"], r["inside"], r["text"]) for r in df.collect()))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    return seen, rows
+
+
+def test_reasoning_state_ends_with_the_last_token(spark, tmp_path):
+    batches = [[(1, 0, "a</think>b<th", False, 0), (2, 0, "x<think>y", False, 0)], [(1, 1, "ink>c</think>d", True, 1)],
+               [(2, 1, "</think>z", True, 2), (1, 2, "new <think>m", False, 3)]]
+    rows, held = _split_rows(spark, J.stream_split_reasoning(_token_batches(spark, tmp_path, batches).drop("ts")), tmp_path)
+    # a row after the last token starts a new message
+    assert sorted(r for r in rows if r[0] == 2) == [(2, 0, False, "x"), (2, 1, True, "y"), (2, 2, False, "z")]
+    assert [r[2:] for r in rows if r[0] == 1] == [(False, "a"), (False, "b"), (True, "c"), (False, "d"), (False, "new "), (True, "m")]
+    assert held == [2, 1, 1]
+
+
+def test_idle_reasoning_state_ends_by_event_time(spark, tmp_path):
+    batches = [[(1, 0, "a<think>b<", False, 0), (2, 0, "x", False, 0)], [(2, 1, "y", False, 500)], [(2, 2, "z", False, 501)],
+               [(1, 1, "late</think>", False, 1), (2, 3, "!", True, 502)]]
+    stream = J.stream_split_reasoning(_token_batches(spark, tmp_path, batches), idle_seconds=100, lateness="10 seconds")
+    rows, held = _split_rows(spark, stream, tmp_path)
+    # the possible tag comes out when the conversation is given up; what arrives after that is too late
+    assert [r[2:] for r in rows if r[0] == 1] == [(False, "a"), (True, "b"), (True, "<")]
+    assert "".join(r[3] for r in rows if r[0] == 2) == "xyz!" and held[-1] == 0
