@@ -25,6 +25,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame, functions as F
 
 from corpusq.llm.arrow import extend, pieces, text_bytes
+from corpusq.llm.columns import hold, release
 from corpusq.plans.scratch import shared_folder
 from corpusq.plans.shipping import Held
 
@@ -268,3 +269,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         block.order(_frequencies(docs, Held(spark, block)) if rows else {})
         out = _add_block(out, Held(spark, block))
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents, whole and with their own columns untouched, in which no window occurs."""
+    need = ["doc_id", "text"]
+    found = find_contamination(hold(docs, need), benchmark, size)
+    return release(found.filter("size(hit_spans) = 0"), docs.columns, need)

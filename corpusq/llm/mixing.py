@@ -9,11 +9,13 @@ its id is below the fraction of the rate.
 Nulls: a null text has size 0; a null source is a source of its own, ordered
 last; a null id takes the hash of the word "null".  Rows with one id take the same decision.
 A source without words has target 0 and rate 0.  An empty table gives an empty
-result.  Other columns are kept; columns named like a result are replaced.
+result.  ``mix`` returns the documents' own columns untouched whatever their
+names; in ``mixing_plan`` columns named like a result are replaced.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusq.llm.columns import hold, release
 from corpusq.plans.scratch import shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,6 +81,6 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str =
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns it came with."""
-    plan = mixing_plan(docs, weights, most, seed).filter("copies > 0")
-    return (plan.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    need = ["doc_id", "source", "text"]
+    plan = mixing_plan(hold(docs, need), weights, most, seed).filter("copies > 0")
+    return release(plan.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))), docs.columns, need)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusq.llm import chat, decontam, digest, fim, hnsw, lookup, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from corpusq.llm.columns import hold, release
 from corpusq.llm.labelled import crc_mod
 from corpusq.plans.scratch import shared_folder
 from corpusq.session import load
@@ -271,10 +272,18 @@ def toxicity_scores(docs, labels):
             .withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.7).cast("int")))
 
 
+def without_toxic(docs, labels):
+    """The documents, whole and with their own columns untouched, that are not predicted to be toxic."""
+    need = ["doc_id", "text"]
+    return release(toxicity_scores(hold(docs, need), labels).filter("predicted = 0"), docs.columns, need)
+
+
 @register("op10_toxicity")
 def op10_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity_scores(docs, load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    spans = F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return toxicity_scores(docs, load(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", F.array_join(spans, ",").alias("toxic_spans"))
 
 
 # ---- 5 vectors

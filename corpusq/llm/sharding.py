@@ -9,7 +9,7 @@ again and again and adds them in opposite order.
 
 Nulls: a null text has no bytes, crc32 0 and shares the group of the empty
 text.  Repeated rows each get a slot.  An empty table gives an empty result.
-Other columns are kept; columns named like a result are replaced.
+Other columns are kept whatever their names; one named like a result comes as own_<name>.
 """
 
 import heapq
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusq.llm.columns import OWN, hold, release
 from corpusq.plans.scratch import shared_folder
 
 SHARDS = 24
@@ -111,20 +112,23 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, k
     """Documents with size, text_crc32, shard and slot.  ``keep`` limits the other columns that are carried along."""
     spark = docs.sparkSession
     added = ["size", "text_crc32", "shard", "slot"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
+    keep = docs.columns if keep is None else keep
+    need = [c for c in ("doc_id", "text") if c == "doc_id" or c in keep]
     items = item_shards(docs, shards, grain)
     large = F.broadcast(items.filter("own").select("group_id", F.col("shard").alias("_own_shard")))
     small = F.broadcast(items.filter("not own").select("bundle", F.col("shard").alias("_bundle_shard")))
-    placed = (docs.select(*[F.col(f"`{c}`") for c in keep], text_size().alias("size"),
-                          F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("bigint").alias("text_crc32"),
-                          _group().alias("group_id"))
+    carried = hold(docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "text")]), ["doc_id", "text"])
+    placed = (carried.select(*need, OWN, text_size().alias("size"),
+                             F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("bigint").alias("text_crc32"),
+                             _group().alias("group_id"))
               .withColumn("bundle", F.pmod(F.xxhash64("group_id"), F.lit(shards * grain)).cast("int"))
               .join(large, "group_id", "left").join(small, "bundle", "left")
               .withColumn("shard", F.coalesce("_own_shard", "_bundle_shard"))
               .drop("_own_shard", "_bundle_shard", "bundle"))
     path = shared_folder(spark, "shard-rows")
     placed.write.parquet(path)
-    return number_rows(spark.read.parquet(path), "shard", ["doc_id", "group_id"], "slot").drop("group_id")
+    numbered = number_rows(spark.read.parquet(path), "shard", ["doc_id", "group_id"], "slot")
+    return release(numbered, keep, need, added)
 
 
 def write_shards(sharded: DataFrame, path: str, shards: int = SHARDS) -> None:

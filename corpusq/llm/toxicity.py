@@ -323,16 +323,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> Field:
             parts.append(thin(rows.filter(F.col("label") == label), share[label], "toxicity").select("doc_id", "label").distinct())
     taken = []
     if parts:
-        # the ids of the sample are bounded by it, so texts are picked where they lie
+        # the ids of the sample are bounded by it, so texts are picked where they lie; an id that repeats gives one text
         wanted = F.broadcast(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
-        taken = docs.select("doc_id", "text").join(wanted, "doc_id").collect()
+        taken = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
+                 .groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect())
     taken.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in taken], dtype=np.int64)
     return fit_field([(r["text"] or "").encode() for r in taken], y, np.array([1 / share[v] for v in y.tolist()], dtype=np.float64))
 
 
 def _code_points(data: bytes, spans: list) -> list:
-    return [{"start": len(data[:s].decode("utf-8", "replace")), "end": len(data[:e].decode("utf-8", "replace"))} for s, e in spans]
+    """Ascending byte spans as code point spans, in one run over the text."""
+    out, at, seen = [], 0, 0
+    for start, end in spans:
+        first = seen + len(data[at:start].decode("utf-8", "replace"))
+        seen = first + len(data[start:end].decode("utf-8", "replace"))
+        at = end
+        out.append({"start": first, "end": seen})
+    return out
 
 
 def _toxic_spans(data: bytes, p: np.ndarray) -> list:
