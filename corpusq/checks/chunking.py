@@ -146,7 +146,7 @@ PACK_SQL = f"""WITH RECURSIVE u AS (SELECT doc_id, generate_subscripts(x, 1)::BI
  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS chunk_index, text, token_count FROM out"""
 
 
-def _packed(spark, sf):
+def packed_documents(spark, sf):
     block = F.array(F.struct(F.lit("text").alias("type"), T.strip("text").alias("content")))
     return (documents(spark, sf).filter(T.strip("text") != "")
             .select("doc_id", F.posexplode(P.pack_sentences(block, 120, 20)).alias("chunk_index", "_c"))
@@ -155,7 +155,7 @@ def _packed(spark, sf):
 
 @add("pack_sentences", PACK_SQL)
 def _(spark, sf):
-    return _packed(spark, sf)
+    return packed_documents(spark, sf)
 
 
 @add("overlap_tail", f"""SELECT doc_id, array_to_string(list_slice(x, len(x) - keep + 1, len(x)), ' ') AS tail FROM (SELECT doc_id, x,

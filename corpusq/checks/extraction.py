@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusq.checks.fixtures import sql_any, sql_text
+from corpusq.checks.fixtures import documents, sql_any, sql_strip, sql_text
 from corpusq.checks.labelling import QUESTIONS_SQL, questions, sql_list
 from corpusq.checks.registry import Checks
 from corpusq.functions import fixed_values as fv, scoring as SC, text as T
@@ -286,6 +286,22 @@ def _(spark, sf):
     return L.extract_skills(library_docs(spark, sf)).drop("match_no")
 
 
+# a record that the whole text of a document describes
+DESCRIBED_SQL = f"""SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: {sql_strip('l')}) || ['# End'] AS l FROM documents"""
+_KEPT = "list_filter({0}, lambda x: NOT starts_with(x, '*') AND length(x) > 10)"
+_UNTIL = "list_slice({0}, 1, coalesce(list_position(list_transform({0}, lambda x: regexp_matches(x, '^[#|-]')), true), len({0}) + 1) - 1)"
+
+
+@add("extract_skills_described", f"""SELECT doc_id, array_to_string({_KEPT.format(_UNTIL.format('l'))}, ' ') AS whole,
+ left(array_to_string({_KEPT.format(_UNTIL.format('l[1:3]'))}, ' '), 200) AS short FROM ({DESCRIBED_SQL})""")
+def _(spark, sf):
+    docs = documents(spark, sf).select("doc_id", F.concat(F.lit("- Steady Hand (Log)\n"), "text", F.lit("\n# End")).alias("text"))
+
+    def described(name, **limits):
+        return L.extract_skills(docs, "doc_id", **limits).filter("name = 'Steady Hand'").select("doc_id", F.col("description").alias(name))
+    return described("whole").join(described("short", description_lines=fv.DESCRIPTION_LINES, description_chars=fv.DESCRIPTION_CHARS), "doc_id")
+
+
 QUALITIES_SQL = f"""SELECT doc_path, 'Bad ' || t AS name, 'positive' AS quality_type, p_size AS karma_cost, '1-4' AS rating_range, 'p. ' || p_size AS source_page, '' AS description, 8 AS line_no FROM ({LIB_SQL})
  UNION ALL SELECT doc_path, 'Worse ' || t, 'negative', p_size, '1-4', '', 'has rating 1-4 here', 9 FROM ({LIB_SQL})"""
 

@@ -210,13 +210,13 @@ CATS = [("north", ["tion", "erad", "ouou", "then"]), ("south", ["sch", "und", "d
 EXPANSIONS = {"north": "compass up", "east": "sunrise side"}
 
 
-def _argmax_sql(expr, cats):
+def argmax_sql(expr, cats):
     counts = [sql_count(expr, t) if t else "0" for _, t in cats]
     top = f"greatest({', '.join(counts)})"
     return "CASE WHEN " + f"{top} = 0 THEN 'general' " + " ".join(f"WHEN {c} = {top} THEN '{n}'" for (n, _), c in zip(cats, counts)) + " END"
 
 
-CATEGORY_SQL = f"SELECT question_id, question, {_argmax_sql('lower(question)', CATS)} AS category FROM ({QUESTIONS_SQL})"
+CATEGORY_SQL = f"SELECT question_id, question, {argmax_sql('lower(question)', CATS)} AS category FROM ({QUESTIONS_SQL})"
 
 
 @add("classify_query", f"SELECT question_id, category FROM ({CATEGORY_SQL})")
@@ -237,7 +237,7 @@ ENTITIES_SQL = f"list_filter({sql_list(ALL_TERMS)}, lambda t: contains(lower(que
 ANALYSIS_SQL = f"""SELECT *, least(1.0, (0.5 + least(0.3, len(entities) * 0.1) + CASE WHEN intent <> 'general' THEN 0.2 ELSE 0 END
  + CASE WHEN {sql_any('lower(question)', fv.CLEAR_QUERY_PHRASES)} THEN 0.1 ELSE 0 END)::DECIMAL(6,2)::DOUBLE) AS confidence,
  list_concat(CASE intent WHEN 'weapon' THEN {sql_list(fv.INTENT_BOOSTS['weapon'])} WHEN 'matrix' THEN {sql_list(fv.INTENT_BOOSTS['matrix'])}
- WHEN 'magic' THEN {sql_list(fv.INTENT_BOOSTS['magic'])} ELSE [] END, entities) AS boosts FROM (SELECT question_id, question, {_argmax_sql('lower(question)', INTENTS)} AS intent, {ENTITIES_SQL} AS entities,
+ WHEN 'magic' THEN {sql_list(fv.INTENT_BOOSTS['magic'])} ELSE [] END, entities) AS boosts FROM (SELECT question_id, question, {argmax_sql('lower(question)', INTENTS)} AS intent, {ENTITIES_SQL} AS entities,
  CASE {" ".join(f"WHEN {sql_any('lower(question)', ts)} THEN '{n}'" for n, ts in TYPES)} WHEN contains(question, '?') THEN 'question'
  WHEN len(list_filter(string_split_regex(question, '\\s+'), lambda t: t <> '')) <= 3 THEN 'lookup' ELSE 'explanation' END AS query_type,
  {sql_any('lower(question)', fv.TABLE_QUERY_WORDS)} AS wt, {sql_any('lower(question)', fv.RULE_QUERY_WORDS)} AS wr FROM ({QUESTIONS_SQL}))"""

@@ -5,12 +5,14 @@ Every embedding is a query and a chunk; labels stand for sections.
 
 from pyspark.sql import functions as F
 
-from corpusq.checks.chunking import LINKS_SQL, TOKENS
+from corpusq.checks.chunking import LINKS_SQL, PACK_SQL, TOKENS, packed_documents
 from corpusq.checks.fixtures import CHUNKS_SQL, conversation_chunks, documents, sql_count
-from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, QUESTIONS_SQL, SYN, analysed, questions)
+from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, EXPANSIONS, QUESTIONS_SQL, SYN, analysed, argmax_sql, questions)
 from corpusq.checks.registry import Checks
 from corpusq.functions.text import count_tokens
-from corpusq.operators import chunks as C, context as X, labelling as L, retrieval as R
+from corpusq.functions import extensions as U
+from corpusq.operators import answering as A, chunks as C, context as X, embedding as EM, labelling as L, retrieval as R, vector_index as VI
+from corpusq.plans.scratch import shared_folder
 from corpusq.session import load, load_spread
 
 checks = Checks()
@@ -58,6 +60,35 @@ def _(spark, sf):
     return _rounded(R.knn(_queries(spark, sf), _vectors(spark, sf), 4, query_limit=200))
 
 
+# labels stand for books; a third of the queries names a piece of a book's path
+@add("knn_source_contains", knn_sql(4, on="(q.vec_id % 3 <> 0 OR contains('lib/book-' || c.label || '/x.md', 'k-' || (q.vec_id % 4)))"))
+def _(spark, sf):
+    books = _vectors(spark, sf).withColumn("source", F.concat(F.lit("lib/book-"), F.col("section").cast("string"), F.lit("/x.md")))
+    queries = _queries(spark, sf).withColumn("want", F.when(F.col("question_id") % 3 == 0, F.concat(
+        F.lit("k-"), (F.col("question_id") % 4).cast("string"))))
+    return _rounded(R.knn(queries, books, 4, per_query_contains={"source": "want"}))
+
+
+def _index(spark, sf):
+    store = shared_folder(spark, "vector-index")
+    VI.build_index(_vectors(spark, sf), store, columns=("section",), cells=24, chunk_rows=60)
+    return store
+
+
+# the audit asks every query here, so that the probes are widened until the result is the exact one
+@add("knn_index", knn_sql(5))
+def _(spark, sf):
+    return _rounded(VI.search_index(_queries(spark, sf), _index(spark, sf), 5, recall=1.0, audit=1 << 20))
+
+
+@add("knn_index_filtered", knn_sql(3, on="c.label % 2 = 1 AND (q.label % 3 = 0 OR c.label = q.label)"))
+def _(spark, sf):
+    queries = _queries(spark, sf).withColumn("want", F.when(F.col("want") % 3 != 0, F.col("want")))
+    store = shared_folder(spark, "vector-index")
+    VI.build_index(_vectors(spark, sf).withColumn("odd", F.col("section") % 2), store, columns=("odd", "section"), cells=10)
+    return _rounded(VI.search_index(queries, store, 3, recall=1.0, audit=1 << 20, where={"odd": 1}, per_query={"section": "want"}))
+
+
 @add("unfiltered_counts", "SELECT vec_id AS question_id, 5::BIGINT AS fallback_count FROM embeddings WHERE label % 2 = 0")
 def _(spark, sf):
     queries = _queries(spark, sf).withColumn("want", F.when(F.col("want") % 2 == 0, 99).otherwise(F.col("want")))
@@ -257,6 +288,101 @@ def _(spark, sf):
     return X.render_prompts(asked, contexts, templates)
 
 
+# ---- the whole path: benchmark items and user turns ask the chunks of all documents --------------------------------
+LETTERS = "aeioldnrstu"
+STORE_SQL = f"""SELECT p.*, 'doc-' || doc_id || '_section_0_chunk_' || chunk_index AS chunk_id, 'doc-' || doc_id || '_section_0' AS section_id,
+ 'lib/' || source || '/doc-' || doc_id || '.md' AS source, CASE lang WHEN 'en' THEN 'rulebook' WHEN 'fr' THEN 'big adventure' END AS document_type,
+ 'SR' || (4 + doc_id % 2) AS edition, CASE doc_id % 5 WHEN 0 THEN 'Matrix' WHEN 1 THEN 'Gear' WHEN 2 THEN 'Magic' END AS primary_section, lang AS subsection,
+ CASE WHEN chunk_index > 0 THEN 'doc-' || doc_id || '_section_0_chunk_' || (chunk_index - 1) END AS prev_id,
+ CASE WHEN chunk_index < max(chunk_index) OVER (PARTITION BY doc_id) THEN 'doc-' || doc_id || '_section_0_chunk_' || (chunk_index + 1) END AS next_id
+ FROM ({PACK_SQL}) p JOIN documents USING (doc_id)"""
+REQUESTS_OF_ALL_SQL = """SELECT *, length(question) AS h FROM (SELECT 'item-' || item_id AS question_id, text AS question FROM benchmark UNION ALL
+ SELECT 'conv-' || conv_id || '-' || turn, text FROM conversations WHERE role = 'user')"""
+
+
+def _letters_sql(text):
+    return "[1.0::DOUBLE, " + ", ".join(f"(length({text}) - length(replace({text}, '{x}', '')))::DOUBLE" for x in LETTERS) + "]"
+
+
+def _letter_counts():
+    return lambda texts: [[1.0, *[float(t.count(x)) for x in LETTERS]] for t in texts]
+
+
+ANSWER_SQL = f"""WITH store AS MATERIALIZED (SELECT *, {_letters_sql('text')} AS v FROM ({STORE_SQL})),
+ r AS MATERIALIZED (SELECT *, 1 + h % 6 AS n, CASE WHEN h % 4 = 0 THEN 'rulebook' END AS w_type,
+ CASE WHEN h % 5 = 0 THEN NULL WHEN h % 5 = 1 THEN 'SR4' WHEN h % 2 = 0 THEN 'SR5' END AS w_edition, CASE h % 7 WHEN 0 THEN 'src1' WHEN 1 THEN 'no such source' END AS w_source,
+ CASE WHEN h % 6 = 0 THEN 'Matrix' WHEN h % 6 = 2 THEN NULL WHEN h % 5 = 1 THEN 'Gear' END AS w_section, CASE WHEN h % 9 = 0 THEN 'en' END AS w_sub,
+ CASE category WHEN 'north' THEN question || ' compass up' WHEN 'east' THEN question || ' sunrise side' ELSE question END AS expanded
+ FROM (SELECT *, {argmax_sql('lower(question)', CATS)} AS category FROM ({REQUESTS_OF_ALL_SQL}))),
+ asked AS (SELECT *, {_letters_sql('expanded')} AS qv FROM r),
+ hits AS MATERIALIZED (SELECT * FROM (SELECT question_id, n, s.*, round(1 - list_cosine_similarity(qv, v), 12) AS distance,
+ row_number() OVER (PARTITION BY question_id ORDER BY round(1 - list_cosine_similarity(qv, v), 12), chunk_id) AS place FROM asked a JOIN store s ON
+ (w_type IS NULL OR w_type = s.document_type) AND (w_edition IS NULL OR w_edition = s.edition) AND (w_source IS NULL OR contains(s.source, w_source))
+ AND (w_section IS NULL OR w_section = s.primary_section) AND (w_sub IS NULL OR w_sub = s.subsection)) WHERE place <= n),
+ linked AS (SELECT DISTINCT question_id, id FROM (SELECT question_id, unnest([prev_id, next_id]) AS id FROM hits) WHERE id IS NOT NULL),
+ fresh AS (SELECT question_id, min(chunk_id) AS chunk_id FROM linked l JOIN store s ON l.id = s.chunk_id
+ WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.question_id = l.question_id AND h.text = s.text) GROUP BY question_id, text),
+ both_ AS (SELECT question_id, chunk_id, text, distance, false AS late, source, document_type, edition, primary_section, subsection, section_id, chunk_index, next_id FROM hits
+ UNION ALL SELECT question_id, chunk_id, text, 0.0, true, source, document_type, edition, primary_section, subsection, section_id, chunk_index, next_id FROM fresh JOIN store USING (chunk_id)),
+ ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY late, CASE WHEN NOT late THEN distance END, CASE WHEN late THEN section_id ELSE '' END,
+ CASE WHEN late THEN chunk_index ELSE 0 END, chunk_id) AS rank FROM both_),
+ ctx AS (SELECT question_id, string_agg('[' || CASE document_type WHEN 'rulebook' THEN 'Rulebook' WHEN 'big adventure' THEN 'Big Adventure' ELSE 'Unknown' END || ' | ' || edition || ' | '
+ || coalesce(primary_section, 'General') || ' → ' || subsection || ' | Source: ' || regexp_extract(source, '([^/]*)$', 1) || ']' || chr(10) || text, {NL2} || '---' || {NL2} ORDER BY rank) AS context,
+ count(*) FILTER (NOT late) AS n_hits, count(*) AS n_chunks, count(next_id) AS linked_chunks FROM ranked GROUP BY 1),
+ src AS (SELECT question_id, string_agg(source, ',' ORDER BY o) AS sources FROM (SELECT question_id, source, min(rank) AS o FROM ranked GROUP BY 1, 2) GROUP BY 1),
+ said AS (SELECT r.*, coalesce(n_hits, 0) AS n_hits, coalesce(n_chunks, 0) AS n_chunks, coalesce(linked_chunks, 0) AS linked_chunks, coalesce(sources, '') AS sources,
+ CASE WHEN h % 8 = 0 THEN 'CONVERSATION HISTORY:' || chr(10) || 'earlier' || {NL2} || 'CURRENT CONTEXT:' || chr(10) ELSE '' END
+ || coalesce(context, 'No relevant information found in the indexed documents. Try adjusting your filters or search terms.') AS full_,
+ CASE WHEN h % 2 = 0 THEN '**Preferred Edition:** SR5. Default to this unless context suggests otherwise.' ELSE '' END AS ed,
+ CASE h % 6 WHEN 0 THEN '**Character Context:** Current character role: Decker; Character stats: Logic 5' WHEN 1 THEN '**Character Context:** Current character role: None'
+ WHEN 2 THEN '**Character Context:** Current character role: Baker' ELSE '' END AS who FROM r LEFT JOIN ctx USING (question_id) LEFT JOIN src USING (question_id))
+ SELECT question_id, category, sha256(CASE WHEN h % 3 = 0 THEN 'Rules: ' || full_ || chr(10) || 'Q: ' || question || ' ' || ed ELSE 'G ' || who || '|' || ed || '|' || full_ || '|' || question END) AS prompt,
+ sources, linked_chunks::BIGINT AS linked_chunks, n_hits::BIGINT AS n_hits, n_chunks::BIGINT AS n_chunks FROM said"""
+
+
+def chunk_store(spark, sf):
+    """Chunks of all documents with links, metadata and vectors."""
+    from corpusq.plans.once import compute_once
+    doc = F.col("doc_id")
+    meta = load(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("lib/"), "source", F.lit("/doc-"), doc.cast("string"), F.lit(".md")).alias("source"),
+        F.when(F.col("lang") == "en", "rulebook").when(F.col("lang") == "fr", "big adventure").alias("document_type"),
+        F.concat(F.lit("SR"), (4 + doc % 2).cast("string")).alias("edition"),
+        F.when(doc % 5 == 0, "Matrix").when(doc % 5 == 1, "Gear").when(doc % 5 == 2, "Magic").alias("primary_section"), F.col("lang").alias("subsection"))
+    path = shared_folder(spark, "packed")
+    packed_documents(spark, sf).write.parquet(path)
+    rows = spark.read.parquet(path).join(meta, "doc_id").withColumn("section_index", F.lit(0)).withColumn(
+        "chunk_id", C.chunk_id(F.col("source"), F.col("section_index"), F.col("chunk_index"))).withColumn("chunk_pos", F.col("chunk_index"))
+    linked = C.link_sequential(rows, "source").drop("doc_id", "section_index", "chunk_pos", "total_chunks_in_section", "section_complete")
+    return compute_once(linked, "embedding", U.register_embedder(_letter_counts, 1 + len(LETTERS))("text"))
+
+
+def requests(spark, sf):
+    items = load(spark, sf, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("question_id"), F.col("text").alias("question"))
+    turns = load(spark, sf, "conversations").filter("role = 'user'").select(
+        F.concat_ws("-", F.lit("conv"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question"))
+    h, none = F.length("question"), F.lit(None).cast("string")
+    return items.unionByName(turns).select(
+        "*", (1 + h % 6).alias("n_results"), F.when(h % 3 == 0, "rules").otherwise("nothing known").alias("query_type"),
+        F.when(h % 4 == 0, "rulebook").when(h % 4 == 1, " ").otherwise(none).alias("filter_document_type"),
+        F.when(h % 5 == 0, "None").when(h % 5 == 1, "SR4").otherwise(none).alias("filter_edition"), F.when(h % 2 == 0, "SR5").otherwise(none).alias("edition"),
+        F.when(h % 7 == 0, "src1").when(h % 7 == 1, "no such source").otherwise(none).alias("filter_source"),
+        F.when(h % 6 == 0, "Decker").when(h % 6 == 1, "None").when(h % 6 == 2, "baker").otherwise(none).alias("character_role"),
+        F.when(h % 5 == 0, "All").when(h % 5 == 1, "Gear").when(h % 5 == 2, "").otherwise(none).alias("filter_section"),
+        F.when(h % 9 == 0, "en").otherwise(none).alias("filter_subsection"), F.when(h % 6 == 0, "Logic 5").otherwise(none).alias("character_stats"),
+        F.when(h % 8 == 0, "earlier").otherwise(none).alias("conversation_context"))
+
+
+@add("answer_questions", ANSWER_SQL)
+def _(spark, sf):
+    templates = spark.createDataFrame(TEMPLATES, "query_type string, template string")
+    embed = U.register_embedder(_letter_counts, 1 + len(LETTERS))
+    path = shared_folder(spark, "chunk-store")
+    chunk_store(spark, sf).write.parquet(path)
+    answers = A.answer_questions(requests(spark, sf), spark.read.parquet(path), templates, embed, CATS, EXPANSIONS)
+    return answers.withColumn("prompt", F.sha2("prompt", 256)).withColumn("sources", F.array_join("sources", ","))
+
+
 @add("conversation_context", """SELECT conv_id, CASE WHEN length(c) > 400 THEN array_to_string(list_slice(string_split(c, chr(10)), greatest(len(string_split(c, chr(10))) - 5, 1), len(string_split(c, chr(10)))), chr(10)) ELSE c END AS context
  FROM (SELECT conv_id, string_agg('Previous Q' || i || ': ' || text || chr(10) || 'Previous A' || i || ': ' || answer, chr(10) ORDER BY i) AS c
  FROM (SELECT conv_id, text, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
@@ -374,6 +500,27 @@ def _(spark, sf):
     return X.split_reasoning(tokens).drop("part")
 
 
+# one model, fitted on the documents and stored, gives the vectors of documents and questions; values that are not zero
+_WORDS_SQL = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda w: w <> '')"
+_PLACES_SQL = f"list_transform({_WORDS_SQL}, lambda w: ('0x' || md5(w)[1:8])::BIGINT % 32)"
+EMBEDDED_SQL = f"""WITH t AS (SELECT 'doc-' || doc_id AS id, text FROM documents UNION ALL SELECT 'item-' || item_id, text FROM benchmark),
+ p AS (SELECT id, unnest({_PLACES_SQL}) AS place FROM t), idf AS (SELECT place, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(DISTINCT id))) AS w
+ FROM p WHERE starts_with(id, 'doc-') GROUP BY 1), v AS (SELECT id, p.place, count(*) * coalesce(any_value(w), ln((1 + (SELECT count(*) FROM documents))::DOUBLE)) AS x
+ FROM p LEFT JOIN idf ON p.place = idf.place GROUP BY ALL)
+ SELECT id, place::INT AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS value FROM v"""
+
+
+@add("embed_texts_values", f"SELECT * FROM ({EMBEDDED_SQL}) WHERE value <> 0")
+def _(spark, sf):
+    docs = documents(spark, sf).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
+    items = load(spark, sf, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("id"), "text")
+    path = shared_folder(spark, "tfidf")
+    EM.fit_tfidf(docs, dim=32).save(spark, path)
+    model = EM.TfIdfModel.load(spark, path)
+    vectors = docs.unionByName(items).select("id", F.posexplode(model.vector("text")).alias("place", "value"))
+    return vectors.withColumn("value", F.round("value", 6)).filter("value <> 0")
+
+
 @add("embed_texts", f"""SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length, {TOKENS.format("text")} AS words FROM documents""")
 def _(spark, sf):
     vec = R.embed_texts(documents(spark, sf).select("doc_id", "text"), dim=64)

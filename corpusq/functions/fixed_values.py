@@ -66,6 +66,8 @@ RULEBOOK_INDICATORS = [
 ]
 RULEBOOK_MIN_CHARS = 1000
 
+DESCRIPTION_LINES, DESCRIPTION_CHARS = 3, 200
+
 # --- fixed values: chunking ---------------------------------------------------
 CHUNK_SIZE, CHUNK_OVERLAP = 1200, 200
 SEMANTIC_CHUNK_SIZE, SEMANTIC_OVERLAP, SEMANTIC_MIN_CHUNK = 800, 150, 200

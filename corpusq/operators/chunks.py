@@ -12,8 +12,8 @@ from corpusq.plans.nesting import salted_join
 from corpusq.plans.once import compute_once
 from corpusq.plans.ordered import neighbours, top_k
 
-# one section spans this many positions in the document-wide chunk order
-SECTION_SPAN = 1 << 20
+# one section spans this many positions in the document-wide chunk order: more than a chunk index, an INT, can count
+SECTION_SPAN = 1 << 32
 
 
 def chunk_id(path, section_index, chunk_index) -> Column:

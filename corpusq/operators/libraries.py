@@ -36,15 +36,16 @@ def _page(here, before, after) -> Column:
     return F.when(page.isNotNull(), F.concat(F.lit("p. "), page)).otherwise("")
 
 
-def _description(following: Column) -> Column:
-    """Text of up to three following lines, until a header, table or list line."""
+def _description(following: Column, chars: int | None) -> Column:
+    """Text of the following lines, until a header, table or list line."""
     stripped = F.transform(following, strip)
 
     def cut(rows):
         stop = F.array_position(F.transform(rows, lambda l: F.rlike(l, F.lit(r"^[#|\-]"))), True)
         head = F.when(stop > 0, F.slice(rows, F.lit(1), stop.cast("int") - 1)).otherwise(rows)
         kept = F.filter(head, lambda l: ~F.startswith(l, F.lit("*")) & (F.length(l) > 10))
-        return F.left(F.array_join(kept, " "), F.lit(200))
+        whole = F.array_join(kept, " ")
+        return F.left(whole, F.lit(chars)) if chars else whole
     return let(stripped, cut)
 
 
@@ -97,7 +98,18 @@ def _following(rows, i, n, first=1):
 
 
 _PAGE = {"source_page": lambda rows, i: _page(strip(_raw(rows, i)), F.when(i > 0, _raw(rows, i - 1)).otherwise(""), _raw(rows, i + 1))}
-_TEXT = {"description": lambda rows, i: _description(_following(rows, i, 3))}
+
+
+def _text(lines: int | None, chars: int | None) -> dict:
+    """The description of a record: at most so many lines and characters, all up to the next header, table or list line for None."""
+    if lines is None:
+        # what follows is cut before it is looked at, so that the lines of a description are read once
+        def block(rows, i):
+            ends = F.filter(F.sequence(F.lit(1), F.size(rows) - i - 1), lambda n: F.rlike(strip(_raw(rows, i + n)), F.lit(r"^[#|\-]")))
+            stop = F.when(F.size(rows) - i - 1 < 1, F.lit(0)).otherwise(F.coalesce(at(ends, F.lit(0)), F.size(rows) - i))
+            return F.slice(rows, i + 2, F.greatest(stop - 1, F.lit(0)))
+        return {"description": lambda rows, i: _description(F.transform(block(rows, i), lambda r: r["raw"]), chars)}
+    return {"description": lambda rows, i: _description(_following(rows, i, lines), chars)}
 
 
 def _first_per_name(rows: DataFrame, path: str, fields: list[str]) -> DataFrame:
@@ -121,8 +133,10 @@ def skill_group(name: Column, declared: Column, groups=None) -> Column:
     return F.when((low != "") & (low != "none"), low).otherwise(detected)
 
 
-def extract_skills(docs: DataFrame, path: str = "doc_path", text: str = "text") -> DataFrame:
-    lines_ = _candidates(docs, path, text, fv.SKILL_PATTERNS, {**_PAGE, **_TEXT})
+def extract_skills(docs: DataFrame, path: str = "doc_path", text: str = "text", description_lines: int | None = None,
+                   description_chars: int | None = None) -> DataFrame:
+    """Skill rows.  A description is whole unless its lines or characters are limited (``fv.DESCRIPTION_LINES``, ``_CHARS``)."""
+    lines_ = _candidates(docs, path, text, fv.SKILL_PATTERNS, {**_PAGE, **_text(description_lines, description_chars)})
     rows = (lines_.select("*", F.posexplode(_matches(F.col("line"), fv.SKILL_PATTERNS, 3)).alias("match_no", "_m"))
             .withColumn("name", clean_skill_name(F.col("_m.g1")))
             .filter((F.length("name") >= 3) & ~F.lower("name").isin(fv.SKILL_STOP_NAMES)))
@@ -135,10 +149,11 @@ def extract_skills(docs: DataFrame, path: str = "doc_path", text: str = "text")
 
 
 # ---- qualities -------------------------------------------------------------------------
-def extract_qualities(docs: DataFrame, path: str = "doc_path", text: str = "text") -> DataFrame:
-    """A type cell also applies to the later matches of its line."""
+def extract_qualities(docs: DataFrame, path: str = "doc_path", text: str = "text", description_lines: int | None = None,
+                      description_chars: int | None = None) -> DataFrame:
+    """Quality rows; a type cell also applies to the later matches of its line.  Descriptions as in ``extract_skills``."""
     lines_ = _candidates(docs, path, text, fv.QUALITY_PATTERNS, {
-        **_PAGE, **_TEXT, "rating_range": lambda rows, i: _rating(_following(rows, i, 3, 0))})
+        **_PAGE, **_text(description_lines, description_chars), "rating_range": lambda rows, i: _rating(_following(rows, i, 3, 0))})
 
     def named(m):
         name = strip(_bare(m["g1"]))

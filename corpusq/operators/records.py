@@ -198,40 +198,57 @@ def context_line(parents: DataFrame, stats: DataFrame, skills: DataFrame, gear:
 
 
 # ---- change log ---------------------------------------------------------------------------
-INSERTS = ["insert", "insert_or_ignore", "insert_or_replace"]
+INSERTS = ["insert", "insert_or_ignore"]
+#: Positions of the log that are combined at once; a range holds at most that many inserts of one key.
+LOG_RANGE = 4096
 
 
-def apply_changes(base: DataFrame, log: DataFrame, key: str, payload: list[str], op: str = "op", seq: str = "seq") -> DataFrame:
+def apply_changes(base: DataFrame, log: DataFrame, key: str, payload: list[str], op: str = "op", seq: str = "seq",
+                  width: int = LOG_RANGE) -> DataFrame:
     """State after replaying the log in seq order on top of the base rows.
 
     Inserts of an existing key change nothing, "insert_or_replace" rewrites the
     row, "update" sets its non-NULL columns on an existing row, "delete" removes
-    it.  The replay is three combining aggregations, not a fold per key, so the
-    length of one key's history does not matter.  Adds touched_seq.
+    it.  seq is distinct within a key.  Adds touched_seq.
+
+    The log is read once.  A run of changes of a key is summed up by its last
+    delete, the first insert after that, its last replacement and the last value
+    written to each column; neighbouring runs combine to the same summary.
+    Runs are ranges of seq, so a key of any history is spread over many tasks.
     """
-    cut = log.groupBy(key).agg(F.max(F.when(F.col(op) == "delete", F.col(seq))).alias("_deleted"))
-    live = salted_join(log.filter(F.col(op) != "delete"), cut, [key], seq)
-    live = live.filter(F.col("_deleted").isNull() | (F.col(seq) > F.col("_deleted")))
-    in_base = base.select(key, F.lit(True).alias("_in_base"))
-    keys = (live.groupBy(key).agg(F.min(F.when(F.col(op).isin(INSERTS), F.col(seq))).alias("_born"),
-                                  F.max(F.when(F.col(op) == "insert_or_replace", F.col(seq))).alias("_replaced"))
-            .join(cut, key, "full_outer").join(in_base, key, "full_outer"))
-    kept_base = F.col("_in_base") & F.col("_deleted").isNull()
-    # where the row's current life starts (-1: in the base) and the write all later updates build on
-    start = F.when(kept_base, F.lit(-1)).otherwise(F.col("_born"))
-    keys = (keys.withColumn("_start", start).filter(F.col("_start").isNotNull())
-            .withColumn("_written", F.greatest(F.col("_start"), F.coalesce("_replaced", F.lit(-1)))))
-    facts = salted_join(live.drop("_deleted"), keys.select(key, "_start", "_written"), [key], seq, "inner")
-    later = (F.col(op) == "update") & (F.col(seq) > F.col("_written"))
-    columns = [F.max_by(c, F.when(later & F.col(c).isNotNull(), F.col(seq))).alias(f"_u_{c}") for c in payload]
-    effective = later | (F.col(seq) == F.col("_written"))
-    state = facts.groupBy(key).agg(
-        F.max(F.when(F.col(seq) == F.col("_written"), F.struct(*payload))).alias("_full"), *columns,
-        F.max(F.when(effective, F.col(seq))).alias("touched_seq"))
-    rows = keys.select(key, "_written").join(state, key, "left").join(base.select(key, F.struct(*payload).alias("_base")), key, "left")
-    origin = F.when(F.col("_written") >= 0, F.col("_full")).otherwise(F.col("_base"))
+    changes = log.withColumn("_range", F.floor(F.col(seq) / F.lit(width)))
+    row, at = F.struct(*payload), F.col(seq)
+
+    def last(column, condition, name):
+        return [F.max_by(column, F.when(condition, at)).alias(f"_{name}"), F.max(F.when(condition, at)).alias(f"_{name}_at")]
+    update, replace = F.col(op) == "update", F.col(op) == "insert_or_replace"
+    runs = changes.groupBy(key, "_range").agg(
+        F.max(F.when(F.col(op) == "delete", at)).alias("_deleted"), F.max(F.when(update, at)).alias("_updated"),
+        F.collect_list(F.when(F.col(op).isin(INSERTS), F.struct(at.alias("at"), row.alias("row")))).alias("_inserts"),
+        *last(row, replace, "replaced"), *[x for i, c in enumerate(payload) for x in last(F.col(c), update & F.col(c).isNotNull(), f"set{i}")])
+
+    def after(items, deleted):
+        return F.filter(items, lambda i: deleted.isNull() | (i["at"] > deleted))
+    # after the last delete of a run only its first insert can matter
+    runs = runs.withColumn("_first", F.array_min(after(F.col("_inserts"), F.col("_deleted"))))
+    names = ["replaced", *[f"set{i}" for i in range(len(payload))]]
+    keys = runs.groupBy(key).agg(
+        F.max("_deleted").alias("_deleted"), F.max("_updated").alias("_updated"), F.collect_list("_first").alias("_firsts"),
+        *[x for n in names for x in (F.max_by(f"_{n}", f"_{n}_at").alias(f"_{n}"), F.max(f"_{n}_at").alias(f"_{n}_at"))])
+    deleted = F.col("_deleted")
+    keys = (keys.withColumn("_born", F.array_min(after(F.col("_firsts"), deleted)))
+            .withColumn("_replaced_at", F.when(deleted.isNull() | (F.col("_replaced_at") > deleted), F.col("_replaced_at")))
+            .join(base.select(key, row.alias("_base")), key, "full_outer"))
+    in_base = F.col("_base").isNotNull() & deleted.isNull()
+    # the write that all later updates build on (-1: the base row)
+    written = F.coalesce("_replaced_at", F.when(in_base, F.lit(-1)), F.col("_born.at"))
+    rows = keys.withColumn("_written", written).filter(F.col("_written").isNotNull())
+    written = F.col("_written")
+    origin = (F.when(written == F.col("_replaced_at"), F.col("_replaced")).when(written < 0, F.col("_base"))
+              .otherwise(F.col("_born.row")))
     return rows.withColumn("_origin", origin).select(
-        key, *[F.coalesce(f"_u_{c}", f"_origin.{c}").alias(c) for c in payload], "touched_seq")
+        key, *[F.when(F.col(f"_set{i}_at") > written, F.col(f"_set{i}")).otherwise(F.col(f"_origin.{c}")).alias(c) for i, c in enumerate(payload)],
+        F.greatest(F.when(written >= 0, written), F.when(F.col("_updated") > written, F.col("_updated"))).alias("touched_seq"))
 
 
 def cascade_delete(children: DataFrame, parents: DataFrame, key: str, child_id: str) -> DataFrame:

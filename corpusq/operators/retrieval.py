@@ -7,21 +7,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusq.functions import fixed_values as fv
 from corpusq.functions.scoring import role_to_section
 from corpusq.functions.text import _col, count_terms, file_name
+from corpusq.operators.embedding import TfIdfModel, fit_tfidf
 from corpusq.plans import vectors
+from corpusq.plans.fetch import fetch_rows
 from corpusq.plans.ordered import top_k
 
 LINK_COLUMNS = ["next_chunk_global", "prev_chunk_global", "next_chunk_section", "prev_chunk_section"]
 
 
-def embed_texts(texts: DataFrame, text: str = "text", dim: int = 768, out: str = "embedding") -> DataFrame:
-    """Hashed TF-IDF vectors of unit length; a text without words gets the zero vector."""
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-    words = texts.withColumn("_words", F.filter(F.split(F.lower(F.col(text)), r"(?U)\W+"), lambda w: w != ""))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
-    weighed = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
-    scaled = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighed)
-    return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
+def embed_texts(texts: DataFrame, text: str = "text", dim: int = 768, out: str = "embedding",
+                model: TfIdfModel | None = None) -> DataFrame:
+    """Hashed TF-IDF vectors of unit length; a text without words gets the zero vector.
+
+    Chunks and questions share weights by sharing a ``model``; without one the
+    weights are fitted on these texts, which runs a job.
+    """
+    return (model or fit_tfidf(texts, text, dim)).transform(texts, text, out)
 
 
 def build_filter(requests: DataFrame) -> DataFrame:
@@ -49,20 +50,21 @@ def build_filter(requests: DataFrame) -> DataFrame:
 def knn(queries: DataFrame, chunks: DataFrame, k: int = 5, key: str = "question_id", chunk: str = "chunk_id",
         query_vec: str = "query_embedding", vec: str = "embedding", where: dict | None = None,
         per_query: dict | None = None, source_contains: str | None = None, source: str = "source",
-        query_limit: int = vectors.QUERY_LIMIT) -> DataFrame:
+        query_limit: int = vectors.QUERY_LIMIT, per_query_contains: dict | None = None) -> DataFrame:
     """(key, chunk, distance, rank) of the k nearest chunks by cosine distance.
 
     ``where`` {column: value} and ``source_contains`` apply to all queries and
     are pushed to the scan; ``per_query`` {chunk column: query column} compares
-    per query, NULL on the query side meaning any.
+    per query, and ``per_query_contains`` asks that the chunk's value contains
+    the query's; NULL on the query side means any.
     """
     conditions = [F.col(c) == v for c, v in (where or {}).items()]
     if source_contains:
         conditions.append(F.contains(source, F.lit(source_contains)))
     scope = reduce(lambda df, c: df.filter(c), conditions, chunks)
-    per_query = per_query or {}
-    q = queries.select(key, query_vec, *[F.col(qc).alias(cc) for cc, qc in per_query.items()])
-    return vectors.nearest(q, scope, k, key, chunk, query_vec, vec, list(per_query), query_limit)
+    per_query, pieces = per_query or {}, per_query_contains or {}
+    q = queries.select(key, query_vec, *[F.col(qc).alias(cc) for cc, qc in {**per_query, **pieces}.items()])
+    return vectors.nearest(q, scope, k, key, chunk, query_vec, vec, list(per_query), query_limit, pieces=list(pieces))
 
 
 def unfiltered_counts(queries: DataFrame, results: DataFrame, chunks: DataFrame, k: int = 5, key: str = "question_id",
@@ -82,11 +84,16 @@ def overfetch(queries: DataFrame, chunks: DataFrame, k: int, rerank, **options)
 def expand_linked(results: DataFrame, chunks: DataFrame, key: str = "question_id", chunk: str = "chunk_id") -> DataFrame:
     """Chunks linked from the primary hits, with distance 0.0.
 
-    ``results`` already carries the link columns of its chunks; the fetch is an
-    equality join on the chunk id.
+    ``results`` already carries the link columns of its chunks; the rows of
+    ``chunks`` are fetched by id and not sorted.
     """
     ids = results.select(key, F.explode(F.array(*LINK_COLUMNS)).alias(chunk)).filter(F.col(chunk).isNotNull()).distinct()
-    return ids.join(chunks, chunk).withColumn("distance", F.lit(0.0)).withColumn("is_linked", F.lit(True))
+    return fetch_rows(ids, chunks, chunk).withColumn("distance", F.lit(0.0)).withColumn("is_linked", F.lit(True))
+
+
+def fetch_hits(hits: DataFrame, chunks: DataFrame, chunk: str = "chunk_id") -> DataFrame:
+    """Hits with the columns of their chunks."""
+    return fetch_rows(hits, chunks, chunk)
 
 
 def merge_linked(primary: DataFrame, linked: DataFrame, key: str = "question_id", chunk: str = "chunk_id",
@@ -139,8 +146,8 @@ def entity_rerank(base: DataFrame, related: DataFrame, chunks: DataFrame, limit:
         .withColumn("_late", ~known))
     ranked = top_k(scored.withColumnRenamed("rank", "_base"), [key],
                    [F.col("score").desc(), F.col("_late"), F.coalesce("_base", "entity_ord"), F.col(chunk)], limit)
-    return (ranked.join(chunks.select(chunk, "text"), chunk, "left")
-            .select(key, chunk, "score", "rank", "entity_related", "text"))
+    texts = fetch_rows(ranked.select(chunk).distinct(), chunks.select(chunk, "text"), chunk)
+    return ranked.join(texts, chunk, "left").select(key, chunk, "score", "rank", "entity_related", "text")
 
 
 # ---- document search -----------------------------------------------------------------------

@@ -1,9 +1,9 @@
 """Structured Streaming jobs.
 
-Stores are plain Parquet folders that only grow: each micro-batch owns the
-folder batch=<id> and rewrites it whole when replayed, so a lost executor or a
-restarted query cannot apply a batch twice.  The current state is the latest
-version per key.
+Each micro-batch owns the folder batch=<id> of its sink and rewrites it whole
+when replayed, so a lost executor or a restarted query cannot apply a batch
+twice.  The current state is the latest version per key; for paths and chunks
+it is kept by ``streaming/store.py``.
 """
 
 from collections.abc import Iterator
@@ -16,53 +16,37 @@ from corpusq.functions import fixed_values as fv
 from corpusq.operators.chunks import chunk_documents, clean_documents
 from corpusq.operators.maintenance import CHANGED, NEW, diff_manifest, fingerprint
 from corpusq.operators.records import apply_changes
-
-VERSION_SCHEMA = "doc_path string, hash string, file_size bigint, op string, seq bigint, chunk_batch bigint, batch bigint"
-CHUNK_COLUMNS = ["doc_path", "chunk_id", "section_index", "section_title", "chunk_index", "chunk_pos", "text", "token_count", "chunk_type"]
-
+from corpusq.streaming.store import BUCKETS, CHUNK_COLUMNS, COMPACT_AFTER, PathStore
 
 def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
-def read_versions(spark: SparkSession, store: str) -> DataFrame:
-    path = f"{store}/versions"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], VERSION_SCHEMA)
-    return spark.read.schema(VERSION_SCHEMA).parquet(path)
-
-
-def latest_versions(versions: DataFrame, before: int | None = None) -> DataFrame:
-    """Last event per path, removals included.  Combines before the shuffle."""
-    scope = versions if before is None else versions.filter(F.col("batch") < before)
-    fields = ["hash", "file_size", "op", "seq", "chunk_batch"]
-    return (scope.groupBy("doc_path").agg(F.max_by(F.struct(*fields), F.struct("seq", "batch")).alias("v"))
-            .select("doc_path", "v.*"))
-
-
 def current_chunks(spark: SparkSession, store: str) -> DataFrame:
     """Chunks of the latest version of every living path."""
-    live = (latest_versions(read_versions(spark, store)).filter("op <> 'remove'")
-            .select("doc_path", F.col("chunk_batch").alias("batch")))
-    return spark.read.parquet(f"{store}/chunks").join(live, ["doc_path", "batch"]).drop("batch")
+    return PathStore(spark, store).chunks()
 
 
-def ingest_batch(docs: DataFrame, batch: int, store: str, **chunking) -> None:
+def ingest_batch(docs: DataFrame, batch: int, store: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER, **chunking) -> None:
     """One micro-batch of (doc_path, text, op, seq); op is upsert or remove.
 
     Of several events of a path only the last by seq counts, also across
     micro-batches: one that arrives late is ignored.  Unchanged content keeps
-    its chunks.
+    its chunks.  Only the buckets of the batch's paths are read.
     """
     spark = docs.sparkSession
-    last = docs.groupBy("doc_path").agg(F.max_by(F.struct("text", "op", "seq"), "seq").alias("e")).select("doc_path", "e.*")
-    known = latest_versions(read_versions(spark, store), batch)
+    kept = PathStore(spark, store, buckets, compact_after)
+    if batch <= kept.compacted:  # replayed after it went into the base
+        return
+    last = (docs.groupBy("doc_path").agg(F.max_by(F.struct("text", "op", "seq"), "seq").alias("e")).select("doc_path", "e.*")).persist()
+    try:
+        _ingest(kept, last, batch, chunking)
+    finally:
+        last.unpersist()
+
+
+def _ingest(kept: PathStore, last: DataFrame, batch: int, chunking: dict) -> None:
+    known = kept.versions(kept.touched(last), batch)
     seen = known.select("doc_path", F.col("seq").alias("_seen"), F.col("chunk_batch").alias("_held"))
     events = last.join(seen, "doc_path", "left").filter(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen")))
     arriving = events.filter("op <> 'remove'")
@@ -71,23 +55,59 @@ def ingest_batch(docs: DataFrame, batch: int, store: str, **chunking) -> None:
     listed = (fingerprint(arriving).join(arriving.select("doc_path", "op", "seq", "_held"), "doc_path").join(status, "doc_path"))
     fresh = arriving.select("doc_path", "text").join(status.filter("_fresh"), "doc_path", "left_semi")
     chunks = chunk_documents(clean_documents(fresh), **chunking).select(*CHUNK_COLUMNS)
-    kept = listed.withColumn("chunk_batch", F.when(F.col("_fresh"), F.lit(batch)).otherwise(F.col("_held"))).select(
+    held = listed.withColumn("chunk_batch", F.when(F.col("_fresh"), F.lit(batch)).otherwise(F.col("_held"))).select(
         "doc_path", "hash", F.col("file_size").cast("bigint").alias("file_size"), "op", "seq", F.col("chunk_batch").cast("bigint").alias("chunk_batch"))
     gone = events.filter("op = 'remove'").select(
         "doc_path", F.lit(None).cast("string").alias("hash"), F.lit(0).cast("bigint").alias("file_size"), "op", "seq",
         F.lit(None).cast("bigint").alias("chunk_batch"))
-    _write_batch(chunks, f"{store}/chunks", batch)
-    _write_batch(kept.unionByName(gone), f"{store}/versions", batch)
+    kept.append(batch, held.unionByName(gone), chunks)
 
 
 def stream_ingest(events: DataFrame, store: str, checkpoint: str, once: bool = True, **chunking):
-    """Keep the chunk store in step with a stream of file events, removals included."""
+    """Keep the chunk store in step with a stream of file events, removals included.  Options as of ``ingest_batch``."""
     def run(batch_df, batch_id):
         ingest_batch(batch_df, batch_id, store, **chunking)
     writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+# ---- markdown files ----------------------------------------------------------------------
+def markdown_events(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """Stream of (doc_path, text, op, seq): every *.md below the folder, whole, again whenever it is modified.
+
+    At most ``max_files`` files a batch, oldest first.  The source remembers
+    the newest time of modification it has seen instead of every path for a week, so
+    a path that is written again counts as new.  A file that appears with an
+    older time than that is not seen; ``reconcile_markdown`` finds it.
+    """
+    files = (spark.readStream.format("text").schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md")
+             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).option("maxFileAge", "1ms").load(folder))
+    return files.select(F.col("_metadata.file_path").alias("doc_path"), F.col("value").alias("text"), F.lit("upsert").alias("op"),
+                        F.unix_micros("_metadata.file_modification_time").alias("seq"))
+
+
+def stream_markdown(spark: SparkSession, folder: str, store: str, checkpoint: str, max_files: int = 1000, once: bool = True, **options):
+    """Keep the chunk store in step with a folder of Markdown files; files whose text did not change keep their chunks."""
+    return stream_ingest(markdown_events(spark, folder, max_files), store, checkpoint, once, **options)
+
+
+def reconcile_markdown(spark: SparkSession, folder: str, store: str, batch: int, **options) -> None:
+    """One batch of what the stream cannot see: files with an old time that the store lacks, and paths whose file is gone.
+
+    Files are listed with their times and compared with the store's versions;
+    only the texts of missing ones are read.  ``batch`` is a number above the stream's last.
+    """
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
+              .select(F.col("_metadata.file_path").alias("doc_path"), F.unix_micros("modificationTime").alias("seq")))
+    live = PathStore(spark, store).versions().filter("op <> 'remove'")
+    gone = live.join(listed, "doc_path", "left_anti").select(
+        "doc_path", F.lit(None).cast("string").alias("text"), F.lit("remove").alias("op"), (F.col("seq") + 1).alias("seq"))
+    lacking = listed.join(live, "doc_path", "left_anti")
+    files = (spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+             .select(F.col("_metadata.file_path").alias("doc_path"), F.col("value").alias("text"), F.lit("upsert").alias("op")))
+    ingest_batch(files.join(lacking, "doc_path").unionByName(gone), batch, store, **options)
+
+
 # ---- change log --------------------------------------------------------------------------
 def stream_change_log(log: DataFrame, store: str, checkpoint: str, once: bool = True):
     """Append change events, one folder per micro-batch."""

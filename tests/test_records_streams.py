@@ -1,6 +1,7 @@
 """Registry, libraries, records and streams on hand-written rows."""
 
 import datetime
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from corpusq.operators.headings import assemble_section_text, toc_hierarchy
 from corpusq.plans.scratch import shared_folder
 from corpusq.sources import exports as X, markdown as MD
 from corpusq.streaming import jobs as J
+from corpusq.streaming.store import PathStore
 
 SPELLS = """FIREBALL (INDIRECT)
 
@@ -96,6 +98,28 @@ def test_change_replay_corner_cases(spark):
     assert got == {1: (10, "a2", 1), 3: (4, "c", 3), 4: (2, None, 2), 5: (2, "e2", 3)}
 
 
+@pytest.mark.parametrize("width", [1, 3, 10 ** 6])
+def test_change_replay_against_a_fold(spark, width):
+    rng = random.Random(8)
+    base = [(k, k * 10, f"b{k}") for k in range(0, 40, 2)]
+    ops = ["insert", "insert_or_ignore", "insert_or_replace", "update", "update", "update", "delete"]
+    log = [(0 if rng.random() < 0.3 else rng.randrange(45), seq, rng.choice(ops), rng.choice([None, rng.randrange(99)]), rng.choice([None, f"t{seq}"]))
+           for seq in range(600)]
+    state = {k: (n, t, None) for k, n, t in base}
+    for k, seq, op, n, t in log:
+        if op == "delete":
+            state.pop(k, None)
+        elif op == "insert_or_replace" or (op != "update" and k not in state):
+            state[k] = (n, t, seq)
+        elif op == "update" and k in state:
+            state[k] = (state[k][0] if n is None else n, state[k][1] if t is None else t, seq)
+    got = D.apply_changes(spark.createDataFrame(base, "key int, n int, t string"), spark.createDataFrame(
+        log, "key int, seq int, op string, n int, t string"), "key", ["n", "t"], width=width)
+    assert {r["key"]: (r["n"], r["t"], r["touched_seq"]) for r in got.collect()} == state
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4
+
+
 def test_csv_cells_are_quoted(spark):
     row = spark.createDataFrame([('a, "b"',)], "x string").select(X._csv(F.col("x"), F.lit(3), F.lit(None).cast("string")).alias("l")).first()
     assert row["l"] == '"a, ""b""",3,'
@@ -130,7 +154,7 @@ def test_ingest_is_idempotent_and_ignores_late_events(spark):
     assert state(spark, store) == {"a": "One.", "b": "Two."}
     J.ingest_batch(events(spark, [("a", "Newer.", "upsert", 5), ("b", "Two.", "upsert", 6), ("c", "Late.", "upsert", 3)]), 1, store)
     assert state(spark, store) == {"a": "Newer.", "b": "Two."}
-    kept = J.read_versions(spark, store).filter("doc_path = 'b'").orderBy("seq").collect()
+    kept = PathStore(spark, store).read("versions").filter("doc_path = 'b'").orderBy("seq").collect()
     assert [r["chunk_batch"] for r in kept] == [0, 0]
     J.ingest_batch(events(spark, [("a", "Old.", "upsert", 4), ("b", "", "remove", 7)]), 2, store)
     assert state(spark, store) == {"a": "Newer."}
