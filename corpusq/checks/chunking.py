@@ -44,7 +44,8 @@ def _level(expr):
             f"WHEN regexp_matches({expr}, '^\\d+\\.') THEN 2 ELSE 3 END")
 
 
-@add("split_semantic", f"""WITH l AS (SELECT *, {sql_strip('line')} AS s FROM ({line_rows(OUTLINE_SQL, 'doc_id')})),
+def _semantic_sql(source):
+    return f"""WITH l AS (SELECT *, {sql_strip('line')} AS s FROM ({line_rows(source, 'doc_id')})),
  h AS (SELECT *, n > 1 AND regexp_matches(s, '{BOUNDARY}') AS head,
  sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 2 AS before FROM l),
  g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM h),
@@ -53,7 +54,10 @@ def _level(expr):
  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1)::INT AS section_index,
  CASE WHEN grp = 0 THEN 'Content' ELSE first END AS section_title, (CASE WHEN grp = 0 THEN 1 ELSE {_level('first')} END)::INT AS section_level,
  content, (CASE WHEN grp = 0 THEN 0 ELSE before END)::INT AS start_pos, a::INT AS line_start, b::INT AS line_end
- FROM sec WHERE content <> ''""")
+ FROM sec WHERE content <> ''"""
+
+
+@add("split_semantic", _semantic_sql(OUTLINE_SQL))
 def _(spark, sf):
     return S.split_semantic(outline_docs(spark, sf))
 
@@ -214,13 +218,62 @@ def _(spark, sf):
             .select("doc_id", "chunk_index", "_c.text"))
 
 
-@add("pack_table_lines")
+def _table_lines_sql(source, key, size, least):
+    """One line of every text a step; a step may end a chunk (s, e, tok, kind, header) of lines s to e - 1."""
+    return f"""WITH RECURSIVE l AS MATERIALIZED (SELECT {key}, ls, list_transform(ls, lambda x: {TOKENS.format('x')}) AS ts, list_transform(ls, lambda x: {sql_strip('x')} = '') AS bl
+ FROM (SELECT {key}, string_split(text, chr(10)) AS ls FROM ({source}))),
+ st AS (SELECT {key}, 0::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS tok, false AS in_table, -1::BIGINT AS header, NULL::STRUCT(s BIGINT, e BIGINT, tok BIGINT, kind VARCHAR, header BIGINT) AS made FROM l
+ UNION ALL SELECT {key}, i + 1, CASE WHEN act IN ('flush', 'leave') THEN i WHEN act = 'cut' THEN fresh ELSE start END,
+ CASE WHEN act IN ('flush', 'leave') THEN t WHEN act = 'cut' THEN list_sum(ts[fresh + 1:i + 1])::BIGINT ELSE tok + t END,
+ CASE WHEN act IN ('flush', 'enter') THEN true WHEN act IN ('leave', 'cut') THEN false ELSE in_table END,
+ CASE WHEN act IN ('flush', 'enter') THEN i WHEN act = 'leave' THEN -1 ELSE header END,
+ CASE act WHEN 'flush' THEN {{'s': start, 'e': i, 'tok': tok, 'kind': 'paragraph', 'header': -1::BIGINT}} WHEN 'leave' THEN {{'s': start, 'e': i, 'tok': tok, 'kind': 'table', 'header': -1::BIGINT}}
+ WHEN 'cut' THEN {{'s': start, 'e': start + p, 'tok': list_sum(ts[start + 1:start + p])::BIGINT, 'kind': 'paragraph', 'header': -1::BIGINT}} END FROM
+ (SELECT *, start + greatest(0, p - 2) AS fresh, CASE WHEN piped AND NOT in_table THEN CASE WHEN i > start AND tok > {least} THEN 'flush' ELSE 'enter' END WHEN in_table AND NOT piped AND NOT bl[i + 1] THEN 'leave'
+ WHEN tok + t > {size} AND NOT in_table AND p > 0 THEN 'cut' ELSE 'grow' END AS act FROM
+ (SELECT st.*, ls, ts, bl, ts[i + 1]::BIGINT AS t, contains(ls[i + 1], '|') AS piped,
+ coalesce(list_max(list_filter(range(start + 1, i + 1), lambda k: bl[k + 1] OR bl[k])) - start, (i - start + 1) // 2) AS p FROM st JOIN l USING ({key}) WHERE i < len(ls)))),
+ made AS (SELECT {key}, i, made FROM st WHERE made IS NOT NULL UNION ALL SELECT {key}, i + 1, {{'s': start, 'e': len(ls)::BIGINT, 'tok': tok, 'kind': CASE WHEN in_table THEN 'table' ELSE 'paragraph' END, 'header': header}}
+ FROM st JOIN l USING ({key}) WHERE i = len(ls)),
+ cut AS (SELECT {key}, i, {sql_strip("array_to_string(ls[made.s + 1:made.e], chr(10))")} AS text, made.tok::INT AS token_count, made.kind AS chunk_type,
+ CASE WHEN made.header >= 0 THEN {sql_strip('ls[made.header + 1]')} END AS table_header FROM made JOIN l USING ({key}))
+ SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY i) - 1)::INT AS chunk_index, text, token_count, chunk_type, table_header FROM cut WHERE text <> ''"""
+
+
+@add("pack_table_lines", _table_lines_sql(TABLE_SQL, "doc_id", 120, 40))
 def _(spark, sf):
     return (table_docs(spark, sf).select("doc_id", F.posexplode(P.pack_table_lines(F.col("text"), 120, 40)).alias("chunk_index", "_c"))
             .select("doc_id", "chunk_index", "_c.*"))
 
 
-@add("choose_strategy")
+STARTS = f"regexp_matches({sql_strip('text')}, '^\\p{{Ll}}')"
+ENDS = f"({sql_strip('text')} <> '' AND NOT regexp_matches({sql_strip('text')}, '[.!?]$'))"
+QUALITY_SQL = f"CASE WHEN NOT {STARTS} AND NOT {ENDS} THEN 'excellent' WHEN NOT {STARTS} OR NOT {ENDS} THEN 'good' ELSE 'poor' END"
+
+
+def pipes(expr, piece="'|'"):
+    return f"((length({expr}) - length(replace({expr}, {piece}, ''))) // length({piece}))"
+
+
+TABLE_LIKE_SQL = (f"(({pipes('text')} > 5 AND {pipes('text', chr(99) + 'hr(10) || ' + chr(39) + '|' + chr(39))} > 1) "
+                  f"OR {sql_count('lower(text)', fv.TABLE_STAT_WORDS)} >= 3)")
+CHUNK_TYPE_SQL = f"""CASE WHEN {TABLE_LIKE_SQL} THEN 'table' WHEN {sql_any('lower(text)', fv.RULE_TERMS)} THEN 'rule'
+ WHEN {sql_any('lower(text)', fv.EXAMPLE_TERMS)} THEN 'example' WHEN {pipes('text', "chr(10) || '-'")} > 2 OR {pipes('text', "chr(10) || '•'")} > 2 THEN 'list'
+ ELSE 'narrative' END"""
+HAS_TABLES_SQL = f"""(({pipes('text')} >= 6 AND {pipes('text', "chr(10) || '|'")} >= 2) OR {sql_any('lower(text)', fv.TABLE_STAT_WORDS)})"""
+# whole sections, sections with tables by their lines, others by their paragraphs
+STRATEGY_SQL = f"""WITH sec AS MATERIALIZED (SELECT *, doc_id || ':' || section_index AS k, {TOKENS.format('text')} AS n, {HAS_TABLES_SQL} AS tables
+ FROM (SELECT * RENAME (content AS text) FROM ({_semantic_sql(TABLE_SQL)}))),
+ made AS (SELECT k, true AS is_complete_section, 0 AS chunk_index, text, n AS token_count, {CHUNK_TYPE_SQL} AS chunk_type, NULL AS table_header FROM sec WHERE n <= 120
+ UNION ALL SELECT k, false, chunk_index, text, token_count, chunk_type, table_header FROM ({_table_lines_sql("SELECT k, text FROM sec WHERE n > 120 AND tables", "k", 120, fv.SEMANTIC_MIN_CHUNK)})
+ UNION ALL SELECT k, false, chunk_index, text, token_count, 'paragraph', NULL FROM ({_greedy_sql(
+     f"""SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS n, s FROM (SELECT k, generate_subscripts(x, 1) AS i, {sql_strip('unnest(x)')} AS s FROM
+ (SELECT k, string_split_regex(text, '\\n\\s*\\n') AS x FROM sec WHERE n > 120 AND NOT tables)) WHERE s <> ''""", 120, 1, "chr(10) || chr(10)", "k")}))
+ SELECT sec.doc_id, section_index, section_title, section_level, start_pos, line_start, line_end, m.* EXCLUDE (k), CASE WHEN is_complete_section THEN 'excellent' ELSE {QUALITY_SQL.replace('text', 'm.text')} END AS boundary_quality,
+ {TABLE_LIKE_SQL.replace('(text', '(m.text')} AS is_table_content FROM made m JOIN sec USING (k)"""
+
+
+@add("choose_strategy", STRATEGY_SQL)
 def _(spark, sf):
     return P.chunk_semantic(S.split_semantic(table_docs(spark, sf).select("doc_id", "text")), 120)
 
@@ -272,19 +325,6 @@ def _(spark, sf):
         "chunk_id", F.array_join("table_continuation_ids", ",").alias("continuations"))
 
 
-STARTS = f"regexp_matches({sql_strip('text')}, '^\\p{{Ll}}')"
-ENDS = f"({sql_strip('text')} <> '' AND NOT regexp_matches({sql_strip('text')}, '[.!?]$'))"
-QUALITY_SQL = f"CASE WHEN NOT {STARTS} AND NOT {ENDS} THEN 'excellent' WHEN NOT {STARTS} OR NOT {ENDS} THEN 'good' ELSE 'poor' END"
-
-
-def pipes(expr, piece="'|'"):
-    return f"((length({expr}) - length(replace({expr}, {piece}, ''))) // length({piece}))"
-
-
-TABLE_LIKE_SQL = (f"(({pipes('text')} > 5 AND {pipes('text', chr(99) + 'hr(10) || ' + chr(39) + '|' + chr(39))} > 1) "
-                  f"OR {sql_count('lower(text)', fv.TABLE_STAT_WORDS)} >= 3)")
-
-
 @add("boundary_quality", f"SELECT doc_id, {QUALITY_SQL} AS quality, {STARTS} AS starts_mid, {ENDS} AS ends_mid FROM documents")
 def _(spark, sf):
     return documents(spark, sf).select("doc_id", Q.boundary_quality("text").alias("quality"),

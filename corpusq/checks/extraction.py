@@ -254,7 +254,25 @@ def _(spark, sf):
     return _asked(spark, sf).select("question_id", F.array_join(SC.firing_modes("question"), ",").alias("modes"))
 
 
-@add("validate_combinations")
+# names a question holds, by the place of their first mention; its modes; a pair is impossible if the best weapon of that name cannot fire so
+COMBO_WORDS = ["ring", "bolt", "widget", "gear", "red", "blue", "hedt", "thor"]
+_MODE_ROWS = ", ".join(f"({i}, '{n}', '{p}', {sql_list([n.upper(), *dict(fv.MODE_ALIASES).get(n, [])])}, {sql_list(dict(fv.MODE_ALIASES)[n])})" for i, (n, p) in enumerate(fv.FIRING_MODES))
+COMBO_SQL = f"""WITH q AS (SELECT question_id, question, lower(question || ' ring bolt') AS low FROM ({ASKED_SQL})), words(word) AS (VALUES {", ".join(f"('{w}')" for w in COMBO_WORDS)}),
+ modes(o, mode, pattern, wanted, aliases) AS (VALUES {_MODE_ROWS}), weapons AS ({WEAPON_REG}),
+ named AS (SELECT question_id, word, row_number() OVER (PARTITION BY question_id ORDER BY length(string_split_regex(low, '\\b' || word || '\\b')[1])) - 1 AS entity_ord
+ FROM q, words WHERE regexp_matches(low, '\\b' || word || '\\b')),
+ fired AS (SELECT question_id, mode, aliases, row_number() OVER (PARTITION BY question_id ORDER BY o) - 1 AS mode_ord FROM q, modes WHERE regexp_matches(low, pattern)),
+ best AS (SELECT word, arg_min((name, mode), (name <> word, name, source)) AS w FROM words JOIN weapons ON contains(lower(name), word) GROUP BY 1),
+ options AS (SELECT mode, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT m.mode, w.name, row_number() OVER (PARTITION BY m.mode ORDER BY w.name, w.source) AS r
+ FROM modes m JOIN weapons w ON len(list_filter(wanted, lambda a: contains(upper(w.mode), a))) > 0) WHERE r <= 3 GROUP BY 1),
+ bad AS (SELECT n.question_id, entity_ord, mode_ord, f.mode, CASE WHEN b.w IS NULL THEN 'Weapon ' || chr(39) || n.word || chr(39) || ' not found' ELSE b.w[1] || ' cannot fire in ' || f.mode || ' mode' END AS error
+ FROM named n JOIN fired f USING (question_id) LEFT JOIN best b ON n.word = b.word
+ WHERE b.w IS NULL OR len(list_filter(string_split(b.w[2], '/'), lambda x: len(list_filter(f.aliases, lambda a: contains(trim(x), a))) > 0)) = 0)
+ SELECT question_id, (entity_ord * 100 + mode_ord * 2)::INT AS warning_ord, error AS warning FROM bad UNION ALL
+ SELECT question_id, (entity_ord * 100 + mode_ord * 2 + 1)::INT, 'Weapons that support ' || mode || ': ' || names FROM bad JOIN options USING (mode)"""
+
+
+@add("validate_combinations", COMBO_SQL)
 def _(spark, sf):
     patterns = [("weapon", r"\b(?:ring|bolt|widget|gear|red|blue|hedt|thor)\b", 0.8)]
     return E.validate_combinations(_asked(spark, sf).withColumn("question", F.concat("question", F.lit(" ring bolt"))), weapons(spark, sf), patterns=patterns)

@@ -234,13 +234,17 @@ INTENTS = [("weapon", ["erad", "tionn", "thre"]), ("matrix", ["ouou", "eaux", "q
 TYPES = [("stats_lookup", ["thor", "reti"]), ("comparison", ["ver", "than"]), ("cost_availability", ["ein "])]
 ALL_TERMS = sorted({t for _, ts in INTENTS for t in ts})
 ENTITIES_SQL = f"list_filter({sql_list(ALL_TERMS)}, lambda t: contains(lower(question), t))"
-ANALYSIS_SQL = f"""SELECT *, least(1.0, (0.5 + least(0.3, len(entities) * 0.1) + CASE WHEN intent <> 'general' THEN 0.2 ELSE 0 END
+def analysis_sql(source):
+    return f"""SELECT *, least(1.0, (0.5 + least(0.3, len(entities) * 0.1) + CASE WHEN intent <> 'general' THEN 0.2 ELSE 0 END
  + CASE WHEN {sql_any('lower(question)', fv.CLEAR_QUERY_PHRASES)} THEN 0.1 ELSE 0 END)::DECIMAL(6,2)::DOUBLE) AS confidence,
  list_concat(CASE intent WHEN 'weapon' THEN {sql_list(fv.INTENT_BOOSTS['weapon'])} WHEN 'matrix' THEN {sql_list(fv.INTENT_BOOSTS['matrix'])}
  WHEN 'magic' THEN {sql_list(fv.INTENT_BOOSTS['magic'])} ELSE [] END, entities) AS boosts FROM (SELECT question_id, question, {argmax_sql('lower(question)', INTENTS)} AS intent, {ENTITIES_SQL} AS entities,
  CASE {" ".join(f"WHEN {sql_any('lower(question)', ts)} THEN '{n}'" for n, ts in TYPES)} WHEN contains(question, '?') THEN 'question'
  WHEN len(list_filter(string_split_regex(question, '\\s+'), lambda t: t <> '')) <= 3 THEN 'lookup' ELSE 'explanation' END AS query_type,
- {sql_any('lower(question)', fv.TABLE_QUERY_WORDS)} AS wt, {sql_any('lower(question)', fv.RULE_QUERY_WORDS)} AS wr FROM ({QUESTIONS_SQL}))"""
+ {sql_any('lower(question)', fv.TABLE_QUERY_WORDS)} AS wt, {sql_any('lower(question)', fv.RULE_QUERY_WORDS)} AS wr FROM ({source}))"""
+
+
+ANALYSIS_SQL = analysis_sql(QUESTIONS_SQL)
 
 
 def analysed(spark, sf):

@@ -213,6 +213,24 @@ def _(spark, sf):
     return D.table_view(gear(spark, sf), "gear")
 
 
+# the other child tables, from parts
+VIEWS = {"qualities": {"rating": "p_size", "quality_type": "lower(p_type)"}, "weapons": {"weapon_type": "p_type", "damage_code": "concat(p_size, 'P')", "armor_penetration": "-p_size"},
+         "vehicles": {"vehicle_type": "p_brand", "handling": "p_size % 7", "speed": "p_size"}, "programs": {"rating": "p_size % 6", "program_type": "p_type"}}
+
+
+def _add_view(kind, columns):
+    shown = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+
+    @add(f"table_view_{kind}", f"SELECT p_partkey % 40 AS parent_id, p_name AS name, {shown} FROM part")
+    def _(spark, sf):
+        rows = load(spark, sf, "part").selectExpr("*", "p_partkey % 40 AS parent_id", "p_name AS name", *[f"{sql} AS {name}" for name, sql in columns.items()])
+        return D.table_view(rows, kind)
+
+
+for _kind, _columns in VIEWS.items():
+    _add_view(_kind, _columns)
+
+
 @add("validate_rows", """SELECT c_custkey, concat_ws('; ', CASE WHEN trim(n) = '' THEN 'Character name is required' WHEN length(trim(n)) < 2 THEN 'Character name must be at least 2 characters' WHEN length(trim(n)) > 50 THEN 'Character name must be less than 50 characters' END,
  CASE WHEN c_custkey % 11 = 0 THEN 'Balance must be a valid number' WHEN c_acctbal < 0 THEN 'Balance must be at least 0' WHEN c_acctbal > 5000 THEN 'Balance must be no more than 5000' END) AS errors
  FROM (SELECT *, CASE c_custkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' x ' WHEN 2 THEN repeat(c_name, 3) ELSE c_name END AS n FROM customer)""")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusq.checks.chunking import LINKS_SQL, PACK_SQL, TOKENS, packed_documents
 from corpusq.checks.fixtures import CHUNKS_SQL, conversation_chunks, documents, sql_count
-from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, EXPANSIONS, QUESTIONS_SQL, SYN, analysed, argmax_sql, questions)
+from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, EXPANSIONS, INTENTS, QUESTIONS_SQL, SYN, TYPES, analysed,
+                                      analysis_sql, argmax_sql, questions)
 from corpusq.checks.registry import Checks
 from corpusq.functions.text import count_tokens
 from corpusq.functions import extensions as U
@@ -292,7 +293,7 @@ def _(spark, sf):
 LETTERS = "aeioldnrstu"
 STORE_SQL = f"""SELECT p.*, 'doc-' || doc_id || '_section_0_chunk_' || chunk_index AS chunk_id, 'doc-' || doc_id || '_section_0' AS section_id,
  'lib/' || source || '/doc-' || doc_id || '.md' AS source, CASE lang WHEN 'en' THEN 'rulebook' WHEN 'fr' THEN 'big adventure' END AS document_type,
- 'SR' || (4 + doc_id % 2) AS edition, CASE doc_id % 5 WHEN 0 THEN 'Matrix' WHEN 1 THEN 'Gear' WHEN 2 THEN 'Magic' END AS primary_section, lang AS subsection,
+ CASE WHEN doc_id % 2 = 0 THEN 'sr4' ELSE 'SR5' END AS edition, CASE doc_id % 5 WHEN 0 THEN 'Matrix' WHEN 1 THEN 'Gear' WHEN 2 THEN 'Magic' END AS primary_section, lang AS subsection,
  CASE WHEN chunk_index > 0 THEN 'doc-' || doc_id || '_section_0_chunk_' || (chunk_index - 1) END AS prev_id,
  CASE WHEN chunk_index < max(chunk_index) OVER (PARTITION BY doc_id) THEN 'doc-' || doc_id || '_section_0_chunk_' || (chunk_index + 1) END AS next_id
  FROM ({PACK_SQL}) p JOIN documents USING (doc_id)"""
@@ -317,7 +318,7 @@ ANSWER_SQL = f"""WITH store AS MATERIALIZED (SELECT *, {_letters_sql('text')} AS
  asked AS (SELECT *, {_letters_sql('expanded')} AS qv FROM r),
  hits AS MATERIALIZED (SELECT * FROM (SELECT question_id, n, s.*, round(1 - list_cosine_similarity(qv, v), 12) AS distance,
  row_number() OVER (PARTITION BY question_id ORDER BY round(1 - list_cosine_similarity(qv, v), 12), chunk_id) AS place FROM asked a JOIN store s ON
- (w_type IS NULL OR w_type = s.document_type) AND (w_edition IS NULL OR w_edition = s.edition) AND (w_source IS NULL OR contains(s.source, w_source))
+ (w_type IS NULL OR w_type = s.document_type) AND (w_edition IS NULL OR w_edition = upper(s.edition)) AND (w_source IS NULL OR contains(s.source, w_source))
  AND (w_section IS NULL OR w_section = s.primary_section) AND (w_sub IS NULL OR w_sub = s.subsection)) WHERE place <= n),
  linked AS (SELECT DISTINCT question_id, id FROM (SELECT question_id, unnest([prev_id, next_id]) AS id FROM hits) WHERE id IS NOT NULL),
  fresh AS (SELECT question_id, min(chunk_id) AS chunk_id FROM linked l JOIN store s ON l.id = s.chunk_id
@@ -347,7 +348,7 @@ def chunk_store(spark, sf):
     meta = load(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("lib/"), "source", F.lit("/doc-"), doc.cast("string"), F.lit(".md")).alias("source"),
         F.when(F.col("lang") == "en", "rulebook").when(F.col("lang") == "fr", "big adventure").alias("document_type"),
-        F.concat(F.lit("SR"), (4 + doc % 2).cast("string")).alias("edition"),
+        F.when(doc % 2 == 0, "sr4").otherwise("SR5").alias("edition"),
         F.when(doc % 5 == 0, "Matrix").when(doc % 5 == 1, "Gear").when(doc % 5 == 2, "Magic").alias("primary_section"), F.col("lang").alias("subsection"))
     path = shared_folder(spark, "packed")
     packed_documents(spark, sf).write.parquet(path)
@@ -383,6 +384,25 @@ def _(spark, sf):
     return answers.withColumn("prompt", F.sha2("prompt", 256)).withColumn("sources", F.array_join("sources", ","))
 
 
+# a quarter of the questions quotes a program's attack line
+QUOTED_SQL = f"""SELECT question_id, h, question || CASE WHEN h % 4 = 0 THEN chr(10) || 'PATROL **Attack:** Host Rating x 2 v. Logic + 3' || {NL2} || 'It finds you.' ELSE '' END AS question
+ FROM ({REQUESTS_OF_ALL_SQL})"""
+
+
+@add("search_report", f"""SELECT question_id, intent, array_to_string(entities, ',') AS entities, query_type, confidence,
+ array_to_string(list_concat([question], list_filter(boosts, lambda t: NOT contains(lower(question), t)),
+ list_filter(list_transform(entities, lambda e: CASE e WHEN 'erad' THEN 'radial' WHEN 'ouou' THEN 'owl' WHEN 'der' THEN 'of it' END), lambda s: s IS NOT NULL)), ' ') AS enhanced_query,
+ 0::BIGINT AS weapons, 0::BIGINT AS spells, (CASE WHEN h % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS ic_programs, least(1 + h % 6, (SELECT count(*) FROM documents))::BIGINT AS results_count
+ FROM ({analysis_sql(QUOTED_SQL)}) JOIN (SELECT question_id, h FROM ({REQUESTS_OF_ALL_SQL})) USING (question_id)""")
+def _(spark, sf):
+    embed = U.register_embedder(_letter_counts, 1 + len(LETTERS))
+    quoted = F.when(F.length("question") % 4 == 0, F.concat("question", F.lit(
+        "\nPATROL **Attack:** Host Rating x 2 v. Logic + 3\n\nIt finds you."))).otherwise(F.col("question"))
+    chunks = load_spread(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("chunk_id"), embed("text").alias("embedding"))
+    report = A.search_report(requests(spark, sf).withColumn("question", quoted), chunks, embed, SYN, INTENTS, TYPES)
+    return report.withColumn("entities", F.array_join("entities", ","))
+
+
 @add("conversation_context", """SELECT conv_id, CASE WHEN length(c) > 400 THEN array_to_string(list_slice(string_split(c, chr(10)), greatest(len(string_split(c, chr(10))) - 5, 1), len(string_split(c, chr(10)))), chr(10)) ELSE c END AS context
  FROM (SELECT conv_id, string_agg('Previous Q' || i || ': ' || text || chr(10) || 'Previous A' || i || ': ' || answer, chr(10) ORDER BY i) AS c
  FROM (SELECT conv_id, text, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusq.functions import fixed_values as fv, quality as Q
 from corpusq.functions.text import _col, any_term, count_tokens
 from corpusq.plans.ordered import top_k
+from corpusq.plans.scratch import shared_folder
 
 
 def size_stats(chunks: DataFrame, text: str = "text", group: list[str] = ()) -> DataFrame:
@@ -50,10 +51,19 @@ def value_counts(chunks: DataFrame, columns: list[str], missing: str = "Unknown"
     return counted.select(field.alias("field"), value.alias("value"), "n")
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def dominance(chunks: DataFrame, column: str, top: int = 3, missing: str = "Unknown") -> DataFrame:
-    """The most common values with their joint share, and the diversity of the column."""
-    counts = chunks.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """The most common values with their joint share, and the diversity of the column.
+
+    The chunks are read once; the counts of the distinct values are stored and read twice.
+    """
+    counts = _stored(chunks.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias("value")).agg(
+        F.count(F.lit(1)).alias("n")), "value-counts")
     first = counts.orderBy(F.col("n").desc(), "value").limit(top)
     share = first.agg(F.sum("n").alias("in_top"), F.array_sort(F.collect_list(F.struct(
         (-F.col("n")).alias("o"), "value", "n"))).alias("_t"))
@@ -151,21 +161,33 @@ def chunk_statistics(chunks: DataFrame, group: list[str] = ()) -> DataFrame:
         F.count_if(F.col("starts_mid_sentence") | F.col("ends_mid_sentence")).alias("poor_boundary_chunks"))
 
 
+#: Stands for a missing path among the counted values.
+NO_PATH = "\x00"
+
+
 def collection_stats(chunks: DataFrame, key: str, sample: int | None = None, path: str = "doc_path") -> DataFrame:
-    """Totals and distributions over everything; on request, distributions over the first ``sample`` rows by key."""
-    totals = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.count_distinct(path).alias("indexed_files"))
-    scope = chunks.orderBy(key).limit(sample) if sample else chunks
+    """Totals and distributions over everything; on request, distributions over the first ``sample`` rows by key.
+
+    The chunks are read once, for the counts of all fields and of the paths
+    (twice with a sample); all figures come from these counts.
+    """
     fields = ["primary_section", "content_type", "chunk_type"]
-    seen = value_counts(scope, fields).groupBy().agg(*[
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("value", "n"))))).alias(f)
-        for f in fields])
-    flags = scope.agg(F.count_if("is_table_content").alias("table_chunks"), F.count(F.lit(1)).alias("sample_size"))
-    out = totals
-    for name, df in (("section_distribution", seen.select(fields[0])), ("content_type_distribution", seen.select(fields[1])),
-                     ("chunk_type_distribution", seen.select(fields[2])), ("table_chunks", flags.select("table_chunks")),
-                     ("sample_size", flags.select("sample_size"))):
-        out = out.withColumn(name, df.scalar())
-    return out
+    named = chunks.withColumn(path, F.coalesce(path, F.lit(NO_PATH)))
+    if sample:
+        rows = value_counts(named.orderBy(key).limit(sample), [*fields, "is_table_content"]).unionByName(value_counts(named, [path]))
+    else:
+        rows = value_counts(named, [*fields, "is_table_content", path])
+    field, n = F.col("field"), F.col("n")
+
+    def spread(name):
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(field == name, F.struct("value", "n")))))
+    return _stored(rows, "collection").agg(
+        F.coalesce(F.sum(F.when(field == path, n)), F.lit(0)).alias("total_chunks"),
+        F.count_if((field == path) & (F.col("value") != NO_PATH)).alias("indexed_files"),
+        spread("primary_section").alias("section_distribution"), spread("content_type").alias("content_type_distribution"),
+        spread("chunk_type").alias("chunk_type_distribution"),
+        F.coalesce(F.sum(F.when((field == "is_table_content") & (F.col("value") == "true"), n)), F.lit(0)).alias("table_chunks"),
+        F.coalesce(F.sum(F.when(field == fields[0], n)), F.lit(0)).alias("sample_size"))
 
 
 def quality_report(chunks: DataFrame, key: str, sample: int | None = None) -> DataFrame:

@@ -5,23 +5,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.operators import context as X, labelling as L, retrieval as R
+from corpusq.operators.entities import COUNT_NAMES, entity_counts
 
 #: Most results a request may ask for.
 MOST_RESULTS = 50
-FILTERS = {"document_type": "want_document_type", "edition": "want_edition", "primary_section": "want_primary_section",
+FILTERS = {"document_type": "want_document_type", "edition_key": "want_edition", "primary_section": "want_primary_section",
            "subsection": "want_subsection"}
 
 
+def edition_key(edition: Column | str) -> Column:
+    """Editions are written in either case; they are compared in one."""
+    return F.upper(F.col(edition) if isinstance(edition, str) else edition)
+
+
 def search_requests(requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], categories=None, expansions=None,
                     key: str = "question_id", chunk: str = "chunk_id", search=R.knn) -> DataFrame:
     """(key, chunk, distance, rank): the n_results chunks nearest to each expanded question, under the request's own filters.
 
     A request's source filter is contained in the chunk's source, its other
-    filters equal the chunk's values.  ``search`` is ``retrieval.knn`` or a function with its parameters.
+    filters equal the chunk's values (the edition in either case).  ``search`` is ``retrieval.knn`` or a function with its parameters.
     """
     asked = L.expand_query(R.build_filter(requests), "question", categories, expansions)
-    asked = asked.withColumn("query_embedding", embed(F.col("expanded")))
-    found = search(asked, chunks, MOST_RESULTS, key, chunk, per_query=FILTERS, per_query_contains={"source": "want_source"})
+    asked = asked.withColumn("query_embedding", embed(F.col("expanded"))).withColumn("want_edition", edition_key("want_edition"))
+    found = search(asked, chunks.withColumn("edition_key", edition_key("edition")), MOST_RESULTS, key, chunk, per_query=FILTERS, per_query_contains={"source": "want_source"})
     limits = requests.select(key, F.coalesce("n_results", F.lit(5)).alias("_n"))
     return found.join(limits, key).filter(F.col("rank") <= F.col("_n")).drop("_n")
 
@@ -48,3 +54,22 @@ def answer_questions(requests: DataFrame, chunks: DataFrame, templates: DataFram
     return (X.render_prompts(requests, contexts, templates, key=key).join(kind, key).join(sources, key, "left").join(counts, key, "left")
             .withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
             .fillna(0, ["linked_chunks", "n_hits", "n_chunks"]))
+
+
+def search_report(requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], synonyms=None, intents=None, query_types=None,
+                  key: str = "question_id", chunk: str = "chunk_id", search=R.knn) -> DataFrame:
+    """How a search would run, one row per request: analysis, enhanced query, records in the question, number of results.
+
+    Columns intent, entities, query_type, confidence, enhanced_query, the
+    number of records of each type that the question itself holds, results_count.
+    """
+    analysed = L.build_enhanced_query(L.analyze_query(requests, "question", intents=intents, query_types=query_types), synonyms=synonyms)
+    asked = analysed.withColumn("query_embedding", embed(F.col("enhanced_query")))
+    found = search(asked, chunks, MOST_RESULTS, key, chunk)
+    limits = requests.select(key, F.coalesce("n_results", F.lit(5)).alias("_n"))
+    counts = (found.join(limits, key).filter(F.col("rank") <= F.col("_n")).groupBy(key)
+              .agg(F.count(F.lit(1)).alias("results_count")))
+    names = list(COUNT_NAMES.values())
+    counted = entity_counts(analysed.select(key, "question", "intent", "entities", "query_type", "confidence", "enhanced_query"), "question")
+    return (counted.join(counts, key, "left").fillna(0, ["results_count"])
+            .select(key, "intent", "entities", "query_type", "confidence", "enhanced_query", *names, "results_count"))

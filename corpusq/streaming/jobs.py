@@ -133,14 +133,16 @@ def job_status(progress: DataFrame, as_of=None, retention: int = fv.JOB_RETENTIO
     return last.filter((F.col("stage") != "complete") | (F.col("ts") >= as_of - F.make_dt_interval(secs=F.lit(retention))))
 
 
+#: A job that never completes is forgotten after this time without a report.
+JOB_IDLE_SECONDS = 24 * 3600
 STATUS_SCHEMA = "job_id string, stage string, progress double, details string, ts timestamp, seq bigint"
 
 
 class JobStatus(StatefulProcessor):
-    """Latest status per job; a timer drops a complete job after the retention time."""
+    """Latest status per job; a timer drops a complete job after the retention time, any other once it was idle for long."""
 
-    def __init__(self, retention: int = fv.JOB_RETENTION_SECONDS):
-        self.retention = retention
+    def __init__(self, retention: int = fv.JOB_RETENTION_SECONDS, idle: int = JOB_IDLE_SECONDS):
+        self.retention, self.idle = retention, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -156,8 +158,8 @@ class JobStatus(StatefulProcessor):
         self.latest.update(tuple(best))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if best[0] == "complete":
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retention * 1000)
+        keep = self.retention if best[0] == "complete" else self.idle
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + keep * 1000)
         yield pd.DataFrame([[key[0], *best]], columns=["job_id", "stage", "progress", "details", "ts", "seq"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -173,11 +175,11 @@ def use_keyed_state(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_job_status(progress: DataFrame, retention: int = fv.JOB_RETENTION_SECONDS) -> DataFrame:
+def stream_job_status(progress: DataFrame, retention: int = fv.JOB_RETENTION_SECONDS, idle: int = JOB_IDLE_SECONDS) -> DataFrame:
     """Update-mode stream with the latest status of each job that reported."""
     use_keyed_state(progress.sparkSession)
     return progress.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobStatus(retention), outputStructType=STATUS_SCHEMA, outputMode="Update", timeMode="ProcessingTime")
+        statefulProcessor=JobStatus(retention, idle), outputStructType=STATUS_SCHEMA, outputMode="Update", timeMode="ProcessingTime")
 
 
 # ---- reasoning tags ----------------------------------------------------------------------------

@@ -115,9 +115,9 @@ def test_change_replay_against_a_fold(spark, width):
             state[k] = (state[k][0] if n is None else n, state[k][1] if t is None else t, seq)
     got = D.apply_changes(spark.createDataFrame(base, "key int, n int, t string"), spark.createDataFrame(
         log, "key int, seq int, op string, n int, t string"), "key", ["n", "t"], width=width)
-    assert {r["key"]: (r["n"], r["t"], r["touched_seq"]) for r in got.collect()} == state
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 4
+    assert plan.count("Exchange") <= 4 and plan.count("Scan ExistingRDD") == 2
+    assert {r["key"]: (r["n"], r["t"], r["touched_seq"]) for r in got.collect()} == state
 
 
 def test_csv_cells_are_quoted(spark):
