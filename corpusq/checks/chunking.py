@@ -21,15 +21,19 @@ def line_rows(sql, cols):
             f"generate_subscripts(string_split(text, chr(10)), 1) AS n FROM ({sql})")
 
 
-@add("split_by_headers", f"""WITH l AS (SELECT *, {sql_strip('line')} AS s FROM ({line_rows(MD_SQL, 'doc_id')})),
+def headers_sql(source):
+    return f"""WITH l AS (SELECT *, {sql_strip('line')} AS s FROM ({line_rows(source, 'doc_id')})),
  h AS (SELECT *, regexp_matches(s, '^#{{1,3}}\\s+\\S') AS head FROM l),
  g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM h),
  sec AS (SELECT doc_id, grp, coalesce(max(CASE WHEN head THEN {sql_strip("regexp_replace(s, '^#+', '')")} END), '') AS section_title,
  coalesce(max(CASE WHEN head THEN length(regexp_extract(s, '^(#+)', 1)) END), 1)::INT AS section_level,
  coalesce(string_agg(CASE WHEN NOT head THEN line || chr(10) END, '' ORDER BY n), '') AS content FROM g GROUP BY 1, 2)
  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1)::INT AS section_index, section_title, section_level, content
- FROM sec WHERE {sql_strip('content')} <> '' UNION ALL SELECT doc_id, 0, 'Content', 1, text FROM ({MD_SQL}) WHERE doc_id NOT IN
- (SELECT doc_id FROM sec WHERE {sql_strip('content')} <> '') AND {sql_strip('text')} <> ''""")
+ FROM sec WHERE {sql_strip('content')} <> '' UNION ALL SELECT doc_id, 0, 'Content', 1, text FROM ({source}) WHERE doc_id NOT IN
+ (SELECT doc_id FROM sec WHERE {sql_strip('content')} <> '') AND {sql_strip('text')} <> ''"""
+
+
+@add("split_by_headers", headers_sql(MD_SQL))
 def _(spark, sf):
     return S.split_by_headers(md_docs(spark, sf).select("doc_id", "text"))
 
@@ -69,7 +73,8 @@ def _(spark, sf):
 
 
 # state machine over the lines of all documents at once, one line number per step
-TABLES_SQL = f"""WITH RECURSIVE raw AS (SELECT *, {sql_strip('line')} AS s FROM ({line_rows(TABLE_SQL, 'doc_id')})),
+def tables_sql(source):
+    return f"""WITH RECURSIVE raw AS (SELECT *, {sql_strip('line')} AS s FROM ({line_rows(source, 'doc_id')})),
  l AS (SELECT doc_id, n, s, length(s) - length(replace(s, '|', '')) >= 2 AS two, contains(s, '|') AS piped,
  coalesce(regexp_matches(lead(s) OVER (PARTITION BY doc_id ORDER BY n), '^[\\s|:\\-]+$'), false) AS ruled,
  {sql_any('lower(s)', fv.DETECT_STAT_WORDS)} AS stat,
@@ -85,6 +90,9 @@ TABLES_SQL = f"""WITH RECURSIVE raw AS (SELECT *, {sql_strip('line')} AS s FROM
  FROM e WHERE mode = 1 OR stop > start"""
 
 
+TABLES_SQL = tables_sql(TABLE_SQL)
+
+
 @add("detect_tables", TABLES_SQL)
 def _(spark, sf):
     return S.detect_tables(table_docs(spark, sf).select("doc_id", "text"))
@@ -278,7 +286,58 @@ def _(spark, sf):
     return P.chunk_semantic(S.split_semantic(table_docs(spark, sf).select("doc_id", "text")), 120)
 
 
-@add("chunk_documents")
+def chunk_sql(source, size, overlap):
+    """Sections, blocks, packing, ids and links of (doc_id, doc_path, text), one unit of every section a step."""
+    stem, entry = "regexp_replace(regexp_extract(doc_path, '[^/]*$'), '[.][^.]*$', '')", "STRUCT(units BIGINT[], tok BIGINT, kind VARCHAR)"
+    return f"""WITH RECURSIVE src AS MATERIALIZED ({source}), sec AS MATERIALIZED (SELECT *, doc_id || ':' || section_index AS k FROM ({headers_sql('SELECT * FROM src')})),
+ found AS MATERIALIZED (SELECT doc_id, arg_min(table_type, start_line) AS first_type FROM ({tables_sql('SELECT * FROM src')}) GROUP BY 1),
+ l AS MATERIALIZED (SELECT k, n, line, length(line) - length(replace(line, '|', '')) >= 2 OR {sql_any('lower(line)', fv.BLOCK_STAT_WORDS)} AS opens,
+ contains(line, '|') OR {sql_strip('line')} = '' OR (first_type = 'weapon_stats' AND regexp_matches(line, '[\\d\\-]')) AS goes
+ FROM (SELECT k, first_type, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM sec JOIN found USING (doc_id))),
+ bs AS (SELECT k, 0::BIGINT AS n, '' AS mode, 0 AS blk FROM sec JOIN found USING (doc_id) UNION ALL
+ SELECT k, n, CASE WHEN stays THEN mode WHEN opens THEN 'table' ELSE 'text' END, CASE WHEN stays THEN blk ELSE blk + 1 END FROM
+ (SELECT l.k, l.n, l.opens, bs.mode, bs.blk, (bs.mode = 'table' AND l.goes) OR (bs.mode = 'text' AND NOT l.opens) AS stays FROM bs JOIN l ON l.k = bs.k AND l.n = bs.n + 1)),
+ blocks AS (SELECT * FROM (SELECT k, blk, any_value(mode) AS type, {sql_strip("string_agg(line, chr(10) ORDER BY n)")} AS content FROM bs JOIN l USING (k, n) GROUP BY 1, 2
+ UNION ALL SELECT k, 1, 'text', {sql_strip('content')} FROM sec WHERE doc_id NOT IN (SELECT doc_id FROM found)) WHERE content <> ''),
+ pieces AS (SELECT k, blk, type = 'table' AS tab, unnest(x) AS content, generate_subscripts(x, 1) AS i FROM
+ (SELECT *, CASE WHEN type = 'table' THEN [content] ELSE {SENTENCES.format('content')} END AS x FROM blocks)),
+ u AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY blk, i) AS n, content, {TOKENS.format('content')} AS t, tab, count(*) OVER (PARTITION BY k) AS last FROM pieces),
+ st AS (SELECT k, 0::BIGINT AS n, []::BIGINT[] AS cur, 0::BIGINT AS tok, []::BIGINT[] AS run, []::INT[] AS rt, false AS last_text, []::{entry}[] AS made FROM (SELECT DISTINCT k FROM u)
+ UNION ALL SELECT k, n, CASE act WHEN 'split' THEN [] WHEN 'tfull' THEN [n] WHEN 'sfull' THEN list_append(list_slice(run, len(run) - keep + 1, len(run)), n) ELSE list_append(cur, n) END,
+ CASE act WHEN 'split' THEN 0 WHEN 'tfull' THEN t WHEN 'sfull' THEN coalesce(list_sum(list_slice(rt, len(rt) - keep + 1, len(rt))), 0)::BIGINT + t ELSE tok + t END,
+ CASE WHEN act IN ('split', 'tfull') THEN [] WHEN act = 'tadd' THEN run WHEN act = 'sfull' THEN list_append(list_slice(run, len(run) - keep + 1, len(run)), n) WHEN last_text THEN list_append(run, n) ELSE [n] END,
+ CASE WHEN act IN ('split', 'tfull') THEN [] WHEN act = 'tadd' THEN rt WHEN act = 'sfull' THEN list_append(list_slice(rt, len(rt) - keep + 1, len(rt)), t) WHEN last_text THEN list_append(rt, t) ELSE [t] END,
+ act IN ('sfull', 'sadd'),
+ CASE WHEN act IN ('split', 'tfull') AND len(cur) > 0 THEN [{{'units': cur, 'tok': tok, 'kind': 'mixed'}}] WHEN act = 'sfull' THEN [{{'units': cur, 'tok': tok, 'kind': 'text'}}] ELSE []::{entry}[] END
+ || CASE WHEN act = 'split' THEN [{{'units': [n], 'tok': t::BIGINT, 'kind': 'table_split'}}] ELSE []::{entry}[] END FROM
+ (SELECT u.k, u.n, u.t, st.cur, st.tok, st.run, st.rt, st.last_text, len(list_filter(range(1, len(st.rt) + 1), lambda j: list_sum(list_slice(st.rt, len(st.rt) - j + 1, len(st.rt))) <= {overlap})) AS keep,
+ CASE WHEN u.tab AND u.t > {size} THEN 'split' WHEN u.tab AND st.tok + u.t > {size} THEN 'tfull' WHEN u.tab THEN 'tadd' WHEN st.tok + u.t > {size} AND len(st.cur) > 0 THEN 'sfull' ELSE 'sadd' END AS act
+ FROM st JOIN u ON u.k = st.k AND u.n = st.n + 1)),
+ entries AS (SELECT k, n, i, made[i] AS e FROM (SELECT k, n, made, generate_subscripts(made, 1) AS i FROM st WHERE len(made) > 0)
+ UNION ALL SELECT st.k, st.n + 1, 1, {{'units': cur, 'tok': tok, 'kind': 'text'}} FROM st JOIN (SELECT DISTINCT k, last FROM u) m ON st.k = m.k AND st.n = m.last WHERE len(cur) > 0),
+ numbered AS (SELECT *, row_number() OVER () AS eid FROM entries),
+ parts AS (SELECT *, lag(unit) OVER (PARTITION BY eid ORDER BY p) AS before FROM (SELECT eid, unnest(e.units) AS unit, generate_subscripts(e.units, 1) AS p, k FROM numbered)),
+ glued AS (SELECT eid, string_agg(CASE WHEN p = 1 THEN '' WHEN u.tab OR b.tab THEN chr(10) || chr(10) ELSE ' ' END || u.content, '' ORDER BY p) AS text FROM parts q JOIN u ON u.k = q.k AND u.n = q.unit
+ LEFT JOIN u b ON b.k = q.k AND b.n = q.before GROUP BY 1),
+ tl AS (SELECT eid, line, row_number() OVER (PARTITION BY eid ORDER BY i) AS i, contains(line, '|') AND {sql_any('lower(line)', fv.TABLE_HEADER_WORDS)} AS head,
+ contains(line, '|') OR regexp_matches(line, '\\d+[PS]|\\d+¥') AS data FROM (SELECT eid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+ FROM glued JOIN numbered USING (eid) WHERE e.kind = 'table_split')),
+ heads AS (SELECT eid, string_agg(line, chr(10) ORDER BY i) AS head FROM tl WHERE head GROUP BY 1),
+ rows AS (SELECT eid, line, i, (row_number() OVER (PARTITION BY eid ORDER BY i) - 1) // 10 AS grp FROM tl WHERE data AND NOT head),
+ chunks AS (SELECT k, n, i, 0::BIGINT AS grp, text, e.tok::INT AS token_count, e.kind AS chunk_type FROM numbered JOIN glued USING (eid) WHERE e.kind <> 'table_split'
+ UNION ALL SELECT k, n, i, grp, text, {TOKENS.format('text')}, 'table_split' FROM (SELECT eid, grp, coalesce(any_value(head) || chr(10), '') || string_agg(line, chr(10) ORDER BY r.i) AS text
+ FROM rows r LEFT JOIN heads USING (eid) GROUP BY 1, 2) JOIN numbered USING (eid)),
+ c AS (SELECT src.* EXCLUDE (text), section_index, section_title, section_level, (row_number() OVER s - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY k))::INT AS total_chunks_in_section,
+ c.text, token_count, chunk_type, {stem} || '_section_' || section_index AS section_id FROM chunks c JOIN sec USING (k) JOIN src USING (doc_id) WINDOW s AS (PARTITION BY k ORDER BY n, i, grp)),
+ ids AS (SELECT *, section_id || '_chunk_' || chunk_index AS chunk_id FROM c)
+ SELECT *, section_index::BIGINT * 4294967296 + chunk_index AS chunk_pos, length(text)::INT AS char_count, chunk_type IN ('table', 'table_split') AS is_table_content,
+ lag(chunk_id) OVER d AS prev_chunk_global, lead(chunk_id) OVER d AS next_chunk_global, CASE WHEN chunk_index > 0 THEN section_id || '_chunk_' || (chunk_index - 1) END AS prev_chunk_section,
+ CASE WHEN chunk_index < total_chunks_in_section - 1 THEN section_id || '_chunk_' || (chunk_index + 1) END AS next_chunk_section, chunk_index = total_chunks_in_section - 1 AS section_complete,
+ array_to_string(list_transform(list_slice(list_filter(range(0, least(total_chunks_in_section, 6)), lambda x: x <> chunk_index), 1, 5), lambda x: section_id || '_chunk_' || x), ',') AS section_chunk_ids
+ FROM ids WINDOW d AS (PARTITION BY doc_id ORDER BY section_index, chunk_index)"""
+
+
+@add("chunk_documents", chunk_sql(TABLE_SQL, 120, 20))
 def _(spark, sf):
     return C.chunk_documents(table_docs(spark, sf), size=120, overlap=20).withColumn(
         "section_chunk_ids", F.array_join("section_chunk_ids", ","))

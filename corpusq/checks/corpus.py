@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusq.checks.fixtures import (CHUNKS_SQL, DIRTY_SQL, MD_SQL, conversation_chunks, dirty_docs, documents,
                                      md_docs, sql_any, sql_strip)
+from corpusq.checks.chunking import ENDS, QUALITY_SQL, STARTS, chunk_sql
 from corpusq.checks.registry import Checks
 from corpusq.functions import fixed_values as fv, text as T
 from corpusq.operators import chunks as C, headings as H, maintenance as M
@@ -389,3 +390,12 @@ def _(spark, sf):
  {clean_sql('html')} AS html FROM pages) WHERE html <> ''""")
 def _(spark, sf):
     return C.clean_documents(load_spread(spark, sf, "pages", "page_id"), "html").select("page_id", "chars_removed", "html")
+
+
+# ---- the flagship: clean, section, pack, link, grade, count per language ---------------------------
+FLAGSHIP_SQL = f"""SELECT lang, count(*) AS total_chunks, min(token_count) AS token_min, max(token_count) AS token_max, avg(token_count) AS token_avg,
+ count(*) FILTER (q = 'excellent') AS excellent, count(*) FILTER (q = 'good') AS good, count(*) FILTER (q = 'poor') AS poor,
+ (count(*) FILTER (q = 'excellent') * 3 + count(*) FILTER (q = 'good') * 2 + count(*) FILTER (q = 'poor')) / (count(*) * 3) * 100 AS quality_score,
+ count(*) FILTER (is_table_content) AS table_chunks, count(*) FILTER (s OR e) AS poor_boundary_chunks
+ FROM (SELECT *, {QUALITY_SQL} AS q, {STARTS} AS s, {ENDS} AS e FROM ({chunk_sql(f"""SELECT * FROM (SELECT doc_id, lang,
+ 'lib/' || source || '/doc-' || doc_id || '.md' AS doc_path, {clean_sql('text')} AS text FROM documents) WHERE text <> '' AND {sql_strip('text')} <> ''""", 120, 20)})) GROUP BY 1"""
