@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from corpusq.checks.fixtures import documents, sql_any, sql_strip, sql_text
 from corpusq.checks.labelling import QUESTIONS_SQL, questions, sql_list
 from corpusq.checks.registry import Checks
-from corpusq.functions import fixed_values as fv, scoring as SC, text as T
-from corpusq.operators import entities as E, libraries as L
+from corpusq.functions import extensions as U, fixed_values as fv, scoring as SC, text as T
+from corpusq.operators import entities as E, indexing as IX, libraries as L
 from corpusq.plans.once import compute_once
 from corpusq.session import load, load_spread
 
@@ -86,6 +86,18 @@ def _(spark, sf):
     return E.extract_ic_formal(chunks(spark, sf))
 
 
+@add("extract_records", """SELECT 'part-' || p_partkey AS chunk_id, 0 AS record_no, upper(p_name) AS name, CASE p_partkey % 3 WHEN 1 THEN
+ 'spell_type=' || CASE WHEN p_size % 2 = 0 THEN 'P' ELSE 'M' END || ';range=LOS (' || p_size || ');damage=' || CASE WHEN p_size % 3 = 0 THEN 'S' ELSE '' END || ';duration=S;drain=F - ' || p_size
+ ELSE 'attack_pattern=Host Rating x 2;resistance_test=Logic + ' || p_size END AS details FROM part WHERE p_partkey % 3 > 0 AND p_partkey % 10 <> 9""")
+def _(spark, sf):
+    U.register_table_functions(spark)
+    chunks(spark, sf).createOrReplaceTempView("extract_records_input")
+    both = [spark.sql(f"SELECT t.chunk_id, r.* FROM extract_records_input t, LATERAL extract_records(t.text, '{kind}') r").select(
+        "chunk_id", "record_no", "name", F.concat_ws(";", *[F.concat(F.lit(f"{f}="), F.col("details")[f]) for f in U.RECORD_FIELDS[kind][2][1:]]).alias("details"))
+            for kind in ("spell", "ic")]
+    return both[0].unionByName(both[1])
+
+
 # the second word of a name is looked for in a text whose record stands under another heading
 CONTEXT_TEXT = "UNKNOWN THING\nWhat a {} does. **Type:** P ; **Range:** LOS ; **Duration:** I ; **Drain:** F - 2\n"
 
@@ -125,6 +137,32 @@ def _(spark, sf):
     return E.reextract_stats(E.reextract(rows)[1])
 
 
+# the whole index path over the same texts as files; a ninth file is blank
+INDEX_SQL = f"""WITH c AS (SELECT *, p_partkey % 9 = 5 AS blank FROM ({CHUNKS_SQL})), f AS (SELECT *, CASE WHEN plain OR blank THEN 0 WHEN kind = 0 THEN 2 ELSE 1 END AS n FROM c),
+ edge AS (SELECT p_partkey, count(DISTINCT e) AS edges FROM (SELECT p_partkey, unnest(CASE WHEN plain OR blank THEN [] WHEN kind = 0 THEN [p_name, p_type || ' mark'] ELSE [p_name] END) AS e FROM c) GROUP BY 1)
+ SELECT 'lib/' || p_brand || '/part-' || f.p_partkey || '.md' AS doc_path, 'part-' || f.p_partkey || '_section_0_chunk_0' AS chunk_id, 1::BIGINT AS chunk_count, 1::BIGINT AS text_chunks,
+ n::BIGINT AS entities, coalesce(edges, 0)::BIGINT AS edges, length(p_name)::DOUBLE AS marker, CASE WHEN contains(lower(f.text), 'dice pool') THEN 'explicit_rule' ELSE 'narrative' END AS content_type,
+ (SELECT count(*) FROM f WHERE NOT blank) AS indexed_files, (SELECT count(*) FROM f WHERE blank) AS skipped_files, (SELECT count(*) FROM f WHERE n > 0) AS files_with_entities
+ FROM f JOIN part USING (p_partkey, p_name) LEFT JOIN edge ON edge.p_partkey = f.p_partkey WHERE NOT blank"""
+
+
+def _first_line_length():
+    return lambda texts: [[float(len(t))] for t in texts]
+
+
+@add("index_documents", INDEX_SQL)
+def _(spark, sf):
+    rows = chunks(spark, sf)
+    docs = rows.select(F.concat(F.lit("lib/"), "source", F.lit("/"), "chunk_id", F.lit(".md")).alias("doc_path"), "source", "p_name",
+                       F.when(F.col("p_partkey") % 9 == 5, F.lit(" \n")).otherwise(F.col("text")).alias("text"))
+    made = IX.index_documents(docs, U.register_embedder(_first_line_length, 1), lexicon=[], patterns=[])
+    edges = made["edges"].groupBy("chunk_id").agg(F.count(F.lit(1)).alias("edges"))
+    found = made["chunks"].join(edges, "chunk_id", "left").fillna(0, ["edges"])
+    totals = {c: made["summary"].select(c).scalar() for c in ("indexed_files", "skipped_files", "files_with_entities")}
+    return (found.select("doc_path", "chunk_id", "edges", "content_type", F.length("p_name").cast("double").alias("marker"))
+            .join(made["manifest"].select("doc_path", "chunk_count", "text_chunks", "entities"), "doc_path").withColumns(totals))
+
+
 # ---- registry --------------------------------------------------------------------------
 @add("registry_upsert", "SELECT user_id AS name, event_type AS source, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1, 2")
 def _(spark, sf):

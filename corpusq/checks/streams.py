@@ -73,6 +73,16 @@ def _(spark, sf):
     return J.current_records(spark, change_base(spark, sf), store, "key", ["amount", "note"])
 
 
+# snapshots after every second batch
+@add("stream_records", REPLAY_SQL)
+def _(spark, sf):
+    store, base = shared_folder(spark, "records"), change_base(spark, sf)
+    options = {"compact_after": 1, "keep": 1}
+    log = _as_stream(spark, change_log(spark, sf), "record-log", "key", steps=3)
+    J.stream_records(log, store, store + "/checkpoint", base, "key", ["amount", "note"], **options).awaitTermination()
+    return J.RecordStore(spark, store, base, "key", ["amount", "note"], **options).records()
+
+
 STAGES = "CASE event_type WHEN 'purchase' THEN 'complete' ELSE event_type END"
 STATUS_SQL = f"""SELECT user_id::VARCHAR AS job_id, arg_max({STAGES}, event_id) AS stage, arg_max(greatest(0.0::DOUBLE, least(100.0::DOUBLE, value - 5)), event_id) AS progress, arg_max(props, event_id) AS details FROM events GROUP BY 1"""
 

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType
 
@@ -73,44 +74,67 @@ def label_and_correct(chunks: DataFrame, labeller: Callable[[Column], Column], t
 
 # ---- SQL table functions --------------------------------------------------------------
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+CHUNK_TYPE = "array<struct<chunk_index:int,text:string,token_count:int>>"
+RECORD_TYPE = "array<struct<record_no:int,name:string,details:map<string,string>>>"
+RECORD_FIELDS = {
+    "spell": (fv.SPELL_RECORD, re.IGNORECASE, ["name", "spell_type", "range", "damage", "duration", "drain"]),
+    "ic": (fv.IC_RECORD, 0, ["name", "attack_pattern", "resistance_test"]),
+}
 
 
-@F.udtf(returnType="chunk_index int, text string, token_count int")
-class ChunkText:
-    """chunk_text(text, size, overlap): sentence chunks of one text, for LATERAL joins."""
+def unit_cuts(tokens: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """[start, end) of each chunk of a run of units, from the prefix sums of their tokens.
+
+    A chunk takes units while they fit ``size``, one at least; the next one
+    begins with the longest tail of it that fits ``overlap``.
+    """
+    upto = np.concatenate([[0], np.cumsum(tokens)])
+    cuts, start, fresh = [], 0, 0
+    while fresh < len(tokens):
+        end = max(int(np.searchsorted(upto, upto[start] + size, side="right")) - 1, fresh + 1)
+        cuts.append((start, end))
+        start, fresh = max(start, int(np.searchsorted(upto, upto[end] - overlap, side="left"))), end
+    return cuts
+
+
+def _chunks(text: str, size: int, overlap: int) -> list[dict]:
+    units = [s for s in SENTENCE_END.split((text or "").strip()) if s]
+    tokens = np.array([len(s.split()) for s in units], dtype=np.int64)
+    return [{"chunk_index": i, "text": " ".join(units[a:b]), "token_count": int(tokens[a:b].sum())}
+            for i, (a, b) in enumerate(unit_cuts(tokens, size, overlap))]
 
-    def eval(self, text: str, size: int, overlap: int):
-        units = [(s, len(s.split())) for s in SENTENCE_END.split((text or "").strip()) if s]
-        current, index = [], 0
-        for unit in units:
-            if current and sum(n for _, n in current) + unit[1] > size:
-                yield index, " ".join(s for s, _ in current), sum(n for _, n in current)
-                index += 1
-                tail = 0
-                while tail < len(current) and sum(n for _, n in current[len(current) - tail - 1:]) <= overlap:
-                    tail += 1
-                current = current[len(current) - tail:]
-            current.append(unit)
-        if current:
-            yield index, " ".join(s for s, _ in current), sum(n for _, n in current)
 
+def _records(text: str, kind: str) -> list[dict]:
+    pattern, flags, fields = RECORD_FIELDS[kind]
+    found = []
+    for number, match in enumerate(re.finditer(pattern, text or "", flags)):
+        values = {f: (match.group(i + 1) or "").strip() for i, f in enumerate(fields)}
+        found.append({"record_no": number, "name": values.pop("name"), "details": list(values.items())})
+    return found
 
-@F.udtf(returnType="record_no int, name string, details map<string,string>")
-class ExtractRecords:
-    """extract_records(text, kind): spell or ic records of one text, for LATERAL joins."""
 
-    FIELDS = {
-        "spell": (re.compile(fv.SPELL_RECORD, re.IGNORECASE), ["name", "spell_type", "range", "damage", "duration", "drain"]),
-        "ic": (re.compile(fv.IC_RECORD), ["name", "attack_pattern", "resistance_test"]),
-    }
+def _chunk_batches(texts: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
+    made = [_chunks(*row) for row in zip(texts.to_pylist(), sizes.to_pylist(), overlaps.to_pylist())]
+    return pa.array(made, pa.list_(pa.struct([("chunk_index", pa.int32()), ("text", pa.string()), ("token_count", pa.int32())])))
 
-    def eval(self, text: str, kind: str):
-        pattern, fields = self.FIELDS[kind]
-        for number, match in enumerate(pattern.finditer(text or "")):
-            values = {f: (match.group(i + 1) or "").strip() for i, f in enumerate(fields)}
-            yield number, values.pop("name"), values
+
+def _record_batches(texts: pa.Array, kinds: pa.Array) -> pa.Array:
+    made = [_records(*row) for row in zip(texts.to_pylist(), kinds.to_pylist())]
+    return pa.array(made, pa.list_(pa.struct([("record_no", pa.int32()), ("name", pa.string()), ("details", pa.map_(pa.string(), pa.string()))])))
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    spark.udtf.register("chunk_text", ChunkText)
-    spark.udtf.register("extract_records", ExtractRecords)
+    """SQL table functions over Arrow batches, for LATERAL joins.
+
+    chunk_text(text, size, overlap): sentence chunks; extract_records(text,
+    kind): spell or ic records.  Each is a function from a column to an array,
+    called once per batch of rows, whose elements become the rows.
+    """
+    spark.udf.register("chunk_text_array", F.arrow_udf(_chunk_batches, CHUNK_TYPE))
+    spark.udf.register("extract_records_array", F.arrow_udf(_record_batches, RECORD_TYPE))
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(content STRING, size INT, overlap INT)
+        RETURNS TABLE (chunk_index INT, text STRING, token_count INT)
+        RETURN SELECT c.chunk_index, c.text, c.token_count FROM LATERAL explode(chunk_text_array(content, size, overlap)) AS t(c)""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION extract_records(content STRING, kind STRING)
+        RETURNS TABLE (record_no INT, name STRING, details MAP<STRING, STRING>)
+        RETURN SELECT r.record_no, r.name, r.details FROM LATERAL explode(extract_records_array(content, kind)) AS t(r)""")

@@ -207,12 +207,7 @@ SPELL_CATEGORIES = [
 WEAPON_ACCURACY = r"\d+(?:\s*\(\d+\))?"
 WEAPON_DAMAGE = r"\d+[PS](?:\s*\([^)]+\))?"
 LABELLED_TEXT = r"\*\*([^:]+?):\*\*\s*([^*]+?)(?=\*\*|$)"
-SPELL_RECORD = (
-    r"([A-Z][A-Z\s]+?)\s*(?:\([^)]+\))?\s*\*\*Type:\*\*\s*([MP])\s*;"
-    r"\s*\*\*Range:\*\*\s*([^;]+?)\s*;"
-    r"(?:\s*\*\*Damage:\*\*\s*([^;]+?)\s*;)?"
-    r"\s*\*\*Duration:\*\*\s*([^;]+?)\s*;\s*\*\*Drain:\*\*\s*([^\n]+)"
-)
+SPELL_RECORD = r"([A-Z][A-Z\s]+?)\s*(?:\([^)]+\))?\s*\*\*Type:\*\*\s*([MP])\s*;\s*\*\*Range:\*\*\s*([^;]+?)\s*;(?:\s*\*\*Damage:\*\*\s*([^;]+?)\s*;)?\s*\*\*Duration:\*\*\s*([^;]+?)\s*;\s*\*\*Drain:\*\*\s*([^\n]+)"
 IC_RECORD = r"([A-Z][A-Z\s]+?)\s*\*\*Attack:\*\*\s*([^v]+?)\s*v\.\s*([^\n]+)"
 FIRING_MODES = [
     ("burst", r"\bburst\s*(?:fire|mode)?\b"),
@@ -416,13 +411,10 @@ KEYWORD_GROUPS = [
 ]
 RECOMMENDATIONS = {
     "uneven_sizes": "HIGH PRIORITY: Chunk sizes are highly inconsistent - implement adaptive chunking",
-    "concentrated_classes": "HIGH PRIORITY: Classification is over-concentrated in few categories"
-                            " - improve multi-label classification",
-    "too_many_examples": "MEDIUM PRIORITY: Too many example-only chunks"
-                         " - separate examples from rules with metadata flags",
+    "concentrated_classes": "HIGH PRIORITY: Classification is over-concentrated in few categories - improve multi-label classification",
+    "too_many_examples": "MEDIUM PRIORITY: Too many example-only chunks - separate examples from rules with metadata flags",
     "mid_sentence": "HIGH PRIORITY: >10% of chunks split mid-sentence - implement sentence-aware chunking",
-    "topic_examples": "CRITICAL: Query-relevant chunks are mostly examples, not explicit rules"
-                      " - implement rule vs example tagging",
+    "topic_examples": "CRITICAL: Query-relevant chunks are mostly examples, not explicit rules - implement rule vs example tagging",
     "boundary_high": "HIGH PRIORITY: >20% chunks have poor boundaries - review chunking parameters",
     "boundary_medium": "MEDIUM PRIORITY: Some boundary issues detected - monitor chunking quality",
     "boundary_good": "GOOD: Chunk boundaries are well-formed",

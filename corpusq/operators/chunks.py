@@ -115,22 +115,27 @@ def annotate_quality(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def link_sequential(chunks: DataFrame, doc: str = "doc_path", pos: str = "chunk_pos", chunk: str = "chunk_id",
                     section: str | None = "section_index") -> DataFrame:
-    """prev/next chunk in the document and, when a section column is given, within the section."""
+    """prev/next chunk in the document and, when a section column is given, within the section.
+
+    Windows and counts run over ids and positions only; a chunk's text moves
+    once, to meet its links by document and position (null-safe, so no row is lost).
+    """
     values = [chunk] + ([section] if section else [])
-    linked = neighbours(chunks, [doc], pos, values)
-    linked = (linked.withColumnRenamed(f"prev_{chunk}", "prev_chunk_global")
-              .withColumnRenamed(f"next_{chunk}", "next_chunk_global"))
-    if not section:
-        return linked
-    totals = chunks.groupBy(doc, section).agg(F.count(F.lit(1)).cast("int").alias("total_chunks_in_section"))
-    linked = salted_join(linked, totals, [doc, section], chunk)
-    same_prev = F.col(f"prev_{section}") == F.col(section)
-    same_next = F.col(f"next_{section}") == F.col(section)
-    return (linked.withColumn("prev_chunk_section", F.when(same_prev, F.col("prev_chunk_global")))
-            .withColumn("next_chunk_section", F.when(same_next, F.col("next_chunk_global")))
-            .withColumn("section_complete", F.col("next_chunk_section").isNull())
-            .withColumn("section_id", F.concat_ws("_", file_stem(F.col(doc).cast("string")), F.lit("section"), section))
-            .drop(f"prev_{section}", f"next_{section}"))
+    links = neighbours(chunks.select(doc, pos, *values), [doc], pos, values)
+    links = (links.withColumnRenamed(f"prev_{chunk}", "prev_chunk_global")
+             .withColumnRenamed(f"next_{chunk}", "next_chunk_global"))
+    if section:
+        totals = chunks.groupBy(doc, section).agg(F.count(F.lit(1)).cast("int").alias("total_chunks_in_section"))
+        links = salted_join(links, totals, [doc, section], chunk)
+        same_prev = F.col(f"prev_{section}") == F.col(section)
+        same_next = F.col(f"next_{section}") == F.col(section)
+        links = (links.withColumn("prev_chunk_section", F.when(same_prev, F.col("prev_chunk_global")))
+                 .withColumn("next_chunk_section", F.when(same_next, F.col("next_chunk_global")))
+                 .withColumn("section_complete", F.col("next_chunk_section").isNull())
+                 .withColumn("section_id", F.concat_ws("_", file_stem(F.col(doc).cast("string")), F.lit("section"), section))
+                 .drop(f"prev_{section}", f"next_{section}"))
+    links = links.drop(*values).withColumnsRenamed({doc: "_doc", pos: "_pos"})
+    return chunks.join(links, chunks[doc].eqNullSafe(links["_doc"]) & chunks[pos].eqNullSafe(links["_pos"])).drop("_doc", "_pos")
 
 
 def _link_group(chunks: DataFrame, keys: list[str], pos: str, chunk: str, k: int, out: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions import fixed_values as fv
 from corpusq.functions.text import any_term
+from corpusq.plans.fetch import without_rows
 
 NEW, CHANGED, UNCHANGED, ORPHAN = "new", "changed", "unchanged", "orphan"
 
@@ -30,9 +31,13 @@ def diff_manifest(listing: DataFrame, manifest: DataFrame, path: str = "doc_path
 
 
 def upsert_chunks(store: DataFrame, new_chunks: DataFrame, removed: DataFrame, path: str = "doc_path") -> DataFrame:
-    """Replace every chunk of the paths in new_chunks, drop those of the removed paths."""
-    gone = new_chunks.select(path).unionByName(removed.select(path)).distinct()
-    return store.join(gone, path, "left_anti").unionByName(new_chunks, allowMissingColumns=True)
+    """Replace every chunk of the paths in new_chunks, drop those of the removed paths.
+
+    The store's rows stay where they are.  ``streaming/store.py`` keeps a store
+    on disk in which only the buckets of these paths are rewritten.
+    """
+    gone = new_chunks.select(path).unionByName(removed.select(path))
+    return without_rows(store, gone, path).unionByName(new_chunks, allowMissingColumns=True)
 
 
 def update_manifest(chunks: DataFrame, listing: DataFrame, indexed_at: Column | None = None,

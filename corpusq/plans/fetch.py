@@ -8,6 +8,15 @@ from corpusq.plans.scratch import shared_folder
 HELD_IDS = 1_000_000
 
 
+def without_rows(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose key is not among ``ids``; the table is neither sorted nor, for few ids, moved."""
+    path = shared_folder(table.sparkSession, "without")
+    ids.select(key).distinct().write.parquet(path)
+    gone = table.sparkSession.read.parquet(path)
+    few = gone.limit(HELD_IDS + 1).count() <= HELD_IDS
+    return table.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), key, "left_anti")
+
+
 def fetch_rows(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``ids`` (key and any other columns) joined with the rows of ``table`` that have these keys.
 

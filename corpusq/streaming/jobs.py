@@ -6,7 +6,7 @@ twice.  The current state is the latest version per key; for paths and chunks
 it is kept by ``streaming/store.py``.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,36 +16,38 @@ from corpusq.functions import fixed_values as fv
 from corpusq.operators.chunks import chunk_documents, clean_documents
 from corpusq.operators.maintenance import CHANGED, NEW, diff_manifest, fingerprint
 from corpusq.operators.records import apply_changes
-from corpusq.streaming.store import BUCKETS, CHUNK_COLUMNS, COMPACT_AFTER, PathStore
+from corpusq.streaming.store import BUCKETS, CHUNK_COLUMNS, COMPACT_AFTER, PathStore, RecordStore
 
 def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def current_chunks(spark: SparkSession, store: str) -> DataFrame:
+def current_chunks(spark: SparkSession, store: str, more: str = "") -> DataFrame:
     """Chunks of the latest version of every living path."""
-    return PathStore(spark, store).chunks()
+    return PathStore(spark, store, more=more).chunks()
 
 
-def ingest_batch(docs: DataFrame, batch: int, store: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER, **chunking) -> None:
+def ingest_batch(docs: DataFrame, batch: int, store: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER,
+                 enrich: Callable[[DataFrame], DataFrame] | None = None, more: str = "", **chunking) -> None:
     """One micro-batch of (doc_path, text, op, seq); op is upsert or remove.
 
     Of several events of a path only the last by seq counts, also across
     micro-batches: one that arrives late is ignored.  Unchanged content keeps
-    its chunks.  Only the buckets of the batch's paths are read.
+    its chunks.  Only the buckets of the batch's paths are read.  ``enrich``
+    adds the columns that ``more`` names to new chunks (labels, counts, vectors).
     """
     spark = docs.sparkSession
-    kept = PathStore(spark, store, buckets, compact_after)
+    kept = PathStore(spark, store, buckets, compact_after, more)
     if batch <= kept.compacted:  # replayed after it went into the base
         return
     last = (docs.groupBy("doc_path").agg(F.max_by(F.struct("text", "op", "seq"), "seq").alias("e")).select("doc_path", "e.*")).persist()
     try:
-        _ingest(kept, last, batch, chunking)
+        _ingest(kept, last, batch, enrich or (lambda chunks: chunks), chunking)
     finally:
         last.unpersist()
 
 
-def _ingest(kept: PathStore, last: DataFrame, batch: int, chunking: dict) -> None:
+def _ingest(kept: PathStore, last: DataFrame, batch: int, enrich: Callable[[DataFrame], DataFrame], chunking: dict) -> None:
     known = kept.versions(kept.touched(last), batch)
     seen = known.select("doc_path", F.col("seq").alias("_seen"), F.col("chunk_batch").alias("_held"))
     events = last.join(seen, "doc_path", "left").filter(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen")))
@@ -54,7 +56,8 @@ def _ingest(kept: PathStore, last: DataFrame, batch: int, chunking: dict) -> Non
               .select("doc_path", F.col("status").isin(NEW, CHANGED).alias("_fresh")))
     listed = (fingerprint(arriving).join(arriving.select("doc_path", "op", "seq", "_held"), "doc_path").join(status, "doc_path"))
     fresh = arriving.select("doc_path", "text").join(status.filter("_fresh"), "doc_path", "left_semi")
-    chunks = chunk_documents(clean_documents(fresh), **chunking).select(*CHUNK_COLUMNS)
+    columns = [f.split()[0] for f in kept.schemas["chunks"].split(", ") if f != "batch bigint"]
+    chunks = enrich(chunk_documents(clean_documents(fresh), **chunking)).select(*columns)
     held = listed.withColumn("chunk_batch", F.when(F.col("_fresh"), F.lit(batch)).otherwise(F.col("_held"))).select(
         "doc_path", "hash", F.col("file_size").cast("bigint").alias("file_size"), "op", "seq", F.col("chunk_batch").cast("bigint").alias("chunk_batch"))
     gone = events.filter("op = 'remove'").select(
@@ -115,6 +118,14 @@ def stream_change_log(log: DataFrame, store: str, checkpoint: str, once: bool =
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stream_records(log: DataFrame, store: str, checkpoint: str, base: DataFrame, key: str, payload: list[str], once: bool = True, **options):
+    """Keep a ``RecordStore`` in step with a stream of change events (key, seq, op, payload)."""
+    def run(batch_df, batch_id):
+        RecordStore(batch_df.sparkSession, store, base, key, payload, **options).append(batch_id, batch_df)
+    writer = log.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def current_records(spark: SparkSession, base: DataFrame, store: str, key: str, payload: list[str]) -> DataFrame:
     return apply_changes(base, spark.read.parquet(f"{store}/log"), key, payload)
 

@@ -17,6 +17,9 @@ event that arrives late cannot bring them back.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusq.operators.records import apply_changes
+from corpusq.plans.nesting import salted_join
+
 VERSION_FIELDS = "hash string, file_size bigint, op string, seq bigint, chunk_batch bigint, batch bigint"
 VERSION_SCHEMA = f"doc_path string, {VERSION_FIELDS}"
 CHUNK_SCHEMA = ("doc_path string, chunk_id string, section_index int, section_title string, chunk_index int, chunk_pos bigint, "
@@ -54,10 +57,14 @@ def latest_versions(versions: DataFrame) -> DataFrame:
 
 
 class PathStore:
-    """The store under ``root``; the number of buckets is fixed by its first compaction."""
+    """The store under ``root``; the number of buckets is fixed by its first compaction.
+
+    ``more`` names further columns of the chunks, as a DDL string.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, compact_after: int = COMPACT_AFTER, more: str = ""):
         self.spark, self.root, self.compact_after = spark, root, compact_after
+        self.schemas = {**SCHEMAS, "chunks": SCHEMAS["chunks"] + (f", {more}" if more else "")}
         self.folders = Folders(spark, root)
         self.buckets, self.compacted, self.number, self.base = buckets, -1, 0, {}
         done = [n for n in self.folders.names(f"{root}/manifest") if self.folders.complete(f"{root}/manifest/{n}")]
@@ -88,8 +95,8 @@ class PathStore:
                 if k == kind and (buckets is None or b in buckets)]
         tail = [f"{self.root}/tail/{kind}/batch={b}" for b in self.tail() if before is None or b < before]
         if not base and not tail:
-            return self.spark.createDataFrame([], SCHEMAS[kind])
-        rows = self.spark.read.schema(SCHEMAS[kind]).parquet(*base, *tail)
+            return self.spark.createDataFrame([], self.schemas[kind])
+        rows = self.spark.read.schema(self.schemas[kind]).parquet(*base, *tail)
         return rows if buckets is None or not tail else rows.filter(self.bucket().isin(buckets))
 
     def versions(self, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
@@ -151,3 +158,75 @@ class PathStore:
         for name in folders.names(f"{root}/manifest"):
             if int(name) < number:
                 folders.remove(f"{root}/manifest/{name}")
+
+
+class RecordStore:
+    """Records kept by a change log: a snapshot of the state and the batches of changes since.
+
+    After ``compact_after`` batches all but the newest ``keep`` are folded into
+    the next snapshot.  A key's row in a snapshot, deleted or not, names the last
+    seq folded into it; a change that arrives with a lower one, more than ``keep`` batches late,
+    is ignored, any other has the effect it would have had in time.  A snapshot counts when it is complete.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, base: DataFrame, key: str, payload: list[str],
+                 compact_after: int = COMPACT_AFTER, keep: int = 2):
+        self.spark, self.root, self.base, self.key, self.payload = spark, root, base, key, payload
+        self.compact_after, self.keep, self.folders = compact_after, keep, Folders(spark, root)
+        done = [n for n in self.folders.names(f"{root}/state") if self.folders.complete(f"{root}/state/{n}")]
+        self.compacted = max((int(n.split("=")[1]) for n in done), default=-1)
+
+    def state(self) -> DataFrame:
+        """(key, payload, touched_seq, folded_seq, alive) as of the last snapshot."""
+        if self.compacted < 0:
+            none = F.lit(None).cast("bigint")
+            return self.base.select(self.key, *self.payload, none.alias("touched_seq"), none.alias("folded_seq"), F.lit(True).alias("alive"))
+        return self.spark.read.parquet(f"{self.root}/state/upto={self.compacted}")
+
+    def tail(self) -> list[int]:
+        found = [int(n.split("=")[1]) for n in self.folders.names(f"{self.root}/log") if "=" in n]
+        return sorted(b for b in found if b > self.compacted and self.folders.complete(f"{self.root}/log/batch={b}"))
+
+    def append(self, batch: int, changes: DataFrame) -> None:
+        """Write a batch of (key, seq, op, payload); a batch that is replayed is rewritten or, once folded, left alone."""
+        if batch <= self.compacted:
+            return
+        changes.write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")
+        tail = self.tail()
+        if len(tail) >= self.compact_after + self.keep:
+            self.compact(tail[:len(tail) - self.keep])
+
+    def _replayed(self, batches: list[int]) -> tuple[DataFrame, DataFrame]:
+        """(the living rows after these batches, the last seq of each key they change)."""
+        state = self.state()
+        log = self.spark.read.parquet(*[f"{self.root}/log/batch={b}" for b in batches])
+        folded = state.filter("folded_seq is not null").select(self.key, F.col("folded_seq").alias("_folded"))
+        fresh = salted_join(log, folded, [self.key], "seq").filter("_folded is null or seq > _folded").drop("_folded")
+        now = apply_changes(state.filter("alive").select(self.key, *self.payload), fresh, self.key, self.payload)
+        return now, fresh.groupBy(self.key).agg(F.max("seq").alias("_last"))
+
+    def records(self) -> DataFrame:
+        """(key, payload, touched_seq) now."""
+        state, tail = self.state().filter("alive").select(self.key, *self.payload, "touched_seq"), self.tail()
+        if not tail:
+            return state
+        before = state.select(self.key, F.col("touched_seq").alias("_before"))
+        return (self._replayed(tail)[0].join(before, self.key, "left")
+                .withColumn("touched_seq", F.coalesce("touched_seq", "_before")).drop("_before"))
+
+    def compact(self, batches: list[int]) -> None:
+        """Fold these batches, the oldest of the tail, into a new snapshot; then drop what is older than the one before."""
+        state = self.state()
+        now, last = self._replayed(batches)
+        before = state.select(self.key, F.col("touched_seq").alias("_before"), "folded_seq")
+        rows = (now.withColumn("alive", F.lit(True)).join(before, self.key, "full_outer").join(last, self.key, "full_outer")
+                .select(self.key, *self.payload, F.coalesce("touched_seq", F.when(F.col("alive"), F.col("_before"))).alias("touched_seq"),
+                        F.greatest("folded_seq", "_last").alias("folded_seq"), F.coalesce("alive", F.lit(False)).alias("alive")))
+        rows.write.mode("overwrite").parquet(f"{self.root}/state/upto={batches[-1]}")
+        previous, self.compacted = self.compacted, batches[-1]
+        for name in self.folders.names(f"{self.root}/state"):
+            if int(name.split("=")[1]) < previous:
+                self.folders.remove(f"{self.root}/state/{name}")
+        for name in self.folders.names(f"{self.root}/log"):
+            if "=" in name and int(name.split("=")[1]) <= previous:
+                self.folders.remove(f"{self.root}/log/{name}")

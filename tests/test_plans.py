@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 import pytest
 
 from corpusq.functions import scoring as SC
+from corpusq.functions.extensions import unit_cuts
 from corpusq.operators import chunks as C, labelling as L, retrieval as R
 from corpusq.plans import automaton, bounded, containment, nesting, ordered, vectors
 from corpusq.plans.once import compute_once
@@ -132,6 +134,25 @@ def test_floored_sum(spark):
         assert {(r["g"], r["pos"]): r["d"] for r in ordered.floored_sum(df, ["g"], "pos", "v", "d", width).collect()} == want
 
 
+@pytest.mark.parametrize("size,overlap", [(10, 3), (5, 0), (1, 1), (50, 49)])
+def test_unit_cuts_against_a_fold(size, overlap):
+    rng = random.Random(size)
+    for _ in range(40):
+        tokens = [rng.randint(1, 12) for _ in range(rng.randint(0, 60))]
+        want, cur = [], []
+        for i, t in enumerate(tokens):
+            if cur and sum(tokens[j] for j in cur) + t > size:
+                want.append((cur[0], cur[-1] + 1))
+                tail = 0
+                while tail < len(cur) and sum(tokens[j] for j in cur[len(cur) - tail - 1:]) <= overlap:
+                    tail += 1
+                cur = cur[len(cur) - tail:]
+            cur.append(i)
+        if cur:
+            want.append((cur[0], cur[-1] + 1))
+        assert unit_cuts(np.array(tokens, dtype=np.int64), size, overlap) == want
+
+
 def test_small_rows(spark):
     assert len(bounded.small_rows(spark.range(5), 5)) == 5
     with pytest.raises(bounded.TooLarge):

@@ -1,6 +1,7 @@
 """The bucketed store, the markdown stream, and searches over a stored index."""
 
 import os
+import random
 import re
 import time
 
@@ -8,12 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.operators import retrieval as R, vector_index as VI
+from corpusq.functions import extensions as U
+from corpusq.operators import indexing as IX, retrieval as R, vector_index as VI
 from corpusq.operators.chunks import chunk_documents, clean_documents
 from corpusq.plans import fetch
 from corpusq.plans.scratch import shared_folder
 from corpusq.streaming import jobs as J
-from corpusq.streaming.store import CHUNK_COLUMNS, PathStore
+from corpusq.operators.records import apply_changes
+from corpusq.streaming.store import CHUNK_COLUMNS, PathStore, RecordStore
 
 EVENT = "doc_path string, text string, op string, seq bigint"
 
@@ -78,6 +81,22 @@ def test_a_lookup_reads_the_buckets_of_its_paths(spark):
     assert held(after.chunks_of(["d7", "no such path"])) == expected(spark, {"d7": text_of("d7", 8)})
 
 
+def test_batches_carry_labels_counts_and_vectors(spark):
+    store, options = shared_folder(spark, "store"), {"buckets": 4, "compact_after": 1, "more": IX.ENRICHED}
+    embed = U.register_embedder(lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
+    last = {f"d{i}": text_of(f"d{i}", i) for i in range(6)}
+    batches = [list(last.items()), [("d1", "Dice pool test of the d1. Example: none."), ("d2", None)]]
+    for b, rows in enumerate(batches):
+        events = [(p, t, "upsert" if t else "remove", b) for p, t in rows]
+        J.ingest_batch(spark.createDataFrame(events, EVENT), b, store, enrich=lambda c: IX.enrich_chunks(c, embed), **options)
+        last.update(rows)
+    docs = spark.createDataFrame([(p, t) for p, t in last.items() if t], "doc_path string, text string")
+    want = IX.enrich_chunks(chunk_documents(clean_documents(docs)), embed)
+    names = ["chunk_id", "text", *[f.split()[0] for f in IX.ENRICHED.split(", ")]]
+    got = J.current_chunks(spark, store, IX.ENRICHED)
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
+
+
 def test_an_unfinished_compaction_changes_nothing(spark):
     store = shared_folder(spark, "store")
     for b in range(3):
@@ -131,6 +150,28 @@ def test_markdown_folder_as_a_stream(spark, tmp_path):
     assert CHUNK_COLUMNS[0] == "doc_path"
 
 
+def test_record_snapshots_equal_the_whole_log(spark):
+    rng = random.Random(6)
+    ops = ["insert", "insert_or_ignore", "insert_or_replace", "update", "update", "delete"]
+    base = spark.createDataFrame([(k, k, "b") for k in range(0, 20, 3)], "key int, n int, t string")
+    log = [(0 if rng.random() < 0.3 else rng.randrange(22), seq, rng.choice(ops), rng.choice([None, rng.randrange(9)]), f"t{seq}") for seq in range(140)]
+    batches = [log[i:i + 20] for i in range(0, 140, 20)]
+    late = batches[3].pop(4)
+    batches[4].append(late)  # one batch late: counts
+    schema, root = "key int, seq int, op string, n int, t string", shared_folder(spark, "records")
+    for b, rows in enumerate(batches):
+        store = RecordStore(spark, root, base, "key", ["n", "t"], compact_after=2, keep=1)
+        store.append(b, spark.createDataFrame(rows, schema))
+        store.append(b, spark.createDataFrame(rows, schema))
+    want = sorted(map(tuple, apply_changes(base, spark.createDataFrame(log, schema), "key", ["n", "t"]).collect()), key=repr)
+    store = RecordStore(spark, root, base, "key", ["n", "t"])
+    assert sorted(map(tuple, store.records().collect()), key=repr) == want and store.compacted >= 3 and len(store.tail()) <= 3
+    # far too late, and a replay of a folded batch
+    store.append(7, spark.createDataFrame([(log[0][0], 0, "delete", None, None)], schema))
+    store.append(0, spark.createDataFrame(batches[0], schema))
+    assert sorted(map(tuple, store.records().collect()), key=repr) == want
+
+
 # ---- stored vectors
 @pytest.fixture(scope="module")
 def vectors(spark):
