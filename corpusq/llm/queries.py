@@ -193,21 +193,26 @@ def op7_decontamination(spark, sf_dir):
 
 # ---- 8 urls
 
-_URLS_SQL = r"""
-with rests as (
+_URLS_SQL = f"""
+with subjects(subject) as (values {", ".join(f"('{w}')" for w in urls.SUBJECTS)}), lures(lure) as (values {", ".join(f"('{w}')" for w in urls.LURES)}),
+patterns as (
+    select unnest(['casino', 'pills', 'free-bets', 'ads-track', 'spam-farm', 'adult']) as words union all select subject || '-' || lure from subjects, lures
+    union all select lure || '-' || subject from subjects, lures
+), """ + r"""rests as (
     select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
 ), parts as (
     select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rests
 ), rules(verdict, rule_host, rule_path) as (
     values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), spam as (
+    select distinct page_id from parts join patterns on regexp_matches(host || path, '(^|[.-])' || words || '[.-]')
 ), fits as (
     select page_id, rule_host || rule_path as rule, r.verdict, row_number() over (partition by page_id order by length(rule_host || rule_path) desc) as place
     from parts p join rules r on (p.host = r.rule_host or suffix(p.host, '.' || r.rule_host)) and prefix(p.path, r.rule_path)
 )
-select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, case when regexp_matches(p.host || p.path,
-       '(^|[.-])(casino|pills|free-bets|ads-track|spam-farm|adult)[.-]') then 'block' else 'allow' end) as verdict
-from parts p left join fits f on p.page_id = f.page_id and f.place = 1
+select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, case when s.page_id is not null then 'block' else 'allow' end) as verdict
+from parts p left join fits f on p.page_id = f.page_id and f.place = 1 left join spam s on p.page_id = s.page_id
 """
 
 

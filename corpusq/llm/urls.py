@@ -6,8 +6,9 @@ that matches blocks), else the url is allowed.  Every rule is filed under the
 literal token that the fewest urls of the table hold.  The tokens of a url fetch
 the candidate rules, and only those run their regular expression.
 
-Rules are taken in blocks of bounded size, each in a narrow pass over the urls,
-so a list of any length gives the same result without shuffling a page.
+Rules are taken in blocks of bounded size, of which a task unpacks one at a time.
+Up to PASS_RULES rules go in one narrow pass over the urls; a longer list takes
+more passes and gives the same result without shuffling a page.
 
 Nulls: a null url and one without "://" have an empty host and path and no
 rule.  Repeated rows are judged one by one.  An empty table gives an empty
@@ -18,14 +19,15 @@ import re
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.llm.arrow import extend
 from corpusq.plans.shipping import Held
 
 TOKEN = r"[0-9a-z]+"
-#: Rules held by a task at once.
-BLOCK_RULES = 50_000
+#: Rules that a task has unpacked at once, and rules (packed) of one pass.
+BLOCK_RULES, PASS_RULES = 50_000, 400_000
 
 
 class HostRule(NamedTuple):
@@ -49,15 +51,31 @@ HOST_RULES = (
     HostRule("block", "net", "/fr/"),
 )
 
+#: Words of which the method's own rules are made: a subject and a lure, in either order, as a piece of a host or path.
+SUBJECTS = (
+    "poker", "slots", "bingo", "lottery", "roulette", "blackjack", "betting", "pharmacy", "steroids", "diet", "loans", "payday", "mortgage",
+    "crypto", "forex", "replica", "handbags", "dating", "escort", "webcam", "torrent", "warez", "keygen", "serials", "ringtones",
+    "sweepstakes", "giveaway", "followers", "backlinks", "traffic")
+LURES = (
+    "free", "best", "cheap", "online", "buy", "win", "bonus", "deal", "deals", "offer", "offers", "discount", "instant", "fast", "easy", "top",
+    "hot", "live", "vip", "promo", "sale", "shop", "club", "zone", "world", "land", "hub", "central", "direct", "now", "today", "24h", "pro",
+    "max", "mega", "super", "extra", "gold", "lucky", "secret")
+
+
+def word_rule(*words: str) -> PatternRule:
+    """Blocks a url that holds the words, joined by hyphens, as a whole piece between dots and hyphens."""
+    return PatternRule(rf"(?:^|[.-]){'-'.join(words)}(?:[.-])", words)
+
+
+def pattern_rules(subjects=SUBJECTS, lures=LURES) -> tuple[PatternRule, ...]:
+    """The rule table of the method: words that block alone, pairs that block together, and every subject with every lure."""
+    alone = [("casino",), ("pills",), ("adult",), ("free", "bets"), ("ads", "track"), ("spam", "farm")]
+    pairs = [pair for s in subjects for l in lures for pair in ((s, l), (l, s))]
+    return tuple(word_rule(*words) for words in [*alone, *pairs])
+
+
 #: Rules of the method for urls that no host rule fits.
-PATTERN_RULES = (
-    PatternRule(r"(?:^|[.-])casino(?:[.-])", ("casino",)),
-    PatternRule(r"(?:^|[.-])pills(?:[.-])", ("pills",)),
-    PatternRule(r"(?:^|[.-])free-bets(?:[.-])", ("free", "bets")),
-    PatternRule(r"(?:^|[.-])ads-track(?:[.-])", ("ads", "track")),
-    PatternRule(r"(?:^|[.-])spam-farm(?:[.-])", ("spam", "farm")),
-    PatternRule(r"(?:^|[.-])adult(?:[.-])", ("adult",)),
-)
+PATTERN_RULES = pattern_rules()
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -127,26 +145,31 @@ class Index:
         return best
 
 
-def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, block_rules: int = BLOCK_RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERN_RULES, block_rules: int = BLOCK_RULES) -> DataFrame:
     """Pages with host, path, rule (null where a pattern or nothing decided) and verdict."""
     host, path = url_parts()
     parts = pages.drop("host", "path", "rule", "verdict", "_best").withColumn("host", host).withColumn("path", path)
-    rules = sorted({_compile(r) for r in (*host_rules, *pattern_rules)}, key=lambda r: (r.rank, r.name or "", r.pattern))
+    rules = sorted({_compile(r) for r in (*host_rules, *patterns)}, key=lambda r: (r.rank, r.name or "", r.pattern))
     best = "_best struct<rank: int, block: boolean, name: string>"
     kind = pa.struct([("rank", pa.int32()), ("block", pa.bool_()), ("name", pa.string())])
     out = parts.withColumn("_best", F.lit(None).cast("struct<rank: int, block: boolean, name: string>"))
-    for at in range(0, len(rules), block_rules):
-        block = rules[at:at + block_rules]
-        tokens = sorted({t for r in block for t in r.literals})
-        shared = Held(pages.sparkSession, Index(block, token_frequency(parts, tokens) if tokens else {}))
+    tokens = sorted({t for r in rules for t in r.literals})
+    frequency = token_frequency(parts, tokens) if tokens else {}
+    for low in range(0, len(rules), PASS_RULES):
+        some = rules[low:low + PASS_RULES]
+        packed = Held(pages.sparkSession, [cloudpickle.dumps(Index(some[at:at + block_rules], frequency)) for at in range(0, len(some), block_rules)])
         out = out.withColumnRenamed("_best", "_had")
 
-        def factory(shared=shared):
-            index = shared.get()
+        def factory(packed=packed):
+            packs = packed.get()
+            only = cloudpickle.loads(packs[0]) if len(packs) == 1 else None
 
             def compute(batch):
                 hosts, paths, had = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "path", "_had"))
-                found = [index.best(h, p, (b["rank"], b["block"], b["name"]) if b else None) for h, p, b in zip(hosts, paths, had)]
+                found = [(b["rank"], b["block"], b["name"]) if b else None for b in had]
+                for pack in packs:
+                    index = only or cloudpickle.loads(pack)
+                    found = [index.best(h, p, b) for h, p, b in zip(hosts, paths, found)]
                 return [pa.array([dict(zip(("rank", "block", "name"), f)) if f else None for f in found], kind)]
             return compute
         out = extend(out, best, factory).drop("_had")
