@@ -1,7 +1,8 @@
 """Token-budgeted packing of sentences, paragraphs and table lines.
 
-Each function folds the units of one section inside its row.  The fold keeps
-unit indexes, never text; text is joined once per finished chunk.
+Each function folds the units of one section inside its row, in blocks, so that
+the time is linear in the units.  The fold keeps unit indexes, never text; text
+is joined once per finished chunk.
 
 ``tokens`` maps ARRAY<STRING> to ARRAY<INT>; the default counts white-space
 tokens in place, a registered tokenizer counts whole arrays in Arrow batches.
@@ -10,7 +11,7 @@ tokens in place, a registered tokenizer counts whole arrays in Arrow batches.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions import fixed_values as fv
-from corpusq.functions.arrays import at, indexes, ints, let, total
+from corpusq.functions.arrays import at, fold, indexes, ints, let, total
 from corpusq.functions.quality import boundary_quality, chunk_type, contains_tables, is_table_content
 from corpusq.functions.text import any_term, count_tokens, lines, split_paragraphs, split_sentences, strip
 
@@ -101,7 +102,7 @@ def pack_sentences(blocks: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.
                    table_rows: int = fv.TABLE_ROWS_PER_CHUNK, tokens=token_counts) -> Column:
     """ARRAY<STRUCT<text, token_count, chunk_type>> of a section's content blocks."""
 
-    def fold(units):
+    def packed(units):
         def emitted(acc, kind):
             return F.when(F.size(acc["cur"]) == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
                 acc["cur"].alias("units"), acc["tok"].alias("tokens"), F.lit(kind).alias("kind")))))
@@ -127,10 +128,10 @@ def pack_sentences(blocks: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.
                         .otherwise(state(F.concat(acc["cur"], i), acc["tok"] + t, run, yes, acc["out"])))
             return F.when(x["table"], table).otherwise(sentence)
 
-        zero = state(ints(), F.lit(0), ints(), F.lit(False),
-                     F.array().cast("array<struct<units:array<int>,tokens:int,kind:string>>"))
+        none = F.array().cast("array<struct<units:array<int>,tokens:int,kind:string>>")
+        zero = state(ints(), F.lit(0), ints(), F.lit(False), none)
         steps = F.transform(units, lambda u, i: F.struct(i.alias("i"), u["t"].alias("t"), u["table"].alias("table")))
-        plan = F.aggregate(steps, zero, step, lambda acc: emitted(acc, "text"))
+        plan = fold(steps, zero, ["cur", "tok", "run", "last_text"], none, step, lambda acc: emitted(acc, "text"))
 
         def chunk(entry):
             ids = entry["units"]
@@ -144,14 +145,14 @@ def pack_sentences(blocks: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.
                     .otherwise(whole))
         return F.flatten(F.transform(plan, chunk))
 
-    return let(_units(blocks, tokens), fold)
+    return let(_units(blocks, tokens), packed)
 
 
 # ---- paragraphs and sentences with a carried tail -------------------------------------------
 def _greedy(units: Column, size: int, carry: int, glue: str, kind: str, tokens) -> Column:
     """Fill chunks up to ``size``; a new chunk repeats the last ``carry`` units of a longer one."""
 
-    def fold(counted):
+    def packed(counted):
         def emitted(acc):
             return F.when(F.size(acc["cur"]) == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
                 acc["cur"].alias("units"), acc["tok"].alias("tokens")))))
@@ -166,16 +167,16 @@ def _greedy(units: Column, size: int, carry: int, glue: str, kind: str, tokens)
                     .otherwise(F.struct(F.concat(acc["cur"], i).alias("cur"), (acc["tok"] + t).alias("tok"),
                                         acc["out"].alias("out"))))
 
-        zero = F.struct(ints().alias("cur"), F.lit(0).alias("tok"),
-                        F.array().cast("array<struct<units:array<int>,tokens:int>>").alias("out"))
+        none = F.array().cast("array<struct<units:array<int>,tokens:int>>")
+        zero = F.struct(ints().alias("cur"), F.lit(0).alias("tok"))
         steps = F.transform(counted, lambda u, i: F.struct(i.alias("i"), u["t"].alias("t")))
-        plan = F.aggregate(steps, zero, step, emitted)
+        plan = fold(steps, zero, ["cur", "tok"], none, step, emitted)
         return F.transform(plan, lambda e: F.struct(
             F.array_join(F.transform(e["units"], lambda u: at(counted, u)["content"]), glue).alias("text"),
             e["tokens"].alias("token_count"), F.lit(kind).alias("chunk_type"),
             F.lit(None).cast("string").alias("table_header")))
 
-    return let(F.zip_with(units, tokens(units), lambda u, t: F.struct(u.alias("content"), t.alias("t"))), fold)
+    return let(F.zip_with(units, tokens(units), lambda u, t: F.struct(u.alias("content"), t.alias("t"))), packed)
 
 
 def pack_paragraphs(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=token_counts) -> Column:
@@ -192,7 +193,7 @@ def pack_table_lines(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, least:
                      tokens=token_counts) -> Column:
     """Tables become their own chunks; long text breaks at its last blank line with two lines of overlap."""
 
-    def fold(rows):
+    def packed(rows):
         def entry(start, end, tok, kind, header):
             return F.array(F.struct(start.alias("start"), end.alias("end"), tok.alias("tokens"),
                                     F.lit(kind).alias("kind"), header.alias("header")))
@@ -238,11 +239,11 @@ def pack_table_lines(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, least:
                 F.when(acc["in_table"], "table").otherwise("paragraph").alias("kind"), acc["header"].alias("header"))
             return F.concat(acc["out"], F.array(rest))
 
-        zero = state(F.lit(0), F.lit(0), F.lit(False), none, F.array().cast(
-            "array<struct<start:int,end:int,tokens:int,kind:string,header:int>>"))
+        empty = F.array().cast("array<struct<start:int,end:int,tokens:int,kind:string,header:int>>")
+        zero = state(F.lit(0), F.lit(0), F.lit(False), none, empty)
         steps = F.transform(rows, lambda r, i: F.struct(
             i.alias("i"), r["t"].alias("t"), r["piped"].alias("piped"), r["blank"].alias("blank")))
-        plan = F.aggregate(steps, zero, step, finish)
+        plan = fold(steps, zero, ["start", "tok", "in_table", "header"], empty, step, finish)
         return F.filter(F.transform(plan, lambda e: F.struct(
             strip(F.array_join(F.transform(F.slice(rows, e["start"] + 1, e["end"] - e["start"]),
                                            lambda r: r["line"]), "\n")).alias("text"),
@@ -253,7 +254,7 @@ def pack_table_lines(content: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, least:
     rows = F.zip_with(lines(content), tokens(lines(content)), lambda l, t: F.struct(
         l.alias("line"), t.alias("t"), F.contains(l, F.lit("|")).alias("piped"),
         (strip(l) == "").alias("blank")))
-    return let(rows, fold)
+    return let(rows, packed)
 
 
 def choose_strategy(content: Column, count: Column, size: int = fv.SEMANTIC_CHUNK_SIZE, tokens=token_counts) -> Column:

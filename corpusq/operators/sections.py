@@ -8,7 +8,7 @@ source that owns most documents cannot create a hot task.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions import fixed_values as fv
-from corpusq.functions.arrays import at, let
+from corpusq.functions.arrays import at, fold, let
 from corpusq.functions.quality import header_level, occurrences
 from corpusq.functions.text import any_term, lines, strip
 
@@ -72,11 +72,9 @@ def semantic_sections(text: Column, boundaries=None) -> Column:
             (acc["chars"] + F.length(part)).alias("chars"),
             F.concat(acc["out"], F.array(section)).alias("out"))
 
-    zero = F.struct(
-        F.lit(0).alias("n"), F.lit(0).alias("line"), F.lit(0).alias("chars"),
-        F.array().cast("array<struct<title:string,level:int,content:string,start_pos:int,"
-                       "line_start:int,line_end:int>>").alias("out"))
-    return F.filter(F.aggregate(parts, zero, step)["out"], lambda s: s["content"] != "")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("line"), F.lit(0).alias("chars"))
+    none = F.array().cast("array<struct<title:string,level:int,content:string,start_pos:int,line_start:int,line_end:int>>")
+    return F.filter(fold(parts, zero, ["n", "line", "chars"], none, step)["out"], lambda s: s["content"] != "")
 
 
 def split_semantic(docs: DataFrame, text: str = "text", boundaries=None) -> DataFrame:
@@ -124,11 +122,12 @@ def table_ranges(text: Column, stat_words=None) -> Column:
             x["i"].alias("start"), close(acc, x["i"]).alias("out"))
         return F.when(goes_on, acc).otherwise(fresh)
 
-    zero = F.struct(F.lit(0).alias("mode"), F.lit(0).alias("start"), F.array().cast(TABLE_TYPE).alias("out"))
+    none = F.array().cast(TABLE_TYPE)
+    zero = F.struct(F.lit(0).alias("mode"), F.lit(0).alias("start"))
     rows = F.transform(lines(text), strip)
 
     def ranges(r):
-        return F.aggregate(classify(r), zero, step, lambda acc: close(acc, F.size(r)))
+        return fold(classify(r), zero, ["mode", "start"], none, step, lambda acc: close(acc, F.size(r)))
 
     candidate = F.contains(text, F.lit("|")) | any_term(F.lower(text), words)
     return F.when(candidate, let(rows, ranges)).otherwise(F.array().cast(TABLE_TYPE))
@@ -168,12 +167,12 @@ def content_blocks(content: Column, first_table_type: Column, stat_words=None) -
             F.when(x["opens"], "table").otherwise("text").alias("kind"),
             x["i"].alias("start"), close(acc, x["i"]).alias("out")))
 
-    zero = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("start"),
-                    F.array().cast(BLOCK_TYPE).alias("out"))
+    none = F.array().cast(BLOCK_TYPE)
+    zero = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("start"))
 
     def cut(rows, stats):
         classified = F.transform(rows, lambda line, i: classify(line, i, stats))
-        found = F.aggregate(classified, zero, step, lambda acc: close(acc, F.size(rows)))
+        found = fold(classified, zero, ["kind", "start"], none, step, lambda acc: close(acc, F.size(rows)))
         return F.transform(found, lambda b: F.struct(
             b["type"].alias("type"),
             strip(F.array_join(F.slice(rows, b["start"] + 1, b["n"]), "\n")).alias("content")))

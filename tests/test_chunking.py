@@ -2,10 +2,14 @@
 
 import random
 import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
+from corpusq.functions.arrays import fold
+from corpusq.functions.extensions import unit_cuts
 from corpusq.functions.text import count_tokens, strip
 from corpusq.operators import chunks as C, packing as P, sections as S
 
@@ -215,3 +219,42 @@ def test_dropped_table_lines_are_counted(spark):
     for key, text in rows[:5]:
         lost = [l for l in text.split("\n") if l.strip() and l not in chunks[key].split("\n")]
         assert len(lost) == got[key][0]
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 512])
+def test_fold_equals_a_plain_aggregate(spark, block):
+    """The sums of runs that end where a running sum passes ten."""
+    rng = random.Random(block)
+    rows = [([rng.randint(0, 6) for _ in range(n)],) for n in (0, 1, 2, 4, 5, 6, 10, 11, 40)] + [(None,)]
+    none = F.array().cast("array<int>")
+
+    def step(acc, x):
+        full = acc["sum"] + x > 10
+        return F.when(full, F.struct(x.alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))).otherwise(
+            F.struct((acc["sum"] + x).alias("sum"), acc["out"].alias("out")))
+
+    def finish(acc):
+        return F.concat(acc["out"], F.array(acc["sum"]))
+    zero = F.struct(F.lit(0).alias("sum"))
+    df = spark.createDataFrame(rows, "xs array<int>")
+    got = df.select(fold(F.col("xs"), zero, ["sum"], none, step, finish, block).alias("a"), F.aggregate(
+        "xs", F.struct(F.lit(0).alias("sum"), none.alias("out")), step, finish).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and len(got) == 10
+
+
+def test_a_very_long_document_is_packed_in_linear_time(spark):
+    rng = random.Random(9)
+    sentences = [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(3, 25))) + "." for _ in range(40000)]
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("content")))
+
+    def pack(part):
+        df = spark.createDataFrame([(" ".join(part),)], "text string").coalesce(1)
+        start = time.time()
+        made = df.select(F.explode(P.pack_sentences(block, 100, 20)).alias("c")).select("c.text", "c.token_count").collect()
+        return made, time.time() - start
+    pack(sentences[:100])
+    small, quick = pack(sentences[:10000])
+    large, slow = pack(sentences)
+    cuts = unit_cuts(np.array([len(s.split()) for s in sentences]), 100, 20)
+    assert [r["text"] for r in large] == [" ".join(sentences[a:b]) for a, b in cuts]
+    assert slow < 10 * quick + 5 and len(large) > 3.9 * len(small)
