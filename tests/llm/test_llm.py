@@ -52,6 +52,21 @@ def test_secrets(docs, none):
     assert secrets.scan_secrets(none)[0].count() == 0
 
 
+def test_crawls_share_one_ledger(spark, docs):
+    """Every blob is scanned once, by the first crawl that holds it, and findings reach the paths of all crawls."""
+    rows = docs.withColumn("crawl", F.when(F.col("lang") == "fr", 1).otherwise(0)).unionByName(
+        docs.withColumn("crawl", F.lit(2)).withColumn("doc_id", F.col("doc_id") + 100))
+    ledger, scanned = None, []
+    for i in range(3):
+        before = 0 if ledger is None else ledger.count()
+        _, ledger = secrets.scan_secrets(rows.filter(F.col("crawl") == i), ledger)
+        scanned.append(ledger.count() - before)
+    blobs = docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().count()
+    assert sum(scanned) == blobs * len(secrets.RULES) and scanned[2] == 0 and min(scanned[:2]) > 0
+    found = secrets.join_findings(rows, ledger).select("text", secrets.span_text().alias("s")).collect()
+    assert len(found) == 2 * docs.count() and all(r["s"] == base_spans(r["text"] or "") for r in found)
+
+
 def test_mixing(docs, none):
     plan = mixing.mixing_plan(docs).collect()
     assert len(plan) == docs.count() and all(0 <= r["copies"] <= 3 for r in plan)
