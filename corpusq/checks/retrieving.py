@@ -12,7 +12,7 @@ from corpusq.checks.labelling import (ANALYSIS_SQL, CATEGORY_SQL, CATS, EXPANSIO
 from corpusq.checks.registry import Checks
 from corpusq.functions.text import count_tokens
 from corpusq.functions import extensions as U
-from corpusq.operators import answering as A, chunks as C, context as X, embedding as EM, labelling as L, retrieval as R, vector_index as VI
+from corpusq.operators import answering as A, chunks as C, context as X, embedding as EM, labelling as L, retrieval as R, search_store as SS, vector_index as VI
 from corpusq.plans.scratch import shared_folder
 from corpusq.session import load, load_spread
 
@@ -427,6 +427,26 @@ def _(spark, sf):
     return R.search_documents(docs, "7", edition="en", page=3, page_size=15)
 
 
+def _stored_pages(term, after):
+    return f"""(SELECT '{term}' AS term, doc_path, filename, CASE WHEN contains(lower(filename), '{term}') THEN 'filename' ELSE 'content' END AS match_type FROM ({SEARCH_SQL})
+ WHERE (contains(lower(filename), '{term}') OR contains(lower(plain), '{term}')) AND doc_path > '{after}' ORDER BY doc_path LIMIT 12)"""
+
+
+# second pages: a rare term, one of many documents, one that is shorter than a signature's groups
+PAGES_ASKED = [("oc-77", "lib/src1"), ("ouou", "lib/src2/doc-5"), ("9", "lib/src4/doc-7.md"), ("no such words", "")]
+
+
+@add("search_store", " UNION ALL ".join(f"SELECT * FROM {_stored_pages(*p)}" for p in PAGES_ASKED))
+def _(spark, sf):
+    docs = documents(spark, sf).select(F.concat(F.lit("lib/"), "source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc_path"), "text")
+    path, found = shared_folder(spark, "search"), None
+    SS.write_search_store(docs, path, block_rows=25)
+    for term, after in PAGES_ASKED:
+        page = SS.search_store(spark, path, term, after, 12).withColumn("term", F.lit(term))
+        found = page if found is None else found.unionByName(page)
+    return found
+
+
 @add("group_documents", """SELECT page_id, CASE WHEN url LIKE 'https://%' AND len(string_split(url, '/')) > 1 THEN string_split(url, '/')[-2] ELSE 'other' END AS group_name,
  CASE WHEN url LIKE 'https://%' THEN string_split(url, '/')[-1] ELSE url END AS filename, CASE WHEN url LIKE 'https://%' THEN substr(url, 9) ELSE url END AS relative_path FROM pages""")
 def _(spark, sf):

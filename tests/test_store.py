@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusq.functions import extensions as U
-from corpusq.operators import indexing as IX, retrieval as R, vector_index as VI
+from corpusq.operators import indexing as IX, retrieval as R, search_store as SS, vector_index as VI
 from corpusq.operators.chunks import chunk_documents, clean_documents
 from corpusq.plans import fetch
 from corpusq.plans.scratch import shared_folder
@@ -227,3 +227,27 @@ def test_fetch_does_not_sort_the_table(spark, monkeypatch):
         found = fetch.fetch_rows(ids, table, "k")
         assert sorted(map(tuple, found.select("k", "q", "text").collect())) == want
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_skips_blocks_without_the_term(spark):
+    docs = spark.range(400).select(F.concat(F.lit("lib/d"), F.col("id").cast("string"), F.lit(".md")).alias("doc_path"), F.when(
+        F.col("id") == 123, "Über the Zebra crossing").when(F.col("id") == 7, None).otherwise(F.concat(F.lit("plain words "), F.col("id").cast("string"))).alias("text"))
+    path = shared_folder(spark, "search")
+    SS.write_search_store(docs, path, block_rows=20)
+    assert len(SS.candidate_blocks(spark, path, "zebra")) == 1 and len(SS.candidate_blocks(spark, path, "PLAIN words")) == 20
+    assert SS.candidate_blocks(spark, path, "zq") is None and SS.candidate_blocks(spark, path, "zebras") == []
+    for term in ("zebra", "ÜBER", "words 39", "d12", "zebras", ""):
+        want = sorted(r["doc_path"] for r in docs.collect() if term.lower() in r["doc_path"].rsplit("/", 1)[1] or term.lower() in (r["text"] or "").lower())
+        got, after = [], None
+        while page := [r["doc_path"] for r in SS.search_store(spark, path, term, after, 150).collect()]:
+            got, after = got + page, page[-1]
+        assert got == want
+    plan = SS.search_store(spark, path, "zebra")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*block#\d+ = \d+", plan)
+
+
+def test_a_long_text_is_signed_without_a_gap(monkeypatch):
+    data = bytes(range(256)) * 3
+    whole = set(SS._bits(data).tolist())
+    monkeypatch.setattr(SS, "PIECE_BYTES", 7)
+    assert {int(x) for piece in SS._pieces(data) for x in SS._bits(piece)} == whole and SS._bits(b"ab").tolist() == []
