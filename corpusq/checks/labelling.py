@@ -84,6 +84,16 @@ def _(spark, sf):
     return scored.select("doc_id", "category", "score", F.sha2(F.array_join(F.array_sort("found"), ","), 256).alias("terms"))
 
 
+# every long word of the conversations as a term: some thousands at sf0.01
+@add("lexicon_score_long_words", """WITH t AS (SELECT DISTINCT word AS term FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM conversations) WHERE length(word) >= 9)
+ SELECT doc_id, left(term, 1) AS category, (count(*) * 0.25)::DECIMAL(9,3) AS score, sha256(string_agg(term, ',' ORDER BY term)) AS terms FROM documents JOIN t ON contains(lower(text), term) GROUP BY 1, 2""")
+def _(spark, sf):
+    words = load(spark, sf, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter("length(term) >= 9").distinct()
+    lexicon = words.select("term", F.left("term", F.lit(1)).alias("category"), F.lit("0.25").cast("decimal(9,3)").alias("weight"), F.lit(0).alias("ord"))
+    scored = L.lexicon_score(documents(spark, sf).select("doc_id", "text"), lexicon, "doc_id")
+    return scored.select("doc_id", "category", "score", F.sha2(F.array_join(F.array_sort("found"), ","), 256).alias("terms"))
+
+
 PATTERNS = [("number", r"\d+", 0.2), ("number", r"\d{3}", 0.5), ("upper", r"[A-Z]{4}", 0.3)]
 
 
