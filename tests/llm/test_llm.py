@@ -147,6 +147,25 @@ def test_vectors(spark):
     assert hnsw.near_vectors(table.filter("false")).count() == 0
 
 
+def test_recall_over_several_full_shards(spark):
+    """One label, four shards of about a thousand vectors, a hot group among them."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(300, 24))
+    points = np.float32(np.concatenate([centres[i % 300] + 0.14 * rng.normal(size=(1, 24)) for i in range(3600)] + [
+        centres[:1] + 0.05 * rng.normal(size=(400, 24))]))
+    unit = points.astype(np.float64)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, [float(x) for x in p], 7) for i, p in enumerate(points)], "vec_id bigint, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_vectors(table, shard_rows=1000).collect()}
+    links = near.sum(axis=1)
+    assert sum(n for n, _ in got.values()) >= 0.98 * links.sum() and all(got[i][0] <= links[i] for i in got)
+    cold = np.arange(3600)
+    assert np.mean([got[i][0] / links[i] for i in cold if links[i]]) >= 0.98
+    assert all(got[i][1] <= i for i in got)
+
+
 def test_audit_counts_every_vector_once():
     """A hot third found whole does not hide that the other nodes and the queries miss their links."""
     rng = np.random.default_rng(5)
