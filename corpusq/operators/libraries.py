@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions import fixed_values as fv
-from corpusq.functions.arrays import at, let
+from corpusq.functions.arrays import at, fold, ints, let
 from corpusq.functions.scoring import map_attribute
 from corpusq.functions.text import any_term, first_match, lines, strip, title_case
 from corpusq.operators.labelling import gear_category, gear_subcategory
@@ -71,21 +71,25 @@ def _group_count(pattern: str) -> int:
     return re.compile(pattern).groups
 
 
-def _candidates(docs: DataFrame, path: str, text: str, patterns, extra: dict) -> DataFrame:
-    """(path, line_no, line, section, + extra(rows, i)) of the lines that match a record pattern.
+def _candidates(docs: DataFrame, path: str, text: str, patterns, extra: dict, whole: bool = False) -> DataFrame:
+    """(path, line_no, line, section, + extra(rows, i, stops)) of the lines that match a record pattern.
 
     Lines are chosen first; pages and descriptions are read only for those.
+    With ``whole``, stops[i] is the next line after i that ends a description.
     """
     def holds_record(line):
         likely = F.contains(line, F.lit("|")) | F.rlike(line, F.lit(r"^[-*#]"))
         return likely & reduce(lambda a, b: a | b, [F.rlike(line, F.lit("(?d)" + p)) for p in patterns])
 
     def annotate(rows):
+        return let(_next_stops(rows), lambda stops: chosen_of(rows, stops)) if whole else chosen_of(rows, None)
+
+    def chosen_of(rows, stops):
         named = F.transform(rows, lambda r, i: F.struct(i.alias("line_no"), strip(r["raw"]).alias("line"), r["section"].alias("section")))
         chosen = F.filter(named, lambda r: holds_record(r["line"]))
         return F.transform(chosen, lambda r: F.struct(
             r["line_no"].alias("line_no"), r["line"].alias("line"), r["section"].alias("section"),
-            *[make(rows, r["line_no"]).alias(name) for name, make in extra.items()]))
+            *[make(rows, r["line_no"], stops).alias(name) for name, make in extra.items()]))
     return docs.select(path, F.explode(let(_sectioned_lines(F.col(text)), annotate)).alias("_l")).select(path, "_l.*")
 
 
@@ -97,19 +101,29 @@ def _following(rows, i, n, first=1):
     return F.transform(F.slice(rows, i + 1 + first, F.lit(n)), lambda r: r["raw"])
 
 
-_PAGE = {"source_page": lambda rows, i: _page(strip(_raw(rows, i)), F.when(i > 0, _raw(rows, i - 1)).otherwise(""), _raw(rows, i + 1))}
+def _next_stops(rows: Column) -> Column:
+    """ARRAY<INT>: for each line the next header, table or list line after it, else the number of lines; one run from the end."""
+    marks = F.transform(F.reverse(rows), lambda r: F.rlike(strip(r["raw"]), F.lit(r"^[#|\-]")))
+    numbered = F.transform(marks, lambda m, n: F.struct(m.alias("stop"), n.alias("n")))
+    none = ints()
+
+    def from_end(found):
+        def step(acc, x):
+            return F.struct(F.when(x["stop"], F.size(rows) - 1 - x["n"]).otherwise(acc["next"]).alias("next"),
+                            F.concat(acc["out"], F.array(acc["next"])).alias("out"))
+        return F.reverse(fold(found, F.struct(F.size(rows).alias("next")), ["next"], none, step, lambda acc: acc["out"]))
+    return let(numbered, from_end)
+
+
+_PAGE = {"source_page": lambda rows, i, _: _page(strip(_raw(rows, i)), F.when(i > 0, _raw(rows, i - 1)).otherwise(""), _raw(rows, i + 1))}
 
 
 def _text(lines: int | None, chars: int | None) -> dict:
     """The description of a record: at most so many lines and characters, all up to the next header, table or list line for None."""
     if lines is None:
-        # what follows is cut before it is looked at, so that the lines of a description are read once
-        def block(rows, i):
-            ends = F.filter(F.sequence(F.lit(1), F.size(rows) - i - 1), lambda n: F.rlike(strip(_raw(rows, i + n)), F.lit(r"^[#|\-]")))
-            stop = F.when(F.size(rows) - i - 1 < 1, F.lit(0)).otherwise(F.coalesce(at(ends, F.lit(0)), F.size(rows) - i))
-            return F.slice(rows, i + 2, F.greatest(stop - 1, F.lit(0)))
-        return {"description": lambda rows, i: _description(F.transform(block(rows, i), lambda r: r["raw"]), chars)}
-    return {"description": lambda rows, i: _description(_following(rows, i, lines), chars)}
+        return {"description": lambda rows, i, stops: _description(F.transform(
+            F.slice(rows, i + 2, F.greatest(at(stops, i) - i - 1, F.lit(0))), lambda r: r["raw"]), chars)}
+    return {"description": lambda rows, i, _: _description(_following(rows, i, lines), chars)}
 
 
 def _first_per_name(rows: DataFrame, path: str, fields: list[str]) -> DataFrame:
@@ -136,7 +150,8 @@ def skill_group(name: Column, declared: Column, groups=None) -> Column:
 def extract_skills(docs: DataFrame, path: str = "doc_path", text: str = "text", description_lines: int | None = None,
                    description_chars: int | None = None) -> DataFrame:
     """Skill rows.  A description is whole unless its lines or characters are limited (``fv.DESCRIPTION_LINES``, ``_CHARS``)."""
-    lines_ = _candidates(docs, path, text, fv.SKILL_PATTERNS, {**_PAGE, **_text(description_lines, description_chars)})
+    lines_ = _candidates(docs, path, text, fv.SKILL_PATTERNS, {**_PAGE, **_text(description_lines, description_chars)},
+                         description_lines is None)
     rows = (lines_.select("*", F.posexplode(_matches(F.col("line"), fv.SKILL_PATTERNS, 3)).alias("match_no", "_m"))
             .withColumn("name", clean_skill_name(F.col("_m.g1")))
             .filter((F.length("name") >= 3) & ~F.lower("name").isin(fv.SKILL_STOP_NAMES)))
@@ -153,7 +168,7 @@ def extract_qualities(docs: DataFrame, path: str = "doc_path", text: str = "text
                       description_chars: int | None = None) -> DataFrame:
     """Quality rows; a type cell also applies to the later matches of its line.  Descriptions as in ``extract_skills``."""
     lines_ = _candidates(docs, path, text, fv.QUALITY_PATTERNS, {
-        **_PAGE, **_text(description_lines, description_chars), "rating_range": lambda rows, i: _rating(_following(rows, i, 3, 0))})
+        **_PAGE, **_text(description_lines, description_chars), "rating_range": lambda rows, i, _: _rating(_following(rows, i, 3, 0))}, description_lines is None)
 
     def named(m):
         name = strip(_bare(m["g1"]))

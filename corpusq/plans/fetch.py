@@ -8,27 +8,29 @@ from corpusq.plans.scratch import shared_folder
 HELD_IDS = 1_000_000
 
 
+def _stored(ids: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """(the ids, written once so that they are counted and used without being computed twice; whether they are few)."""
+    path = shared_folder(ids.sparkSession, name)
+    ids.write.parquet(path)
+    kept = ids.sparkSession.read.schema(ids.schema).parquet(path)
+    return kept, kept.limit(HELD_IDS + 1).count() <= HELD_IDS
+
+
 def without_rows(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``table`` whose key is not among ``ids``; the table is neither sorted nor, for few ids, moved."""
-    path = shared_folder(table.sparkSession, "without")
-    ids.select(key).distinct().write.parquet(path)
-    gone = table.sparkSession.read.parquet(path)
-    few = gone.limit(HELD_IDS + 1).count() <= HELD_IDS
+    gone, few = _stored(ids.select(key), "without")
     return table.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), key, "left_anti")
 
 
 def fetch_rows(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``ids`` (key and any other columns) joined with the rows of ``table`` that have these keys.
 
-    The distinct ids are written once, so that they are counted and used
-    without being computed twice.  Few ids travel to the table: its rows are
-    picked where they lie and only those go on.  Many ids and the table are
-    spread by the key and met by a hash table of the ids, not by a sort of the table.
+    Few ids travel to the table: its rows are picked where they lie and only
+    those go on.  Many ids and the table are spread by the key and met by a hash
+    table of the ids, not by a sort of the table.
     """
-    path = shared_folder(table.sparkSession, "fetch")
-    ids.write.parquet(path)
-    kept = table.sparkSession.read.schema(ids.schema).parquet(path)
-    wanted = kept.select(key).filter(F.col(key).isNotNull()).distinct()
-    few = wanted.limit(HELD_IDS + 1).count() <= HELD_IDS
-    picked = table.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), key, "left_semi")
-    return kept.join(picked if few else picked.hint("shuffle_hash"), key)
+    kept, few = _stored(ids, "fetch")
+    if few:
+        wanted = kept.select(key).filter(F.col(key).isNotNull())
+        return kept.join(table.join(F.broadcast(wanted), key, "left_semi"), key)
+    return table.join(kept.hint("shuffle_hash"), key).select(*kept.columns, *[c for c in table.columns if c != key])
