@@ -65,6 +65,16 @@ def test_salted_join(hot, how):
     assert nesting.salted_join(hot, small, ["g"], "pos", how).count() == hot.join(small, "g", how).count()
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_salted_join_repeats_hot_keys_only(spark, hot, how):
+    rows = hot.withColumn("g", F.when(F.col("pos") % 5 > 0, F.col("g")))
+    small = hot.groupBy("g").agg(F.sum("v").alias("total")).filter("g % 2 = 0")
+    got, want = nesting.salted_join(rows, small, ["g"], "pos", how, hot_rows=100), rows.join(small, "g", how)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    # a side that looks small to the planner is not broadcast, only the list of hot keys is
+    assert "SortMergeJoin" in plan(got) and plan(nesting.salted_join(spark.range(90), spark.range(90), ["id"], "id", how)).count("Generate") <= 2
+
+
 @pytest.mark.parametrize("held", [containment.HELD_TERMS, 0])
 def test_contains_join(spark, held):
     rng = random.Random(5)
