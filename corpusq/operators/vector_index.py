@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusq.plans import vectors as V
 from corpusq.plans.ordered import top_k
+from corpusq.plans.scratch import shared_folder
 
 MAX_CELLS = 4096
 #: Rows the quantiser is fitted on, in expectation; every row is assigned and stored.
 FIT_ROWS = 200_000
 ROUNDS = 8
 #: Vectors and queries that one group holds, in expectation.
-CHUNK_ROWS, QUERY_ROWS = 50_000, 2048
+CHUNK_ROWS, QUERY_ROWS = 50_000, 50_000
 #: Queries of the recall audit.
 AUDIT_QUERIES = 64
 
@@ -120,7 +121,12 @@ def build_index(vectors: DataFrame, path: str, key: str = "chunk_id", vec: str =
 
 def _read_cells(spark: SparkSession, path: str):
     rows = sorted(spark.read.parquet(f"{path}/cells").collect(), key=lambda r: r["cell"])  # one row per cell
-    return np.array([r["centroid"] for r in rows], dtype=np.float64), {r["cell"]: r["chunks"] for r in rows}
+    return np.array([r["centroid"] for r in rows], dtype=np.float64), {r["cell"]: (r["n"], r["chunks"]) for r in rows}
+
+
+def _joined_chunks(rows: int, chunks: int) -> int:
+    """How many of a cell's stored chunks a search takes as one: queries are repeated once per group of chunks."""
+    return max(1, CHUNK_ROWS * chunks // max(1, rows))
 
 
 def probe_index(queries: DataFrame, path: str, k: int, probes: int, key: str = "question_id", chunk: str = "chunk_id",
@@ -128,7 +134,7 @@ def probe_index(queries: DataFrame, path: str, k: int, probes: int, key: str = "
                 per_query: dict | None = None, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(key, chunk, distance, rank) of the k nearest vectors in the ``probes`` nearest cells of each query."""
     spark = queries.sparkSession
-    centroids, chunks = _read_cells(spark, path)
+    centroids, sizes = _read_cells(spark, path)
     per_query = per_query or {}
     stored = spark.read.parquet(f"{path}/vectors") if len(centroids) else None
     asked = queries.select(key, query_vec, *[F.col(q).alias(c) for c, q in per_query.items()])
@@ -143,15 +149,17 @@ def probe_index(queries: DataFrame, path: str, k: int, probes: int, key: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int32()))], names=probed_schema.names)
     sent = directed.mapInArrow(probe, probed_schema).select("*", F.explode("_cells").alias("cell")).drop("_cells")
     crowds = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}  # one row per cell
-    facts = F.broadcast(spark.createDataFrame([(c, chunks[c], -(-n // query_rows)) for c, n in crowds.items()],
-                                              "cell int, _chunks int, _blocks int"))
+    joined = {c: _joined_chunks(*sizes[c]) for c in crowds}
+    facts = F.broadcast(spark.createDataFrame([(c, joined[c], -(-sizes[c][1] // joined[c]), -(-n // query_rows)) for c, n in crowds.items()],
+                                              "cell int, _joined int, _chunks int, _blocks int"))
     left = (sent.join(facts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-            .withColumn("_qb", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).drop("_chunks", "_blocks"))
+            .withColumn("_qb", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).drop("_joined", "_chunks", "_blocks"))
     scope = stored.filter(F.col("cell").isin(list(crowds)))  # other cells' files are not listed
     for column, value in (where or {}).items():
         scope = scope.filter(F.col(column) == value)
     right = (scope.select(chunk, vec, *per_query, "cell", "part").join(facts, "cell")
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_chunks", "_blocks"))
+             .withColumn("part", F.floor(F.col("part") / F.col("_joined")).cast("int"))
+             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_joined", "_chunks", "_blocks"))
     schema, ddl = V._types(queries, stored, key, chunk)
     score = V.cell_scorer(k, key, chunk, query_vec, vec, list(per_query), schema)
     group = ["cell", "part", "_qb"]
@@ -165,8 +173,10 @@ def audited_probes(queries: DataFrame, path: str, k: int, recall: float, audit:
     spark = queries.sparkSession
     centroids, _ = _read_cells(spark, path)
     total = max(1, len(centroids))
-    sample = _directed(queries, query_vec).orderBy(F.xxhash64(F.lit("audit"), F.col(key))).limit(audit)
-    sample = spark.createDataFrame(sample.collect(), queries.schema)  # at most ``audit`` rows
+    asked = _directed(queries, query_vec)
+    if asked.count() > audit:
+        asked = asked.orderBy(F.xxhash64(F.lit("audit"), F.col(key))).limit(audit)
+    sample = _written(asked, "audit")
     stored = spark.read.parquet(f"{path}/vectors") if len(centroids) else None
     if stored is None:
         return total
@@ -174,18 +184,26 @@ def audited_probes(queries: DataFrame, path: str, k: int, recall: float, audit:
         stored = stored.filter(F.col(column) == value)
     per_query = per_query or {}
     asked = sample.select(key, query_vec, *[F.col(q).alias(c) for c, q in per_query.items()])
-    exact = {}
-    for r in V.nearest(asked, stored, k, key, chunk, query_vec, vec, list(per_query)).collect():  # audit x k rows
-        exact.setdefault(r[key], set()).add(r[chunk])
+    exact = _written(V.nearest(asked, stored, k, key, chunk, query_vec, vec, list(per_query)).select(key, chunk), "exact")
+    if exact.isEmpty():
+        return 1
+    wanted = exact.groupBy(key).agg(F.count(F.lit(1)).alias("_wanted"))
     probes = max(1, total // 32)
-    while probes < total and exact:
-        found = {}
-        for r in probe_index(sample, path, k, probes, key, chunk, query_vec, vec, where, per_query).collect():
-            found.setdefault(r[key], set()).add(r[chunk])
-        if np.mean([len(exact[q] & found.get(q, set())) / len(exact[q]) for q in exact]) >= recall:
+    while probes < total:
+        found = probe_index(sample, path, k, probes, key, chunk, query_vec, vec, where, per_query).select(key, chunk)
+        met = exact.join(found, [key, chunk], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_met"))
+        share = F.coalesce("_met", F.lit(0)) / F.col("_wanted")
+        if wanted.join(met, key, "left").agg(F.avg(share)).first()[0] >= recall:
             return probes
         probes *= 2
-    return total if exact else 1
+    return total
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, stored once for the rounds of the audit; none of them pass through the driver."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def search_index(queries: DataFrame, path: str, k: int = 5, recall: float = 0.95, audit: int = AUDIT_QUERIES, key: str = "question_id",
