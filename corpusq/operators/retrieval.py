@@ -68,11 +68,16 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = 5, key: str = "question_
 
 
 def unfiltered_counts(queries: DataFrame, results: DataFrame, chunks: DataFrame, k: int = 5, key: str = "question_id",
-                      **columns) -> DataFrame:
-    """For queries whose filtered search found nothing: how many an unfiltered search finds."""
+                      query_vec: str = "query_embedding", vec: str = "embedding") -> DataFrame:
+    """For queries whose filtered search found nothing: how many an unfiltered search finds.
+
+    Without a filter every chunk that has a vector is some neighbour of every query that
+    has one, so the number is that of these chunks, k at most; nothing is ranked.
+    """
     empty = queries.join(results.select(key).distinct(), key, "left_anti")
-    found = knn(empty, chunks, k, key, **columns).groupBy(key).agg(F.count(F.lit(1)).alias("fallback_count"))
-    return empty.select(key).join(found, key, "left").fillna(0, ["fallback_count"])
+    usable = chunks.filter(F.size(vec) > 0).limit(k).count()
+    asked = F.coalesce(F.size(query_vec) > 0, F.lit(False))
+    return empty.select(key, F.when(asked, F.lit(usable)).otherwise(F.lit(0)).cast("bigint").alias("fallback_count"))
 
 
 def overfetch(queries: DataFrame, chunks: DataFrame, k: int, rerank, **options) -> DataFrame:

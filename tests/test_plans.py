@@ -260,3 +260,13 @@ def test_rough_search_finds_the_exact_neighbours(seed):
         allowed = [j for j in range(700) if wanted[q]["c"] is None or wanted[q]["c"] == kind[j]]
         order = sorted(allowed, key=lambda j: (vectors.UNDEFINED if np.isnan(far[q, j]) else far[q, j], j))[:6]
         assert ids[rows == q].tolist() == order
+
+
+def test_unfiltered_counts_rank_nothing(spark):
+    chunks = spark.createDataFrame([(1, [1.0]), (2, None), (3, []), (4, [0.0])], "chunk_id int, embedding array<float>")
+    asked = spark.createDataFrame([(10, [1.0]), (11, None), (12, [0.0]), (13, [2.0])], "question_id int, query_embedding array<float>")
+    found = spark.createDataFrame([(13,)], "question_id int")
+    for k, most in ((5, 2), (1, 1)):
+        counts = R.unfiltered_counts(asked, found, chunks, k)
+        assert sorted(map(tuple, counts.collect())) == [(10, most), (11, 0), (12, most)]
+        assert "WindowGroupLimit" not in plan(counts) and "InArrow" not in plan(counts)
