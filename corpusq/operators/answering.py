@@ -18,6 +18,11 @@ def edition_key(edition: Column | str) -> Column:
     return F.upper(F.col(edition) if isinstance(edition, str) else edition)
 
 
+def most_asked(limits: DataFrame) -> int:
+    """Results that any of the requests asks for, MOST_RESULTS at most: no search ranks more."""
+    return max(1, min(MOST_RESULTS, limits.agg(F.max("_n")).first()[0] or 1))
+
+
 def search_requests(requests: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], categories=None, expansions=None,
                     key: str = "question_id", chunk: str = "chunk_id", search=R.knn) -> DataFrame:
     """(key, chunk, distance, rank): the n_results chunks nearest to each expanded question, under the request's own filters.
@@ -27,8 +32,9 @@ def search_requests(requests: DataFrame, chunks: DataFrame, embed: Callable[[Col
     """
     asked = L.expand_query(R.build_filter(requests), "question", categories, expansions)
     asked = asked.withColumn("query_embedding", embed(F.col("expanded"))).withColumn("want_edition", edition_key("want_edition"))
-    found = search(asked, chunks.withColumn("edition_key", edition_key("edition")), MOST_RESULTS, key, chunk, per_query=FILTERS, per_query_contains={"source": "want_source"})
     limits = requests.select(key, F.coalesce("n_results", F.lit(5)).alias("_n"))
+    found = search(asked, chunks.withColumn("edition_key", edition_key("edition")), most_asked(limits), key, chunk, per_query=FILTERS,
+                   per_query_contains={"source": "want_source"})
     return found.join(limits, key).filter(F.col("rank") <= F.col("_n")).drop("_n")
 
 
@@ -65,8 +71,8 @@ def search_report(requests: DataFrame, chunks: DataFrame, embed: Callable[[Colum
     """
     analysed = L.build_enhanced_query(L.analyze_query(requests, "question", intents=intents, query_types=query_types), synonyms=synonyms)
     asked = analysed.withColumn("query_embedding", embed(F.col("enhanced_query")))
-    found = search(asked, chunks, MOST_RESULTS, key, chunk)
     limits = requests.select(key, F.coalesce("n_results", F.lit(5)).alias("_n"))
+    found = search(asked, chunks, most_asked(limits), key, chunk)
     counts = (found.join(limits, key).filter(F.col("rank") <= F.col("_n")).groupBy(key)
               .agg(F.count(F.lit(1)).alias("results_count")))
     names = list(COUNT_NAMES.values())
