@@ -122,7 +122,12 @@ def build(terms: list[str], table_bytes: int = TABLE_BYTES, max_tables: int = MA
 
 def term_numbers(spark: SparkSession, column: Column, terms: list[str], table_bytes: int = TABLE_BYTES) -> Column:
     """ARRAY<INT>: positions in ``terms`` (distinct, not empty) of those that the column contains, ascending; null for null."""
-    held = Held(spark, build(terms, table_bytes) if terms else [])
+    return matched_numbers(spark, column, build(terms, table_bytes) if terms else [])
+
+
+def matched_numbers(spark: SparkSession, column: Column, matchers: list) -> Column:
+    """As ``term_numbers``, by any objects whose ``found`` gives the (text, term) pairs of a list of texts."""
+    held = Held(spark, matchers)
 
     def walk(texts):
         automata = held.get()

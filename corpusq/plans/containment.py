@@ -2,7 +2,9 @@
 
 A list of terms that fits a few automata (``plans/automaton.py``) is held by
 every task, which walks each text once: nothing is exploded but the pairs
-found.  A longer list is joined through n-grams.  Instead of comparing every text with every term, each term is filed under one
+found.  A longer list is cut into slices of bounded size, each held as an index of first
+bytes (``plans/prefixes.py``): one narrow pass over the texts a slice, and still no exploded
+text.  Only a list of more than MOST_SLICES is joined through n-grams.  Instead of comparing every text with every term, each term is filed under one
 of its character n-grams, the one fewest texts hold, and each text under all
 of its n-grams.  Only pairs that meet on a gram are compared.  The result is
 exact: a text that contains a term contains the term's gram.
@@ -12,15 +14,20 @@ travels once, to the candidates that are to be verified in it.  Joins are left
 to the adaptive execution, which splits a gram or a text that very many rows share.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.functions.arrays import let
-from corpusq.plans.automaton import term_numbers
+from corpusq.plans.automaton import matched_numbers, term_numbers
 from corpusq.plans.bounded import TooLarge, small_rows
+from corpusq.plans.prefixes import PrefixIndex
 
 GRAM = 3
 #: Terms that may come to the driver to be built into automata.
 HELD_TERMS = 100_000
+#: Terms of a slice in expectation, and slices that are walked before n-grams are cheaper.
+SLICE_TERMS, MOST_SLICES = 300_000, 16
 
 
 def _grams(column: Column, sizes) -> Column:
@@ -46,11 +53,31 @@ def held_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str, limit:
     spark = texts.sparkSession
     rows = small_rows(terms.select(F.lower(F.col(term)).alias("t")).filter("t <> ''").distinct(), limit)
     listed = sorted(r["t"] for r in rows)
-    number = term_numbers(spark, F.lower(F.col(text)), listed)
-    names = F.broadcast(spark.createDataFrame(list(enumerate(listed)), "_number int, _term string"))  # at most ``limit`` rows
+    return _numbered(texts, term_numbers(spark, F.lower(F.col(text)), listed), listed)
+
+
+def _numbered(texts: DataFrame, number: Column, listed: list[str]) -> DataFrame:
+    spark = texts.sparkSession
+    names = F.broadcast(spark.createDataFrame(list(enumerate(listed)), "_number int, _term string"))  # one slice of terms at most
     return texts.withColumn("_number", F.explode(number)).join(names, "_number").drop("_number")
 
 
+def sliced_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str, slice_terms: int = SLICE_TERMS) -> DataFrame:
+    """As ``held_pairs`` for a list of terms too long for automata; TooLarge beyond MOST_SLICES slices."""
+    distinct = terms.select(F.lower(F.col(term)).alias("t")).filter("t <> ''").distinct()
+    slices = -(-distinct.count() // slice_terms)
+    if slices > MOST_SLICES:
+        raise TooLarge(f"more than {MOST_SLICES} slices of {slice_terms} terms")
+    found = []
+    for i in range(slices):
+        # a slice by hash holds about slice_terms terms; each is let go before the next one comes
+        listed = sorted(r["t"] for r in distinct.filter(F.pmod(F.xxhash64("t"), F.lit(slices)) == i).collect())
+        if listed:
+            index = PrefixIndex([t.encode() for t in listed])
+            found.append(_numbered(texts, matched_numbers(texts.sparkSession, F.lower(F.col(text)), [index]), listed))
+    return reduce(DataFrame.unionByName, found)
+
+
 def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, on: list[str] | None = None,
                   how: str = "inner", held_terms: int = HELD_TERMS) -> DataFrame:
     """Pairs where ``text`` contains ``term`` (case folded), equal on ``on``.
@@ -65,7 +92,7 @@ def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, on:
     try:
         pairs = terms.join(held_pairs(texts, text, terms, term, held_terms), ["_term", *on])
     except TooLarge:
-        pairs = _gram_pairs(texts, text, terms, on)
+        pairs = _long_list_pairs(texts, text, terms, term, on) if held_terms else _gram_pairs(texts, text, terms, on)
     if how == "inner":
         return pairs.drop("_term")
     keys = terms.columns
@@ -73,6 +100,13 @@ def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, on:
     return pairs.unionByName(missed, allowMissingColumns=True).drop("_term")
 
 
+def _long_list_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str, on: list[str]) -> DataFrame:
+    try:
+        return terms.join(sliced_pairs(texts, text, terms, term), ["_term", *on])
+    except TooLarge:
+        return _gram_pairs(texts, text, terms, on)
+
+
 def _gram_pairs(texts: DataFrame, text: str, terms: DataFrame, on: list[str]) -> DataFrame:
     texts = texts.withColumn("_text", F.lower(F.col(text))).withColumn("_tid", F.unhex(F.md5(F.col("_text").cast("binary"))))
     per_term = (terms.select("_term").filter("_term <> ''").distinct()

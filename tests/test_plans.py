@@ -270,3 +270,27 @@ def test_unfiltered_counts_rank_nothing(spark):
         counts = R.unfiltered_counts(asked, found, chunks, k)
         assert sorted(map(tuple, counts.collect())) == [(10, most), (11, 0), (12, most)]
         assert "WindowGroupLimit" not in plan(counts) and "InArrow" not in plan(counts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prefixes_find_what_contains_finds(seed, monkeypatch):
+    from corpusq.plans import prefixes
+    monkeypatch.setattr(prefixes, "PAIRS", 50)
+    rng = random.Random(seed)
+    terms = sorted({"".join(rng.choices("abé", k=rng.randint(1, 30))) for _ in range(200)} | {"b" * 1500, "a" * 9, "a" * 8, "a" * 17})
+    texts = ["".join(rng.choices("abcé ", k=rng.choice([0, 1, 6, 60, 4000]))) for _ in range(25)] + ["ab" * 900 + "b" * 1500, "a" * 40, terms[0], *terms[::7]]
+    text, term = prefixes.PrefixIndex([t.encode() for t in terms]).found([t.encode() for t in texts])
+    assert list(zip(text.tolist(), term.tolist())) == [(i, j) for i, t in enumerate(texts) for j, w in enumerate(terms) if w in t]
+
+
+def test_a_long_list_explodes_no_grams(spark):
+    t = spark.range(300).select("id", F.concat(F.lit("Some word-"), F.col("id").cast("string")).alias("body"))
+    k = spark.range(3000).select(F.col("id").alias("kid"), F.concat(F.lit("WORD-"), F.col("id").cast("string")).alias("word"))
+    found = containment.contains_join(t, "body", k, "word", held_terms=5)
+    assert "_gram" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["id"], r["kid"]) for r in found.collect()}
+    assert got == {(i, j) for i in range(300) for j in range(300) if str(i).startswith(str(j))}
+    sliced = containment.sliced_pairs(t, "body", k, "word", slice_terms=400)
+    assert sliced.count() == len(got)
+    with pytest.raises(bounded.TooLarge):
+        containment.sliced_pairs(t, "body", k, "word", slice_terms=100)
