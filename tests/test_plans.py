@@ -294,3 +294,12 @@ def test_a_long_list_explodes_no_grams(spark):
     assert sliced.count() == len(got)
     with pytest.raises(bounded.TooLarge):
         containment.sliced_pairs(t, "body", k, "word", slice_terms=100)
+
+
+def test_a_search_joins_small_chunks_and_ranks_what_is_asked(spark):
+    from corpusq.operators import answering as A, vector_index as VI
+    assert VI._joined_chunks(2160, 36) == 833  # 36 chunks of 60 rows are searched as one: a query is sent once
+    assert VI._joined_chunks(10 * VI.CHUNK_ROWS, 10) == 1 and VI._joined_chunks(0, 1) >= 1
+    limits = spark.createDataFrame([("a", 2), ("b", 6)], "question_id string, _n int")
+    assert A.most_asked(limits) == 6 and A.most_asked(limits.withColumn("_n", F.lit(900))) == A.MOST_RESULTS
+    assert A.most_asked(limits.filter("false")) == 1
