@@ -308,3 +308,34 @@ def test_text_summary_of_balances_near_zero(spark, tmp_path):
     want = sorted(con.execute(recording.checks.oracles["export_text_summary"]).fetchall())
     got = sorted(tuple(r) for r in recording.checks.queries["export_text_summary"](spark, str(tmp_path)).collect())
     assert got == want and "Essence: -0.0" in got[0][1]
+
+
+def test_text_that_no_tag_cuts_is_one_row(spark, tmp_path):
+    batches = [[(1, i, t, False, 0) for i, t in enumerate(["ab", "c<", "d", "<thi", "nk>", "e", "f"])], [(1, 9, "g</th", False, 1), (1, 10, "ink>h", True, 1)]]
+    rows, _ = _split_rows(spark, J.stream_split_reasoning(_token_batches(spark, tmp_path, batches).drop("ts")), tmp_path)
+    assert rows == [(1, 0, False, "abc<d"), (1, 1, True, "ef"), (1, 2, True, "g"), (1, 3, False, "h")]
+
+
+def test_jobs_that_share_a_group_are_kept_and_dropped_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "BUNDLES", 1)
+    schema = "job_id string, stage string, progress double, details string, ts timestamp, seq bigint"
+    at = [datetime.datetime(2024, 1, 1, 0, 0, i) for i in range(3)]
+    batches = [[("a", "complete", 101.0, "x", at[1], 1), ("a", "run", 5.0, None, at[0], 2), ("b", "run", -1.0, None, at[1], 1)],
+               [("c", "run", 1.0, None, at[0], 1)], [("a", "run", 7.0, None, at[0], 3), ("b", "run", 7.0, None, at[0], 3)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    J.run_once(J.stream_job_status(stream, retention=1), f"{tmp_path}/out", f"{tmp_path}/checkpoint", "update")
+    out = [{(r["job_id"], r["stage"], r["progress"], r["seq"]) for r in spark.read.parquet(f"{tmp_path}/out/batch={i}").collect()} for i in range(3)]
+    # the complete job is forgotten after a second, so its late report counts; that of the other one does not
+    assert out == [{("a", "complete", 100.0, 1), ("b", "run", 0.0, 1)}, {("c", "run", 1.0, 1)}, {("a", "run", 7.0, 3), ("b", "run", 0.0, 1)}]
+
+
+def test_stream_tables_are_dealt_over_all_cores(spark, tmp_path):
+    from corpusq.checks import streams
+    cores = spark.sparkContext.defaultParallelism
+    stream = streams._as_stream(spark, spark.range(1000).select(F.col("id").alias("seq"), F.col("id").alias("key")), "dealt", "key")
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, i: seen.append((df.select(F.input_file_name()).distinct().count(), df.count()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert [n for n, _ in seen] == [cores] * 4 and sum(n for _, n in seen) == 1000
