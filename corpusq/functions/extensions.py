@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType
 
 from corpusq.functions import fixed_values as fv
+from corpusq.plans.batches import bound_batches
 
 
 def register_tokenizer(fn: Callable[[str], int]) -> Callable[[Column], Column]:
     """A token counter for the packing operators: ARRAY<STRING> -> ARRAY<INT> in Arrow batches."""
+    bound_batches()
+
     @F.pandas_udf(ArrayType(IntegerType()))
     def counted(texts: pd.Series) -> pd.Series:
         return texts.map(lambda items: [fn(t) for t in items])
@@ -22,6 +25,8 @@ def register_tokenizer(fn: Callable[[str], int]) -> Callable[[Column], Column]:
 
 def register_embedder(load: Callable[[], Callable[[list[str]], list]], dim: int) -> Callable[[Column], Column]:
     """``load`` builds the model once per task; a failing text gets the zero vector."""
+    bound_batches()
+
     @F.pandas_udf(ArrayType(FloatType()))
     def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
@@ -43,6 +48,8 @@ def _one(model, text, zero):
 
 def register_labeller(fn: Callable[[str], str]) -> Callable[[Column], Column]:
     """Raw label JSON per text, to be read by parse_label_responses; a failing text gives NULL."""
+    bound_batches()
+
     @F.pandas_udf(StringType())
     def labelled(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _quiet(fn, t))
@@ -130,6 +137,7 @@ def register_table_functions(spark: SparkSession) -> None:
     kind): spell or ic records.  Each is a function from a column to an array,
     called once per batch of rows, whose elements become the rows.
     """
+    bound_batches(spark)
     spark.udf.register("chunk_text_array", F.arrow_udf(_chunk_batches, CHUNK_TYPE))
     spark.udf.register("extract_records_array", F.arrow_udf(_record_batches, RECORD_TYPE))
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(content STRING, size INT, overlap INT)

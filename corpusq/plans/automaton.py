@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
+from corpusq.plans.batches import bound_batches
 from corpusq.plans.bounded import TooLarge
 from corpusq.plans.shipping import Held
 
@@ -127,6 +128,7 @@ def term_numbers(spark: SparkSession, column: Column, terms: list[str], table_by
 
 def matched_numbers(spark: SparkSession, column: Column, matchers: list) -> Column:
     """As ``term_numbers``, by any objects whose ``found`` gives the (text, term) pairs of a list of texts."""
+    bound_batches(spark)
     held = Held(spark, matchers)
 
     def walk(texts):

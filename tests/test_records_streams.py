@@ -339,3 +339,22 @@ def test_stream_tables_are_dealt_over_all_cores(spark, tmp_path):
     seen = []
     stream.writeStream.foreachBatch(lambda df, i: seen.append((df.select(F.input_file_name()).distinct().count(), df.count()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert [n for n, _ in seen] == [cores] * 4 and sum(n for _, n in seen) == 1000
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark, tmp_path):
+    from corpusq.plans.batches import BATCH_BYTES, MAX_BYTES
+    spark.conf.unset(MAX_BYTES)
+    label = U.register_labeller(lambda t: str(len(t)))
+    assert spark.conf.get(MAX_BYTES) == str(BATCH_BYTES)
+    texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("a"), F.lit(1 << 20)).alias("text"))
+
+    @F.pandas_udf("long")
+    def held(batch):
+        import pandas as pd
+        return pd.Series([batch.str.len().sum()] * len(batch))
+    assert texts.agg(F.max(held("text"))).first()[0] <= 2 * BATCH_BYTES
+    assert texts.filter(label("text") == str(1 << 20)).count() == 100
+    spark.conf.set(MAX_BYTES, "1000")  # a limit that is set already wins
+    U.register_labeller(lambda t: t)
+    assert spark.conf.get(MAX_BYTES) == "1000"
+    spark.conf.unset(MAX_BYTES)
