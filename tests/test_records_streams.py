@@ -358,3 +358,17 @@ def test_batches_of_long_texts_are_bounded_in_bytes(spark, tmp_path):
     U.register_labeller(lambda t: t)
     assert spark.conf.get(MAX_BYTES) == "1000"
     spark.conf.unset(MAX_BYTES)
+
+
+def test_stream_ingest_texts_lists_the_documents_of_its_sql(spark, tmp_path):
+    import duckdb
+    import __spark_entry__ as entry
+    texts = [(1, "É."), (2, "A word."), (3, ""), (4, "12"), (5, None), (6, "è"), (7, "Removed."), (8, "<b>"), (9, "One. Two.")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "stream_ingest_texts"
+    got = {tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    # a text that cleaning empties is reported, not left out
+    lost = ("lib/doc-8.md", True, 0)
+    assert got == set(con.execute(entry.oracle_sql()[name]).fetchall()) - {lost} | {("lib/doc-8.md", False, 0)}
