@@ -57,3 +57,55 @@ def test_safe_file_title(spark, title, wanted):
 
 def test_title_case_follows_every_non_letter(spark):
     assert one(spark, "o'neil ak-97 (big)", T.title_case) == "O'Neil Ak-97 (Big)"
+
+
+WHITE = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() and not 0x1C <= c <= 0x1F or c == 0x85)]
+
+
+def test_strip_takes_all_white_space_and_nothing_else(spark):
+    rows = [(c, f"{chr(c)}a{chr(c)}") for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame(rows, "c int, t string").select("c", T.strip("t").alias("s"), T.strip_left("t").alias("l"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("r"))
+    assert got.filter("s <> r").count() == 0
+    assert {chr(r["c"]) for r in got.filter("s = 'a'").collect()} == {chr(r["c"]) for r in got.filter("startswith(l, 'a')").collect()} - {"a"} == set(WHITE)
+
+
+def test_faster_forms_equal_their_patterns(spark):
+    """Token counts, sentence cuts, sentence ends and blanks of random strings, beside the plain patterns."""
+    import random
+    from corpusq.functions import quality as Q
+    dice = random.Random(5)
+    letters = ["a", "É", "z", "𝒳", ".", "!", "?", " ", " ", "\t", "\n", "\r", "\r\n", "\xa0", " ", "\x85"]
+    rows = [("".join(dice.choices(letters, k=dice.randrange(0, 14))),) for _ in range(4000)]
+    got = spark.createDataFrame(rows, "t string")
+    plain = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    squeezed = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", r"(?dU)\n\s*\n\s*\n+", "\n\n"), r"[ \t]+", " "), r"(?dm)[ \t]+$", "")
+    both = {
+        "tokens": (T.count_tokens("t"), F.regexp_count("t", F.lit(r"(?U)\S+"))),
+        "sentences": (T.split_sentences("t"), F.split("t", r"(?U)(?<=[.!?])\s+")),
+        "ends": (Q.ends_sentence("t"), F.rlike("t", F.lit(r"[.!?]$"))),
+        "starts": (Q.starts_mid_sentence("t"), F.rlike(plain, F.lit(r"^\p{Ll}"))),
+        "mid": (Q.ends_mid_sentence("t"), (plain != "") & ~F.rlike(plain, F.lit(r"[.!?]$"))),
+        "squeezed": (T.squeeze_whitespace("t"), F.regexp_replace(squeezed, r"(?U)^\s+|\s+$", ""))}
+    for name, (fast, slow) in both.items():
+        assert got.filter(~fast.eqNullSafe(slow)).limit(1).collect() == [], name
+
+
+def test_cleaning_step_by_step_equals_the_guarded_chain(spark):
+    import random
+    dice = random.Random(6)
+    pieces = ["<< ", "Go 3", "<b>", "> ", "\n", "(see **A**, p. 3)", "(p. 4)", "**p. 5**", "page 6", "![](a.png)", "12 ab >>", "* \\* See x, p. 7*",
+              "**B**, p. 8.", "(see p. 9).", "Ã¢â‚¬", "Ã‚ ", " ", "pa", "ge 10", " q 4", "(s", "ee p. 2)", "\n\n\n", "word. "]
+    rows = [("".join(dice.choices(pieces, k=dice.randrange(1, 9))),) for _ in range(2000)]
+    got = spark.createDataFrame(rows, "t string").withColumn("u", F.col("t"))
+    for step in T.CLEANING_STEPS:
+        got = got.withColumn("u", step(F.col("u"))).localCheckpoint()
+    assert got.filter(~T.clean_text("t").eqNullSafe(F.col("u"))).limit(1).collect() == []
+
+
+def test_numbered_lines_are_cleaned_in_linear_time(spark):
+    """The pattern of breadcrumb lines reads on from every line that begins with a number; here no breadcrumb can be."""
+    import time
+    df = spark.createDataFrame([("12 some words\n" * 20000,)], "t string")
+    start = time.time()
+    assert df.select(F.length(T.clean_text("t")).alias("n")).first()["n"] == 20000 * 14 - 1
+    assert time.time() - start < 10
