@@ -13,7 +13,7 @@ from corpusq.checks.registry import Checks
 from corpusq.functions.text import count_tokens
 from corpusq.functions import extensions as U
 from corpusq.operators import answering as A, chunks as C, context as X, embedding as EM, labelling as L, retrieval as R, search_store as SS, vector_index as VI
-from corpusq.plans.scratch import shared_folder
+from corpusq.plans.scratch import keep, shared_folder
 from corpusq.session import load, load_spread
 
 checks = Checks()
@@ -342,7 +342,10 @@ ANSWER_SQL = f"""WITH store AS MATERIALIZED (SELECT *, {_letters_sql('text')} AS
 
 
 def chunk_store(spark, sf):
-    """Chunks of all documents with links, metadata and vectors."""
+    """(chunks of all documents with links, metadata and vectors; their texts by text_id).
+
+    Texts are packed and embedded where they lie and stored once; only the narrow rows are joined.
+    """
     from corpusq.plans.once import compute_once
     doc = F.col("doc_id")
     meta = load(spark, sf, "documents").select(
@@ -350,12 +353,12 @@ def chunk_store(spark, sf):
         F.when(F.col("lang") == "en", "rulebook").when(F.col("lang") == "fr", "big adventure").alias("document_type"),
         F.when(doc % 2 == 0, "sr4").otherwise("SR5").alias("edition"),
         F.when(doc % 5 == 0, "Matrix").when(doc % 5 == 1, "Gear").when(doc % 5 == 2, "Magic").alias("primary_section"), F.col("lang").alias("subsection"))
-    path = shared_folder(spark, "packed")
-    packed_documents(spark, sf).write.parquet(path)
-    rows = spark.read.parquet(path).join(meta, "doc_id").withColumn("section_index", F.lit(0)).withColumn(
+    numbered = packed_documents(spark, sf).select("*", F.monotonically_increasing_id().alias("text_id"), F.unhex(F.md5("text")).alias("text_hash"))
+    packed = keep(compute_once(numbered, "embedding", U.register_embedder(_letter_counts, 1 + len(LETTERS))("text")), "packed")
+    rows = packed.drop("text").join(meta, "doc_id").withColumn("section_index", F.lit(0)).withColumn(
         "chunk_id", C.chunk_id(F.col("source"), F.col("section_index"), F.col("chunk_index"))).withColumn("chunk_pos", F.col("chunk_index"))
     linked = C.link_sequential(rows, "source").drop("doc_id", "section_index", "chunk_pos", "total_chunks_in_section", "section_complete")
-    return compute_once(linked, "embedding", U.register_embedder(_letter_counts, 1 + len(LETTERS))("text"))
+    return keep(linked, "chunk-store"), packed.select("text_id", "text")
 
 
 def requests(spark, sf):
@@ -378,9 +381,8 @@ def requests(spark, sf):
 def _(spark, sf):
     templates = spark.createDataFrame(TEMPLATES, "query_type string, template string")
     embed = U.register_embedder(_letter_counts, 1 + len(LETTERS))
-    path = shared_folder(spark, "chunk-store")
-    chunk_store(spark, sf).write.parquet(path)
-    answers = A.answer_questions(requests(spark, sf), spark.read.parquet(path), templates, embed, CATS, EXPANSIONS)
+    chunks, texts = chunk_store(spark, sf)
+    answers = A.answer_questions(requests(spark, sf), chunks, templates, embed, CATS, EXPANSIONS, texts=texts)
     return answers.withColumn("prompt", F.sha2("prompt", 256)).withColumn("sources", F.array_join("sources", ","))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusq.operators import context as X, labelling as L, retrieval as R
 from corpusq.operators.entities import COUNT_NAMES, entity_counts
+from corpusq.plans.fetch import pick_rows
+from corpusq.plans.scratch import keep
 
 #: Most results a request may ask for.
 MOST_RESULTS = 50
@@ -39,21 +41,31 @@ def search_requests(requests: DataFrame, chunks: DataFrame, embed: Callable[[Col
 
 
 def answer_questions(requests: DataFrame, chunks: DataFrame, templates: DataFrame, embed: Callable[[Column], Column], categories=None,
-                     expansions=None, fetch_linked: bool = True, key: str = "question_id", chunk: str = "chunk_id", search=R.knn) -> DataFrame:
+                     expansions=None, fetch_linked: bool = True, key: str = "question_id", chunk: str = "chunk_id", search=R.knn_stored,
+                     texts: DataFrame | None = None) -> DataFrame:
     """(key, category, prompt, sources, linked_chunks, n_hits, n_chunks), one row per request.
 
     Category, expansion, vector, filters, search, linked chunks, merge, context,
     prompt, sources.  A request without hits keeps its row; its context says
     that nothing was found and it has no sources.  Chunk text is fetched for
     hits and their links only; it is neither searched nor sorted.
+
+    ``texts`` (text_id, text) are the texts of the chunks, kept apart; text_id is a number of its own for
+    each text.  Chunks then hold text_id and text_hash, equal for equal texts, instead of text:
+    the rows are searched, linked and merged without it, and each text that is used is fetched once.
     """
     hits = search_requests(requests, chunks, embed, categories, expansions, key, chunk, search)
     primary = R.fetch_hits(hits, chunks.drop("embedding"), chunk)
+    text = "text" if texts is None else "text_hash"
     if fetch_linked:
-        merged = R.merge_linked(primary, R.expand_linked(primary, chunks.drop("embedding"), key, chunk), key, chunk)
+        merged = R.merge_linked(primary, R.expand_linked(primary, chunks.drop("embedding"), key, chunk), key, chunk, text)
     else:
         merged = primary.withColumn("is_linked", F.lit(False))
-    contexts = X.assemble_context(merged, key)
+    whole = merged
+    if texts is not None:
+        merged = keep(merged.drop(text), "merged")
+        whole = merged.join(pick_rows(merged, texts, "text_id"), "text_id")
+    contexts = X.assemble_context(whole, key)
     sources = X.answer_sources(merged, key)
     counts = merged.groupBy(key).agg(F.count_if(~F.col("is_linked")).alias("n_hits"), F.count(F.lit(1)).alias("n_chunks"))
     kind = L.classify_query(requests.select(key, "question"), "question", categories).select(key, "category")

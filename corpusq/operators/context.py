@@ -87,8 +87,9 @@ def render_prompts(questions: DataFrame, contexts: DataFrame, templates: DataFra
     for place, value in (("{character_context}", character), ("{edition_context}", edition), ("{context}", F.col("_full")),
                          ("{question}", F.col("question"))):
         filled = F.replace(filled, F.lit(place), value)
-    return (questions.join(contexts, key, "left").withColumn("context", F.coalesce("context", F.lit(fv.NOTHING_FOUND)))
-            .join(templates, "query_type", "left")
+    # templates are few; they meet the questions before the long texts do
+    return (questions.join(F.broadcast(templates), "query_type", "left")
+            .join(contexts, key, "left").withColumn("context", F.coalesce("context", F.lit(fv.NOTHING_FOUND)))
             .withColumn("_default", fallback).withColumn("_full", history)
             .select(key, filled.alias("prompt")))
 

@@ -50,13 +50,13 @@ def build_filter(requests: DataFrame) -> DataFrame:
 def knn(queries: DataFrame, chunks: DataFrame, k: int = 5, key: str = "question_id", chunk: str = "chunk_id",
         query_vec: str = "query_embedding", vec: str = "embedding", where: dict | None = None,
         per_query: dict | None = None, source_contains: str | None = None, source: str = "source",
-        query_limit: int = vectors.QUERY_LIMIT, per_query_contains: dict | None = None) -> DataFrame:
+        query_limit: int = vectors.QUERY_LIMIT, per_query_contains: dict | None = None, stored: bool = False) -> DataFrame:
     """(key, chunk, distance, rank) of the k nearest chunks by cosine distance.
 
     ``where`` {column: value} and ``source_contains`` apply to all queries and
     are pushed to the scan; ``per_query`` {chunk column: query column} compares
     per query, and ``per_query_contains`` asks that the chunk's value contains
-    the query's; NULL on the query side means any.
+    the query's; NULL on the query side means any.  ``stored`` chunks are read again for each block of many queries.
     """
     conditions = [F.col(c) == v for c, v in (where or {}).items()]
     if source_contains:
@@ -64,7 +64,12 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = 5, key: str = "question_
     scope = reduce(lambda df, c: df.filter(c), conditions, chunks)
     per_query, pieces = per_query or {}, per_query_contains or {}
     q = queries.select(key, query_vec, *[F.col(qc).alias(cc) for cc, qc in {**per_query, **pieces}.items()])
-    return vectors.nearest(q, scope, k, key, chunk, query_vec, vec, list(per_query), query_limit, pieces=list(pieces))
+    return vectors.nearest(q, scope, k, key, chunk, query_vec, vec, list(per_query), query_limit, pieces=list(pieces), stored=stored)
+
+
+def knn_stored(*args, **options) -> DataFrame:
+    """``knn`` over a store of chunks: however many the queries are, no vector is shuffled."""
+    return knn(*args, stored=True, **options)
 
 
 def unfiltered_counts(queries: DataFrame, results: DataFrame, chunks: DataFrame, k: int = 5, key: str = "question_id",

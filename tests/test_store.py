@@ -9,11 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.functions import extensions as U
-from corpusq.operators import indexing as IX, retrieval as R, search_store as SS, vector_index as VI
+from corpusq.functions import extensions as U, fixed_values as fv
+from corpusq.operators import answering as A, indexing as IX, retrieval as R, search_store as SS, vector_index as VI
 from corpusq.operators.chunks import chunk_documents, clean_documents
-from corpusq.plans import fetch
-from corpusq.plans.scratch import shared_folder
+from corpusq.plans import fetch, vectors as V
+from corpusq.plans.scratch import FREE_SHUFFLES, keep, shared_folder
 from corpusq.streaming import jobs as J
 from corpusq.operators.records import apply_changes
 from corpusq.streaming.store import CHUNK_COLUMNS, PathStore, RecordStore
@@ -229,6 +229,78 @@ def test_fetch_does_not_sort_the_table(spark, monkeypatch):
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_are_picked_by_number_once_each(spark, monkeypatch):
+    table = spark.range(0, 1000, 3).select(F.col("id").alias("n"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    table = table.unionByName(table.withColumn("n", F.col("n") + (1 << 33)))
+    ids = spark.createDataFrame([(0,), (63,), (63,), (66,), (999,), (64,), (5000,), (None,), ((1 << 33) + 63,), ((1 << 33) + 64,)], "n long")
+    want = [(0, "text 0"), (63, "text 63"), (66, "text 66"), (999, "text 999"), ((1 << 33) + 63, "text 63")]
+    for limit in (fetch.HELD_IDS, 1):
+        monkeypatch.setattr(fetch, "HELD_IDS", limit)
+        assert sorted(map(tuple, fetch.pick_rows(ids, table, "n").collect())) == want
+
+
+def test_kept_rows_leave_no_shuffle_files(spark):
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    counted = spark.range(5000).groupBy((F.col("id") % 700).alias("g")).count()
+    before, was = shuffled(), spark.conf.get(FREE_SHUFFLES)
+    kept = keep(counted, "kept")
+    assert not shuffled() - before and spark.conf.get(FREE_SHUFFLES) == was
+    counted.write.parquet(shared_folder(spark, "plain"))
+    assert shuffled() - before
+    assert kept.count() == 700 and kept.dtypes == counted.dtypes
+
+
+def answer_store(spark):
+    """40 chunks of 10 documents; equal texts, a missing text and a link to a text that is a hit itself."""
+    rows = []
+    for d in range(10):
+        for i in range(4):
+            name, text = f"d{d}_{i}", None if (d, i) == (3, 1) else f"same words {i}" if d in (4, 5) else f"text {'abc'[d % 3] * (i + 1)} of {d}"
+            rows.append((name, d * 4 + i, text, [1.0, float(d), float(i)], f"lib/src{d % 2}/d{d}.md", "rulebook" if d % 2 else None, "SR5" if d % 3 else "sr4",
+                         "Gear" if d % 4 else None, "en", f"d{d}_s", i, f"d{d}_{i + 1}" if i < 3 else None, f"d{d}_{i - 1}" if i else None))
+    return spark.createDataFrame(rows, "chunk_id string, text_id long, text string, embedding array<float>, source string, document_type string, edition string, "
+                                 "primary_section string, subsection string, section_id string, chunk_index int, next_chunk_global string, prev_chunk_global string").withColumns(
+        {"next_chunk_section": F.col("next_chunk_global"), "prev_chunk_section": F.col("prev_chunk_global")})
+
+
+def test_answers_are_the_same_with_texts_kept_apart(spark):
+    embed = U.register_embedder(lambda: lambda texts: [[1.0, float(len(t) % 9), float(t.count("a"))] for t in texts], 3)
+    none = F.lit(None).cast("string")
+    asked = spark.range(60).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("question_id"), F.concat(F.lit("ask "), F.repeat(F.lit("a"), (F.col("id") % 7).cast("int"))).alias("question"),
+                                   (1 + F.col("id") % 4).cast("int").alias("n_results"), F.when(F.col("id") % 2 == 0, "rules").otherwise("nothing known").alias("query_type"),
+                                   F.when(F.col("id") % 5 == 0, "rulebook").alias("filter_document_type"), none.alias("filter_edition"), F.when(F.col("id") % 3 == 0, "SR5").alias("edition"),
+                                   F.when(F.col("id") % 4 == 0, "src1").when(F.col("id") % 4 == 1, "no such").alias("filter_source"), none.alias("character_role"), none.alias("filter_section"),
+                                   none.alias("filter_subsection"), none.alias("character_stats"), none.alias("conversation_context"))
+    asked = asked.unionByName(asked.filter("question_id = 'q8'"))
+    templates = spark.createDataFrame([("general", "G {context}|{question}"), ("rules", "R {context}")], "query_type string, template string")
+    whole = answer_store(spark)
+    apart, texts = keep(whole.withColumn("text_hash", F.unhex(F.md5("text"))).drop("text"), "store"), whole.select("text_id", "text")
+    want = sorted(map(str, A.answer_questions(asked, whole, templates, embed, search=R.knn).collect()))
+    assert len(want) == 63 and any("same words" in w for w in want) and any(fv.NOTHING_FOUND in w for w in want)
+    for most in (V.QUERY_LIMIT, 7):  # held by every task at once; in blocks
+        search = lambda *a, **b: R.knn_stored(*a, query_limit=most, **b)
+        answers = A.answer_questions(asked, apart, templates, embed, search=search, texts=texts)
+        assert sorted(map(str, answers.collect())) == want
+
+
+def test_many_queries_shuffle_no_vector_of_a_store(spark):
+    rows = spark.range(3000).select(F.col("id").alias("chunk_id"), F.array(*[F.sin(F.col("id") * i).cast("float") for i in (1, 2, 3)]).alias("embedding"), (F.col("id") % 4).cast("string").alias("kind"))
+    store = keep(rows.repartition(6), "vectors")
+    queries = rows.limit(300).select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("query_embedding"), F.when(F.col("chunk_id") % 3 == 0, F.col("kind")).alias("want"))
+    options = {"k": 4, "per_query": {"kind": "want"}, "query_limit": 50}
+    got, want = (search(queries, store, **options) for search in (R.knn_stored, R.knn))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 1200
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (got, want)]
+    assert "CoGroup" in plans[1] and "CoGroup" not in plans[0]
+    blocks = V.nearest(queries.withColumnRenamed("want", "kind"), store, 4, "question_id", "chunk_id", "query_embedding", "embedding",
+                             ["kind"], query_limit=50, cell_vectors=64, stored=True)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 5
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, got.collect()))
+
+
 def test_a_search_skips_blocks_without_the_term(spark):
     docs = spark.range(400).select(F.concat(F.lit("lib/d"), F.col("id").cast("string"), F.lit(".md")).alias("doc_path"), F.when(
         F.col("id") == 123, "Über the Zebra crossing").when(F.col("id") == 7, None).otherwise(F.concat(F.lit("plain words "), F.col("id").cast("string"))).alias("text"))
