@@ -24,26 +24,38 @@ def register_tokenizer(fn: Callable[[str], int]) -> Callable[[Column], Column]:
 
 
 def register_embedder(load: Callable[[], Callable[[list[str]], list]], dim: int) -> Callable[[Column], Column]:
-    """``load`` builds the model once per task; a failing text gets the zero vector."""
+    """``load`` builds the model once per task.
+
+    A batch that fails is tried again text by text.  A text that fails alone, or gets
+    something else than ``dim`` numbers, ends the job with an error: no vector stands for a failure.
+    """
     bound_batches()
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        zero = np.zeros(dim, dtype=np.float32).tolist()
         for texts in batches:
+            asked = texts.fillna("").tolist()
             try:
-                yield pd.Series(list(model(texts.fillna("").tolist())))
+                made = _vectors(model, asked, dim)
             except Exception:
-                yield texts.fillna("").map(lambda t: _one(model, t, zero))
+                made = [_one(model, t, dim) for t in asked]
+            yield pd.Series(made)
     return lambda texts: embedded(texts)
 
 
-def _one(model, text, zero):
+def _vectors(model, texts, dim):
+    made = list(model(texts))
+    if len(made) != len(texts) or any(len(v) != dim for v in made):
+        raise ValueError(f"the model has to give one vector of {dim} numbers per text")
+    return made
+
+
+def _one(model, text, dim):
     try:
-        return list(model([text])[0])
-    except Exception:
-        return zero
+        return list(_vectors(model, [text], dim)[0])
+    except Exception as e:
+        raise RuntimeError(f"no vector for the text that begins with {text[:60]!r}: {e}") from e
 
 
 def register_labeller(fn: Callable[[str], str]) -> Callable[[Column], Column]:

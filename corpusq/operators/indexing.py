@@ -27,6 +27,7 @@ def index_documents(docs: DataFrame, embed: Callable[[Column], Column] | None =
 
     The chunks are made once and stored; records, edges and manifest are read
     from the store.  A document that is blank after cleaning has no chunks and counts as skipped.
+    A chunk for which the embedder fails ends the run with its error.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "index")

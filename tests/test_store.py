@@ -97,6 +97,30 @@ def test_batches_carry_labels_counts_and_vectors(spark):
     assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
 
 
+def test_a_failing_embedder_is_no_result(spark):
+    def one_by_one():
+        def model(texts):
+            if len(texts) > 1:
+                raise ValueError("too many at once")
+            return [[float(len(texts[0])), 1.0]]
+        return model
+
+    def fails_on_d3():
+        def model(texts):
+            if any("d3" in t for t in texts):
+                raise ValueError("no such model")
+            return [[float(len(t)), 1.0] for t in texts]
+        return model
+    docs = spark.createDataFrame([(f"d{i}", "lib", text_of(f"d{i}", i)) for i in range(6)], "doc_path string, source string, text string")
+    made = docs.select(F.length("text").alias("n"), U.register_embedder(one_by_one, 2)("text").alias("v")).collect()
+    assert len(made) == 6 and all(r["v"] == [float(r["n"]), 1.0] for r in made)
+    with pytest.raises(Exception, match="no vector for the text that begins with.*no such model"):
+        IX.index_documents(docs, U.register_embedder(fails_on_d3, 2), lexicon=[], patterns=[])
+    for wrong in (lambda texts: [[] for _ in texts], lambda texts: [None for _ in texts], lambda texts: [[1.0, 2.0, 3.0] for _ in texts], lambda texts: []):
+        with pytest.raises(Exception, match="no vector for the text"):
+            docs.select(U.register_embedder(lambda wrong=wrong: wrong, 2)("text")).collect()
+
+
 def test_an_unfinished_compaction_changes_nothing(spark):
     store = shared_folder(spark, "store")
     for b in range(3):
