@@ -51,14 +51,14 @@ def answer_questions(requests: DataFrame, chunks: DataFrame, templates: DataFram
     hits and their links only; it is neither searched nor sorted.
 
     ``texts`` (text_id, text) are the texts of the chunks, kept apart; text_id is a number of its own for
-    each text.  Chunks then hold text_id and text_hash, equal for equal texts, instead of text:
+    each text.  Chunks then hold text_id and text_hash, the 16 bytes of its MD5, instead of text:
     the rows are searched, linked and merged without it, and each text that is used is fetched once.
     """
     hits = search_requests(requests, chunks, embed, categories, expansions, key, chunk, search)
     primary = R.fetch_hits(hits, chunks.drop("embedding"), chunk)
-    text = "text" if texts is None else "text_hash"
+    text, digest = ("text", None) if texts is None else ("text_hash", F.lower(F.hex("text_hash")))
     if fetch_linked:
-        merged = R.merge_linked(primary, R.expand_linked(primary, chunks.drop("embedding"), key, chunk), key, chunk, text)
+        merged = R.merge_linked(primary, R.expand_linked(primary, chunks.drop("embedding"), key, chunk), key, chunk, text, digest=digest)
     else:
         merged = primary.withColumn("is_linked", F.lit(False))
     whole = merged

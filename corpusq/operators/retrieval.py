@@ -107,16 +107,18 @@ def fetch_hits(hits: DataFrame, chunks: DataFrame, chunk: str = "chunk_id") -> D
 
 
 def merge_linked(primary: DataFrame, linked: DataFrame, key: str = "question_id", chunk: str = "chunk_id",
-                 text: str = "text", sentinel: bool = False) -> DataFrame:
+                 text: str = "text", sentinel: bool = False, digest: Column | None = None) -> DataFrame:
     """Primary hits by distance, then linked ones by section and position, texts not repeated.
 
-    With ``sentinel`` any row with distance exactly 0.0 is sorted as linked.
+    With ``sentinel`` any row with distance exactly 0.0 is sorted as linked.  ``digest`` is
+    the MD5 of the text, if the rows have another column in its place.
     """
+    digest = F.md5(text) if digest is None else digest
     columns = [key, chunk, text, "distance", "is_linked", "section_id", "chunk_index"]
     first = primary.withColumn("is_linked", F.lit(False))
     extra = [c for c in first.columns if c in linked.columns and c not in columns]
-    seen = first.select(key, F.md5(text).alias("_t")).distinct()
-    fresh = (linked.withColumn("_t", F.md5(text)).join(seen, [key, "_t"], "left_anti"))
+    seen = first.select(key, digest.alias("_t")).distinct()
+    fresh = (linked.withColumn("_t", digest).join(seen, [key, "_t"], "left_anti"))
     fresh = top_k(fresh, [key, "_t"], [F.col(chunk)], 1, "_n").drop("_t", "_n")
     rows = first.select(*columns, *extra).unionByName(fresh.select(*columns, *extra))
     late = (F.col("distance") == 0.0) if sentinel else F.col("is_linked")
